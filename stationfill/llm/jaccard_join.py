@@ -227,21 +227,21 @@ def similarity_components(
     edges = scratch.save(joined(first, ["lead", "sub"]), "edges")
     within = components(edges, scratch, "within")
     if not splits.isEmpty():
-        edges = scratch.save(edges.unionByName(joined(_across(dealt, splits, within, scratch, most), ["lead", "sub", "part"])), "edges-2")
+        edges = scratch.save(edges.unionByName(joined(_across(dealt, within, scratch, most), ["lead", "sub", "part"])), "edges-2")
         within = components(edges, scratch, "whole")
     named = classes.join(within, classes["rep"] == within["id"], "left").select("mark", F.coalesce("component", "rep").alias("component_id"))
     named = scratch.save(named, "named")
     return sets.select("doc_id", "n_shingles", "mark").join(named, "mark").select("doc_id", "n_shingles", "component_id")
 
 
-def _across(dealt: DataFrame, splits: DataFrame, within: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+def _across(dealt: DataFrame, within: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     """Of split blocks, what may still link across their parts: members outside the block's largest component against every part.
 
     Both sides come in parts of bounded size; the pairs of parts are tasks, and no pair of documents is a row.
     """
     within = within.withColumnRenamed("id", "member")
-    members = dealt.filter("split").join(within, "member", "left").withColumn("label", F.coalesce("component", "member")).drop("component")
-    members = scratch.save(members.join(splits, "lead"), "members")
+    members = dealt.filter("n_sub > 1").join(within, "member", "left").withColumn("label", F.coalesce("component", "member")).drop("component")
+    members = scratch.save(members, "members")
     once = members.filter((F.col("member") != F.col("lead")) | (F.col("sub") == 0))
     sizes = once.groupBy("lead", "label").count()
     largest = sizes.groupBy("lead").agg(F.max(F.struct("count", "label"))["label"].alias("main"), F.sum("count").alias("n_all"), F.max("count").alias("n_main"))

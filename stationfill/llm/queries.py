@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from stationfill.llm.common import table
 from stationfill.llm.exact_dedup import DigestIndex
 from stationfill.llm.jaccard_join import similarity_components
+from stationfill.llm.language_id import identify
+from stationfill.llm.suffix_dedup import repeat_digests
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,14 +30,24 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"), window=400)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_language_id": op5_language_id,
         "op7_jaccard_join": op7_jaccard_join,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 

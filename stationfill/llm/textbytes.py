@@ -58,8 +58,8 @@ class RollingHash:
         return mix((self.prefix[ends] - self.prefix[starts]) * self.down[starts])
 
 
-def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows with about `most` bytes; a longer text is a run of its own. Null is empty."""
+def slices(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of at most `rows` rows with about `most` bytes; a longer text is a run of its own. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "")
@@ -72,7 +72,7 @@ def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np
     at = 0
     while at < len(column):
         end = int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1
-        end = min(len(column), max(end, at + 1))
+        end = min(len(column), max(end, at + 1), at + rows)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 
