@@ -1,8 +1,75 @@
-"""Corpus pipeline: STAGES in order, each reading what the stage before kept."""
+"""Corpus pipeline: language ID, exact dedup, n-gram Jaccard join, suffix-array dedup, packing.
 
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns a DataFrame, which is
+written as Parquet and read again for the next. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stationfill.llm import language_id
+from stationfill.llm.common import Scratch, table
+from stationfill.llm.exact_dedup import DigestIndex
+from stationfill.llm.jaccard_join import similarity_components
+from stationfill.llm.packing import pack
+from stationfill.llm.suffix_dedup import without_repeats
+
+#: No SQL: a trained model, components of a similarity join and a tokenizer decide. The tests hold run() against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no language that the model tells from the others, go."""
+    model = language_id.fit(docs, ~language_id.held_out(F.col("doc_id")))
+    return language_id.with_language(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the row with the smallest doc_id stays; a repeated row of it goes."""
+    index = DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex}")
+    rows = index.ingest(docs).filter("kept").groupBy("doc_id").count()
+    rows = Scratch(spark, "kept").save(rows, "rows")
+    once = docs.join(rows.filter("count = 1"), "doc_id", "left_semi")
+    more = rows.filter("count > 1")
+    if not more.isEmpty():
+        once = once.unionByName(docs.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return once.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that chains of five-word-shingle similarity 0.8 connect, the smallest doc_id stays."""
+    found = similarity_components(docs, width=5, num=80, den=100)
+    return docs.join(found.filter("doc_id = component_id"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings of 400 that also occur elsewhere are cut out of the texts; every document stays."""
+    cut = without_repeats(docs, window=400)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 ids."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, last_id=2)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the rows of the last."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

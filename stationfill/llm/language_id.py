@@ -168,3 +168,20 @@ def identify(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", "lang")
     found = predict(docs, fit(docs, ~held_out(F.col("doc_id"))))
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def with_language(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """The rows of docs with a letter and a score of `least` at least, all columns unchanged. Without a model, all rows with a letter."""
+    letters = docs.filter(F.col("text").rlike(r"\p{L}"))
+    if model is None:
+        return letters
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            kept = [shared.value.decide(_scaled(data, offsets))[1] >= least for _, _, data, offsets in slices(batch.column(at), 1 << 18, 256)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return letters.mapInArrow(run, letters.schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from stationfill.llm.common import table
 from stationfill.llm.exact_dedup import DigestIndex
 from stationfill.llm.jaccard_join import similarity_components
 from stationfill.llm.language_id import identify
+from stationfill.llm.packing import pack
 from stationfill.llm.suffix_dedup import repeat_digests
 
 
@@ -38,6 +40,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, last_id=2)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"), window=400)
 
@@ -47,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op5_language_id": op5_language_id,
         "op7_jaccard_join": op7_jaccard_join,
+        "op9_packing": op9_packing,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
 
