@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stationfill.llm.bpe import encode_decode
 from stationfill.llm.common import table
 from stationfill.llm.exact_dedup import DigestIndex
 from stationfill.llm.jaccard_join import similarity_components
@@ -40,6 +41,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, last_id=2)
 
@@ -53,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op5_language_id": op5_language_id,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_byte_bpe": op8_byte_bpe,
         "op9_packing": op9_packing,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
