@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -115,11 +116,14 @@ def fit(docs: DataFrame, for_training: Column, most: int = 600, letters: int = 4
     characters of each. None if no text is labelled. The languages are the distinct labels, a set whose size the data don't set.
     """
     known = docs.filter(for_training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    names = [r[0] for r in known.select("lang").distinct().collect()]
-    rows: list[tuple[str, str]] = []
-    for name in sorted(names):
-        own = known.filter(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", F.substring("text", 1, letters).alias("text"))
-        rows += [(r["text"], name) for r in own.limit(most).collect()]
+    names = sorted(r[0] for r in known.select("lang").distinct().collect())
+    if not names:
+        return None
+    # ids first, so that only the chosen texts are gathered
+    chosen = [known.filter(F.col("lang") == name).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for name in names]
+    picked = F.broadcast(reduce(DataFrame.unionByName, chosen).distinct())
+    texts = known.join(picked, "doc_id", "left_semi").select("doc_id", "lang", F.substring("text", 1, letters).alias("text"))
+    rows = [(r["text"], r["lang"]) for r in texts.orderBy("lang", "doc_id", "text").collect()]
     if not rows:
         return None
     texts = pa.array([t for t, _ in rows])

@@ -15,10 +15,17 @@ from stationfill.llm.exact_dedup import DigestIndex
 from stationfill.llm.jaccard_join import similarity_components
 from stationfill.llm.language_id import identify
 from stationfill.llm.packing import pack
+from stationfill.llm.quality import score
 from stationfill.llm.suffix_dedup import repeat_digests
+from stationfill.llm.token_counts import token_counts
 from stationfill.llm.voronoi import top_k
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return token_counts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, separator=50256)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     found = index.ingest(table(spark, sf_dir, "documents"))
@@ -34,6 +41,10 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -73,7 +84,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_quality": op4_quality,
         "op5_language_id": op5_language_id,
         "op6_voronoi_knn": op6_voronoi_knn,
         "op7_jaccard_join": op7_jaccard_join,
