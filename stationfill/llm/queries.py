@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stationfill.llm.bpe import encode_decode
 from stationfill.llm.common import table
 from stationfill.llm.exact_dedup import DigestIndex
+from stationfill.llm.html_extract import extract
 from stationfill.llm.jaccard_join import similarity_components
 from stationfill.llm.language_id import identify
 from stationfill.llm.packing import pack
@@ -26,6 +27,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, separator=50256)
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     found = index.ingest(table(spark, sf_dir, "documents"))
@@ -85,6 +90,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_html_extract": op2_html_extract,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_quality": op4_quality,
         "op5_language_id": op5_language_id,
