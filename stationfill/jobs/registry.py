@@ -3,19 +3,860 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stationfill.functions import expressions as E
+from stationfill.functions.rules import DIRECTION, SCALARS, SPEED, VARIABLES, CurationConfig
+from stationfill.jobs import curate as jobs
+from stationfill.jobs.oracle import ALLOWED, sql
+from stationfill.operators import contract, external, fill, gaps, grid, neighbors, postconditions, provenance, quality, reports, verify, wind
+from stationfill.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+class View:
+    """The station views of one data folder, each made when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def obs(self) -> DataFrame:
+        return adapters.obs_hourly(self.spark, self.sf_dir)
+
+    @cached_property
+    def long(self) -> DataFrame:
+        return adapters.obs_long(self.spark, self.sf_dir)
+
+    @cached_property
+    def stations(self) -> DataFrame:
+        return adapters.stations(self.obs)
+
+    @cached_property
+    def grid(self) -> DataFrame:
+        return grid.hourly_grid(self.obs)
+
+    @cached_property
+    def wide(self) -> DataFrame:
+        return grid.reindex_to_grid(self.obs, self.grid)
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return jobs.cells_of(self.obs)
+
+    @cached_property
+    def scalars(self) -> DataFrame:
+        return self.cells.filter(F.col("variable").isin(*SCALARS))
+
+    @cached_property
+    def anchored(self) -> DataFrame:
+        return gaps.with_anchors(gaps.with_runs(self.scalars))
+
+    @cached_property
+    def vector(self) -> DataFrame:
+        return wind.vectors(self.cells)
+
+    @cached_property
+    def filled_wind(self) -> DataFrame:
+        return wind.fill_wind_temporal(self.cells)
+
+    @cached_property
+    def product(self) -> jobs.Product:
+        return jobs.curate(self.obs)
+
+    @cached_property
+    def long_product(self) -> jobs.Product:
+        return jobs.curate(self.long)
+
+    @cached_property
+    def whole(self) -> jobs.Product:
+        return jobs.curate(self.obs, CurationConfig(), self.stations)
+
+    @property
+    def states(self) -> DataFrame:
+        return self.product.states
+
+    @cached_property
+    def faulty(self) -> DataFrame:
+        """The product with faults of every kind put in, by the hour and the station."""
+        n = F.day("ts") * 24 + F.hour("ts") + 7 * F.substring("station", 2, 2).cast("int")
+        s = self.states.withColumn("n", n)
+        final, source, after = F.col("final"), F.col("source"), F.col("after")
+        at = lambda m, r: F.col("n") % m == r
+        return s.withColumns({
+            "final": F.when(at(53, 1), final + 1).when(at(59, 2), None).when(at(61, 3) & final.isNull(), 5.0).when(at(67, 4) & (F.col("variable") == DIRECTION) & source.startswith("imputed_"), 360.0).otherwise(final),
+            "source": F.when(at(71, 5), "imputed_unknown").when(at(73, 6), "not_applicable").otherwise(source),
+            "after": F.when(at(79, 7) & after.isNull(), 5.0).when(at(83, 8) & after.isNotNull() & F.col("value").isNull(), -999.0).otherwise(after),
+        })
+
+    @cached_property
+    def dirty(self) -> DataFrame:
+        return adapters.dirty_raw(self.spark, self.sf_dir)
+
+    @cached_property
+    def typed(self) -> DataFrame:
+        return contract.coerce_numeric(self.dirty, ["FECHA", "HORA", "LATITUD", "LONGITUD", "PM2_5"])[0]
+
+    @cached_property
+    def external(self) -> DataFrame:
+        """A modelled series on the grid, with values out of range and missing ones."""
+        k = F.substring("station", 2, 2).cast("int")
+        n = F.day("ts") * 24 + F.hour("ts") + k
+        return self.grid.select("station", "ts", F.when(n % 17 != 0, (n % 71 - 3).cast("double")).alias("value"))
+
+    @cached_property
+    def with_external(self) -> DataFrame:
+        return external.attach_external(self.wide, external.normalize(self.external))
+
+    @cached_property
+    def near(self) -> DataFrame:
+        return neighbors.rank_neighbors(self.stations)
+
+    @cached_property
+    def log(self) -> DataFrame:
+        """The log as published: hours joined to text, with faults in some rows."""
+        log = jobs.imputation_log(self.states, self.product.scalars)
+        text = F.array_join(F.transform("imputed_timestamps", lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")), "|")
+        log = log.withColumn("imputed_timestamps", text)
+        odd = F.day("gap_start") + F.hour("gap_start")
+        return log.withColumn("n_values_imputed", F.when(odd % 13 == 0, F.col("n_values_imputed") + 1).otherwise(F.col("n_values_imputed"))).withColumn("accepted", F.when(odd % 17 == 0, ~F.col("accepted")).otherwise(F.col("accepted")))
+
+
+def query(layer: str | None = None, tail: str = "", *more: str):
+    def put(f: Callable[[View], DataFrame]) -> Callable[[View], DataFrame]:
+        name = f.__name__
+        _QUERIES[name] = lambda spark, sf_dir: f(View(spark, sf_dir))
+        if layer:
+            _SQL[name] = sql(layer, tail, *more)
+        return f
+
+    return put
+
+
+def r(c: Column | str, places: int = 6) -> Column:
+    """Rounded, without a negative zero: the engines' last bits differ."""
+    return F.round(c, places) + F.lit(0.0)
+
+
+def R(c: str, places: int = 6) -> str:  # noqa: N802
+    return f"round({c}, {places}) + 0.0e0"
+
+
+_CELL = ["station", "variable", "ts"]
+_MONTHS = "date_trunc('month', ts)"
+
+
+# ── input contract ───────────────────────────────────────────────────────────────────────────────────────────────────
+
+
+@query("dirty", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (trim(d.{c}) <> '' AND t.{c} IS NULL) AS n_bad FROM dirty d JOIN typed t USING (row_id)" for c in ("FECHA", "HORA", "LATITUD", "LONGITUD", "PM2_5")) + ")")
+def coerce_numeric(v):
+    return contract.coerce_numeric(v.dirty, ["FECHA", "HORA", "LATITUD", "LONGITUD", "PM2_5"])[1]
+
+
+@query("dirty", "SELECT row_id, LATITUD, LONGITUD FROM typed WHERE NOT coalesce(LATITUD BETWEEN -90 AND 90 AND LONGITUD BETWEEN -180 AND 180, false)")
+def coordinate_violations(v):
+    return contract.coordinate_violations(v.typed).select("row_id", "LATITUD", "LONGITUD")
+
+
+_BAD_TIME = "NOT coalesce(FECHA = floor(FECHA) AND try_strptime(lpad(CAST(CAST(FECHA AS BIGINT) AS VARCHAR), 8, '0'), '%Y%m%d') IS NOT NULL AND HORA BETWEEN 0 AND 230000 AND CAST(HORA AS BIGINT) % 10000 = 0, false)"
+
+
+@query("dirty", f"SELECT row_id, FECHA, HORA FROM typed WHERE {_BAD_TIME}")
+def time_code_violations(v):
+    return contract.time_code_violations(v.typed).select("row_id", "FECHA", "HORA")
+
+
+@query("dirty", f"SELECT DISTINCT FECHA, HORA FROM typed WHERE {_BAD_TIME} ORDER BY FECHA NULLS FIRST, HORA NULLS FIRST LIMIT 10")
+def bad_time_examples(v):
+    return contract.bad_time_examples(v.typed)
+
+
+@query("dirty", "SELECT ESTACION, FECHA, HORA, count(*) AS n_rows FROM typed GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(v):
+    return contract.duplicate_keys(v.typed)
+
+
+@query("dirty", "SELECT row_id, ESTACION FROM typed WHERE ESTACION IS NULL OR trim(ESTACION) = '' OR ESTACION <> trim(ESTACION)")
+def station_id_violations(v):
+    return contract.station_id_violations(v.typed).select("row_id", "ESTACION")
+
+
+@query("dirty", "SELECT * FROM (SELECT ESTACION, 'LATITUD' AS column_name, count(DISTINCT LATITUD) AS n_values FROM typed GROUP BY 1 UNION ALL SELECT ESTACION, 'LONGITUD', count(DISTINCT LONGITUD) FROM typed GROUP BY 1) WHERE n_values > 1")
+def metadata_conflicts(v):
+    return contract.metadata_conflicts(v.typed)
+
+
+@query("obs", "SELECT min(ts) AS first_ts, max(ts) AS last_ts, date_diff('hour', min(ts), max(ts)) // 24 AS n_days, max(ts) - min(ts) > INTERVAL 20 DAY AS too_long FROM obs")
+def period_span(v):
+    return contract.period_span(adapters.raw_rows(v.obs), 20)
+
+
+@query()
+def validate_input(v):
+    """Every rule on clean rows: all counts are 0 and the rows come back."""
+    return contract.validate_input(adapters.raw_rows(v.obs))
+
+
+# ── time and grid ────────────────────────────────────────────────────────────────────────────────────────────────────
+
+
+@query("obs", "SELECT station AS ESTACION, year(ts) * 10000 + month(ts) * 100 + day(ts) AS FECHA, hour(ts) * 10000 AS HORA, ts FROM obs")
+def with_timestamp(v):
+    return grid.with_timestamp(adapters.raw_rows(v.obs)).select("ESTACION", F.col("FECHA").cast("long").alias("FECHA"), F.col("HORA").cast("long").alias("HORA"), "ts")
+
+
+@query("grid", "SELECT station, ts FROM grid")
+def hourly_grid(v):
+    return v.grid
+
+
+@query("grid", "SELECT station, ts, source_row, PM2_5, TEMP, HR, PP, DIR_VIENTO, VEL_VIENTO FROM wide")
+def reindex_to_grid(v):
+    return v.wide.select("station", "ts", "source_row", *VARIABLES)
+
+
+@query("grid", "SELECT station, count(*) AS n_added FROM wide WHERE NOT source_row GROUP BY 1")
+def implicit_row_counts(v):
+    return grid.implicit_row_counts(v.obs, v.grid)
+
+
+@query("stations", "SELECT g.station, g.ts, LATITUD, ALTITUD, DISTRITO FROM grid g JOIN stations USING (station)", "hours AS (SELECT unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM (SELECT min(ts) AS a, max(ts) AS b FROM obs))", "grid AS (SELECT station, ts FROM stations, hours)")
+def fill_station_metadata(v):
+    known = v.obs.join(F.broadcast(v.stations), "station")
+    rows = grid.reindex_to_grid(known.select("station", "ts", "LATITUD", "ALTITUD", "DISTRITO"), v.grid)
+    return grid.fill_station_metadata(rows, ["LATITUD", "ALTITUD", "DISTRITO"]).select("station", "ts", "LATITUD", "ALTITUD", "DISTRITO")
+
+
+@query("cells", "SELECT station, ts, variable, raw FROM cells")
+def to_long_cells(v):
+    return grid.to_long_cells(v.wide, list(VARIABLES)).select("station", "ts", "variable", "raw")
+
+
+_PIVOT = ", ".join(f"round(max(final) FILTER (variable = '{x}'), 6) + 0.0e0 AS {x}, max(source) FILTER (variable = '{x}') AS {x}_SOURCE" for x in VARIABLES)
+
+
+@query("states", f"SELECT station AS ESTACION, CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS INTEGER) AS FECHA, CAST(hour(ts) * 10000 AS INTEGER) AS HORA, {_PIVOT} FROM states GROUP BY station, ts ORDER BY 1, 2, 3")
+def to_wide_output(v):
+    wide = grid.to_wide_output(v.states, list(VARIABLES))
+    return wide.withColumns({x: r(x) for x in VARIABLES}).orderBy("ESTACION", "FECHA", "HORA")
+
+
+# ── quality ──────────────────────────────────────────────────────────────────────────────────────────────────────────
+
+
+@query("cells", "SELECT station, variable, ts, raw FROM cells WHERE hard")
+def hard_invalid(v):
+    return v.cells.filter("hard").select(*_CELL, "raw")
+
+
+@query("cells", "SELECT station, variable, ts, raw FROM cells WHERE outlier")
+def operational_outlier(v):
+    return v.cells.filter("outlier").select(*_CELL, "raw")
+
+
+@query("cells", "SELECT station, variable, ts, value FROM cells")
+def analytic_snapshot(v):
+    return quality.classify(v.wide, list(VARIABLES)).select(*_CELL, "value")
+
+
+@query("cells", "SELECT station, variable, min(span_start) AS span_start, max(span_end) AS span_end FROM cells WHERE variable NOT IN ('DIR_VIENTO', 'VEL_VIENTO') GROUP BY 1, 2")
+def observed_span(v):
+    return quality.observed_span(quality.classify(v.wide, list(SCALARS)))
+
+
+@query("cells", "SELECT station, variable, min(span_start) AS span_start, max(span_end) AS span_end FROM cells WHERE variable IN ('DIR_VIENTO', 'VEL_VIENTO') GROUP BY 1, 2")
+def wind_span(v):
+    return quality.observed_span(quality.classify(v.wide, [DIRECTION, SPEED]))
+
+
+@query("cells", "SELECT station, variable, ts, eligible FROM cells")
+def eligibility(v):
+    return v.cells.select(*_CELL, "eligible")
+
+
+# ── gaps ─────────────────────────────────────────────────────────────────────────────────────────────────────────────
+
+_GAPS = "SELECT station, variable, gap_start, gap_end, n_steps FROM runs WHERE is_gap AND ts = gap_start"
+
+
+@query("runs", f"SELECT *, CAST(row_number() OVER (PARTITION BY station, variable ORDER BY gap_start) AS INTEGER) AS gap_id, n_steps AS duration_h FROM ({_GAPS})")
+def find_gaps(v):
+    return gaps.find_gaps(v.scalars)
+
+
+@query("runs", f"SELECT station, variable, gap_start, n_steps AS duration_h, CASE WHEN n_steps <= 4 THEN 'short' ELSE 'long' END AS gap_class FROM ({_GAPS})")
+def classify_gaps(v):
+    return gaps.classify_gaps(gaps.find_gaps(v.scalars)).select("station", "variable", "gap_start", "duration_h", "gap_class")
+
+
+@query("runs", "SELECT station, variable, gap_start, gap_end, n_steps, left_value, right_value, left_value IS NOT NULL AND right_value IS NOT NULL AS anchored FROM runs WHERE is_gap AND ts = gap_start")
+def gap_anchors(v):
+    return gaps.gap_anchors(v.scalars)
+
+
+# ── scalar fills ─────────────────────────────────────────────────────────────────────────────────────────────────────
+
+
+def _short(v: View) -> DataFrame:
+    return fill.with_short_fill(v.anchored).filter("short_value is not null")
+
+
+@query("filled", f"SELECT station, variable, ts, {R('short_value')} AS short_value FROM filled WHERE short_value IS NOT NULL AND NOT coalesce(zero, false)")
+def fill_short_linear(v):
+    return _short(v).filter("short_method = 'short_linear'").select(*_CELL, r("short_value").alias("short_value"))
+
+
+@query("filled", "SELECT station, variable, ts, short_value FROM filled WHERE short_value IS NOT NULL AND zero")
+def fill_short_zero(v):
+    return _short(v).filter("short_method = 'short_zero'").select(*_CELL, "short_value")
+
+
+@query("filled", "SELECT station, variable, ts, CAST(len(donors) AS INTEGER) AS n_donors, list_reduce(list_prepend(0.0e0, donors), lambda a, b: a + b) AS total FROM filled WHERE is_gap")
+def weekly_donors(v):
+    donors = fill.weekly_donors(gaps.with_runs(v.scalars)).filter("is_gap")
+    there = F.filter("donors", lambda x: x.isNotNull())
+    return donors.select(*_CELL, F.size(there).alias("n_donors"), F.aggregate(there, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("filled", f"SELECT station, variable, ts, {R('weekly_value')} AS weekly_value, CAST(n_donors AS INTEGER) AS n_donors FROM filled WHERE weekly_value IS NOT NULL AND is_gap")
+def fill_weekly_mean(v):
+    return fill.with_weekly_fill(gaps.with_runs(v.scalars)).filter("is_gap and weekly_value is not null").select(*_CELL, r("weekly_value").alias("weekly_value"), "n_donors")
+
+
+@query("long", "SELECT station, variable, ts, year_value FROM y WHERE year_value IS NOT NULL")
+def fill_cross_year(v):
+    cells = jobs.cells_of(v.long)
+    runs = fill.with_weekly_fill(fill.with_short_fill(gaps.with_anchors(gaps.with_runs(cells))))
+    return fill.cross_year_values(cells, runs.filter("is_gap AND short_value IS NULL AND weekly_value IS NULL"))
+
+
+_MERGED = f"SELECT station, variable, ts, {R('after')} AS after, method FROM filled WHERE is_gap"
+
+
+@query("filled", _MERGED)
+def merge_candidates(v):
+    return v.product.scalars.filter("is_gap").select(*_CELL, r("after").alias("after"), "method")
+
+
+@query("long", _MERGED)
+def fill_long_gaps(v):
+    return v.long_product.scalars.filter("is_gap").select(*_CELL, r("after").alias("after"), "method")
+
+
+_LOG = """
+SELECT * FROM (
+  SELECT station, variable, gap_start, gap_end, n_steps, method AS method_used, true AS accepted, count(*) AS n_values_imputed, min(ts) AS first_ts, max(ts) AS last_ts,
+    CASE WHEN method = 'weekly_seasonal' THEN CAST(min(n_donors) AS BIGINT) END AS n_donors FROM filled WHERE method IS NOT NULL GROUP BY station, variable, gap_start, gap_end, n_steps, method
+  UNION ALL
+  SELECT station, variable, gap_start, gap_end, n_steps, 'unimputable', false, 0, NULL, NULL, NULL FROM filled WHERE is_gap GROUP BY station, variable, gap_start, gap_end, n_steps HAVING count(*) FILTER (after IS NULL) > 0)
+JOIN (SELECT station, variable, gap_start, count(*) FILTER (after IS NULL) AS n_values_remaining FROM filled WHERE is_gap GROUP BY station, variable, gap_start) USING (station, variable, gap_start)"""
+
+
+def _log(product: jobs.Product) -> DataFrame:
+    log = jobs.imputation_log(product.states, product.scalars)
+    return log.select("station", "variable", "gap_start", "gap_end", "n_steps", "method_used", "accepted", "n_values_imputed", "n_values_remaining", "n_donors",
+        F.array_min("imputed_timestamps").alias("first_ts"), F.array_max("imputed_timestamps").alias("last_ts"))
+
+
+@query("filled", _LOG)
+def imputation_log(v):
+    return _log(v.product)
+
+
+@query("long", _LOG)
+def imputation_log_long(v):
+    return _log(v.long_product)
+
+
+# ── neighbours ───────────────────────────────────────────────────────────────────────────────────────────────────────
+
+_HAVERSINE = "2 * 6371.0088e0 * atan2(sqrt(h), sqrt(greatest(0.0e0, 1 - h)))"
+_NEAR = f"""
+near AS (
+  SELECT a.station, b.station AS neighbor, {_HAVERSINE} AS distance_km
+  FROM stations a JOIN stations b ON a.station <> b.station,
+  LATERAL (SELECT pow(sin(radians(b.LATITUD - a.LATITUD) / 2), 2) + cos(radians(a.LATITUD)) * cos(radians(b.LATITUD)) * pow(sin(radians(b.LONGITUD - a.LONGITUD) / 2), 2) AS h))"""
+
+
+@query("stations", f"SELECT station, neighbor, {R('distance_km')} AS distance_km FROM near", _NEAR)
+def station_distance_km(v):
+    return v.near.select("station", "neighbor", r("distance_km").alias("distance_km"))
+
+
+@query("stations", "SELECT * FROM (SELECT station, neighbor, CAST(row_number() OVER (PARTITION BY station ORDER BY round(distance_km, 9), neighbor) AS INTEGER) AS rank FROM near) WHERE rank <= 5", _NEAR)
+def rank_neighbors(v):
+    return neighbors.rank_neighbors(v.stations, 5).select("station", "neighbor", "rank")
+
+
+_PAIRS = """
+pairs AS (
+  SELECT a.variable, a.station, b.station AS neighbor, a.ts, a.value AS y, b.value AS x
+  FROM cells a JOIN cells b ON a.variable = b.variable AND a.ts = b.ts AND a.station <> b.station
+  WHERE a.value IS NOT NULL AND b.value IS NOT NULL AND a.variable IN ('PM2_5', 'TEMP', 'HR', 'PP')),
+p1 AS (SELECT *, count(*) OVER q AS n, row_number() OVER (q ORDER BY ts) - 1 AS rn FROM pairs WINDOW q AS (PARTITION BY variable, station, neighbor)),
+p2 AS (SELECT *, n - 5 * (n // 6) AS head, n // 6 AS t FROM p1 WHERE n >= 48),
+seg AS (SELECT *, CASE WHEN rn < head THEN 0 ELSE 1 + (rn - head) // t END AS seg FROM p2),
+model AS (
+  SELECT variable, station, neighbor, count(*) AS training_pairs, CASE WHEN var_pop(x) > 0 THEN covar_pop(y, x) / var_pop(x) ELSE 0 END AS slope, avg(y) AS my, avg(x) AS mx FROM seg GROUP BY 1, 2, 3),
+fold AS (
+  SELECT s.variable, s.station, s.neighbor, f.j, CASE WHEN var_pop(x) > 0 THEN covar_pop(y, x) / var_pop(x) ELSE 0 END AS b, avg(y) AS my, avg(x) AS mx
+  FROM seg s JOIN (SELECT unnest(range(1, 6)) AS j) f ON s.seg < f.j GROUP BY 1, 2, 3, 4),
+tested AS (
+  SELECT s.variable, s.station, s.neighbor, s.seg, sum(pow(y - (my - b * mx) - b * x, 2)) AS sse, var_pop(y) * count(*) AS sst
+  FROM seg s JOIN fold f ON s.variable = f.variable AND s.station = f.station AND s.neighbor = f.neighbor AND s.seg = f.j GROUP BY 1, 2, 3, 4),
+r2 AS (SELECT variable, station, neighbor, avg(CASE WHEN sst > 0 THEN 1 - sse / sst WHEN sse = 0 THEN 1 ELSE 0 END) AS r2 FROM tested GROUP BY 1, 2, 3)"""
+
+
+@query("station_cells", f"SELECT variable, station, neighbor, training_pairs, {R('slope')} AS slope, {R('my - slope * mx')} AS intercept, {R('r2')} AS r2 FROM model JOIN r2 USING (variable, station, neighbor)", _PAIRS)
+def fit_station_models(v):
+    m = neighbors.fit_station_models(neighbors.training_pairs(v.scalars, v.near))
+    return m.select("variable", "station", "neighbor", "training_pairs", *[r(c).alias(c) for c in ("slope", "intercept", "r2")])
+
+
+@query()
+def fill_from_neighbors(v):
+    return v.whole.attempts
+
+
+@query()
+def impute_series(v):
+    """All scalar series by the whole cascade, neighbours included."""
+    return v.whole.states.filter(F.col("variable").isin(*SCALARS)).select(*_CELL, "source", "final", "method")
+
+
+# ── wind ─────────────────────────────────────────────────────────────────────────────────────────────────────────────
+
+
+@query("wind", f"SELECT station, ts, {R('u')} AS u, {R('v')} AS v FROM vec")
+def wind_to_components(v):
+    return v.vector.select("station", "ts", r("u").alias("u"), r("v").alias("v"))
+
+
+@query("wind", f"SELECT station, ts, {R('CASE WHEN speed = 0 THEN 0 ELSE sqrt(u * u + v * v) END')} AS speed, {R('CASE WHEN speed <> 0 THEN round((degrees(atan2(-u, -v)) + 360) % 360, 6) % 360 END')} AS direction FROM vec")
+def components_to_wind(v):
+    u, w = F.col("u"), F.col("v")
+    return v.vector.select("station", "ts", r(E.speed_of(u, w)).alias("speed"), r(F.pmod(F.round(E.direction_of(u, w), 6), F.lit(360.0))).alias("direction"))
+
+
+@query("wind", "SELECT station, count(*) FILTER (speed = 0) AS n_calm, count(speed) AS n_speed FROM vec GROUP BY 1")
+def numerical_calm(v):
+    return v.vector.groupBy("station").agg(F.count_if(E.numerical_calm(F.col("speed"))).alias("n_calm"), F.count("speed").alias("n_speed"))
+
+
+@query("wind", "SELECT station, ts, coalesce(isfinite(u) AND isfinite(v) AND sqrt(u*u*36 + v*v*36) <= 75, false) AS valid FROM vec")
+def valid_wind_candidate(v):
+    """Of vectors six times as long, so that some are too fast."""
+    return v.vector.select("station", "ts", E.valid_wind(F.col("u") * 6, F.col("v") * 6).alias("valid"))
+
+
+@query("wind", "SELECT station, ts, method, n_conflicts FROM merged WHERE is_gap")
+def merge_wind_candidate(v):
+    return v.filled_wind.filter("is_gap").select("station", "ts", "method", "n_conflicts")
+
+
+@query("wind", "SELECT station, gap_start, gap_end, n_steps, anchored FROM cand WHERE is_gap AND ts = gap_start")
+def wind_gaps(v):
+    return wind.with_wind_gaps(v.vector).filter("is_gap and ts = gap_start").select("station", "gap_start", "gap_end", "n_steps", "anchored")
+
+
+@query("wind", f"SELECT station, ts, {R('short_u')} AS u, {R('short_v')} AS v FROM cand WHERE short_u IS NOT NULL")
+def fill_wind_short(v):
+    return wind.candidates(v.vector).filter("short_u is not null").select("station", "ts", r("short_u").alias("u"), r("short_v").alias("v"))
+
+
+@query("wind", f"SELECT station, ts, {R('weekly_u')} AS u, {R('weekly_v')} AS v, CAST(len(du) AS INTEGER) AS n_donors FROM cand WHERE weekly_u IS NOT NULL")
+def fill_wind_weekly(v):
+    return wind.candidates(v.vector).filter("weekly_u is not null").select("station", "ts", r("weekly_u").alias("u"), r("weekly_v").alias("v"), "n_donors")
+
+
+def _as_wind(df: DataFrame) -> DataFrame:
+    """A view's scalar as wind: speed modulo 13, direction 7 times the value modulo 360."""
+    value = F.col("PM2_5")
+    return df.select("station", "ts", (value % 13).alias(SPEED), F.pmod(value * 7, F.lit(360.0)).alias(DIRECTION))
+
+
+_LONG_WIND = """
+lw AS (SELECT g.station, g.ts, PM2_5 % 13 AS speed, (PM2_5 * 7) % 360 AS direction FROM wide g),
+lv AS (SELECT *, CASE WHEN speed = 0 THEN 0.0e0 ELSE -speed * sin(radians(direction)) END AS u, CASE WHEN speed = 0 THEN 0.0e0 ELSE -speed * cos(radians(direction)) END AS v FROM lw)"""
+
+
+@query("long", f"SELECT w.station, w.ts, {R('coalesce(a.u, b.u)')} AS u, {R('coalesce(a.v, b.v)')} AS v FROM lv w LEFT JOIN lv a ON a.station = w.station AND a.ts = w.ts + INTERVAL 1 YEAR LEFT JOIN lv b ON b.station = w.station AND b.ts = w.ts - INTERVAL 1 YEAR WHERE w.u IS NULL AND coalesce(a.u, b.u) IS NOT NULL", _LONG_WIND)
+def fill_wind_cross_year(v):
+    cells = jobs.cells_of(_as_wind(v.long))
+    vector = wind.vectors(cells)
+    return wind.cross_year_vectors(vector, vector.filter("u is null")).select("station", "ts", r("year_u").alias("u"), r("year_v").alias("v"))
+
+
+@query()
+def fit_wind_models(v):
+    return neighbors.fit_wind_models(neighbors.wind_pairs(v.vector, v.near))
+
+
+@query()
+def fill_wind_from_neighbors(v):
+    config = CurationConfig(interstation_min_r2=-10.0, predictor_min_gap_coverage=0.5)
+    models = neighbors.fit_wind_models(neighbors.wind_pairs(v.vector, v.near))
+    return neighbors.fill_wind_from_neighbors(v.vector, v.filled_wind.filter("is_gap AND method IS NULL"), v.near, models, config)
+
+
+@query("wind", f"SELECT station, ts, {R('round(direction_after, 6) % 360')} AS direction_after, {R('speed_after')} AS speed_after, wrote_direction, wrote_speed FROM wind WHERE is_gap")
+def compose_wind_fields(v):
+    return v.filled_wind.filter("is_gap").select("station", "ts", r(F.pmod(F.round("direction_after", 6), F.lit(360.0))).alias("direction_after"), r("speed_after").alias("speed_after"), "wrote_direction", "wrote_speed")
+
+
+@query()
+def impute_wind(v):
+    """Both wind fields by the whole cascade, neighbours included."""
+    return v.whole.states.filter(F.col("variable").isin(DIRECTION, SPEED)).select(*_CELL, "source", "final", "method")
+
+
+_CIRCULAR = "CASE WHEN sqrt(s*s + c*c) > 1e-12 THEN CASE WHEN 360 - m <= 360 * 1e-5 + 1e-8 THEN 0.0e0 ELSE m END END"
+
+
+@query("wind", f"SELECT station, {R(_CIRCULAR)} AS mean_direction FROM (SELECT *, (degrees(atan2(s, c)) + 360) % 360 AS m FROM (SELECT station, avg(sin(radians(direction))) AS s, avg(cos(radians(direction))) AS c FROM vec GROUP BY 1))")
+def circular_mean_deg(v):
+    return v.vector.groupBy("station").agg(r(E.circular_mean(F.col("direction"))).alias("mean_direction"))
+
+
+# ── provenance ───────────────────────────────────────────────────────────────────────────────────────────────────────
+
+
+@query("states", "SELECT station, variable, ts, origin_state FROM states")
+def origin_state(v):
+    return v.states.select(*_CELL, "origin_state")
+
+
+@query("states", "SELECT station, variable, ts, source FROM states")
+def cell_source(v):
+    return v.states.select(*_CELL, "source")
+
+
+@query("states", f"SELECT station, variable, ts, {R('final', 4)} AS final FROM states")
+def final_value(v):
+    return v.states.select(*_CELL, r("final", 4).alias("final"))
+
+
+@query("filled", "SELECT station, variable, ts, method FROM filled WHERE method IS NOT NULL")
+def attribute_cells(v):
+    return provenance.attribute_cells(jobs.imputation_log(v.states, v.product.scalars))[0]
+
+
+@query("states", "SELECT station, variable, ts, origin_state, source, output_present, is_applicable FROM states")
+def cell_states(v):
+    return v.states.select(*_CELL, "origin_state", "source", "output_present", "is_applicable")
+
+
+@query("obs", "SELECT variable, source FROM allowed WHERE (SELECT count(*) FROM obs) >= 0", ALLOWED)
+def allowed_sources(v):
+    return provenance.allowed(v.spark).join(F.broadcast(v.obs.agg(F.count(F.lit(1)).alias("n")))).filter("n >= 0").drop("n")
+
+
+_SELECT = f"SELECT station AS ESTACION, ts, ts + INTERVAL 5 HOUR AS instant, {R('final')} AS value, source FROM states WHERE variable = 'TEMP' AND source "
+
+
+@query("states", _SELECT + "= 'senamhi_observed'")
+def select_by_provenance(v):
+    return provenance.select_by_provenance(grid.to_wide_output(v.states, list(VARIABLES)), "TEMP").withColumn("value", r("value"))
+
+
+@query("states", _SELECT + "IN ('senamhi_observed', 'imputed_weekly_seasonal')")
+def select_with_imputed(v):
+    return provenance.select_by_provenance(grid.to_wide_output(v.states, list(VARIABLES)), "TEMP", True, ["weekly_seasonal"]).withColumn("value", r("value"))
+
+
+# ── reports ──────────────────────────────────────────────────────────────────────────────────────────────────────────
+
+_SUMMARY = """
+SELECT CASE WHEN grouping(station) > 0 THEN 'TOTAL' ELSE station END AS station, CASE WHEN grouping(station) > 0 THEN 'TOTAL' ELSE variable END AS variable,
+  count(*) FILTER (is_applicable) AS applicable, count(*) FILTER (origin_state = 'senamhi_observed') AS observed, count(*) FILTER (origin_state = 'hard_invalid') AS hard_invalid,
+  count(*) FILTER (origin_state = 'operational_outlier') AS outliers, count(*) FILTER (origin_state = 'hard_invalid' OR starts_with(origin_state, 'missing_')) AS missing_before,
+  count(*) FILTER (starts_with(source, 'imputed_')) AS imputed, count(*) FILTER (is_applicable AND NOT output_present) AS remaining,
+  round(100.0e0 * count(*) FILTER (is_applicable AND output_present) / count(*) FILTER (is_applicable), 6) + 0.0e0 AS coverage_pct
+FROM states GROUP BY GROUPING SETS ((station, variable), ())"""
+
+
+@query("states", _SUMMARY)
+def execution_summary(v):
+    return reports.execution_summary(v.states).withColumn("coverage_pct", r("coverage_pct"))
+
+
+@query("states", "SELECT *, round(100.0e0 * n / sum(n) OVER (PARTITION BY station, variable), 6) + 0.0e0 AS pct FROM (SELECT CASE WHEN grouping(station) > 0 THEN 'TOTAL' ELSE station END AS station, CASE WHEN grouping(station) > 0 THEN 'TOTAL' ELSE variable END AS variable, source, count(*) AS n FROM states WHERE starts_with(source, 'imputed_') GROUP BY GROUPING SETS ((station, variable, source), (source)))")
+def method_breakdown(v):
+    return reports.method_breakdown(v.states).withColumn("pct", r("pct"))
+
+
+_EXTERNAL = """
+ext AS (SELECT station, ts, CASE WHEN n % 17 <> 0 THEN CAST(n % 71 - 3 AS DOUBLE) END AS value FROM (SELECT station, ts, day(ts) * 24 + hour(ts) + CAST(substr(station, 2, 2) AS INTEGER) AS n FROM grid)),
+ifs AS (SELECT station, ts, CASE WHEN value BETWEEN 0 AND 60 THEN value END AS PP_IFS FROM ext)"""
+
+
+@query("grid", "SELECT CASE WHEN grouping(station) > 0 THEN 'TOTAL' ELSE station END AS station, count(*) AS n_rows, count(PP_IFS) AS available, count(*) - count(PP_IFS) AS missing FROM ifs GROUP BY ROLLUP (station)", _EXTERNAL)
+def external_coverage(v):
+    return reports.external_coverage(v.with_external, "PP_IFS")
+
+
+@query("states", f"SELECT station, variable, CAST(ts AS DATE) AS day, {R('avg(CAST(value IS NOT NULL AS INTEGER))')} AS before, {R('avg(CAST(after IS NOT NULL AS INTEGER))')} AS after FROM states GROUP BY 1, 2, 3")
+def daily_coverage(v):
+    return reports.daily_coverage(v.states).withColumns({c: r(c) for c in ("before", "after")})
+
+
+@query("runs", f"SELECT variable, bin, count(*) AS n_gaps, CAST(sum(n_steps) AS BIGINT) AS hours FROM (SELECT variable, n_steps, CAST(least(floor(ln(n_steps) / ln(max(n_steps) OVER (PARTITION BY variable) + 1) * 29 + 1e-9), 28) AS INTEGER) AS bin FROM ({_GAPS})) GROUP BY 1, 2")
+def gap_histogram(v):
+    return reports.gap_histogram(gaps.find_gaps(v.scalars))
+
+
+@query("states", "SELECT variable, method, count(*) AS n_imputed FROM states WHERE method IS NOT NULL GROUP BY 1, 2")
+def method_totals(v):
+    return reports.method_totals(v.states)
+
+
+@query()
+def r2_histogram(v):
+    return reports.r2_histogram(v.whole.attempts)
+
+
+def _mean(c: str) -> str:
+    s, k = f"avg(sin(radians({c})))", f"avg(cos(radians({c})))"
+    m = f"((degrees(atan2({s}, {k})) + 360) % 360)"
+    return f"CASE WHEN variable = 'DIR_VIENTO' THEN CASE WHEN sqrt({s} * {s} + {k} * {k}) > 1e-12 THEN CASE WHEN 360 - {m} <= 360 * 1e-5 + 1e-8 THEN 0 ELSE {m} END END ELSE avg({c}) END"
+
+
+@query("states", f"SELECT station, variable, hour, {R('before', 5)} AS before, {R('after', 5)} AS after, {R('coverage')} AS coverage FROM (SELECT station, variable, unnest(range(24))::INTEGER AS hour FROM (SELECT DISTINCT station, variable FROM states)) LEFT JOIN (SELECT station, variable, hour(ts)::INTEGER AS hour, {_mean('value')} AS before, {_mean('after')} AS after, avg(CAST(value IS NOT NULL AS INTEGER)) AS coverage FROM states GROUP BY 1, 2, 3) USING (station, variable, hour)")
+def diurnal_profile(v):
+    return reports.diurnal_profile(v.states).withColumns({"before": r("before", 5), "after": r("after", 5), "coverage": r("coverage")})
+
+
+@query("states", f"SELECT station, variable, ts, {R('value', 4)} AS before, {R('after', 4)} AS after, method FROM states")
+def annotated_series(v):
+    return reports.annotated_series(v.states).withColumns({c: r(c, 4) for c in ("before", "after")})
+
+
+# ── post-conditions, on a product with faults ────────────────────────────────────────────────────────────────────────
+
+
+@query("dirty", "SELECT ESTACION, FECHA, HORA, count(*) AS n_rows FROM typed GROUP BY ALL HAVING count(*) > 1 OR ESTACION IS NULL OR FECHA IS NULL OR HORA IS NULL")
+def output_key_violations(v):
+    return postconditions.output_key_violations(v.typed)
+
+
+_LOG_FAULTS = f"""
+log AS (
+  SELECT * EXCLUDE (n_values_imputed, accepted, odd), n_values_imputed AS listed, CASE WHEN odd % 13 = 0 THEN n_values_imputed + 1 ELSE n_values_imputed END AS n_values_imputed,
+    CASE WHEN odd % 17 = 0 THEN NOT accepted ELSE accepted END AS accepted
+  FROM (SELECT *, day(gap_start) + hour(gap_start) AS odd FROM ({_LOG})))"""
+
+
+@query("filled", "SELECT station, variable, gap_start, method_used FROM log WHERE listed <> n_values_imputed OR accepted <> (n_values_imputed > 0)", _LOG_FAULTS)
+def log_integrity(v):
+    return postconditions.log_integrity(v.log).select("station", "variable", "gap_start", "method_used")
+
+
+@query("faulty", "SELECT station, variable, ts FROM faulty WHERE value IS NOT NULL AND variable <> 'DIR_VIENTO' AND NOT coalesce(abs(final - value) <= 1e-8 + 1e-5 * abs(value), false)")
+def original_changes(v):
+    return postconditions.original_changes(v.faulty).select(*_CELL)
+
+
+@query("faulty", "SELECT coalesce(a.station, b.station) AS station, coalesce(a.variable, b.variable) AS variable, coalesce(a.ts, b.ts) AS ts, CASE WHEN b.ts IS NULL THEN 'unlogged' ELSE 'phantom' END AS fault FROM (SELECT * FROM faulty WHERE value IS NULL AND after IS NOT NULL) a FULL JOIN (SELECT * FROM faulty WHERE method IS NOT NULL AND n % 89 <> 9) b ON a.station = b.station AND a.variable = b.variable AND a.ts = b.ts WHERE a.ts IS NULL OR b.ts IS NULL")
+def unlogged_or_phantom_fills(v):
+    return postconditions.unlogged_or_phantom_fills(v.faulty, v.faulty.filter("method is not null and n % 89 <> 9"))
+
+
+@query("faulty", "SELECT station, variable, ts FROM faulty WHERE value IS NULL AND after IS NOT NULL AND NOT eligible")
+def structural_fills(v):
+    return postconditions.structural_fills(v.faulty).select(*_CELL)
+
+
+@query("faulty", "SELECT station, variable, ts FROM faulty WHERE after = -999")
+def range_violations(v):
+    return postconditions.range_violations(v.faulty).select(*_CELL)
+
+
+@query("faulty", "SELECT station, variable, ts FROM faulty WHERE outlier AND (eligible OR NOT coalesce(final = raw OR NOT is_applicable, false) OR starts_with(source, 'imputed_'))")
+def outlier_preservation(v):
+    return postconditions.outlier_preservation(v.faulty).select(*_CELL)
+
+
+@query("faulty", "SELECT station, variable, ts, source FROM faulty WHERE (variable, source) NOT IN (SELECT (variable, source) FROM allowed)", ALLOWED)
+def source_vocabulary(v):
+    return postconditions.source_vocabulary(v.faulty).select(*_CELL, "source")
+
+
+@query("faulty", "SELECT station, variable, ts FROM faulty WHERE (starts_with(source, 'missing_') AND final IS NOT NULL) OR ((starts_with(source, 'imputed_') OR source IN ('senamhi_observed', 'senamhi_operational_outlier')) AND final IS NULL) OR (source = 'not_applicable' AND variable <> 'DIR_VIENTO')")
+def source_value_coherence(v):
+    return postconditions.source_value_coherence(v.faulty).select(*_CELL)
+
+
+@query("faulty", "SELECT station, ts FROM (SELECT station, ts, max(source) FILTER (variable = 'DIR_VIENTO') AS ds, max(final) FILTER (variable = 'DIR_VIENTO') AS d, coalesce(max(final) FILTER (variable = 'VEL_VIENTO') = 0, false) AS calm FROM faulty GROUP BY 1, 2) WHERE calm <> (ds = 'not_applicable') OR (calm AND d IS NOT NULL)")
+def calm_coherence(v):
+    return postconditions.calm_coherence(v.faulty).select("station", "ts")
+
+
+@query("grid", "SELECT station, ts, value FROM ext WHERE value IS NOT NULL AND NOT value BETWEEN 0 AND 60", _EXTERNAL)
+def external_range(v):
+    return postconditions.external_range(v.external, "value")
+
+
+@query("faulty", "SELECT station, ts FROM faulty WHERE variable = 'DIR_VIENTO' AND starts_with(source, 'imputed_') AND NOT (final >= 0 AND final < 360)")
+def canonical_direction(v):
+    return postconditions.canonical_direction(v.faulty).select("station", "ts")
+
+
+# ── external series ──────────────────────────────────────────────────────────────────────────────────────────────────
+
+
+@query("grid", "SELECT station, ts, PP_IFS AS value FROM ifs", _EXTERNAL)
+def normalize_payload(v):
+    return external.normalize(v.external)
+
+
+@query("grid", "SELECT station, ts FROM ext WHERE value IS NULL", _EXTERNAL)
+def align_external(v):
+    """Hours that the series lacks, where it would be refused."""
+    return external.missing_external(v.grid, v.external.filter("value is not null"))
+
+
+@query("grid", "SELECT station, ts, PP, PP_IFS FROM wide JOIN ifs USING (station, ts)", _EXTERNAL)
+def attach_external(v):
+    return v.with_external.select("station", "ts", "PP", "PP_IFS")
+
+
+# ── verification of a product ────────────────────────────────────────────────────────────────────────────────────────
+
+
+@query("obs", "SELECT station, n_rows, n_hours, first_ts, last_ts FROM (SELECT station, count(*) AS n_rows, count(DISTINCT ts) AS n_hours, min(ts) AS first_ts, max(ts) AS last_ts FROM obs GROUP BY 1), (SELECT min(ts) AS a, max(ts) AS b FROM obs) WHERE n_rows <> date_diff('hour', a, b) + 1 OR n_hours <> date_diff('hour', a, b) + 1 OR first_ts <> a OR last_ts <> b")
+def verify_grid(v):
+    """On the observations before they are put on the grid, which have holes."""
+    return verify.verify_grid(v.obs)
+
+
+@query("long", "SELECT CAST(ts AS DATE) AS day, count(*) AS n_rows FROM obs WHERE NOT CAST(ts AS DATE) BETWEEN DATE '1999-02-28' AND DATE '2000-02-29' GROUP BY 1")
+def verify_age(v):
+    return verify.verify_age(v.long, F.lit("2000-02-29").cast("date"), 1)
+
+
+@query("grid", "SELECT station, ts FROM obs WHERE hour(ts) % 7 = 0")
+def verify_key_conservation(v):
+    """Against a product that has lost some hours of the day."""
+    return verify.verify_key_conservation(v.obs, v.wide.filter("hour(ts) % 7 <> 0"))
+
+
+_GEO = """
+geo AS (SELECT o.station, CASE WHEN hour(ts) = 5 AND o.station = 'S03' THEN -200.0e0 ELSE LATITUD END AS LATITUD, LONGITUD, CASE WHEN o.station = 'S04' THEN 1.0e0 ELSE ALTITUD END AS ALTITUD, DISTRITO, LATITUD AS lat0, ALTITUD AS alt0 FROM obs o JOIN stations s ON o.station = s.station)"""
+
+
+@query("stations", "SELECT * FROM (SELECT station, count(DISTINCT concat_ws('|', LATITUD, LONGITUD, coalesce(CAST(ALTITUD AS VARCHAR), '-'), DISTRITO)) AS n_tuples, count(*) FILTER (LATITUD < -90) AS n_bad, count(*) FILTER (LATITUD <> lat0 OR ALTITUD IS DISTINCT FROM alt0) AS n_changed FROM geo GROUP BY 1) WHERE n_tuples > 1 OR n_bad > 0 OR n_changed > 0", _GEO)
+def verify_georeference(v):
+    raw = v.obs.select("station", "ts").join(F.broadcast(v.stations), "station")
+    bad = raw.withColumn("LATITUD", F.when((F.hour("ts") == 5) & (F.col("station") == "S03"), -200.0).otherwise(F.col("LATITUD"))).withColumn("ALTITUD", F.when(F.col("station") == "S04", 1.0).otherwise(F.col("ALTITUD")))
+    return verify.verify_georeference(bad, raw)
+
+
+_VALUED = "(starts_with(source, 'imputed_') OR source IN ('senamhi_observed', 'senamhi_operational_outlier'))"
+
+
+@query("faulty", f"SELECT 'vocabulary' AS fault, count(*) AS n FROM faulty WHERE (variable, source) NOT IN (SELECT (variable, source) FROM allowed) UNION ALL SELECT 'value', count(*) FROM faulty WHERE {_VALUED} <> (final IS NOT NULL) UNION ALL SELECT 'not_applicable', count(*) FROM faulty f LEFT JOIN (SELECT station, ts, final AS speed FROM faulty WHERE variable = 'VEL_VIENTO') s USING (station, ts) WHERE source = 'not_applicable' AND (variable <> 'DIR_VIENTO' OR NOT coalesce(speed = 0, false))", ALLOWED)
+def verify_provenance(v):
+    return verify.verify_provenance(v.faulty)
+
+
+_TURN = "coalesce(variable = 'DIR_VIENTO' AND final BETWEEN 0 AND 360 AND raw BETWEEN 0 AND 360 AND least(abs(final - raw) % 360, 360 - abs(final - raw) % 360) <= 1e-9, false)"
+_SAME = "coalesce(abs(final - raw) <= 1e-9, false)"
+
+
+@query("faulty", f"SELECT variable, count(*) AS n_checked, count(*) FILTER ({_SAME}) AS n_equal, count(*) FILTER (NOT {_SAME} AND {_TURN}) AS n_equivalent, count(*) FILTER (NOT {_SAME} AND NOT {_TURN}) AS n_different FROM faulty WHERE source IN ('senamhi_observed', 'senamhi_operational_outlier') GROUP BY 1")
+def verify_observations(v):
+    return verify.verify_observations(v.faulty)
+
+
+@query("faulty", "SELECT station, variable, ts, source, CAST(sum(p) AS BIGINT) AS n_product, CAST(sum(l) AS BIGINT) AS n_log FROM (SELECT station, variable, ts, source, 1 AS p, 0 AS l FROM faulty WHERE starts_with(source, 'imputed_') AND variable NOT IN ('DIR_VIENTO', 'VEL_VIENTO') UNION ALL SELECT station, variable, ts, 'imputed_' || method, 0, 1 FROM filled WHERE method IS NOT NULL) GROUP BY 1, 2, 3, 4 HAVING sum(p) <> sum(l)")
+def verify_log(v):
+    log = jobs.imputation_log(v.states, v.product.scalars)
+    text = F.array_join(F.transform("imputed_timestamps", lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")), "|")
+    return verify.verify_log(v.faulty.filter(F.col("variable").isin(*SCALARS)), log.withColumn("imputed_timestamps", text))
+
+
+_COVERAGE = """count(*) FILTER (is_applicable) AS applicable, count(*) FILTER (source = 'senamhi_observed') AS observed, count(*) FILTER (source = 'senamhi_operational_outlier') AS outliers, count(*) FILTER (starts_with(source, 'imputed_')) AS imputed"""
+_FINISH = "applicable - observed - outliers AS missing_before, applicable - observed - outliers - imputed AS missing_after, round(CASE WHEN applicable > 0 THEN 100.0e0 * (observed + outliers + imputed) / applicable ELSE 0 END, 6) + 0.0e0 AS coverage_pct"
+
+
+@query("states", f"SELECT *, {_FINISH} FROM (SELECT variable, {_COVERAGE} FROM states GROUP BY 1)")
+def coverage_table(v):
+    return verify.coverage_table(v.states).withColumn("coverage_pct", r("coverage_pct"))
+
+
+@query("states", f"SELECT *, {_FINISH} FROM (SELECT station, variable, {_COVERAGE} FROM states GROUP BY 1, 2)")
+def coverage_by_station(v):
+    return verify.coverage_by_station(v.states).withColumn("coverage_pct", r("coverage_pct"))
+
+
+@query("grid", "SELECT 'PP_IFS' AS variable, count(*) AS applicable, CAST(NULL AS BIGINT) AS observed, CAST(NULL AS BIGINT) AS imputed, count(*) - count(PP_IFS) AS missing_after, round(100.0e0 * count(PP_IFS) / count(*), 6) + 0.0e0 AS coverage_pct FROM ifs", _EXTERNAL)
+def external_coverage_row(v):
+    return verify.external_coverage_row(v.with_external).withColumn("coverage_pct", r("coverage_pct"))
+
+
+@query("states", f"SELECT *, round(100.0e0 * observed / expected, 6) + 0.0e0 AS observed_pct FROM (SELECT station, variable, CAST({_MONTHS} AS DATE) AS month, count(*) FILTER (source IN ('senamhi_observed', 'senamhi_operational_outlier')) AS observed, count(*) FILTER (starts_with(source, 'imputed_')) AS imputed, count(*) FILTER (output_present) AS available, CAST(24 * day(last_day(any_value(ts))) AS BIGINT) AS expected FROM states GROUP BY 1, 2, 3)")
+def monthly_coverage(v):
+    return verify.monthly_coverage(v.states).withColumn("observed_pct", r("observed_pct"))
+
+
+@query("states", "SELECT station, variable, source, count(*) AS n FROM states WHERE starts_with(source, 'imputed_') GROUP BY 1, 2, 3")
+def method_counts(v):
+    return verify.method_counts(v.states)
+
+
+@query("long", "SELECT variable, max(n) AS months FROM (SELECT variable, count(*) AS n FROM (SELECT variable, m - row_number() OVER (PARTITION BY variable ORDER BY m) AS island FROM (SELECT DISTINCT variable, year(ts) * 12 + month(ts) AS m FROM cells WHERE value IS NOT NULL)) GROUP BY variable, island) GROUP BY 1")
+def longest_month_run(v):
+    return verify.longest_month_run(v.long_product.states)
+
+
+@query("stations", "SELECT station, LATITUD, LONGITUD, ALTITUD, n_rows FROM stations JOIN (SELECT station, count(*) AS n_rows FROM obs GROUP BY 1) USING (station)")
+def station_catalog(v):
+    return verify.station_catalog(v.obs.select("station", "ts").join(F.broadcast(v.stations), "station"))
+
+
+@query("grid", "SELECT count(*) AS n_rows, count(PP_IFS) AS n_available, count(*) = count(PP_IFS) AS complete FROM ifs", _EXTERNAL)
+def external_availability(v):
+    return verify.external_availability(v.with_external)
+
+
+@query("faulty", f"SELECT * FROM (SELECT variable, 'observed' AS field, CAST(a.observed AS DOUBLE) AS found, CAST(b.observed AS DOUBLE) AS expected FROM (SELECT variable, {_COVERAGE} FROM faulty GROUP BY 1) a JOIN (SELECT variable, {_COVERAGE} FROM states GROUP BY 1) b USING (variable) UNION ALL SELECT variable, 'imputed', CAST(a.imputed AS DOUBLE), CAST(b.imputed AS DOUBLE) FROM (SELECT variable, {_COVERAGE} FROM faulty GROUP BY 1) a JOIN (SELECT variable, {_COVERAGE} FROM states GROUP BY 1) b USING (variable)) WHERE found <> expected")
+def compare_reference_table(v):
+    return verify.compare_reference_table(verify.coverage_table(v.faulty), verify.coverage_table(v.states), ["observed", "imputed"])
+
+
+@query()
+def verification_report(v):
+    """Every criterion on the product without faults."""
+    wide = grid.to_wide_output(v.states, list(VARIABLES))
+    contributions = v.states.filter("method is not null")
+    return verify.verification_report({
+        "grid": verify.verify_grid(v.wide), "keys": verify.verify_key_conservation(v.obs, v.wide), "output_keys": postconditions.output_key_violations(wide),
+        "vocabulary": postconditions.source_vocabulary(v.states), "observations": verify.verify_observations(v.states).filter("n_different > 0"),
+        "fills_logged": postconditions.unlogged_or_phantom_fills(v.states, contributions), "ranges": postconditions.range_violations(v.states), "calm": postconditions.calm_coherence(v.states),
+    })
+
+
+@query()
+def curate_product(v):
+    """The whole job: every station and hour with values and sources of all variables, neighbours included."""
+    return grid.to_wide_output(v.whole.states, list(VARIABLES))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Coverage of each station and variable after filling."""
+    return _QUERIES["coverage_by_station"](spark, sf_dir)
