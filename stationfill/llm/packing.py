@@ -21,16 +21,23 @@ from stationfill.llm.textbytes import slices
 
 _loaded: dict[str, object] = {}
 
+#: ASCII without letters, digits and white space.
+MARKS = bytes(x for x in range(128) if not chr(x).isalnum() and x not in b" \t\n\v\f\r")
+
 
 class WordEncoder:
-    """Ids of a tokenizer whose words never hold white space, by a bounded memory of the words seen."""
+    """Ids of a lower-casing tokenizer whose words never hold white space, by a bounded memory of the words seen.
+
+    The memory has two generations: a full one becomes the older, and words still in use move to the younger.
+    """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.most = most
 
     @staticmethod
@@ -39,18 +46,49 @@ class WordEncoder:
             _loaded[path] = WordEncoder(path)
         return _loaded[path]
 
-    def encode(self, raw: bytes, last: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers, followed by `last`."""
-        parts = raw.split()
-        new = {x for x in parts if x not in self.known}
-        if new:
-            if len(self.known) > self.most:
-                self.known.clear()
-                new = set(parts)
-            for x in new:
-                ids = self.tokenizer.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids
-                self.known[x] = np.array(ids, "<u4").tobytes()
-        return b"".join([*map(self.known.__getitem__, parts), last])
+    def _stem(self, word: bytes) -> bytes:
+        """The word without the ASCII marks at its end, where what is left ends in a letter or digit: they are words of their own."""
+        stem = word.rstrip(MARKS)
+        if len(stem) == len(word) or not stem:
+            return word
+        return stem if stem[-1] < 128 or stem.decode("utf-8", "replace")[-1].isalpha() else word
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        missing = []
+        for x in words - self.young.keys():
+            ids = self.old.get(x)
+            if ids is None:
+                missing.append(x)
+            else:
+                self.young[x] = ids
+        if not missing:
+            return
+        stems = [self._stem(x) for x in missing]
+        whole = {s for x, s in zip(missing, stems, strict=True) if len(s) == len(x)}
+        parts = {y for x, s in zip(missing, stems, strict=True) if len(s) < len(x) for y in (s, x[len(s) :])}
+        self.young.update((x, self.old[x]) for x in parts - self.young.keys() if x in self.old)
+        unknown = list(whole | (parts - self.young.keys()))
+        for at in range(0, len(unknown), 5_000):
+            some = unknown[at : at + 5_000]
+            found = self.tokenizer.encode([x.decode("utf-8", "replace") for x in some], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            cuts = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
+            raw = ids.tobytes()
+            self.young.update(zip(some, (raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+        for x, s in zip(missing, stems, strict=True):
+            if len(s) < len(x):
+                self.young[x] = self.young[s] + self.young[x[len(s) :]]
+
+    def encode(self, raws: list[bytes], last: bytes) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers, followed by `last`."""
+        texts = [x.lower().split() for x in raws]
+        words: set[bytes] = set()
+        words.update(*texts)
+        self._learn(words)
+        for parts in texts:
+            yield b"".join([*map(self.young.__getitem__, parts), last])
 
 
 def fillings(lengths: np.ndarray, window: int, partners: int = 6) -> list[tuple[int, ...]]:
@@ -188,7 +226,7 @@ class Plan:
         by: dict[int, list[tuple]] = defaultdict(list)
         for row in self.rows:
             by[row[0]].append(row)
-        starts, pieces = [], []
+        starts, pieces, self.n_cut = [], [], 0
         for length in sorted(by):
             marks = sorted({x for row in by[length] for x in row[1:3]})
             runs: list[list[tuple]] = [[] for _ in marks[:-1]]
@@ -196,12 +234,13 @@ class Plan:
             for _, a, b, begin, size, first, offset in by[length]:
                 for i in range(place[a], place[b]):
                     runs[i].append((begin, size, first - a, offset))
+            self.n_cut += sum(b - a for a, b, run in zip(marks[:-1], marks[1:], runs, strict=True) if len(run) > 1)
             starts += [length << 44 | x for x in marks[:-1]]
             pieces += [sorted(r) for r in runs]
         return np.array(starts, np.int64), pieces
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2, doc_id: str = "doc_id", text: str = "text", most_ids: int = 1_000_000) -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and `last_id`; a null text is `last_id` alone. Full windows of a document are sequences of their
@@ -220,8 +259,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2,
             for a, b, data, offsets in slices(batch.column("text"), 1 << 22):
                 raw = data.tobytes()
                 n, full, rest = [], [], []
-                for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    ids = encoder.encode(raw[i:j], end)
+                for ids in encoder.encode([raw[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], end):
                     whole = len(ids) // step * step
                     n.append(len(ids) // 4)
                     full.append([zlib.crc32(ids[k : k + step]) for k in range(0, whole, step)])
@@ -277,13 +315,15 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2,
             for text, *row in zip(batch.column("text"), *(batch.column(k).to_pylist() for k in names), strict=True):
                 raw = text.as_buffer().to_pybytes()
                 if raw != last:
-                    ids, last = encoder.encode(raw, end), raw
+                    (ids,), last = encoder.encode([raw], end), raw
                 if len(ids) == 4 * row[4]:
                     row[3] = zlib.crc32(ids[4 * row[1] : 4 * (row[1] + row[2])])
                     out.append(row)
             yield pa.RecordBatch.from_pydict({k: [x[i] for x in out] for i, k in enumerate(names)}, schema)
 
-    # Only documents cut below a window are read again, for the sums of their parts.
+    # Only documents cut below a window are read again, for the sums of their parts. The plan knows how many: few ids are
+    # broadcast, so that other texts aren't shuffled; beyond `most_ids` it is a join of both sides.
     cut = placed.filter("ids_crc32 is null")
-    texts = docs.join(cut.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    wanted = cut.select("doc_id").distinct()
+    texts = docs.join(F.broadcast(wanted) if plan.n_cut <= most_ids else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return placed.filter("ids_crc32 is not null").unionByName(cut.join(texts, "doc_id").select(*names, "text").mapInArrow(sums, kinds))
