@@ -23,21 +23,9 @@ def leaders(postings: DataFrame, scratch: Scratch, repeats: bool = False) -> Dat
     return scratch.save(postings.groupBy("token").agg(*aggregates).filter(wanted).select("token", "lead"), "leaders")
 
 
-def sub_blocks(
-    pairs: DataFrame, scratch: Scratch, most: int, weight: str | None = None, most_weight: int = 1, leader_everywhere: bool = True
-) -> tuple[DataFrame, DataFrame]:
-    """pairs with columns sub and n_sub, and a table (lead, n_sub) of the blocks that are split (n_sub over 1).
-
-    A block of more than `most` members (or `most_weight` of `weight`) is dealt into n_sub parts by a hash of the member.
-    With `leader_everywhere` the leader goes to each part, so that what is like the leader is found in each.
-    """
-    need = F.ceil(F.count(F.lit(1)) / F.lit(most))
-    if weight:
-        need = F.greatest(need, F.ceil(F.sum(weight) / F.lit(most_weight)))
+def sub_blocks(pairs: DataFrame, scratch: Scratch, most: int, weight: str, most_weight: int) -> DataFrame:
+    """pairs with columns sub and n_sub: a block of more than `most` members, or `most_weight` of `weight`, is dealt into n_sub parts by a hash of the member."""
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(most)), F.ceil(F.sum(weight) / F.lit(most_weight)))
     sizes = scratch.save(pairs.groupBy("lead").agg(need.cast("int").alias("n_sub")).filter("n_sub > 1"), "splits")
     joined = pairs.join(sizes, "lead", "left").withColumn("n_sub", F.coalesce("n_sub", F.lit(1)))
-    own = F.pmod(F.xxhash64("member"), F.col("n_sub")).cast("int")
-    if not leader_everywhere:
-        return joined.withColumn("sub", own), sizes
-    every = F.when(F.col("member") == F.col("lead"), F.sequence(F.lit(0), F.col("n_sub") - 1)).otherwise(F.array(own))
-    return joined.withColumn("sub", F.explode(every)), sizes
+    return joined.withColumn("sub", F.pmod(F.xxhash64("member"), F.col("n_sub")).cast("int"))

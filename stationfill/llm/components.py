@@ -18,6 +18,13 @@ def _hook(edges: DataFrame, key: str, scratch: Scratch, name: str) -> DataFrame:
     return edges.join(least, key)
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (u, v) are stars already: every u has one edge, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 60) -> DataFrame:
     """(id, component) for every vertex of edges (a, b), component being the smallest vertex that links reach.
 
@@ -25,12 +32,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
     """
     pair = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = scratch.save(pair.distinct(), f"{name}-0")
-    mark = None
     for k in range(rounds):
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == mark or state[0] == 0:
+        if _settled(now):
             break
-        mark = tuple(state)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         wide = _hook(both, "u", scratch, f"{name}-{k}-large").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         wide = scratch.save(wide.filter("u <> v").distinct(), f"{name}-{k}-wide")
@@ -41,3 +45,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return scratch.save(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), f"{name}-out")
+
+
+def joined_components(found: DataFrame, more: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The components `found` (id, component) after further edges (a, b): only the components are linked anew, not their members."""
+    a, b = (found.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+    named = more.select("a", "b").join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    between = components(scratch.save(named.distinct(), f"{name}-named"), scratch, name).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    moved = found.join(between, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    new = between.join(found.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
+    return scratch.save(moved.unionByName(new), f"{name}-joined")

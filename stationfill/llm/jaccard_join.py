@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationfill.llm.blocks import leaders, sub_blocks
+from stationfill.llm.blocks import leaders
 from stationfill.llm.common import Scratch, shuffle_partitions
-from stationfill.llm.components import components
+from stationfill.llm.components import components, joined_components
 from stationfill.llm.textbytes import shingle_sets, slices
 
 
@@ -141,20 +142,68 @@ def prefix(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], num: int
     return tokens[np.lexsort((tokens, counts))[:keep]]
 
 
-def frequent_shingles(docs: DataFrame, width: int, share: int = 2000, local: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def parity_map(tokens: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of tokens ends in the bits i. Two to four bits a token, the count of bits a power of two.
+
+    Each token that only one of two sets holds flips one bit, so the number of differing bits is at most that of such tokens.
+    """
+    bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def alike(sizes: np.ndarray, maps: list[bytes], labels: np.ndarray, probes: np.ndarray, num: int, den: int) -> Groups:
+    """Groups of sets that the bound of their parity maps lets be similar, by pairs of different label with a probe among them."""
+    groups = Groups(range(len(sizes)))
+    widths = np.array([len(x) for x in maps])
+    rows = {w: np.frombuffer(b"".join(maps[i] for i in np.flatnonzero(widths == w)), np.uint64).reshape(-1, w // 8) for w in np.unique(widths)}
+    for narrow in rows:
+        for wide in (w for w in rows if w >= narrow):
+            mine, other, folded = np.flatnonzero(widths == narrow), np.flatnonzero(widths == wide), rows[wide]
+            if sizes[mine].max() * den < num * sizes[other].min():
+                continue
+            while folded.shape[1] > narrow // 8:
+                half = folded.shape[1] // 2
+                folded = folded[:, :half] ^ folded[:, half:]
+            for k, i in enumerate(mine):
+                j = other[k + 1 :] if narrow == wide else other
+                j_rows = folded[k + 1 :] if narrow == wide else folded
+                use = (labels[j] != labels[i]) & (probes[j] | probes[i]) & (np.maximum(sizes[j], sizes[i]) * num <= np.minimum(sizes[j], sizes[i]) * den)
+                if not use.any():
+                    continue
+                j = j[use]
+                both = sizes[j] + sizes[i]
+                apart = np.bitwise_count(j_rows[use] ^ rows[narrow][k]).sum(axis=1, dtype=np.int64)
+                for x in j[(both - apart) * (num + den) >= 2 * num * both].tolist():
+                    a, b = groups.find(int(i)), groups.find(x)
+                    groups.up[max(a, b)] = min(a, b)
+    return groups
+
+
+def frequent_shingles(docs: DataFrame, width: int, share: int = 2000, local: int = 4, unit: int = 5_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that more than one in `share` documents hold, and about how many hold them.
 
-    Counted over every document; each task reports those that stand out among its own, so at most `share` times the mean
+    Counted over every document; a task reports those that stand out in each run of `unit` shingles, so at most `share` times the mean
     size of a document's set comes to the driver. It only sets an order: any order gives the same links.
     """
 
+    def standing(held: list[np.ndarray], n: int) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        there = counts >= max(local, n / (2 * share))
+        return pa.RecordBatch.from_pydict({"token": values[there].view(np.int64), "n": counts[there].astype(np.int64)})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, size = [], 0, 0
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column("text"), 1 << 22):
-                found = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(data, offsets, width)])
-                values, counts = np.unique(found, return_counts=True)
-                standing = counts >= max(local, (b - a) / (2 * share))
-                yield pa.RecordBatch.from_pydict({"token": values[standing].view(np.int64), "n": counts[standing].astype(np.int64)})
+            for a, b, data, offsets in slices(batch.column("text")):
+                for tokens in shingle_sets(data, offsets, width):
+                    held.append(tokens)
+                    size += len(tokens)
+                n += b - a
+                if size > unit:
+                    yield standing(held, n)
+                    held, n, size = [], 0, 0
+        yield standing(held, n)
 
     total = docs.count()
     seen = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -187,27 +236,40 @@ def similarity_components(
         for batch in batches:
             for a, b, data, offsets in slices(batch.column("text")):
                 ids = batch.column("doc_id").slice(a, b - a)
-                sizes, marks, prefixes = [], [], []
+                sizes, marks, prefixes, maps = [], [], [], []
                 for i, tokens in zip(ids.to_pylist(), shingle_sets(data, offsets, width), strict=True):
                     sizes.append(len(tokens))
                     marks.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else str(i).encode())
+                    maps.append(parity_map(tokens))
                     prefixes.append(prefix(tokens, frequent.value, num, den).view(np.int64))
                 cuts = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))],
-                    ["doc_id", "n_shingles", "mark", "prefix"],
+                    [ids, pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))],
+                    ["doc_id", "n_shingles", "mark", "map", "prefix"],
                 )
 
-    sets = scratch.save(docs.mapInArrow(describe, "doc_id long, n_shingles long, mark binary, prefix array<long>"), "sets")
+    sets = scratch.save(docs.mapInArrow(describe, "doc_id long, n_shingles long, mark binary, map binary, prefix array<long>"), "sets")
     classes = scratch.save(sets.groupBy("mark").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sets.select("mark", F.col("doc_id").alias("member"), "prefix").join(classes.select("mark", F.col("rep").alias("member")), ["mark", "member"])
-    postings = reps.select(F.explode("prefix").alias("token"), "member")
+    reps = sets.select("mark", F.col("doc_id").alias("member"), "prefix", "n_shingles").join(classes.select("mark", F.col("rep").alias("member")), ["mark", "member"])
+    postings = reps.select(F.explode("prefix").alias("token"), "member", "n_shingles")
     found = leaders(postings, scratch)
-    pairs = scratch.save(postings.join(found, "token").select("lead", "member").distinct(), "pairs")
-    dealt, splits = sub_blocks(pairs, scratch, most)
+    pairs = scratch.save(postings.join(found, "token").select("lead", "member", "n_shingles").distinct(), "pairs")
+    dealt, splits = _deal(pairs, scratch, most, num, den)
     dealt = scratch.save(dealt, "dealt")
     texts = docs.withColumnRenamed("doc_id", "member")
+    maps = sets.select(F.col("doc_id").alias("member"), "n_shingles", "map")
+    n = shuffle_partitions(spark)
+
+    def narrow(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+        for _, block in grouped(batches, keys):
+            labels, probes = block.column("label").to_numpy(), block.column("role").to_numpy() > 0
+            groups = alike(block.column("n_shingles").to_numpy(), block.column("map").to_pylist(), labels, probes, num, den)
+            roots = np.array([groups.find(i) for i in range(len(labels))])
+            several = np.bincount(roots, minlength=len(roots))[roots] > 1
+            if several.any():
+                kept = block.drop_columns(["n_shingles", "map"]).append_column("root", pa.array(roots.astype(np.int32)))
+                yield from kept.filter(pa.array(several)).combine_chunks().to_batches()
 
     def solve(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
         for _, block in grouped(batches, keys):
@@ -219,36 +281,61 @@ def similarity_components(
             made = [(int(members[i]), int(members[j])) for i, j in PrefixTree(own).links(num, den, Groups(labels.tolist()), probes)]
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in made], pa.int64()), "b": pa.array([x for _, x in made], pa.int64())})
 
-    def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
-        full = rows.join(texts, "member").repartition(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
-        return full.mapInArrow(lambda batches: solve(batches, keys), "a long, b long")
-
-    first = dealt.select("lead", "sub", "member", F.col("member").alias("label"), F.lit(1).alias("role"))
-    edges = scratch.save(joined(first, ["lead", "sub"]), "edges")
+    def joined(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """Links within the blocks of `keys`: parity maps tell which members can have one, and only their texts are sent."""
+        mapped = rows.join(maps, "member").repartition(n, *keys).sortWithinPartitions(*keys)
+        kinds = ", ".join(f"{k} {t}" for k, t in rows.dtypes) + ", root int"
+        order = [k for k, _ in rows.dtypes]
+        near = mapped.select(*order, "n_shingles", "map").mapInArrow(lambda batches: narrow(batches, keys), kinds)
+        near, within = scratch.save(near, name), [*keys, "root"]
+        full = near.join(texts, "member").repartition(n, *within).sortWithinPartitions(*within)
+        return full.mapInArrow(lambda batches: solve(batches, within), "a long, b long")
+
+    first = dealt.select("lead", "band", "sub", "member", F.col("member").alias("label"), F.lit(1).alias("role"))
+    edges = scratch.save(joined(first, ["lead", "band", "sub"], "near"), "edges")
     within = components(edges, scratch, "within")
     if not splits.isEmpty():
-        edges = scratch.save(edges.unionByName(joined(_across(dealt, within, scratch, most), ["lead", "sub", "part"])), "edges-2")
-        within = components(edges, scratch, "whole")
+        across = joined(_across(dealt, within, scratch, most), ["lead", "band", "sub", "part"], "near-2")
+        within = joined_components(within, scratch.save(across, "edges-2"), scratch, "whole")
     named = classes.join(within, classes["rep"] == within["id"], "left").select("mark", F.coalesce("component", "rep").alias("component_id"))
     named = scratch.save(named, "named")
     return sets.select("doc_id", "n_shingles", "mark").join(named, "mark").select("doc_id", "n_shingles", "component_id")
 
 
+def _deal(pairs: DataFrame, scratch: Scratch, most: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """pairs with columns band, sub, n_sub and hub, and a table of the blocks that are split (n_sub over 1).
+
+    Similar sets differ in size by num/den at most, so they are in the same band of sizes or in adjacent ones: a member goes
+    to the block of its own band and of the next. A block of more than `most` members is dealt into n_sub parts by a hash
+    of the member; its smallest member, the hub, goes to each part, so that what is like it is found in each.
+    """
+    band = F.floor(F.ln("n_shingles") / F.lit(math.log(den / num) * (1 + 1e-9))).cast("int") if num < den else F.col("n_shingles").cast("int")
+    banded = pairs.withColumn("band", F.explode(F.array(band, band + 1)))
+    key = ["lead", "band"]
+    sizes = banded.groupBy(*key).agg(F.count(F.lit(1)).alias("n_all"), F.min("member").alias("hub"))
+    sizes = scratch.save(sizes.filter("n_all > 1").withColumn("n_sub", F.ceil(F.col("n_all") / F.lit(most)).cast("int")).drop("n_all"), "sizes")
+    own = F.pmod(F.xxhash64("member"), F.col("n_sub")).cast("int")
+    every = F.when(F.col("member") == F.col("hub"), F.sequence(F.lit(0), F.col("n_sub") - 1)).otherwise(F.array(own))
+    dealt = banded.join(sizes, key).withColumn("sub", F.explode(every)).select(*key, "sub", "member", "n_sub", "hub")
+    return dealt, sizes.filter("n_sub > 1")
+
+
 def _across(dealt: DataFrame, within: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     """Of split blocks, what may still link across their parts: members outside the block's largest component against every part.
 
     Both sides come in parts of bounded size; the pairs of parts are tasks, and no pair of documents is a row.
     """
     within = within.withColumnRenamed("id", "member")
+    key = ["lead", "band"]
     members = dealt.filter("n_sub > 1").join(within, "member", "left").withColumn("label", F.coalesce("component", "member")).drop("component")
     members = scratch.save(members, "members")
-    once = members.filter((F.col("member") != F.col("lead")) | (F.col("sub") == 0))
-    sizes = once.groupBy("lead", "label").count()
-    largest = sizes.groupBy("lead").agg(F.max(F.struct("count", "label"))["label"].alias("main"), F.sum("count").alias("n_all"), F.max("count").alias("n_main"))
+    once = members.filter((F.col("member") != F.col("hub")) | (F.col("sub") == 0))
+    sizes = once.groupBy(*key, "label").count()
+    largest = sizes.groupBy(*key).agg(F.max(F.struct("count", "label"))["label"].alias("main"), F.sum("count").alias("n_all"), F.max("count").alias("n_main"))
     largest = largest.filter("n_all > n_main").withColumn("parts", F.ceil((F.col("n_all") - F.col("n_main")) / F.lit(most)).cast("int"))
-    members, once = (x.join(scratch.save(largest, name), "lead") for x, name in ((members, "main-1"), (once, "main-2")))
+    once = once.join(scratch.save(largest, "main"), key)
     part = F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")
     others = once.filter("label <> main").withColumn("part", part).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)))
-    against = members.filter((F.col("member") != F.col("lead")) | (F.col("sub") == 0)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    columns = ["lead", "sub", "part", "member", "label"]
+    against = once.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ["lead", "band", "sub", "part", "member", "label"]
     return others.select(*columns, F.lit(1).alias("role")).unionByName(against.select(*columns, F.lit(0).alias("role")))

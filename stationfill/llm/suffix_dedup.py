@@ -219,7 +219,7 @@ def repeat_spans(docs: DataFrame, window: int = 400, gram: int = 100, most: int
     found = leaders(marked, scratch, repeats=True)
     pairs = postings.join(found, "token").groupBy("lead", "member").agg(F.collect_list("token").alias("tokens"))
     pairs = scratch.save(pairs.withColumn("weight", F.size("tokens") * (2 * window - gram)), "pairs")
-    dealt, _ = sub_blocks(pairs, scratch, most, "weight", 2 * SHARD_BYTES, leader_everywhere=False)
+    dealt = sub_blocks(pairs, scratch, most, "weight", 2 * SHARD_BYTES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, raw, at, hashes = None, b"", None, None

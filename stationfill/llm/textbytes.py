@@ -31,18 +31,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 CODES = mix(np.arange(1, 257, dtype=np.uint64) * U(_ODD))
 _BASE = 0x2545F4914F6CDD1D
 _powers: dict[str, np.ndarray] = {}
+#: Powers up to here are kept between calls; a longer text gets its own.
+KEPT = 1 << 21
+
+
+def _series(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i up to n."""
-    have = _powers.get("up")
-    if have is None or len(have) <= n:
-        size = max(n + 1, 1 << 16)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for key, base in (("up", _BASE), ("down", inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
+    inverse = pow(_BASE, -1, 1 << 64)
+    if n >= KEPT:
+        return _series(_BASE, n + 1), _series(inverse, n + 1)
+    if len(_powers.get("up", ())) <= n:
+        size = min(KEPT, max(n + 1, 1 << 16) * 2)
+        _powers["up"], _powers["down"] = _series(_BASE, size), _series(inverse, size)
     return _powers["up"], _powers["down"]
 
 
