@@ -8,6 +8,7 @@ contracts each distinct word once and keeps a bounded memory of words.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -103,7 +104,7 @@ class Memory:
 class Encoder:
     """Merges and vocabulary of a rank file in a DuckDB connection, and the chunks of text seen so far."""
 
-    def __init__(self, path: str, pattern: str, most: int = 200_000, rows: int = 3_000_000):
+    def __init__(self, path: str, pattern: str, most: int = 250_000, rows: int = 3_000_000):
         import duckdb
         import regex
 
@@ -127,6 +128,7 @@ class Encoder:
     def at(path: str, pattern: str) -> Encoder:
         if (path, pattern) not in _loaded:
             _loaded[path, pattern] = Encoder(path, pattern)
+            gc.disable()  # no cycles are made here, and a search for them would walk the whole memory of words again and again
         return _loaded[path, pattern]
 
     def _table(self, name: str, **columns) -> None:
@@ -180,19 +182,32 @@ class Encoder:
         first, *others = text.split(" ")
         return [first, *[" " + x for x in others]]
 
+    def match(self, part: str) -> list[str]:
+        """The pattern's matches in a part of a text. A space and letters are one, and a mark after them another: no search is needed."""
+        if part[:1] == " ":
+            if part[1:].isalpha():
+                return [part]
+            if part[-1] in ".,;:!?" and part[1:-1].isalpha():
+                return [part[:-1], part[-1]]
+        return self.split.findall(part)
+
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids and decoded bytes of whole texts."""
         parts = [self.cut(x) for x in texts]
         every: set[str] = set()
         every.update(*parts)
-        found = {x: self.split.findall(x) for x in self.chunks.missing(every)}
+        found = {x: self.match(x) for x in self.chunks.missing(every)}
         new: set[str] = set()
         new.update(*found.values())
         learned = self.words(self.matches.missing(new))
         self.matches.young.update(learned)
         known, chunks = self.matches.young, self.chunks.young
         for x, matches in found.items():
-            chunks[x] = tuple(b"".join([known[w][k] for w in matches]) for k in (0, 1))
+            if len(matches) == 1:
+                chunks[x] = known[matches[0]]
+            else:
+                both = [known[w] for w in matches]
+                chunks[x] = b"".join([i for i, _ in both]), b"".join([b for _, b in both])
         for part in parts:
             both = [*map(chunks.__getitem__, part)]
             yield b"".join([x for x, _ in both]), b"".join([y for _, y in both])
