@@ -94,43 +94,43 @@ _LOG = (
 )
 
 
+def _by_rank(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
+    """The hours of a gap, the order of its rows by rank and hour (every rank has every hour once), and a row for each rank."""
+    order = np.lexsort((rows["ts"].to_numpy(), rows["rank"].to_numpy()))
+    ts = np.unique(rows["ts"].to_numpy())
+    return ts, order, rows.iloc[order[:: len(ts)]]
+
+
 def cascade(config: CurationConfig):
     """For the hours of one gap: near stations in order, each filling what it can of the hours still empty; every attempt is a row."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ts, order, near = _by_rank(rows)
+        x = rows["x"].to_numpy(dtype=float)[order].reshape(len(near), len(ts))
         first, out = rows.iloc[0], []
         low, high = RULES[first["variable"]][2:]
-        empty = sorted(rows["ts"].unique())
-        by = {n: g.set_index("ts") for n, g in rows.sort_values(["rank", "ts"]).groupby("rank")}
-        for rank in sorted(by):
-            if not empty:
+        empty = np.ones(len(ts), bool)
+        for k, m in enumerate(near.itertuples()):
+            if not empty.any():
                 break
-            g = by[rank].reindex(empty)
-            m = by[rank].iloc[0]
-            x = g["x"].to_numpy(dtype=float)
-            there = ~np.isnan(x)
-            base = dict(station=first["station"], variable=first["variable"], gap_start=first["gap_start"], neighbor=m["neighbor"], distance_km=m["distance_km"],
-                        r2=m["r2"], training_pairs=m["training_pairs"], predictor_coverage=float(there.mean()), slope=m["slope"], intercept=m["intercept"])
-            reason = None
-            if base["predictor_coverage"] < config.predictor_min_gap_coverage:
-                reason = "insufficient_gap_coverage"
-                base |= dict(r2=None, training_pairs=None, slope=None, intercept=None)
-            elif pd.isna(m["slope"]) or pd.isna(m["r2"]):
+            there = ~np.isnan(x[k]) & empty
+            coverage = there.sum() / empty.sum()
+            facts, good, reason = (m.r2, m.training_pairs, m.slope, m.intercept), np.zeros(len(ts), bool), None
+            if coverage < config.predictor_min_gap_coverage:
+                reason, facts = "insufficient_gap_coverage", (None,) * 4
+            elif np.isnan(m.slope) or np.isnan(m.r2):
                 reason = "insufficient_training_pairs_or_cv"
-            elif m["r2"] < config.interstation_min_r2:
+            elif m.r2 < config.interstation_min_r2:
                 reason = "r2_below_threshold"
             else:
-                value = m["intercept"] + m["slope"] * x
+                value = m.intercept + m.slope * x[k]
                 good = there & (value >= low) & (value <= high)
-                if not good.any():
-                    reason = "predictions_out_of_range"
-                else:
-                    out += [base | dict(ts=t, accepted=True, rejection_reason=None, value=v) for t, v in zip(np.array(empty)[good], value[good], strict=True)]
-                    empty = [t for t, g_ in zip(empty, good, strict=True) if not g_]
-            if reason:
-                out.append(base | dict(ts=None, accepted=False, rejection_reason=reason, value=None))
-        columns = [c.strip().split(" ")[0] for c in _LOG.split(",")]
-        return pd.DataFrame(out, columns=columns)
+                reason = None if good.any() else "predictions_out_of_range"
+            r2, pairs, slope, intercept = facts
+            made = zip(ts[good], value[good], strict=True) if reason is None else [(None, None)]
+            out += [(first["station"], first["variable"], first["gap_start"], t, m.neighbor, m.distance_km, reason is None, reason, v, r2, pairs, coverage, slope, intercept) for t, v in made]
+            empty &= ~good
+        return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in _LOG.split(",")])
 
     return run
 
@@ -200,37 +200,36 @@ def fill_wind_from_neighbors(vector: DataFrame, empty: DataFrame, neighbors: Dat
     kinds = "station string, gap_start timestamp_ntz, ts timestamp_ntz, neighbor string, accepted boolean, rejection_reason string, near_u double, near_v double, r2 double, predictor_coverage double"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, first = [], rows.iloc[0]
-        empty = sorted(rows["ts"].unique())
-        for _, g in sorted(rows.groupby("rank"), key=lambda x: x[0]):
-            if not empty:
+        ts, order, near = _by_rank(rows)
+        x1, x2, directions, speeds = (rows[c].to_numpy(dtype=float)[order].reshape(len(near), len(ts)) for c in ("x1", "x2", "direction", "speed"))
+        d, s, first, out = directions[0], speeds[0], rows.iloc[0], []
+        empty = np.ones(len(ts), bool)
+        for k, m in enumerate(near.itertuples()):
+            if not empty.any():
                 break
-            m, g = g.iloc[0], g.set_index("ts").reindex(empty)
-            there = g["x1"].notna().to_numpy()
-            base = dict(station=first["station"], gap_start=first["gap_start"], neighbor=m["neighbor"], r2=m["r2"], predictor_coverage=float(there.mean()))
-            if there.mean() < config.predictor_min_gap_coverage:
+            there = ~np.isnan(x1[k]) & empty
+            coverage, good, reason = there.sum() / empty.sum(), np.zeros(len(ts), bool), None
+            if coverage < config.predictor_min_gap_coverage:
                 reason = "insufficient_gap_coverage"
-            elif pd.isna(m["r2"]):
+            elif np.isnan(m.r2):
                 reason = "insufficient_training_pairs_or_cv"
-            elif m["r2"] < config.interstation_min_r2:
+            elif m.r2 < config.interstation_min_r2:
                 reason = "r2_below_threshold"
             else:
-                x1, x2 = g["x1"].to_numpy(float), g["x2"].to_numpy(float)
-                u, v = m["u_base"] + m["u_by_u"] * x1 + m["u_by_v"] * x2, m["v_base"] + m["v_by_u"] * x1 + m["v_by_v"] * x2
+                u, v = m.u_base + m.u_by_u * x1[k] + m.u_by_v * x2[k], m.v_base + m.v_by_u * x1[k] + m.v_by_v * x2[k]
                 size = np.hypot(u, v)
                 calm = size <= 16 * 2.0**-52 * np.maximum(1, size)
-                d, s = g["direction"].to_numpy(float), g["speed"].to_numpy(float)
                 clash = calm & ((~np.isnan(d) & np.isnan(s)) | ((s > 0) & np.isnan(d)))
                 valid = there & (size <= RULES["VEL_VIENTO"][3])
-                good, reason = valid & ~clash, None
-                out += [base | dict(ts=t, accepted=True, near_u=a, near_v=b) for t, a, b in zip(np.array(empty)[good], u[good], v[good], strict=True)]
+                good = valid & ~clash
+                out += [(first["station"], first["gap_start"], t, m.neighbor, True, None, a, b, m.r2, coverage) for t, a, b in zip(ts[good], u[good], v[good], strict=True)]
                 if (valid & clash).any():
                     reason = "calm_candidate_conflicts_with_observed_component"
                 elif not valid.any():
                     reason = "predictions_out_of_range"
-                empty = [t for t, ok in zip(empty, good, strict=True) if not ok]
             if reason:
-                out.append(base | dict(accepted=False, rejection_reason=reason))
+                out.append((first["station"], first["gap_start"], None, m.neighbor, False, reason, None, None, m.r2, coverage))
+            empty &= ~good
         return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in kinds.split(",")])
 
     return rows.groupBy("station", "gap_start").applyInPandas(run, kinds)
