@@ -628,9 +628,9 @@ def _mean(c: str) -> str:
     return f"CASE WHEN variable = 'DIR_VIENTO' THEN CASE WHEN sqrt({s} * {s} + {k} * {k}) > 1e-12 THEN CASE WHEN 360 - {m} <= 360 * 1e-5 + 1e-8 THEN 0 ELSE {m} END END ELSE avg({c}) END"
 
 
-@query("states", f"SELECT station, variable, hour, {R('before', 5)} AS before, {R('after', 5)} AS after, {R('coverage')} AS coverage FROM (SELECT station, variable, unnest(range(24))::INTEGER AS hour FROM (SELECT DISTINCT station, variable FROM states)) LEFT JOIN (SELECT station, variable, hour(ts)::INTEGER AS hour, {_mean('value')} AS before, {_mean('after')} AS after, avg(CAST(value IS NOT NULL AS INTEGER)) AS coverage FROM states GROUP BY 1, 2, 3) USING (station, variable, hour)")
+@query("states", f"SELECT station, variable, hour, {R('before', 8)} AS before, {R('after', 8)} AS after, {R('coverage')} AS coverage FROM (SELECT station, variable, unnest(range(24))::INTEGER AS hour FROM (SELECT DISTINCT station, variable FROM states)) LEFT JOIN (SELECT station, variable, hour(ts)::INTEGER AS hour, {_mean('value')} AS before, {_mean('after')} AS after, avg(CAST(value IS NOT NULL AS INTEGER)) AS coverage FROM states GROUP BY 1, 2, 3) USING (station, variable, hour)")
 def diurnal_profile(v):
-    return reports.diurnal_profile(v.states).withColumns({"before": r("before", 5), "after": r("after", 5), "coverage": r("coverage")})
+    return reports.diurnal_profile(v.states).withColumns({"before": r("before", 8), "after": r("after", 8), "coverage": r("coverage")})
 
 
 @query("states", f"SELECT station, variable, ts, {R('value', 4)} AS before, {R('after', 4)} AS after, method FROM states")
