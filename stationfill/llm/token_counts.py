@@ -104,4 +104,4 @@ def token_counts(docs: DataFrame, ranks: str, pattern: str, separator: int, doc_
     placed = scratch.save(write_token_files(docs, f"{scratch.root}/flat", ranks, pattern, separator, doc_id=doc_id, text=text), "placed")
     if placed.isEmpty():
         return placed.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
-    return scan_token_files(spark, f"{scratch.root}/flat", separator, block=block).join(placed, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return scan_token_files(spark, f"{scratch.root}/flat", separator, block=block).hint("merge").join(placed, ["file", "ordinal"]).select("doc_id", "n_tokens")
