@@ -180,7 +180,7 @@ def test_payloads_are_checked_and_normalised(spark, tmp_path):
     assert {(r["station"], r["fault"]) for r in external.payload_faults(payloads).collect()} == {("B", "unit"), ("B", "times")}
     rows = external.payload_rows(payloads.filter("station = 'A'")).orderBy("ts").collect()
     assert [r["value"] for r in rows] == [None, 2.5]
-    hours = payloads.limit(1).select(F.lit("A").alias("station"), F.explode(F.sequence(F.lit(T0), F.lit(T0 + timedelta(hours=3)), F.expr("INTERVAL 1 HOUR"))).cast("timestamp_ntz").alias("ts"))
+    hours = payloads.limit(1).select(F.lit("A").alias("station"), F.explode(F.sequence(F.lit(T0), F.lit(T0 + timedelta(hours=3)), F.expr("INTERVAL 1 HOUR"))).alias("t")).select("station", F.col("t").cast("timestamp_ntz").alias("ts"))
     with pytest.raises(ValueError, match="2 station hours"):
         external.align_external(hours, external.payload_rows(payloads.filter("station = 'A'")))
 
