@@ -6,10 +6,11 @@ its hashed words, and says of each block, with the whole page in view, whether i
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -39,21 +40,34 @@ AROUND = frozenset(
     "reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
 WITHIN = frozenset("article main content post entry story".split())
+#: First parts of names such as no-sidebar or has-ads, which tell of a layout and not of a block; tags that hold one block of text.
+LAYOUT = frozenset("has hide hidden is no not show with without".split())
+SINGLE = frozenset("p li h1 h2 h3 h4 h5 h6 td th dt dd label figcaption".split())
 
 
 @dataclass
 class Leaf:
-    path: tuple[str, ...]  # words of the open blocks, outermost first
+    blocks: tuple[tuple[int, tuple[str, ...]], ...]  # the open blocks, outermost first: a number of its own on the page, words
     text: str
     linked: float  # share of the characters in links
 
 
+def _words(name: str, attributes: str) -> tuple[str, ...]:
+    """Tag and words of class, id and role; a name with a layout part stays whole."""
+    words = [name]
+    for match in _NAMES.finditer(attributes):
+        for one in next(g for g in match.groups() if g is not None).lower().split():
+            parts = [w for w in re.split(r"[^a-z0-9]+", one) if w]
+            words += ["-".join(parts)] if len(parts) > 1 and parts[0] in LAYOUT else parts
+    return tuple(words)
+
+
 def leaves(page: str | None) -> list[Leaf]:
     """Blocks of text in page order, character references decoded, white space runs as one space, markup and scripts gone."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[int, tuple[str, ...]]]] = []
     parts: list[str] = []
-    links = inside = at = 0
+    links = inside = at = opened = 0
     page = page or ""
 
     def end() -> None:
@@ -61,7 +75,7 @@ def leaves(page: str | None) -> list[Leaf]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Leaf(tuple(w for _, words in stack for w in words), text, min(1.0, links / len(text))))
+                out.append(Leaf(tuple(block for _, block in stack), text, min(1.0, links / len(text))))
             parts.clear()
         links = 0
 
@@ -109,10 +123,8 @@ def leaves(page: str | None) -> list[Leaf]:
             if name in CLOSES:
                 pop(CLOSES[name], frozenset({"ul", "ol", "dl", "table"} - {name}))
             if name not in VOID and not rest.rstrip().endswith("/"):
-                words = [name]
-                for match in _NAMES.finditer(rest):
-                    words += [w for w in re.split(r"[^a-z0-9]+", next(g for g in match.groups() if g is not None).lower()) if w]
-                stack.append((name, tuple(words)))
+                opened += 1
+                stack.append((name, (opened, _words(name, rest))))
     end()
     return out
 
@@ -127,48 +139,99 @@ def surrounds(path: tuple[str, ...]) -> bool:
     return False
 
 
+def shares(page: list[Leaf]) -> dict[int, float]:
+    """Of each block the share of the page's characters outside links that it holds."""
+    held: dict[int, float] = {}
+    total = 0.0
+    for leaf in page:
+        n = len(leaf.text) * (1 - leaf.linked)
+        total += n
+        for number, _ in leaf.blocks:
+            held[number] = held.get(number, 0.0) + n
+    return {number: n / total if total else 0.0 for number, n in held.items()}
+
+
+def paths(page: list[Leaf], held: dict[int, float]) -> list[tuple[str, ...]]:
+    """Of each leaf the words of its blocks, outermost first, without html, body and wrappers: these say nothing of a block.
+
+    A wrapper holds over half of the text outside links with a headline or an article below it, or nine tenths in three leaves.
+    """
+    marked, count = set(), {}
+    for leaf in page:
+        below = False
+        for number, words in reversed(leaf.blocks):
+            if below:
+                marked.add(number)
+            below = below or words[0] == "h1" or not WITHIN.isdisjoint(words)
+            count[number] = count.get(number, 0) + 1
+    wide = {n for n, share in held.items() if share > 0.5 and n in marked or share > 0.9 and count[n] >= 3}
+    return [tuple(w for number, words in leaf.blocks if number not in wide and words[0] not in ("html", "body") for w in words) for leaf in page]
+
+
 PATH, WORDS = 24, 16
 SIZE = PATH + WORDS + 12
 
 
-@lru_cache(1 << 17)
-def _signed(word: str, places: int) -> tuple[int, float]:
-    code = zlib.crc32(word.encode())
-    return code % places, 1.0 if code >> 16 & 1 else -1.0
+class _Slots(dict):
+    """Place and sign of a word as one number below 2 * places: the second half is negative."""
+
+    def __init__(self, places: int):
+        super().__init__()
+        self.places = places
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 17:
+            self.clear()
+        code = zlib.crc32(word.encode())
+        self[word] = slot = code % self.places + (0 if code >> 16 & 1 else self.places)
+        return slot
+
+
+_SLOTS = _Slots(WORDS)
+
+
+@lru_cache(1 << 15)
+def _hashed_path(path: tuple[str, ...]) -> np.ndarray:
+    out = np.zeros(PATH, np.float32)
+    for depth, word in enumerate(reversed(path)):
+        code = zlib.crc32(word.encode())
+        out[code % PATH] += (1.0 if code >> 16 & 1 else -1.0) * 0.7**depth
+    return out
 
 
 def vectors(page: list[Leaf]) -> np.ndarray:
-    """A row for each leaf: hashed tag path, hashed words, and what can be measured on the block."""
+    """A row for each leaf: hashed tag path, hashed words, and what can be measured on the block. No list of names is consulted
+    but to find wrappers (see paths)."""
     x = np.zeros((len(page), SIZE), np.float32)
-    for k, leaf in enumerate(page):
-        hashed = [0.0] * PATH
-        for depth, word in enumerate(reversed(leaf.path)):
-            at, sign = _signed(word, PATH)
-            hashed[at] += sign * 0.7**depth
-        x[k, :PATH] = hashed
-        words, hashed = leaf.text.lower().split(), [0.0] * WORDS
-        for word in words:
-            at, sign = _signed(word, WORDS)
-            hashed[at] += sign
-        x[k, PATH : PATH + WORDS] = np.array(hashed) / np.sqrt(len(words))
+    held = shares(page)
+    for k, (leaf, path) in enumerate(zip(page, paths(page, held), strict=True)):
+        x[k, :PATH] = _hashed_path(path)
+        words = leaf.text.lower().split()
+        hashed = np.bincount([_SLOTS[w] for w in words], minlength=2 * WORDS)
+        x[k, PATH : PATH + WORDS] = (hashed[:WORDS] - hashed[WORDS:]) / np.sqrt(len(words))
         n = len(leaf.text)
+        last = leaf.blocks[-1][1][0] if leaf.blocks else ""
+        several = [number for number, block in leaf.blocks if block[0] not in SINGLE]
         x[k, PATH + WORDS :] = (
-            surrounds(leaf.path),
-            any(w in WITHIN for w in leaf.path),
+            held[leaf.blocks[-2][0]] if len(leaf.blocks) > 1 else 1.0,
+            held[several[-1]] if several else 1.0,
             np.log1p(n) / 6,
             leaf.linked,
             sum(leaf.text.count(c) for c in ".,;:!?") / np.sqrt(n + 1),
             leaf.text[-1] in ".!?\"'»”",
             sum(leaf.text.count(c) for c in "0123456789") / n,
-            bool(leaf.path) and leaf.path[-1] == "p" or "p" in leaf.path[-2:],
-            any(w in ("h1", "h2", "h3") for w in leaf.path),
-            "li" in leaf.path,
+            last == "p",
+            any(block[0] in ("h1", "h2", "h3") for _, block in leaf.blocks),
+            any(block[0] == "li" for _, block in leaf.blocks),
             k / max(1, len(page) - 1),
             "©" in leaf.text,
         )
     return x
 
 
+LINKED = PATH + WORDS + 3
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -281,54 +344,124 @@ class Labeller:
         return out
 
 
-def _varied(page: list[Leaf], texts: list[str], rng: np.random.Generator) -> tuple[list[Leaf], np.ndarray]:
-    """A training page with surroundings of other kinds put in at random places: what the sampled pages may lack."""
-    page, names = list(page), sorted(AROUND)
-    labels = [0.0 if surrounds(x.path) else 1.0 for x in page]
+def site(url: str | None) -> str:
+    """Host of an address, without case."""
+    return re.sub(r"^[a-z][a-z0-9+.-]*:", "", (url or "").strip().lower()).lstrip("/").split("/")[0].split("?")[0].split("#")[0]
+
+
+def _code(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def keys(url: str | None, page: list[Leaf]) -> list[int]:
+    """Of each leaf a number of (site, text)."""
+    return [_code(site(url), leaf.text) for leaf in page]
+
+
+def evidence(page: list[Leaf], repeated: Iterable[bool]) -> np.ndarray:
+    """Labels without a look at the vectors: 0 where most of a block is in links, its text stands on other pages of the site
+    or a name says so, else 1. A headline (h1) may repeat: lists and copies carry it too."""
+    named = map(surrounds, paths(page, shares(page)))
+    return np.array([float(not (leaf.linked >= 0.5 or again and all(words[0] != "h1" for _, words in leaf.blocks) or name)) for leaf, again, name in zip(page, repeated, named, strict=True)])
+
+
+def _invented(rng: np.random.Generator) -> str:
+    return "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(4, 11)))
+
+
+def _varied(page: list[Leaf], labels: np.ndarray, texts: list[str], rng: np.random.Generator) -> tuple[list[Leaf], np.ndarray]:
+    """A training page with names and surroundings of other kinds, so that no name alone decides.
+
+    Half of the pages lose the listed names for invented ones, runs of the article get blocks with invented names around
+    them, and blocks with listed or invented names and texts of surroundings come in at random places.
+    """
+    fresh = max((number for leaf in page for number, _ in leaf.blocks), default=0)
+    if rng.random() < 0.5:
+        other = {w: _invented(rng) for leaf in page for _, words in leaf.blocks for w in words[1:] if w in AROUND or w in WITHIN}
+        page = [Leaf(tuple((n, (words[0], *(other.get(w, w) for w in words[1:]))) for n, words in leaf.blocks), leaf.text, leaf.linked) for leaf in page]
+    page, labels, names = list(page), list(labels), sorted(AROUND)
+    for _ in range(rng.integers(0, 3)):
+        at, size = int(rng.integers(0, len(page))), int(rng.integers(1, 8))
+        fresh, words = fresh + 1, ("div" if rng.random() < 0.5 else "section", _invented(rng))
+        for k in range(at, min(at + size, len(page))):
+            if not labels[k] or page[k].blocks[:-1] != page[at].blocks[:-1]:
+                break
+            page[k] = Leaf((*page[k].blocks[:-1], (fresh, words), *page[k].blocks[-1:]), page[k].text, page[k].linked)
     for _ in range(rng.integers(0, 4)):
         tag = str(rng.choice(["div", "section", "aside", "ul", "form"]))
-        kind, at = str(rng.choice(names)), int(rng.integers(0, len(page) + 1))
-        outer = ("html", "body", "article") if 0 < at < len(page) and rng.random() < 0.5 else ("html", "body")
+        kind, at = str(rng.choice(names)) if rng.random() < 0.5 else _invented(rng), int(rng.integers(0, len(page) + 1))
+        near = page[min(at, len(page) - 1)].blocks
+        outer = near[:-1] if rng.random() < 0.5 else near[:2]
         inner = "li" if tag == "ul" else str(rng.choice(["p", "div", "h3", "label"]))
-        path = (*outer, tag, kind, inner)
+        fresh += 1
+        around = (*outer, (fresh, (tag, kind)))
         for _ in range(rng.integers(1, 6)):
-            text = str(rng.choice(texts))
+            text, fresh = str(rng.choice(texts)), fresh + 1
             text = text if rng.random() < 0.4 else " ".join(text.split()[: int(rng.integers(1, 8))])
-            page.insert(at, Leaf(path, text, float(rng.random() < 0.4)))
+            page.insert(at, Leaf((*around, (fresh, (inner,))), text, float(rng.random() < 0.4)))
             labels.insert(at, 0.0)
     return page, np.array(labels)
 
 
-def train(htmls: list[str], most_leaves: int = 80, copies: int = 2, seed: int = 11) -> Labeller:
-    """A labeller from pages whose blocks are labelled by the words of their paths, varied `copies` times; of a long page its first and last leaves."""
+def train(parsed: list[list[Leaf]], labels: list[np.ndarray], most_leaves: int = 80, copies: int = 2, seed: int = 11) -> Labeller:
+    """A labeller from pages with their evidence, varied `copies` times; of a long page its first and last leaves are learned.
+
+    Half of the pages hide their links, which are evidence themselves.
+    """
     rng = np.random.default_rng(seed)
-    parsed = [p for p in map(leaves, htmls) if p]
-    texts = [x.text for p in parsed for x in p] or ["text"]
-    pages, labels = [], []
-    for page in parsed:
-        if len(page) > most_leaves:
-            page = page[: most_leaves // 2] + page[-(most_leaves // 2) :]
-        for _ in range(copies):
-            varied, want = _varied(page, texts, rng)
-            pages.append(vectors(varied))
-            labels.append(want)
+    texts = sorted({leaf.text for page, y in zip(parsed, labels, strict=True) for leaf, good in zip(page, y, strict=True) if not good}) or ["text"]
+    pages, wanted = [], []
+    for page, known in zip(parsed, labels, strict=True):
+        for _ in range(copies if page else 0):
+            varied, want = _varied(page, known, texts, rng)
+            x = vectors(varied)
+            if rng.random() < 0.5:
+                x[:, LINKED] = 0
+            if len(x) > most_leaves:
+                x, want = (np.concatenate([v[: most_leaves // 2], v[-(most_leaves // 2) :]]) for v in (x, want))
+            pages.append(x)
+            wanted.append(want)
     model = Labeller()
     if pages:
-        model.fit(pages, labels)
+        model.fit(pages, wanted)
     return model
 
 
+def repeated_keys(pages: DataFrame, wanted: set[int], least: int = 3) -> set[int]:
+    """Of the wanted keys of (site, text) those on `least` pages at least that differ in their three longest other blocks: copies of a page count once."""
+    shared = pages.sparkSession.sparkContext.broadcast(frozenset(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = set()
+            for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                page = leaves(source)
+                found = keys(url, page)
+                longest = [k for _, k in sorted(set(zip((-len(x.text) for x in page), found, strict=True)))[:4]]
+                for key in set(found) & shared.value:
+                    pairs.add((key, _code(*(str(k) for k in [k for k in longest if k != key][:3]))))
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.int64()) for c in (0, 1)], ["key", "page"])
+
+    seen = pages.select("url", "html").mapInArrow(run, "key long, page long").groupBy("key").agg(F.countDistinct("page").alias("n"))
+    return {r["key"] for r in seen.filter(F.col("n") >= least).select("key").collect()}
+
+
 def extract(pages: DataFrame, sample: int = 200, longest: int = 100_000, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """Per row: page_id, url, text, n_chars, the blocks of the article joined by line feeds.
 
-    The labeller learns from the `sample` pages of at most `longest` characters with the least hash of page_id. Null, empty
-    or textless html gives an empty text. Repeated rows are read alike; no rows give no rows.
+    The labeller learns from the `sample` pages of at most `longest` characters with the least hash of page_id; which of their
+    blocks repeat on a site is counted over all pages. Null, empty or textless html gives an empty text. Repeated rows are
+    read alike; no rows give no rows.
     """
     slim = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).alias("html"))
     usable = slim.filter((F.length("html") > 0) & (F.length("html") <= longest))
     chosen = usable.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).distinct()
-    taken = usable.join(F.broadcast(chosen), "page_id", "left_semi").orderBy("page_id", "html").select("html").limit(2 * sample)
-    shared = slim.sparkSession.sparkContext.broadcast(train([r["html"] for r in taken.collect()]))
+    taken = usable.join(F.broadcast(chosen), "page_id", "left_semi").orderBy("page_id", "url", "html").select("url", "html").limit(2 * sample)
+    learned = [(r["url"], leaves(r["html"])) for r in taken.collect()]
+    known = [keys(*x) for x in learned]
+    again = repeated_keys(slim, {k for found in known for k in found}) if learned else set()
+    labels = [evidence(page, [k in again for k in found]) for (_, page), found in zip(learned, known, strict=True)]
+    shared = slim.sparkSession.sparkContext.broadcast(train([page for _, page in learned], labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

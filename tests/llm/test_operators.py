@@ -266,6 +266,28 @@ def test_html_extract(spark):
     assert found[100]["text"] == found[101]["text"] == found[102]["text"] == "" and found[100]["n_chars"] == 0
 
 
+def test_html_extract_beyond_listed_names(spark):
+    """Names that no list holds, layout names, and a form around the page: what decides is evidence, not a keyword in the vector."""
+    rng = random.Random(9)
+
+    def page(i, notice, body="", form=("", "")):
+        paragraphs = "".join(f"<p>{prose(rng, rng.randint(12, 40)).capitalize()} end{i}.</p>" for _ in range(5))
+        text = f'<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><article><h1>Title {i}</h1>{paragraphs}</article>'
+        return f'<html><body{body}>{form[0]}{text}<div class="announcement"><p>{notice}</p></div><footer>&copy; us</footer>{form[1]}</body></html>'
+
+    rows = [(i, f"http://a.example/{i}", page(i, "We close on Monday.")) for i in range(60)]
+    rows.append((60, "http://a.example/60", page(60, "We open on Friday.")))
+    rows.append((61, "http://a.example/61", page(61, "We close on Monday.", body=' class="no-sidebar widget"')))
+    rows.append((62, "http://a.example/62", page(62, "We close on Monday.", form=('<form id="login">', "</form>"))))
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(63):
+        kept = found[i].split("\n")
+        assert kept[0] == f"Title {i}" and sum(x.endswith(f"end{i}.") for x in kept) == 5 and len(kept) == 6, (i, kept)
+    path = ((1, ("html",)), (2, ("body", "widget")), (3, ("div", "no-sidebar")), (4, ("p",)))
+    one, two = html_extract.Leaf(path, "A text.", 0.0), html_extract.Leaf(path, "A link.", 1.0)
+    assert html_extract.evidence([one, two, one], [False, False, True]).tolist() == [1, 0, 0]
+
+
 def test_labeller_gradients():
     rng = np.random.default_rng(0)
     model = html_extract.Labeller(hidden=3)
