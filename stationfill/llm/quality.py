@@ -141,7 +141,7 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
 
 
 def score(docs: DataFrame, sample: int = 3000, keep: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, weak_label (posterior of the labellers' votes), score (of the linear scorer), kept (false if both are below `keep`).
+    """Per row: doc_id, weak_label (posterior of the labellers' votes), score (of the linear scorer), kept (score is `keep` at least; the weak label only trains the scorer).
 
     Votes are counted over all documents; their patterns (at most 3 to the number of labellers) come to the driver. The
     scorer is trained on the `sample` documents with the least hash of (doc_id), a bounded number. Null or empty text has
@@ -178,7 +178,7 @@ def score(docs: DataFrame, sample: int = 3000, keep: float = 0.5, doc_id: str =
             for a, b, data, offsets in slices(batch.column("text"), 1 << 19, 512):
                 value = 1 / (1 + np.exp(-np.clip(shapes(data, offsets) @ w[:-1] + w[-1], -30, 30)))
                 weak = label(data, offsets)
-                columns = [batch.column("doc_id").slice(a, b - a), pa.array(weak), pa.array(value.astype(np.float64)), pa.array(np.maximum(value, weak) >= keep)]
+                columns = [batch.column("doc_id").slice(a, b - a), pa.array(weak), pa.array(value.astype(np.float64)), pa.array(value >= keep)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "weak_label", "score", "kept"])
 
     return docs.mapInArrow(apply, "doc_id long, weak_label double, score double, kept boolean")

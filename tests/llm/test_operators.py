@@ -252,6 +252,18 @@ def test_quality(spark, docs, empty):
     assert quality.score(docs).count() == docs.count() and quality.score(empty).count() == 0
 
 
+def test_quality_is_the_scorers(spark):
+    """Junk that the labellers don't see goes if the scorer learned its shape; the threshold holds on labelled texts."""
+    rng = random.Random(6)
+    good = [prose(rng, rng.randint(20, 90)).capitalize() + "." for _ in range(300)]
+    digits = [" ".join(str(rng.randint(10, 9999999)) for _ in range(60)) + "." for _ in range(62)]
+    rows = list(enumerate(good + [x.replace("7", "#") for x in digits[:60]] + digits[60:]))
+    found = {r["doc_id"]: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i]["kept"] for i in range(300)) and not any(found[i]["kept"] for i in range(300, 360))
+    assert all(found[i]["weak_label"] >= 0.5 and not found[i]["kept"] for i in (360, 361))
+    assert all(r["kept"] == (r["score"] >= 0.5) for r in found.values())
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>
 <div class="sidebar"><p>Popular now.</p></div><article><h1>A title &amp; more</h1><p>First   block,<br>one line.<p><b>Second</b> block.</p><div class="ad">Buy it.</div></article>
 <section class="comments"><p>So true, thanks.</p></section><footer>&copy; us</footer></body></html>"""
