@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationfill.llm.textbytes import CODES, LOWER, mix, slices
+from stationfill.llm.textbytes import CODES, LOWER, mix, pack_rows, slices, unpack_rows
 
 #: Features: hashes of byte n-grams of these lengths, in one table of this many places.
 ORDERS = (1, 2, 3, 4)
@@ -111,9 +111,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
-def fit(docs: DataFrame, for_training: Column, most: int = 600, letters: int = 4000) -> Model | None:
-    """A model from a bounded sample: of each language the `most` training texts with the least hash of (doc_id), `letters`
-    characters of each. None if no text is labelled. The languages are the distinct labels, a set whose size the data don't set.
+def fit(docs: DataFrame, for_training: Column, most: int = 600) -> Model | None:
+    """A model from a bounded sample: of each language the `most` training texts with the least hash of (doc_id), whole;
+    only their vectors come to the driver. None if no text is labelled. The languages are the distinct labels, a set whose size the data don't set.
     """
     known = docs.filter(for_training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     names = sorted(r[0] for r in known.select("lang").distinct().collect())
@@ -122,13 +122,18 @@ def fit(docs: DataFrame, for_training: Column, most: int = 600, letters: int = 4
     # ids first, so that only the chosen texts are gathered
     chosen = [known.filter(F.col("lang") == name).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for name in names]
     picked = F.broadcast(reduce(DataFrame.unionByName, chosen).distinct())
-    texts = known.join(picked, "doc_id", "left_semi").select("doc_id", "lang", F.substring("text", 1, letters).alias("text"))
-    rows = [(r["text"], r["lang"]) for r in texts.orderBy("lang", "doc_id", "text").collect()]
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column("text"), 1 << 18, 256):
+                columns = [batch.column(c).slice(a, b - a) for c in ("lang", "doc_id")]
+                yield pa.RecordBatch.from_arrays([*columns, *pack_rows(_scaled(data, offsets))], ["lang", "doc_id", "at", "value"])
+
+    texts = known.join(picked, "doc_id", "left_semi").select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = sorted((r["lang"], r["doc_id"], bytes(r["at"]), bytes(r["value"])) for r in texts.mapInArrow(learn, "lang string, doc_id long, at binary, value binary").collect())
     if not rows:
         return None
-    texts = pa.array([t for t, _ in rows])
-    x = np.concatenate([_features(data, offsets) for _, _, data, offsets in slices(texts, 1 << 18, 256)])
-    return train(x, [n for _, n in rows])
+    return train(unpack_rows([r[2:] for r in rows], PLACES), [r[0] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

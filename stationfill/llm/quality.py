@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationfill.llm.textbytes import RollingHash, U, mix, slices, words
+from stationfill.llm.textbytes import RollingHash, U, mix, pack_rows, slices, unpack_rows, words
 
 #: Labellers: name, measure, the vote against from this value on, the vote for up to this value. Between them a labeller abstains.
 LABELLERS = [
@@ -144,7 +144,8 @@ def score(docs: DataFrame, sample: int = 3000, keep: float = 0.5, doc_id: str =
     """Per row: doc_id, weak_label (posterior of the labellers' votes), score (of the linear scorer), kept (score is `keep` at least; the weak label only trains the scorer).
 
     Votes are counted over all documents; their patterns (at most 3 to the number of labellers) come to the driver. The
-    scorer is trained on the `sample` documents with the least hash of (doc_id), a bounded number. Null or empty text has
+    scorer is trained on the `sample` documents with the least hash of (doc_id), a bounded number; vectors and labels come from
+    their whole texts, in tasks. Null or empty text has
     no evidence against it: its labellers vote as for an empty text, and it is scored like any other. No rows give no rows.
     """
     spark = docs.sparkSession
@@ -167,9 +168,16 @@ def score(docs: DataFrame, sample: int = 3000, keep: float = 0.5, doc_id: str =
         return np.array([posterior.get(v.tobytes(), 0.5) for v in votes(measures(data, offsets))])
 
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select(F.substring("text", 1, 8000).alias("text"), "doc_id").orderBy("doc_id").toArrow()
-    parts = [(shapes(d, o), label(d, o)) for _, _, d, o in slices(texts.column("text"), 1 << 18, 512)]
-    weights = _fit(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column("text"), 1 << 19, 512):
+                columns = [batch.column("doc_id").slice(a, b - a), *pack_rows(shapes(data, offsets)), pa.array(label(data, offsets))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "value", "label"])
+
+    chosen = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").mapInArrow(learn, "doc_id long, at binary, value binary, label double")
+    rows = sorted((r["doc_id"], r["label"], bytes(r["at"]), bytes(r["value"])) for r in chosen.collect())
+    weights = _fit(unpack_rows([r[2:] for r in rows], PLACES), np.array([r[1] for r in rows]))
     shared = spark.sparkContext.broadcast((weights, posterior))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,6 +83,20 @@ def slices(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 16) -> Iterat
         at = end
 
 
+def pack_rows(x: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Places and values of the rows of a matrix that aren't zero, as two columns of bytes."""
+    at = [np.flatnonzero(row).astype(np.uint16) for row in x]
+    return pa.array([a.tobytes() for a in at], pa.binary()), pa.array([row[a].astype(np.float32).tobytes() for row, a in zip(x, at, strict=True)], pa.binary())
+
+
+def unpack_rows(rows: list[tuple[bytes, bytes]], places: int) -> np.ndarray:
+    """The matrix of packed rows."""
+    x = np.zeros((len(rows), places), np.float32)
+    for k, (at, value) in enumerate(rows):
+        x[k, np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float32)
+    return x
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of non-white bytes, and each run's row; a run never crosses rows."""
     if not len(data):

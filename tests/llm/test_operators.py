@@ -264,6 +264,23 @@ def test_quality_is_the_scorers(spark):
     assert all(r["kept"] == (r["score"] >= 0.5) for r in found.values())
 
 
+def test_training_on_whole_texts(spark):
+    """What a text is shows late in it."""
+    rng = random.Random(7)
+    good = [prose(rng, rng.randint(20, 90)).capitalize() + "." for _ in range(200)]
+    late = [prose(rng, 2600) + " " + " ".join("w###" for _ in range(8000)) for _ in range(40)]
+    found = {r["doc_id"]: r for r in quality.score(spark.createDataFrame(list(enumerate(good + late)), "doc_id long, text string")).collect()}
+    assert sum(found[i]["kept"] for i in range(200)) >= 195 and not any(found[i]["kept"] for i in range(200, 240))
+
+    def other(n):
+        return " ".join("".join(rng.choice(["qu", "zx", "vy", "jo", "kuf"]) for _ in range(3)) for _ in range(n))
+
+    rows = [(i, prose(rng, 1200) + " " + other(6000), "late") if i % 2 else (i, prose(rng, 60), "plain") for i in range(120)]
+    assert min(len(prose(rng, 1200)) for _ in range(5)) > 4000
+    out = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r["lang_pred"] == ("late" if r["doc_id"] % 2 else "plain") and not r["ambiguous"] for r in out)
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>
 <div class="sidebar"><p>Popular now.</p></div><article><h1>A title &amp; more</h1><p>First   block,<br>one line.<p><b>Second</b> block.</p><div class="ad">Buy it.</div></article>
 <section class="comments"><p>So true, thanks.</p></section><footer>&copy; us</footer></body></html>"""
