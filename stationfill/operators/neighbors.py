@@ -2,43 +2,81 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stationfill.functions.expressions import distance_km
+from stationfill.functions.expressions import EARTH_RADIUS_KM, distance_km
 from stationfill.functions.rules import RULES, CurationConfig
+from stationfill.llm.common import Scratch
 
 METHOD = "interstation_regression"
 
 
-def rank_neighbors(stations: DataFrame, k: int | None = None, most_broadcast: int = 20_000) -> DataFrame:
+def _cells(df: DataFrame, edge: float) -> DataFrame:
+    """Columns cx, cy, cz: the cube of this edge that holds the station's point on the unit sphere."""
+    lat, lon = F.radians("lat"), F.radians("lon")
+    at = (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
+    return df.withColumns({name: F.floor(c / edge).cast("long") for name, c in zip(("cx", "cy", "cz"), at, strict=True)})
+
+
+def rank_neighbors(stations: DataFrame, k: int | None = None) -> DataFrame:
     """(station, neighbor, distance_km, rank) from near to far, ties by name; stations without coordinates have none.
 
-    The dimension is broadcast up to `most_broadcast` stations; beyond that `k` must be given and stations meet only in
-    their own and adjacent one-degree cells.
+    Exact at every size, without broadcast. For `k` neighbours stations meet in cubes around points on the sphere, so
+    neither a pole nor longitude 180 parts them; the cubes grow for those whose k-th distance isn't below the edge. Without
+    `k` every pair is wanted, which is as long as it is wide.
     """
     own = stations.select("station", F.col("LATITUD").alias("lat"), F.col("LONGITUD").alias("lon")).filter("lat is not null and lon is not null")
-    other = own.select(F.col("station").alias("neighbor"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    if own.count() <= most_broadcast:
-        pairs = own.join(F.broadcast(other), F.col("station") != F.col("neighbor"))
-    else:
-        if k is None:
-            raise ValueError(f"over {most_broadcast} stations a number of neighbours is needed")
-        near = lambda c: F.explode(F.array(*[F.floor(c) + d for d in (-1, 0, 1)]))
-        own = own.withColumn("a", near("lat")).withColumn("b", near("lon"))
-        pairs = own.join(other.withColumn("a", F.floor("lat2")).withColumn("b", F.floor("lon2")), ["a", "b"]).filter("station <> neighbor")
-    pairs = pairs.select("station", "neighbor", distance_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("distance_km"))
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("station").orderBy("distance_km", "neighbor")))
-    return ranked.filter(F.col("rank") <= k) if k else ranked
+    twin = {"station": "neighbor", "lat": "lat2", "lon": "lon2"}
+    order = W.partitionBy("station").orderBy("distance_km", "neighbor")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.filter("station <> neighbor").select("station", "neighbor", distance_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("distance_km"))
+        return pairs.withColumn("rank", F.row_number().over(order))
+
+    def all_pairs(some: DataFrame) -> DataFrame:
+        parts = 64
+        other = own.withColumnsRenamed(twin).withColumn("part", F.pmod(F.xxhash64("neighbor"), F.lit(parts)).cast("int"))
+        return ranked(some.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(other.hint("merge"), "part"))
+
+    if not k:
+        return all_pairs(own)
+    n = own.count()
+    edge = min(2.0, math.sqrt(4 * math.pi * k / max(n, 1)))
+    while edge > 1e-7 and n > 8 * k + 64:
+        most = _cells(own, edge).groupBy("cx", "cy", "cz").count().agg(F.max("count")).first()[0]
+        if most <= 8 * k + 64:
+            break
+        edge /= 4
+    scratch, left, found = Scratch(stations.sparkSession, "near"), own, []
+    while edge < 2:
+        step = lambda c: F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)]))
+        wide = _cells(left, edge)
+        for c in ("cx", "cy", "cz"):
+            wide = wide.withColumn(c, step(c))
+        near = ranked(wide.join(_cells(own, edge).withColumnsRenamed(twin).hint("merge"), ["cx", "cy", "cz"])).filter(F.col("rank") <= k)
+        # all that is nearer than an edge (a chord) lies in the adjacent cubes
+        reach = 2 * EARTH_RADIUS_KM * math.asin(edge / 2) * (1 - 1e-6)
+        near = scratch.save(near, f"round{len(found)}")
+        done = near.filter((F.col("rank") == k) & (F.col("distance_km") < reach)).select("station")
+        found.append(near.join(done, "station", "left_semi"))
+        left = scratch.save(left.join(done, "station", "left_anti"), f"left{len(found)}")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        edge *= 4
+    return reduce(DataFrame.unionByName, [*found, all_pairs(left).filter(F.col("rank") <= k)])
 
 
 def training_pairs(cells: DataFrame, neighbors: DataFrame) -> DataFrame:
     """(variable, station, neighbor, ts, y, x) of the hours that both observed; an equi-join on the hour for each near pair."""
     known = cells.filter("value is not null").select("variable", "station", "ts", "value")
-    target = known.withColumnRenamed("value", "y").join(F.broadcast(neighbors.select("station", "neighbor")), "station")
+    target = known.withColumnRenamed("value", "y").join(neighbors.select("station", "neighbor"), "station")
     return target.join(known.select("variable", F.col("station").alias("neighbor"), "ts", F.col("value").alias("x")), ["variable", "neighbor", "ts"])
 
 
@@ -138,11 +176,11 @@ def cascade(config: CurationConfig):
 def fill_from_neighbors(cells: DataFrame, empty: DataFrame, neighbors: DataFrame, models: DataFrame, config: CurationConfig) -> DataFrame:
     """Attempts and filled hours (columns of the attempt, ts and value where accepted) for the hours `empty` (station, variable, gap_start, ts).
 
-    A group is one gap: its empty hours times the ranked neighbours, bounded by the length of a gap.
+    A group is one gap: its empty hours times the ranked neighbours, which are all stations where no number is set.
     """
     known = cells.filter("value is not null").select("variable", F.col("station").alias("neighbor"), "ts", F.col("value").alias("x"))
-    rows = empty.select("station", "variable", "gap_start", "ts").join(F.broadcast(neighbors), "station").join(known, ["variable", "neighbor", "ts"], "left")
-    rows = rows.join(F.broadcast(models), ["variable", "station", "neighbor"], "left")
+    rows = empty.select("station", "variable", "gap_start", "ts").join(neighbors, "station").join(known, ["variable", "neighbor", "ts"], "left")
+    rows = rows.join(models, ["variable", "station", "neighbor"], "left")
     return rows.groupBy("station", "variable", "gap_start").applyInPandas(cascade(config), _LOG)
 
 
@@ -189,14 +227,14 @@ def fit_wind_models(pairs: DataFrame, splits: int = 5, least: int = 48) -> DataF
 
 def wind_pairs(vector: DataFrame, neighbors: DataFrame) -> DataFrame:
     known = vector.filter("u is not null and v is not null")
-    target = known.select("station", "ts", F.col("u").alias("y1"), F.col("v").alias("y2")).join(F.broadcast(neighbors.select("station", "neighbor")), "station")
+    target = known.select("station", "ts", F.col("u").alias("y1"), F.col("v").alias("y2")).join(neighbors.select("station", "neighbor"), "station")
     return target.join(known.select(F.col("station").alias("neighbor"), "ts", F.col("u").alias("x1"), F.col("v").alias("x2")), ["neighbor", "ts"])
 
 
 def fill_wind_from_neighbors(vector: DataFrame, empty: DataFrame, neighbors: DataFrame, models: DataFrame, config: CurationConfig) -> DataFrame:
     """(station, ts, neighbor, near_u, near_v, r2, ...) for empty hours (station, gap_start, ts, direction, speed), by the wind cascade."""
     known = vector.filter("u is not null and v is not null").select(F.col("station").alias("neighbor"), "ts", F.col("u").alias("x1"), F.col("v").alias("x2"))
-    rows = empty.select("station", "gap_start", "ts", "direction", "speed").join(F.broadcast(neighbors), "station").join(known, ["neighbor", "ts"], "left").join(F.broadcast(models), ["station", "neighbor"], "left")
+    rows = empty.select("station", "gap_start", "ts", "direction", "speed").join(neighbors, "station").join(known, ["neighbor", "ts"], "left").join(models, ["station", "neighbor"], "left")
     kinds = "station string, gap_start timestamp_ntz, ts timestamp_ntz, neighbor string, accepted boolean, rejection_reason string, near_u double, near_v double, r2 double, predictor_coverage double"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -117,6 +117,39 @@ def test_predictions_out_of_range_are_dropped(spark):
     assert reasons == {"predictions_out_of_range"}
 
 
+@pytest.mark.parametrize("k", [1, 3, None])
+def test_neighbors_are_exact_far_apart_at_poles_and_across_180(spark, k):
+    import random
+
+    rng = random.Random(2)
+    at = [(rng.uniform(-12.3, -12), rng.uniform(-77.1, -77)) for _ in range(110)] + [(0.0, 179.95), (0.0, -179.95), (0.3, 178.9), (89.9, 0.0), (89.9, 180.0), (89.8, 90.0), (-60.0, 20.0)]
+    names = [f"s{i:03d}" for i in range(len(at))]
+
+    def km(a, b):
+        (p, x), (q, y) = (map(math.radians, at[i]) for i in (a, b))
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((y - x) / 2) ** 2
+        return math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
+
+    stations = spark.createDataFrame([*[(n, *c) for n, c in zip(names, at, strict=True)], ("none", None, 1.0)], "station string, LATITUD double, LONGITUD double")
+    found = {(r["station"], r["rank"]): r["neighbor"] for r in neighbors.rank_neighbors(stations, k).collect()}
+    want = {}
+    for i, name in enumerate(names):
+        order = sorted((j for j in range(len(at)) if j != i), key=lambda j: (km(i, j), names[j]))
+        want |= {(name, rank + 1): names[j] for rank, j in enumerate(order[:k])}
+    differ = [key for key in want | found if want.get(key) != found.get(key)]
+    assert len(want) == len(found) and all(abs(km(names.index(s), names.index(want[s, r])) - km(names.index(s), names.index(found[s, r]))) < 1e-12 for s, r in differ)
+
+
+def test_many_stations_keep_neighbors_that_are_far(spark):
+    n = 20_100
+    many = spark.range(n).select(F.col("id").cast("string").alias("station"), (F.col("id") % 142 * 0.05 - 4).alias("LATITUD"), (F.floor(F.col("id") / 142) * 0.05 + 10).alias("LONGITUD"))
+    far = spark.createDataFrame([("x", 60.0, 179.9), ("y", 62.0, -179.9), ("z", -80.0, 0.0)], "station string, LATITUD double, LONGITUD double")
+    found = neighbors.rank_neighbors(many.unionByName(far), 1).cache()
+    assert found.count() == n + 3
+    got = {r["station"]: r["neighbor"] for r in found.filter("station IN ('x', 'y', 'z')").collect()}
+    assert got["x"] == "y" and got["y"] == "x" and got["z"] not in ("x", "y")
+
+
 def test_models_follow_the_time_ordered_folds(spark):
     import numpy as np
 
