@@ -25,26 +25,27 @@ def _settled(edges: DataFrame) -> bool:
     return seen.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(id, component) for every vertex of edges (a, b), component being the smallest vertex that links reach.
 
-    Nothing is collected but a row of counts per round. An empty table of edges gives an empty result; loops and repeats are harmless.
+    Nothing is collected but whether a round was the last; the rounds are as many as the square of the logarithm of the
+    vertices at most, and each removes the tables of the one before. An empty table of edges gives an empty result; loops and repeats are harmless.
     """
     pair = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = scratch.save(pair.distinct(), f"{name}-0")
-    for k in range(rounds):
-        if _settled(now):
-            break
+    now, k = scratch.save(pair.distinct(), f"{name}-0"), 0
+    while not _settled(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         wide = _hook(both, "u", scratch, f"{name}-{k}-large").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         wide = scratch.save(wide.filter("u <> v").distinct(), f"{name}-{k}-wide")
         low = _hook(wide, "u", scratch, f"{name}-{k}-small")
         links = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = scratch.save(links.filter("u <> v").distinct(), f"{name}-{k + 1}")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        scratch.drop(f"{name}-{k}", *(f"{name}-{k}-{x}" for x in ("large", "wide", "small")))
+        k += 1
     roots = now.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    return scratch.save(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), f"{name}-out")
+    found = scratch.save(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), f"{name}-out")
+    scratch.drop(f"{name}-{k}")
+    return found
 
 
 def joined_components(found: DataFrame, more: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -54,4 +55,6 @@ def joined_components(found: DataFrame, more: DataFrame, scratch: Scratch, name:
     between = components(scratch.save(named.distinct(), f"{name}-named"), scratch, name).select(F.col("id").alias("component"), F.col("component").alias("whole"))
     moved = found.join(between, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
     new = between.join(found.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
-    return scratch.save(moved.unionByName(new), f"{name}-joined")
+    joined = scratch.save(moved.unionByName(new), f"{name}-joined")
+    scratch.drop(f"{name}-named", f"{name}-out")
+    return joined

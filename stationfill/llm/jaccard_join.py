@@ -251,12 +251,15 @@ def similarity_components(
 
     sets = scratch.save(docs.mapInArrow(describe, "doc_id long, n_shingles long, mark binary, map binary, prefix array<long>"), "sets")
     classes = scratch.save(sets.groupBy("mark").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sets.select("mark", F.col("doc_id").alias("member"), "prefix", "n_shingles").join(classes.select("mark", F.col("rep").alias("member")), ["mark", "member"])
+    # Both sides of these joins grow with the documents, so neither is ever broadcast.
+    reps = sets.select("mark", F.col("doc_id").alias("member"), "prefix", "n_shingles").hint("merge").join(classes.select("mark", F.col("rep").alias("member")), ["mark", "member"])
     postings = reps.select(F.explode("prefix").alias("token"), "member", "n_shingles")
     found = leaders(postings, scratch)
-    pairs = scratch.save(postings.join(found, "token").select("lead", "member", "n_shingles").distinct(), "pairs")
+    pairs = scratch.save(postings.hint("merge").join(found, "token").select("lead", "member", "n_shingles").distinct(), "pairs")
+    scratch.drop("leaders")
     dealt, splits = _deal(pairs, scratch, most, num, den)
     dealt = scratch.save(dealt, "dealt")
+    scratch.drop("pairs")
     texts = docs.withColumnRenamed("doc_id", "member")
     maps = sets.select(F.col("doc_id").alias("member"), "n_shingles", "map")
     n = shuffle_partitions(spark)
@@ -283,23 +286,32 @@ def similarity_components(
 
     def joined(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
         """Links within the blocks of `keys`: parity maps tell which members can have one, and only their texts are sent."""
-        mapped = rows.join(maps, "member").repartition(n, *keys).sortWithinPartitions(*keys)
+        mapped = rows.join(maps.hint("merge"), "member").repartition(n, *keys).sortWithinPartitions(*keys)
         kinds = ", ".join(f"{k} {t}" for k, t in rows.dtypes) + ", root int"
         order = [k for k, _ in rows.dtypes]
         near = mapped.select(*order, "n_shingles", "map").mapInArrow(lambda batches: narrow(batches, keys), kinds)
         near, within = scratch.save(near, name), [*keys, "root"]
-        full = near.join(texts, "member").repartition(n, *within).sortWithinPartitions(*within)
+        full = near.join(texts.hint("merge"), "member").repartition(n, *within).sortWithinPartitions(*within)
         return full.mapInArrow(lambda batches: solve(batches, within), "a long, b long")
 
     first = dealt.select("lead", "band", "sub", "member", F.col("member").alias("label"), F.lit(1).alias("role"))
     edges = scratch.save(joined(first, ["lead", "band", "sub"], "near"), "edges")
+    scratch.drop("near")
     within = components(edges, scratch, "within")
+    scratch.drop("edges")
     if not splits.isEmpty():
         across = joined(_across(dealt, within, scratch, most), ["lead", "band", "sub", "part"], "near-2")
-        within = joined_components(within, scratch.save(across, "edges-2"), scratch, "whole")
+        edges = scratch.save(across, "edges-2")
+        scratch.drop("near-2", "members", "main")
+        within = joined_components(within, edges, scratch, "whole")
+        scratch.drop("edges-2", "within-out")
+    scratch.drop("dealt", "sizes")
     named = classes.join(within, classes["rep"] == within["id"], "left").select("mark", F.coalesce("component", "rep").alias("component_id"))
     named = scratch.save(named, "named")
-    return sets.select("doc_id", "n_shingles", "mark").join(named, "mark").select("doc_id", "n_shingles", "component_id")
+    found = sets.select("doc_id", "n_shingles", "mark").hint("merge").join(named, "mark").select("doc_id", "n_shingles", "component_id")
+    found = scratch.save(found, "components")
+    scratch.drop("sets", "classes", "named", "within-out", "whole-joined")
+    return found
 
 
 def _deal(pairs: DataFrame, scratch: Scratch, most: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:

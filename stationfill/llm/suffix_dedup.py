@@ -18,12 +18,43 @@ from pyspark.sql import functions as F
 from stationfill.llm.blocks import leaders, sub_blocks
 from stationfill.llm.common import Scratch, shuffle_partitions
 from stationfill.llm.jaccard_join import grouped
-from stationfill.llm.textbytes import RollingHash, slices
+from stationfill.llm.textbytes import BASES, PIECE, RollingHash, slices, words
 
 #: Bytes of text that a shard gathers before it is sorted; a task's arrays take about 60 times that.
 SHARD_BYTES = 2 << 20
 
 
+class ByteWindows:
+    """Every string of `size` bytes."""
+
+    def __init__(self, size: int):
+        self.least = self.most = size
+
+    def of(self, data: np.ndarray, offsets: np.ndarray, opened: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths of the windows that lie whole in one of the pieces; opened, closed: whether a piece begins or ends its text."""
+        starts = np.arange(len(data))
+        starts = starts[starts + self.least <= np.repeat(offsets[1:], np.diff(offsets))]
+        return starts, np.full(len(starts), self.least)
+
+
+class WordWindows:
+    """From each word on, `words` words; at least `least` bytes, and at most `most` where the words take more."""
+
+    def __init__(self, words: int = 50, least: int = 200, most: int = 512):
+        self.words, self.least, self.most = words, least, most
+
+    def of(self, data: np.ndarray, offsets: np.ndarray, opened: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends, piece = words(data, offsets)
+        room = offsets[1:][piece] - starts
+        # a run at the edge of a piece may be a part of a word
+        cut = (ends == offsets[1:][piece]) & ~closed[piece]
+        last = np.minimum(np.arange(len(starts)) + self.words - 1, max(len(starts) - 1, 0))
+        full = (np.arange(len(starts)) + self.words <= len(starts)) & (piece[last] == piece) & ~cut[last]
+        size = np.where(full, np.clip(ends[last] - starts, self.least, self.most), self.most)
+        use = (size <= room) & ((starts > offsets[:-1][piece]) | opened[piece])
+        return starts[use], size[use]
+
+
 def _sliding(best: np.ufunc, values: np.ndarray, width: int, neutral: int) -> np.ndarray:
     """Minimum or maximum of each run of `width` values, from running extremes of blocks of that width."""
     n = len(values)
@@ -36,7 +67,18 @@ def _sliding(best: np.ufunc, values: np.ndarray, width: int, neutral: int) -> np
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the byte `gram`s that have the least hash of some `window` of a row (all of equal hash)."""
+    """Positions and hashes of the byte `gram`s that have the least hash of some `window` of a row (all of equal hash).
+
+    A long row is taken in pieces with their surroundings, which are all that an anchor depends on.
+    """
+    if len(offsets) == 2 and len(data) > 2 * PIECE:
+        found = []
+        for a in range(0, len(data), PIECE):
+            low, high = max(0, a - window), min(len(data), a + PIECE + window)
+            at, hashes = anchors(data[low:high], np.array([0, high - low]), window, gram)
+            own = (at + low >= a) & (at + low < a + PIECE)
+            found.append((at[own] + low, hashes[own]))
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
     n, span = len(data), window - gram + 1
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -123,80 +165,136 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, word: np.ndarray, enoug
     return np.repeat(length, runs) - (np.arange(n) - np.repeat(first, runs))
 
 
-def _covered(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of bytes under windows that begin at the sorted `starts`."""
-    cut = np.flatnonzero(np.diff(starts) > window)
-    return starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + window
+def _covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of bytes under the windows from the sorted `starts` to `ends`."""
+    ends = np.maximum.accumulate(ends)
+    cut = np.flatnonzero(starts[1:] > ends[:-1])
+    return starts[np.append(0, cut + 1)], ends[np.append(cut, len(ends) - 1)]
 
 
-def _places(ids: np.ndarray, at: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _spans(kind: int, ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[dict]:
+    """A row for each document: the runs that its windows cover."""
     order = np.lexsort((at, ids))
-    ids, at = ids[order], at[order]
-    for i, j in zip(first := np.flatnonzero(np.append(True, ids[1:] != ids[:-1])), np.append(first[1:], len(ids)), strict=True):
-        yield int(ids[i]), *_covered(at[i:j], window)
+    ids, at, size = ids[order], at[order], size[order]
+    cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else [0]
+    rows = []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        opens, closes = _covered(at[i:j], at[i:j] + size[i:j])
+        rows.append({"doc_id": int(ids[i]), "kind": kind, "opens": opens, "closes": closes})
+    return rows
 
 
 class Shard:
-    """Pieces (document, start, bytes) with overlaps of one document joined, so that each place occurs once."""
+    """Pieces (document, start, bytes, owned, last) with overlaps of one document joined, so that each place occurs once.
 
-    def __init__(self, pieces: list[tuple[int, int, bytes]], window: int):
-        self.window = window
+    owned: how many places of the piece may begin a window; the rest is there for the windows to end in. last: whether the text ends with it.
+    """
+
+    def __init__(self, pieces: list[tuple[int, int, bytes, int, bool]]):
         kept: list[list] = []
-        for doc, start, raw in sorted(pieces, key=lambda x: (x[0], x[1], -len(x[2]))):
+        for doc, start, raw, owned, last in sorted(pieces, key=lambda x: (x[0], x[1], -len(x[2]))):
             if kept and kept[-1][0] == doc and start <= kept[-1][1] + kept[-1][3]:
                 more = start + len(raw) - kept[-1][1] - kept[-1][3]
                 if more > 0:
                     kept[-1][2].append(raw[-more:])
                     kept[-1][3] += more
+                kept[-1][4] = max(kept[-1][4], start + owned)
+                kept[-1][5] |= last
             else:
-                kept.append([doc, start, [raw], len(raw)])
+                kept.append([doc, start, [raw], len(raw), start + owned, last])
         lengths = np.array([x[3] for x in kept])
         self.data = np.frombuffer(b"".join(b for x in kept for b in x[2]), np.uint8)
-        bases = np.cumsum(lengths) - lengths
+        self.offsets = np.append(0, np.cumsum(lengths))
+        starts = np.array([x[1] for x in kept])
+        self.opened, self.closed = starts == 0, np.array([x[5] for x in kept])
         self.doc = np.repeat(np.array([x[0] for x in kept], np.int64), lengths)
-        self.at = np.arange(len(self.data)) - np.repeat(bases - np.array([x[1] for x in kept]), lengths)
-        self.whole = np.arange(len(self.data)) + window <= np.repeat(bases + lengths, lengths)
-
-    def solve(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where windows begin that repeat in the shard, and one beginning of each distinct window."""
-        if not self.whole.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        order, word = suffix_array(self.data, self.window)
-        shared = common_prefixes(self.data, order, word, self.window)[order] >= self.window
-        shared[0] = False
-        run = np.cumsum(~shared) - 1
-        eligible = self.whole[order]
-        order, run = order[eligible], run[eligible]
-        counts = np.bincount(run, minlength=int(run[-1]) + 1)
-        return np.sort(order[counts[run] > 1]), order[np.append(True, run[1:] != run[:-1])]
+        self.at = np.arange(len(self.data)) - np.repeat(self.offsets[:-1] - starts, lengths)
+        self.owned = self.at < np.repeat(np.array([x[4] for x in kept]), lengths)
+
+    def windows(self, kind) -> tuple[np.ndarray, np.ndarray]:
+        starts, size = kind.of(self.data, self.offsets, self.opened, self.closed)
+        own = self.owned[starts]
+        return starts[own], size[own]
+
+    def prints(self, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """128 bits of each window, as two columns."""
+        return np.stack([RollingHash(self.data, base).of(starts, starts + size) for base in BASES], axis=1)
+
+    def solve(self, kinds: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each kind: the windows (starts, lengths) that repeat in the shard, and those that may repeat elsewhere (one of each string of bytes)."""
+        reach = max(k.most for k in kinds)
+        order, word = suffix_array(self.data, reach)
+        shared = common_prefixes(self.data, order, word, reach)
+        out = []
+        for kind in kinds:
+            starts, size = self.windows(kind)
+            if not len(starts):
+                out.append((starts, size, starts, size))
+            elif kind.least == kind.most:
+                # suffixes of one run agree in a window's length; its windows count
+                run = np.empty(len(order), np.int64)
+                run[order] = np.cumsum(shared[order] < kind.least)
+                by = run[starts]
+                _, first, counts = np.unique(by, return_index=True, return_counts=True)
+                several = np.isin(by, by[first[counts > 1]])
+                out.append((starts[several], size[several], starts[first], size[first]))
+            else:
+                # lengths differ: who shares that much with a neighbour in the order is compared by prints
+                after = np.zeros(len(order), np.int64)
+                after[order[:-1]] = shared[order[1:]]
+                near = np.flatnonzero(np.maximum(shared[starts], after[starts]) >= size)
+                _, group, counts = np.unique(self.prints(starts[near], size[near]), axis=0, return_inverse=True, return_counts=True)
+                near = near[counts[group.ravel()] > 1]
+                out.append((starts[near], size[near], starts, size))
+        return out
 
 
-_FOUND = "doc_id long, opens array<long>, closes array<long>, lead long, bucket int, prints binary, docs binary, places binary"
+_FOUND = "doc_id long, kind int, opens array<long>, closes array<long>, lead long, bucket int, prints binary, more binary, docs binary, places binary, sizes binary"
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
     whole = pa.list_(pa.int64())
-    kinds = [("doc_id", pa.int64()), ("opens", whole), ("closes", whole), ("lead", pa.int64()), ("bucket", pa.int32())]
-    kinds += [(k, pa.binary()) for k in ("prints", "docs", "places")]
+    kinds = [("doc_id", pa.int64()), ("kind", pa.int32()), ("opens", whole), ("closes", whole), ("lead", pa.int64()), ("bucket", pa.int32())]
+    kinds += [(k, pa.binary()) for k in ("prints", "more", "docs", "places", "sizes")]
     return pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
 
-def _spans(ids: np.ndarray, at: np.ndarray, window: int) -> list[dict]:
-    return [{"doc_id": i, "opens": a, "closes": b} for i, a, b in _places(ids, at, window)] if len(ids) else []
-
-
-def repeat_spans(docs: DataFrame, window: int = 400, gram: int = 100, most: int = 128) -> tuple[DataFrame, DataFrame]:
-    """(facts, spans): per row of docs (doc_id, text) its doc_id, n_bytes, sha256, and `copied`, true if another document has
-    the same bytes, which then repeat whole; and (doc_id, opens, closes), the runs of repeated bytes of one document of each text.
+def _several(lists: list[np.ndarray]) -> list[np.ndarray]:
+    """For sorted lists of 128-bit prints: which of each list's prints another list has too, by binary search in what the lists before it hold."""
+    held, order = np.zeros((0, 2), np.uint64), []
+    twice = np.zeros((0, 2), np.uint64)
+    for own in lists:
+        place = np.minimum(np.searchsorted(held[:, 0], own[:, 0]), max(len(held) - 1, 0))
+        hit = (held[place] == own).all(axis=1) if len(held) else np.zeros(len(own), bool)
+        twice = np.concatenate([twice, own[hit]])
+        held = np.concatenate([held, own[~hit]])
+        held = held[np.argsort(held[:, 0], kind="stable")]
+    twice = twice[np.argsort(twice[:, 0], kind="stable")]
+    for own in lists:
+        place = np.minimum(np.searchsorted(twice[:, 0], own[:, 0]), max(len(twice) - 1, 0))
+        order.append((twice[place] == own).all(axis=1) if len(twice) else np.zeros(len(own), bool))
+    return order
+
+
+def repeat_spans(docs: DataFrame, kinds: list, gram: int = 64, most: int = 128) -> tuple[DataFrame, DataFrame]:
+    """(facts, spans). facts: per row of docs (doc_id, text) its doc_id, n_bytes, sha256, `copied`, true if another document has
+    the same bytes, and `windowed`, whether it holds a window of each kind (its copies then repeat whole).
+    spans: (doc_id, sha256, kind, opens, closes), the runs of bytes under windows of a kind that repeat, of one document of each text.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
+    least, reach = min(k.least for k in kinds), max(k.most for k in kinds)
+    gram = min(gram, least)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column("text")):
-                at, hashes = anchors(data, offsets, window, gram)
+                at, hashes = anchors(data, offsets, least, gram)
                 cuts = np.searchsorted(at, offsets)
+                whole, holds = np.ones(b - a, bool), []
+                for kind in kinds:
+                    starts = np.flatnonzero(np.diff(offsets) >= kind.least) if kind.least == kind.most else np.searchsorted(offsets, kind.of(data, offsets, whole, whole)[0], "right") - 1
+                    holds.append(np.bincount(starts, minlength=b - a) > 0)
                 out: dict[str, list] = {"doc_id": batch.column("doc_id").slice(a, b - a), "n_bytes": np.diff(offsets)}
                 digests, tokens, again = [], [], []
                 for i in range(b - a):
@@ -204,65 +302,85 @@ def repeat_spans(docs: DataFrame, window: int = 400, gram: int = 100, most: int
                     values, counts = np.unique(hashes[cuts[i] : cuts[i + 1]], return_counts=True)
                     tokens.append(values.view(np.int64))
                     again.append(values[counts > 1].view(np.int64))
-                out |= {"digest": digests, "tokens": pa.array(tokens, pa.list_(pa.int64())), "again": pa.array(again, pa.list_(pa.int64()))}
+                out |= {"digest": digests, "windowed": pa.array(np.stack(holds, axis=1).tolist(), pa.list_(pa.bool_()))}
+                out |= {"tokens": pa.array(tokens, pa.list_(pa.int64())), "again": pa.array(again, pa.list_(pa.int64()))}
                 yield pa.RecordBatch.from_pydict(out)
 
-    kinds = "doc_id long, n_bytes long, digest binary, tokens array<long>, again array<long>"
-    facts = scratch.save(docs.mapInArrow(describe, kinds), "facts")
+    fields = "doc_id long, n_bytes long, digest binary, windowed array<boolean>, tokens array<long>, again array<long>"
+    facts = scratch.save(docs.mapInArrow(describe, fields), "facts")
     # doc_id counts once, however often its row is repeated
-    classes = facts.filter(F.col("n_bytes") >= window).groupBy("digest").agg(F.min("doc_id").alias("member"), (F.min("doc_id") < F.max("doc_id")).alias("copied"))
+    classes = facts.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("doc_id").alias("member"), (F.min("doc_id") < F.max("doc_id")).alias("copied"))
     classes = scratch.save(classes, "classes")
-    reps = facts.withColumnRenamed("doc_id", "member").join(classes.select("digest", "member"), ["digest", "member"]).select("member", "tokens", "again")
+    searched = scratch.save(classes.groupBy("member").agg(F.min("digest").alias("digest")), "searched")
+    # Both sides of these joins grow with the documents, so neither is ever broadcast.
+    reps = facts.withColumnRenamed("doc_id", "member").hint("merge").join(searched, ["digest", "member"]).select("member", "tokens", "again")
     reps = scratch.save(reps.dropDuplicates(["member"]), "reps")
     postings = reps.select(F.explode("tokens").alias("token"), "member")
     marked = postings.withColumn("again", F.lit(False)).unionByName(reps.select(F.explode("again").alias("token"), "member", F.lit(True).alias("again")))
     found = leaders(marked, scratch, repeats=True)
-    pairs = postings.join(found, "token").groupBy("lead", "member").agg(F.collect_list("token").alias("tokens"))
-    pairs = scratch.save(pairs.withColumn("weight", F.size("tokens") * (2 * window - gram)), "pairs")
+    pairs = postings.hint("merge").join(found, "token").groupBy("lead", "member").agg(F.collect_list("token").alias("tokens"))
+    pairs = scratch.save(pairs.withColumn("weight", F.size("tokens") * (2 * reach - gram)), "pairs")
+    scratch.drop("reps", "leaders")
     dealt = sub_blocks(pairs, scratch, most, "weight", 2 * SHARD_BYTES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, raw, at, hashes = None, b"", None, None
+        names = ["lead", "sub", "n_sub", "member", "start", "raw", "owned", "last"]
+        schema = pa.schema(list(zip(names, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()], strict=True)))
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             texts, wanted = batch.column("text"), batch.column("tokens")
             for k, (lead, sub, n_sub, member) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lead", "sub", "n_sub", "member")), strict=True)):
                 if member != last:
                     raw, last = texts[k].as_buffer().to_pybytes(), member
-                    at, hashes = anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), window, gram)
+                    at, hashes = anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), least, gram)
                 tokens = np.sort(wanted[k].values.to_numpy().view(np.uint64))
+                if not len(at):
+                    continue
                 places = at[tokens[np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)] == hashes]
                 if not len(places):
                     continue
-                opens, closes = np.maximum(places - (window - gram), 0), np.minimum(places + window, len(raw))
+                # a byte more on either side tells where words begin and end
+                opens, closes = np.maximum(places - (reach - gram) - 1, 0), np.minimum(places + reach + 1, len(raw))
                 new = np.append(True, opens[1:] > closes[:-1])
-                for a, b in zip(opens[new], closes[np.append(np.flatnonzero(new)[1:] - 1, len(closes) - 1)], strict=True):
-                    rows.append({"lead": lead, "sub": sub, "n_sub": n_sub, "member": member, "start": int(a), "raw": raw[a:b]})
-            kinds = pa.schema([("lead", pa.int64()), ("sub", pa.int32()), ("n_sub", pa.int32()), ("member", pa.int64()), ("start", pa.int64()), ("raw", pa.binary())])
-            yield pa.RecordBatch.from_pylist(rows, kinds)
+                n = 0
+                for a, b in zip(opens[new].tolist(), closes[np.append(np.flatnonzero(new)[1:] - 1, len(closes) - 1)].tolist(), strict=True):
+                    # a long piece is dealt over the parts of its block; each place begins windows in one of them
+                    for c in range(a, b, SHARD_BYTES // 2):
+                        end = min(b, c + SHARD_BYTES // 2 + reach + 1)
+                        owned = min(b, c + SHARD_BYTES // 2) - c
+                        low = max(a, c - 1)
+                        piece = raw[low:end]
+                        rows.append(dict(zip(names, (lead, (sub + n) % n_sub, n_sub, member, low, piece, owned + c - low, end == len(raw)), strict=True)))
+                        n, size = n + (b - a > SHARD_BYTES // 2), size + len(piece)
+                        if size > SHARD_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple] = []
         size = 0
 
         def flush(lead: int | None = None, n_sub: int = 1) -> pa.RecordBatch:
-            shard = Shard(held, window)
-            repeated, distinct = shard.solve()
-            rows = _spans(shard.doc[repeated], shard.at[repeated], window)
-            if n_sub > 1 and len(distinct):
-                prints = RollingHash(shard.data).of(distinct, distinct + window)
-                order = np.argsort(prints)
-                prints, distinct = prints[order], distinct[order]
-                bucket = (prints % np.uint64(n_sub)).astype(np.int64)
-                for k in np.unique(bucket):
-                    those = bucket == k
-                    packed = (prints[those], shard.doc[distinct[those]], shard.at[distinct[those]])
-                    rows.append({"lead": lead, "bucket": int(k)} | dict(zip(("prints", "docs", "places"), (x.tobytes() for x in packed), strict=True)))
+            shard, rows = Shard(held), []
+            for k, (starts, sizes, other, other_sizes) in enumerate(shard.solve(kinds)):
+                rows += _spans(k, shard.doc[starts], shard.at[starts], sizes)
+                if n_sub == 1 or not len(other):
+                    continue
+                prints = shard.prints(other, other_sizes)
+                order = np.lexsort((prints[:, 1], prints[:, 0]))
+                prints, other, other_sizes = prints[order], other[order], other_sizes[order]
+                bucket = (prints[:, 1] % np.uint64(n_sub)).astype(np.int64)
+                for j in np.unique(bucket):
+                    those = bucket == j
+                    packed = (prints[those, 0], prints[those, 1], shard.doc[other[those]], shard.at[other[those]], other_sizes[those])
+                    rows.append({"kind": k, "lead": lead, "bucket": int(j)} | {n: x.tobytes() for n, x in zip(("prints", "more", "docs", "places", "sizes"), packed, strict=True)})
             return _rows(rows)
 
         for (lead, _), block in grouped(batches, ["lead", "sub"]):
             n_sub = block.column("n_sub")[0].as_py()
-            pieces = list(zip(*(block.column(k).to_pylist() for k in ("member", "start", "raw")), strict=True))
+            pieces = list(zip(*(block.column(k).to_pylist() for k in ("member", "start", "raw", "owned", "last")), strict=True))
             more = sum(len(x[2]) for x in pieces)
             if held and (n_sub > 1 or size + more > SHARD_BYTES):
                 yield flush()
@@ -275,92 +393,117 @@ def repeat_spans(docs: DataFrame, window: int = 400, gram: int = 100, most: int
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in grouped(batches, ["lead", "bucket"]):
-            lists = [np.frombuffer(x, np.uint64) for x in block.column("prints").to_pylist()]
-            every = np.sort(np.concatenate(lists))
-            twice = np.unique(every[1:][every[1:] == every[:-1]])
-            if not len(twice):
-                continue
+        for (_, _, kind), block in grouped(batches, ["lead", "bucket", "kind"]):
+            read = lambda name, of: [np.frombuffer(x, of) for x in block.column(name).to_pylist()]
+            lists = [np.stack(x, axis=1) for x in zip(read("prints", np.uint64), read("more", np.uint64), strict=True)]
             rows = []
-            for own, ids, places in zip(lists, block.column("docs").to_pylist(), block.column("places").to_pylist(), strict=True):
-                hit = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
-                rows += _spans(np.frombuffer(ids, np.int64)[hit], np.frombuffer(places, np.int64)[hit], window)
+            for hit, ids, places, sizes in zip(_several(lists), read("docs", np.int64), read("places", np.int64), read("sizes", np.int64), strict=True):
+                rows += _spans(kind, ids[hit], places[hit], sizes[hit])
             yield _rows(rows)
 
     n = shuffle_partitions(spark)
-    texts = docs.select(F.col("doc_id").alias("member"), "text")
-    pieces = dealt.join(texts, "member").select("lead", "sub", "n_sub", "member", "tokens", "text")
-    pieces = pieces.mapInArrow(cut, "lead long, sub int, n_sub int, member long, start long, raw binary")
+    texts = docs.select(F.col("doc_id").alias("member"), F.unhex(F.sha2("text", 256)).alias("digest"), "text").hint("merge")
+    pieces = dealt.join(searched, "member").join(texts, ["member", "digest"]).select("lead", "sub", "n_sub", "member", "tokens", "text")
+    pieces = pieces.mapInArrow(cut, "lead long, sub int, n_sub int, member long, start long, raw binary, owned long, last boolean")
     result = pieces.repartition(n, "lead", "sub").sortWithinPartitions("lead", "sub").mapInArrow(solve, _FOUND)
     result = scratch.save(result, "found")
-    parts = result.filter("bucket is not null").select("lead", "bucket", "prints", "docs", "places")
-    across = parts.repartition(n, "lead", "bucket").sortWithinPartitions("lead", "bucket").mapInArrow(merge, _FOUND)
-    spans = result.filter("bucket is null").unionByName(across).groupBy("doc_id").agg(
+    scratch.drop("pairs", "splits")
+    parts = result.filter("bucket is not null").drop("doc_id", "opens", "closes")
+    across = parts.repartition(n, "lead", "bucket").sortWithinPartitions("lead", "bucket", "kind").mapInArrow(merge, _FOUND)
+    spans = result.filter("bucket is null").unionByName(across).groupBy("doc_id", "kind").agg(
         F.flatten(F.collect_list("opens")).alias("opens"), F.flatten(F.collect_list("closes")).alias("closes")
     )
-    spans = scratch.save(spans, "spans")
-    facts = facts.select("doc_id", "n_bytes", "digest").join(classes.filter("copied").select("digest", "copied"), "digest", "left")
-    facts = facts.select("doc_id", "n_bytes", F.lower(F.hex("digest")).alias("sha256"), F.coalesce("copied", F.lit(False)).alias("copied"))
-    return scratch.save(facts, "marked"), spans
+    hexed = F.lower(F.hex("digest")).alias("sha256")
+    spans = scratch.save(spans.join(searched.select(F.col("member").alias("doc_id"), hexed), "doc_id"), "spans")
+    facts = facts.select("doc_id", "n_bytes", "digest", "windowed").join(classes.filter("copied").select("digest", "copied"), "digest", "left")
+    facts = scratch.save(facts.select("doc_id", "n_bytes", hexed, "windowed", F.coalesce("copied", F.lit(False)).alias("copied")), "marked")
+    scratch.drop("facts", "classes", "searched", "found")
+    return facts, spans
 
 
 def _kept(raw: bytes, opens: np.ndarray, closes: np.ndarray) -> tuple[bytes, int]:
     """What lies outside the spans, and the number of maximal spans."""
-    order = np.argsort(opens)
-    opens, closes = opens[order], np.maximum.accumulate(closes[order])
-    new = np.append(True, opens[1:] > closes[:-1])
-    opens, closes = opens[new], closes[np.append(np.flatnonzero(new)[1:] - 1, len(closes) - 1)]
+    if not len(opens):
+        return raw, 0
+    order = np.argsort(opens, kind="stable")
+    opens, closes = _covered(opens[order], closes[order])
     return b"".join(raw[a:b] for a, b in zip(np.append(0, closes), np.append(opens, len(raw)), strict=True)), len(opens)
 
 
-def repeat_digests(docs: DataFrame, window: int = 400, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 after removing every byte under a `window`-byte string that also starts elsewhere.
+#: Passages that count as repeated text beside the byte strings of a fixed length.
+PASSAGES = WordWindows()
 
-    Null text is empty; texts under `window` bytes lose nothing. Repeated rows of one doc_id are one document and no repeat of each other.
+
+def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def repeat_digests(docs: DataFrame, window: int = 400, passages: WordWindows = PASSAGES, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 after removing every byte under a `window`-byte string that also
+    starts elsewhere; then passage_bytes and has_passage, the bytes under windows of `passages` that also start elsewhere.
+
+    Null text is empty; texts without a window lose nothing. Repeated rows of one doc_id are one document and no repeat of
+    each other. Where rows of one doc_id differ in text, the text of the least SHA-256 stands for the document, the others lose nothing
+    unless another document has all their bytes. A row without doc_id loses nothing.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    facts, spans = repeat_spans(docs, window, **options)
+    docs = _slim(docs, doc_id, text)
+    facts, spans = repeat_spans(docs, [ByteWindows(window), passages], **options)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"doc_id": batch.column("doc_id"), "gone": [], "n_spans": [], "kept": []}
-            for raw, opens, closes in zip(batch.column("text"), batch.column("opens"), batch.column("closes"), strict=True):
+            out: dict[str, list] = {"doc_id": batch.column("doc_id"), "sha256": batch.column("sha256"), "gone": [], "n_spans": [], "kept": [], "passage": []}
+            for raw, kinds, opens, closes in zip(batch.column("text"), *(batch.column(k).to_pylist() for k in ("kinds", "opens", "closes")), strict=True):
                 raw = raw.as_buffer().to_pybytes()
-                kept, runs = _kept(raw, opens.values.to_numpy(), closes.values.to_numpy())
-                out["gone"].append(len(raw) - len(kept))
-                out["n_spans"].append(runs)
-                out["kept"].append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_pydict(out)
-
-    partly = facts.filter("not copied").select("doc_id").join(spans, "doc_id").join(docs, "doc_id").select("doc_id", "text", "opens", "closes")
-    partly = partly.mapInArrow(measure, "doc_id long, gone long, n_spans long, kept string").dropDuplicates(["doc_id"])
-    joined = facts.join(partly, "doc_id", "left")
+                left, runs, digest = [len(raw)] * 2, [0, 0], None
+                for k, a, b in zip(kinds, opens, closes, strict=True):
+                    kept, runs[k] = _kept(raw, np.array(a, np.int64), np.array(b, np.int64))
+                    left[k] = len(kept)
+                    digest = hashlib.sha256(kept).hexdigest() if k == 0 else digest
+                out["gone"].append(len(raw) - left[0])
+                out["passage"].append(len(raw) - left[1])
+                out["n_spans"].append(runs[0])
+                out["kept"].append(digest)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("sha256", pa.string()), ("gone", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string()), ("passage", pa.int64())]))
+
+    key = ["doc_id", "sha256"]
+    marks = spans.groupBy(*key).agg(*(F.collect_list(F.struct("kind", "opens", "closes"))[c].alias(n) for c, n in (("kind", "kinds"), ("opens", "opens"), ("closes", "closes"))))
+    marks = marks.join(facts.filter("not copied").select(*key).distinct(), key, "left_semi")
+    partly = docs.withColumn("sha256", F.sha2("text", 256)).hint("merge").join(marks, key).select(*key, "text", "kinds", "opens", "closes")
+    partly = partly.mapInArrow(measure, "doc_id long, sha256 string, gone long, n_spans long, kept string, passage long").dropDuplicates(key)
+    joined = facts.join(partly, key, "left")
     empty = hashlib.sha256(b"").hexdigest()
+    whole = [F.col("copied") & F.col("windowed")[k] for k in (0, 1)]
     return joined.select(
         "doc_id",
         "n_bytes",
-        F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
-        F.when(F.col("copied"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("copied"), F.lit(empty)).otherwise(F.coalesce("kept", "sha256")).alias("kept_sha256"),
+        F.when(whole[0], F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
+        F.when(whole[0], F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(whole[0], F.lit(empty)).otherwise(F.coalesce("kept", "sha256")).alias("kept_sha256"),
+        F.when(whole[1], F.col("n_bytes")).otherwise(F.coalesce("passage", F.lit(0))).alias("passage_bytes"),
+        (whole[1] | (F.coalesce("passage", F.lit(0)) > 0)).alias("has_passage"),
     )
 
 
-def without_repeats(docs: DataFrame, window: int = 400, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with the repeated bytes cut out of `text`, all rows and columns kept; of a character cut in part nothing stays."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    facts, spans = repeat_spans(slim, window, **options)
-    marks = facts.filter("copied").select("doc_id", "copied").distinct().join(spans, "doc_id", "full")
-    marks = marks.select(F.col("doc_id").alias("_id"), F.col("copied").alias("_copied"), F.col("opens").alias("_opens"), F.col("closes").alias("_closes"))
-    joined = docs.join(marks, docs[doc_id] == marks["_id"], "left")
+def without_repeats(docs: DataFrame, windows: ByteWindows | WordWindows = PASSAGES, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with all bytes under repeated `windows` cut out of `text`, all rows and columns kept; of a character cut in part nothing stays.
+
+    A text that another document has whole becomes empty if it holds a window. Repeated, differing and missing doc_ids as in repeat_digests.
+    """
+    facts, spans = repeat_spans(_slim(docs, doc_id, text), [windows], **options)
+    copied = facts.filter(F.col("copied") & F.col("windowed")[0]).select("doc_id", "sha256").distinct().withColumn("whole", F.lit(True))
+    marks = copied.join(spans.drop("kind"), ["doc_id", "sha256"], "full")
+    marks = marks.select(F.col("doc_id").alias("_id"), F.col("sha256").alias("_sha256"), F.col("whole").alias("_whole"), F.col("opens").alias("_opens"), F.col("closes").alias("_closes"))
+    same = (docs[doc_id].cast("long") == marks["_id"]) & (F.sha2(F.coalesce(docs[text], F.lit("")), 256) == marks["_sha256"])
+    joined = docs.hint("merge").join(marks, same, "left")
     names, at = docs.columns, docs.columns.index(text)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(k) for k in range(len(names))]
             texts = []
-            for raw, copied, opens, closes in zip(columns[at], *(batch.column(len(names) + k) for k in (1, 2, 3)), strict=True):
-                if copied.as_py():
-                    texts.append("")
+            for raw, whole, opens, closes in zip(columns[at], *(batch.column(len(names) + k) for k in (2, 3, 4)), strict=True):
+                if whole.as_py():
+                    texts.append("" if raw.is_valid else None)
                 elif opens.is_valid and raw.is_valid:
                     kept, _ = _kept(raw.as_buffer().to_pybytes(), opens.values.to_numpy(), closes.values.to_numpy())
                     texts.append(kept.decode("utf-8", "ignore"))

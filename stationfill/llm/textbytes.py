@@ -29,8 +29,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: A 64-bit code for each byte value, so that the polynomial below isn't over small integers.
 CODES = mix(np.arange(1, 257, dtype=np.uint64) * U(_ODD))
-_BASE = 0x2545F4914F6CDD1D
-_powers: dict[str, np.ndarray] = {}
+#: Odd bases of the polynomial; two of them make a print of 128 bits.
+BASES = 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Powers up to here are kept between calls; a longer text gets its own.
 KEPT = 1 << 21
 
@@ -41,22 +42,22 @@ def _series(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i up to n."""
-    inverse = pow(_BASE, -1, 1 << 64)
+def powers(n: int, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i up to n."""
+    inverse = pow(base, -1, 1 << 64)
     if n >= KEPT:
-        return _series(_BASE, n + 1), _series(inverse, n + 1)
-    if len(_powers.get("up", ())) <= n:
+        return _series(base, n + 1), _series(inverse, n + 1)
+    if base not in _powers or len(_powers[base][0]) <= n:
         size = min(KEPT, max(n + 1, 1 << 16) * 2)
-        _powers["up"], _powers["down"] = _series(_BASE, size), _series(inverse, size)
-    return _powers["up"], _powers["down"]
+        _powers[base] = _series(base, size), _series(inverse, size)
+    return _powers[base]
 
 
 class RollingHash:
     """Prefix sums of a polynomial over one buffer; the hash of any slice costs two look-ups."""
 
-    def __init__(self, data: np.ndarray):
-        self.up, self.down = powers(len(data) + 1)
+    def __init__(self, data: np.ndarray, base: int = BASES[0]):
+        self.up, self.down = powers(len(data) + 1, base)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(CODES[data] * self.up[: len(data)], out=self.prefix[1:])
 
@@ -64,6 +65,32 @@ class RollingHash:
         return mix((self.prefix[ends] - self.prefix[starts]) * self.down[starts])
 
 
+#: Bytes of a text that the scans below hold arrays for at a time.
+PIECE = 1 << 20
+
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """RollingHash(data).of(starts, ends) for ascending starts and ends, with arrays of one piece of a long buffer at a time."""
+    if len(data) <= PIECE:
+        return RollingHash(data).of(starts, ends)
+    opens, closes, down = (np.empty(len(starts), np.uint64) for _ in range(3))
+    carry, up_base, down_base = U(0), U(1), U(1)
+    up, inverse = powers(PIECE)
+    for at in range(0, len(data), PIECE):
+        part = data[at : at + PIECE]
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(CODES[part] * up[: len(part)], out=prefix[1:])
+        prefix = prefix * up_base + carry
+        i, j = np.searchsorted(starts, [at, at + len(part)])
+        opens[i:j], down[i:j] = prefix[starts[i:j] - at], inverse[starts[i:j] - at] * down_base
+        i, j = np.searchsorted(ends, [at, at + len(part)], "right")
+        closes[i:j] = prefix[ends[i:j] - at]
+        carry = prefix[-1]
+        with np.errstate(over="ignore"):
+            up_base, down_base = up_base * up[PIECE], down_base * inverse[PIECE]
+    return mix((closes - opens) * down)
+
+
 def slices(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of at most `rows` rows with about `most` bytes; a longer text is a run of its own. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -123,7 +150,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[
     """
     data = LOWER[data]
     starts, ends, rows = words(data, offsets)
-    hashes = RollingHash(data).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    hashes = slice_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
     n = len(offsets) - 1
     first = np.searchsorted(rows, np.arange(n + 1))
     keys = mix(np.arange(1, width + 1, dtype=np.uint64) * U(_ODD)) | U(1)

@@ -128,27 +128,92 @@ def test_components(spark):
     assert got(found, "id", "component") == set(classes(edges, {x for e in edges for x in e} | ids).items()) & {(i, c) for i in ids for c in range(200)}
 
 
-@pytest.mark.parametrize(("window", "gram", "most"), [(400, 100, 128), (60, 20, 2)])
-def test_suffix_dedup(docs, empty, window, gram, most):
+def covered(raws, windows):
+    """Per text which bytes lie under its windows (start, bytes) that occur twice."""
+    seen = Counter(w for own in windows.values() for w in own.values())
+    out = {}
+    for i, b in raws.items():
+        gone = np.zeros(len(b), bool)
+        for k, w in windows[i].items():
+            if seen[w] > 1:
+                gone[k : k + len(w[0])] = True
+        out[i] = gone
+    return out
+
+
+def byte_windows(raws, size):
+    return {i: {k: (b[k : k + size],) for k in range(len(b) - size + 1)} for i, b in raws.items()}
+
+
+def word_windows(raws, n, least, most):
+    out = {}
+    for i, b in raws.items():
+        found = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        out[i] = {}
+        for k, (start, _) in enumerate(found):
+            size = min(most, max(least, found[k + n - 1][1] - start)) if k + n <= len(found) else most
+            if start + size <= len(b):
+                out[i][start] = (b[start : start + size], size)
+    return out
+
+
+@pytest.mark.parametrize(("window", "gram", "most", "words"), [(400, 64, 128, (50, 200, 512)), (60, 20, 2, (12, 40, 70))])
+def test_suffix_dedup(docs, empty, window, gram, most, words):
     raws = {i: t.encode() for i, t in texts_of(docs).items()}
-    seen = Counter(b[k : k + window] for b in raws.values() for k in range(len(b) - window + 1))
+    gone, passages = covered(raws, byte_windows(raws, window)), covered(raws, word_windows(raws, *words))
     want = set()
     for i, b in raws.items():
-        gone = np.zeros(len(b), bool)
-        for k in range(len(b) - window + 1):
-            if seen[b[k : k + window]] > 1:
-                gone[k : k + window] = True
-        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        want.add((i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
-    assert any(x[2] and x[2] < x[1] for x in want)
-    assert got(suffix_dedup.repeat_digests(docs, window, gram=gram, most=most), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
-    kept = suffix_dedup.without_repeats(docs, window, gram=gram, most=most)
+        spans = int((np.diff(np.concatenate([[0], gone[i].astype(int)])) == 1).sum())
+        want.add((i, len(b), int(gone[i].sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone[i]])).hexdigest(), bool(passages[i].any())))
+    assert any(x[2] and x[2] < x[1] for x in want) and len({x[5] for x in want}) == 2
+    kind = suffix_dedup.WordWindows(*words)
+    found = suffix_dedup.repeat_digests(docs, window, kind, gram=gram, most=most)
+    assert got(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_passage") == want
+    same = Counter(raws.values())
+    assert all(r["passage_bytes"] == passages[r["doc_id"]].sum() for r in found.collect() if same[raws[r["doc_id"]]] == 1)
+    kept = suffix_dedup.without_repeats(docs, kind, gram=gram, most=most)
     assert kept.columns == docs.columns and kept.count() == docs.count()
-    sizes = {x[0]: x[1] - x[2] for x in want}
-    assert all(len((r["text"] or "").encode()) <= sizes[r["doc_id"]] for r in kept.collect())
+    for r in kept.collect():
+        raw = raws[r["doc_id"]]
+        if same[raw] == 1:
+            assert (r["text"] or "").encode() == bytes(np.frombuffer(raw, np.uint8)[~passages[r["doc_id"]]]).decode("utf-8", "ignore").encode()
     assert suffix_dedup.repeat_digests(empty).count() == 0
 
 
+def test_suffix_dedup_of_long_texts_and_odd_ids(spark, monkeypatch):
+    """Texts over the size of a piece and of a shard; one doc_id with two texts, and none."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 3000)
+    monkeypatch.setattr(textbytes, "PIECE", 1000)
+    rng = random.Random(11)
+    long, passage = prose(rng, 4000), prose(rng, 90)
+    rows = [(1, long + " one " + passage), (2, long[5000:]), (3, passage), (4, prose(rng, 80)), (None, passage), (4, passage + " x")]
+    raws = {k: (t or "").encode() for k, (_, t) in enumerate(rows[:4])}
+    # of the texts of document 4 the one with the least digest takes part
+    four = min((rows[3][1], rows[5][1]), key=lambda t: hashlib.sha256(t.encode()).digest())
+    raws[3] = four.encode()
+    gone = covered(raws, byte_windows(raws, 400))
+    found = {(r["doc_id"], r["n_bytes"]): r for r in suffix_dedup.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string"), gram=64).collect()}
+    for k in range(4):
+        r = found[(rows[k][0], len(raws[k]))]
+        assert (r["n_removed"], r["kept_sha256"]) == (gone[k].sum(), hashlib.sha256(bytes(np.frombuffer(raws[k], np.uint8)[~gone[k]])).hexdigest())
+    assert len(found) == 6
+
+
+def test_hashes_in_pieces():
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    starts = np.sort(rng.integers(0, 4000, 300))
+    ends = np.maximum.accumulate(starts + rng.integers(1, 500, 300))
+    want = textbytes.RollingHash(data).of(starts, ends)
+    for piece in (64, 1000, 4999):
+        textbytes.PIECE, held = piece, textbytes.PIECE
+        try:
+            assert (textbytes.slice_hashes(data, starts, ends) == want).all()
+        finally:
+            textbytes.PIECE = held
+
+
 def test_byte_bpe(docs, empty):
     import tiktoken
 
