@@ -8,12 +8,12 @@ contracts each distinct word once and keeps a bounded memory of words.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +52,8 @@ WITH RECURSIVE step(n, w, p, follows, id, after, t) AS (
 SELECT n, w, p, id FROM step SEMI JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) l USING (w, n) ORDER BY w, p
 """
 
-#: For long words: all places of the least pair in one step, leftmost first where they overlap. Used only where no pair
-#: with the new token ranks below it, so that the order of these contractions can't matter.
+#: For long words: the same contractions, but those of the least pair's other places, leftmost first, in one step, where
+#: no pair with the new token ranks below it: then they would follow one by one. Else one a step.
 STEP_LONG = """
 WITH RECURSIVE step(n, w, p, id) AS (
   SELECT 0, w, p, id FROM start
@@ -77,58 +77,61 @@ WITH RECURSIVE step(n, w, p, id) AS (
 SELECT n, w, p, id FROM (SELECT *, max(n) OVER (PARTITION BY w) AS last FROM step) WHERE n = last ORDER BY w, p
 """
 
-DECODE = "SELECT w, string_agg(v.hex, '' ORDER BY p) AS hex FROM tokens JOIN vocabulary v USING (id) GROUP BY w"
+WHOLE = "SELECT w, 0::INTEGER AS p, id FROM words JOIN vocabulary USING (raw)"
+
+DECODE = "SELECT count(*) AS n, unhex(string_agg(v.hex, '' ORDER BY p)) AS raw FROM tokens JOIN vocabulary v USING (id) GROUP BY w ORDER BY w"
+
+#: Bytes of a word from which one step contracts all places of its least pair, and words that a query takes.
+LONG = 256
+WORDS = 50_000
+
+#: A space that white space or the end follows (more than that does no harm).
+LOOSE = r" ([\s\v\pZ\x{1c}-\x{1f}\x{85}]|$)"
 
 
 class Memory:
-    """A bounded dictionary of two generations: a full one becomes the older, and keys still in use move to the younger."""
+    """Ids and decoded bytes by text, in two generations: a full one becomes the older, and keys still in use move to the younger."""
 
     def __init__(self, most: int):
-        self.young: dict = {}
-        self.old: dict = {}
+        self.young: tuple[dict, dict] = {}, {}
+        self.old: tuple[dict, dict] = {}, {}
         self.most = most
 
+    def turn(self) -> None:
+        if len(self.young[0]) > self.most:
+            self.old, self.young = self.young, ({}, {})
+
     def missing(self, keys: set) -> list:
-        """The keys that neither generation has; until the next call all others are in the younger."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        rest = []
-        for x in keys - self.young.keys():
-            if x in self.old:
-                self.young[x] = self.old[x]
-            else:
-                rest.append(x)
-        return rest
+        """The keys that neither generation has; until the next turn all others are in the younger."""
+        unknown = keys - self.young[0].keys()
+        again = unknown & self.old[0].keys()
+        for young, old in zip(self.young, self.old, strict=True):
+            young.update((x, old[x]) for x in again)
+        return list(unknown - again)
 
 
 class Encoder:
-    """Merges and vocabulary of a rank file in a DuckDB connection, and the chunks of text seen so far."""
+    """Merges and vocabulary of a rank file in a DuckDB connection, and a memory of parts of texts: their ids and decoded bytes."""
 
-    def __init__(self, path: str, pattern: str, most: int = 250_000, rows: int = 3_000_000):
+    def __init__(self, path: str, pattern: str, most: int = 400_000, rows: int = 3_000_000):
         import duckdb
         import regex
 
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-        self.split, self.most, self.rows = regex.compile(pattern), most, rows
-        self.loose = regex.compile(r" (\s|$)")
-        self.bytes_of = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        pairs = [
-            (self.ranks[token[:k]] << 32 | self.ranks[token[k:]], t)
-            for token, t in self.ranks.items()
-            for k in range(1, len(token))
-            if token[:k] in self.ranks and token[k:] in self.ranks
-        ]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        self.split, self.rows = regex.compile(pattern), rows
+        self.gap = regex.compile(r" (?=\S)")
+        self.bytes_of = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        pairs = [(ranks[token[:k]] << 32 | ranks[token[k:]], t) for token, t in ranks.items() for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks]
         below = {x for pair, t in pairs for x in (pair >> 32, pair & 0xFFFFFFFF) if t < x}
         self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self._table("merges", pair=pa.array([p for p, _ in pairs], pa.int64()), t=pa.array([t for _, t in pairs], pa.int32()), every=[t not in below for _, t in pairs])
-        self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int32()), hex=[x.hex() for x in self.ranks])
-        self.chunks, self.matches = Memory(most), Memory(most)
+        self._table("vocabulary", id=pa.array(list(ranks.values()), pa.int32()), raw=pa.array(list(ranks), pa.binary()), hex=[x.hex() for x in ranks])
+        self.memory = Memory(most)
 
     @staticmethod
     def at(path: str, pattern: str) -> Encoder:
         if (path, pattern) not in _loaded:
             _loaded[path, pattern] = Encoder(path, pattern)
-            gc.disable()  # no cycles are made here, and a search for them would walk the whole memory of words again and again
         return _loaded[path, pattern]
 
     def _table(self, name: str, **columns) -> None:
@@ -136,81 +139,103 @@ class Encoder:
         self.duck.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given").fetchall()
         self.duck.unregister("given")
 
-    def _contract(self, raws: list[bytes], query: str) -> pa.Table:
+    def _contract(self, w: np.ndarray, raws: list[bytes], query: str) -> Iterator[pa.Table]:
         """(w, p, id) of all words; a query runs so many steps that its rows fit, and what isn't finished goes on."""
         lengths = np.array([len(x) for x in raws])
-        w = np.repeat(np.arange(len(raws), dtype=np.int32), lengths)
         p = (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-        rows = pa.table({"w": w, "p": p, "id": self.bytes_of[np.frombuffer(b"".join(raws), np.uint8)]})
-        done = []
+        rows = pa.table({"w": np.repeat(w, lengths), "p": p, "id": self.bytes_of[np.frombuffer(b"".join(raws), np.uint8)]})
         while rows.num_rows:
             most = max(8, self.rows // rows.num_rows)
             self._table("start", w=rows.column("w"), p=rows.column("p"), id=rows.column("id"))
             found = self.duck.sql(query.replace("$most", str(most))).to_arrow_table()
             over = found.column("n").to_numpy() < most
-            done.append(found.filter(pa.array(over)).select(["w", "p", "id"]))
+            yield found.filter(pa.array(over)).select(["w", "p", "id"])
             rows = found.filter(pa.array(~over)).select(["w", "p", "id"])
-        return pa.concat_tables(done).sort_by([("w", "ascending"), ("p", "ascending")])
-
-    def words(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids (little-endian, 32 bits each) and decoded bytes of each distinct match of the pattern."""
-        out: dict[str, tuple[bytes, bytes]] = {}
-        rest: dict[str, list[tuple[str, bytes]]] = {STEP: [], STEP_LONG: []}
-        for word in words:
-            raw = word.encode()
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                out[word] = np.array([whole], "<u4").tobytes(), raw
-            else:
-                rest[STEP if len(raw) <= 64 else STEP_LONG].append((word, raw))
-        for query, those in rest.items():
-            for at in range(0, len(those), 25_000):
-                part = those[at : at + 25_000]
-                tokens = self._contract([raw for _, raw in part], query)
-                self._table("tokens", w=tokens.column("w"), p=tokens.column("p"), id=tokens.column("id"))
-                back = dict(zip(*(c.to_pylist() for c in self.duck.sql(DECODE).to_arrow_table().columns), strict=True))
-                cuts = np.searchsorted(tokens.column("w").to_numpy(), np.arange(len(part) + 1))
-                ids = tokens.column("id").to_numpy().astype("<u4")
-                for k, (word, _) in enumerate(part):
-                    out[word] = ids[cuts[k] : cuts[k + 1]].tobytes(), bytes.fromhex(back[k])
-        return out
-
-    def cut(self, text: str) -> list[str]:
-        """Parts between which no match reaches: before each space, unless a space precedes white space or the end."""
-        if self.loose.search(text):
-            return [text]
-        first, *others = text.split(" ")
-        return [first, *[" " + x for x in others]]
+
+    def words(self, words: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids (little-endian, 32 bits each) and the bytes they decode to, of distinct matches of the pattern."""
+        raws = [x.encode() for x in words]
+        self._table("words", w=np.arange(len(raws), dtype=np.int32), raw=pa.array(raws, pa.binary()))
+        tokens = [self.duck.sql(WHOLE).to_arrow_table()]
+        rest = np.ones(len(raws), bool)
+        rest[tokens[0].column("w").to_numpy()] = False
+        long = np.fromiter((len(x) > LONG for x in raws), bool, len(raws))
+        for query, chosen in ((STEP, rest & ~long), (STEP_LONG, rest & long)):
+            if chosen.any():
+                w = np.flatnonzero(chosen).astype(np.int32)
+                tokens += self._contract(w, [raws[i] for i in w.tolist()], query)
+        tokens = pa.concat_tables(tokens)
+        self._table("tokens", w=tokens.column("w"), p=tokens.column("p"), id=tokens.column("id"))
+        back = self.duck.sql(DECODE).to_arrow_table()
+        tokens = self.duck.sql("SELECT id FROM tokens ORDER BY w, p").to_arrow_table()
+        cuts = np.append(0, np.cumsum(back.column("n").to_numpy())) * 4
+        ids = pa.py_buffer(tokens.column("id").to_numpy().astype("<i4").tobytes())
+        ids = pa.BinaryArray.from_buffers(pa.binary(), len(raws), [None, pa.py_buffer(cuts.astype(np.int32)), ids])
+        return ids.to_pylist(), back.column("raw").to_pylist()
 
     def match(self, part: str) -> list[str]:
-        """The pattern's matches in a part of a text. A space and letters are one, and a mark after them another: no search is needed."""
-        if part[:1] == " ":
-            if part[1:].isalpha():
-                return [part]
-            if part[-1] in ".,;:!?" and part[1:-1].isalpha():
-                return [part[:-1], part[-1]]
+        """The pattern's matches in a part of a text. A space and letters with a mark after them are two: no search is needed."""
+        if part[:1] == " " and part[-1] in ".,;:!?" and part[1:-1].isalpha():
+            return [part[:-1], part[-1]]
         return self.split.findall(part)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids and decoded bytes of whole texts."""
-        parts = [self.cut(x) for x in texts]
-        every: set[str] = set()
-        every.update(*parts)
-        found = {x: self.match(x) for x in self.chunks.missing(every)}
+    def learn(self, parts: list[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """The memory with all parts of texts in it: a part has the ids and bytes of its matches one after the other."""
+        memory = self.memory
+        memory.turn()
         new: set[str] = set()
-        new.update(*found.values())
-        learned = self.words(self.matches.missing(new))
-        self.matches.young.update(learned)
-        known, chunks = self.matches.young, self.chunks.young
-        for x, matches in found.items():
-            if len(matches) == 1:
-                chunks[x] = known[matches[0]]
-            else:
-                both = [known[w] for w in matches]
-                chunks[x] = b"".join([i for i, _ in both]), b"".join([b for _, b in both])
-        for part in parts:
-            both = [*map(chunks.__getitem__, part)]
-            yield b"".join([x for x, _ in both]), b"".join([y for _, y in both])
+        several: dict[str, list[str]] = {}
+        for x in memory.missing(set(parts)):
+            if x[:1] == " " and x[1:].isalpha():
+                new.add(x)
+                continue
+            matches = self.match(x)
+            if len(matches) != 1:
+                several[x] = matches
+            new.update(matches)
+        missing = memory.missing(new)
+        for at in range(0, len(missing), WORDS):
+            some = missing[at : at + WORDS]
+            for held, values in zip(memory.young, self.words(some), strict=True):
+                held.update(zip(some, values, strict=True))
+        for held in memory.young:
+            held.update((x, b"".join([held[w] for w in matches])) for x, matches in several.items())
+        return memory.young
+
+    def cut(self, texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct parts of the texts, the number of each part in their order, and where each text begins there.
+
+        No match reaches over a space that a non-white character follows, so the texts are cut before those.
+        """
+        odd = pc.match_substring_regex(texts, LOOSE)
+        lists = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        rest = [self.gap.split(x) for x in texts.filter(odd).to_pylist()]  # a space before white space stays in its part
+        flat = pa.concat_arrays([lists.flatten(), pa.array([x for parts in rest for x in parts], pa.string())]).dictionary_encode()
+        own = np.append(np.diff(lists.offsets.to_numpy()), [len(x) for x in rest]).astype(np.int64)
+        place = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
+        sizes, begins = np.empty_like(own), np.empty_like(own)
+        sizes[place], begins[place] = own, np.cumsum(own) - own
+        cuts = np.append(0, np.cumsum(sizes))
+        if len(rest):
+            flat = flat.take(pa.array(np.arange(cuts[-1]) + np.repeat(begins - cuts[:-1], sizes)))
+        first = flat.take(pa.array(cuts[:-1])).to_pylist()
+        parts = [" " + x for x in flat.dictionary.to_pylist()]
+        number = flat.indices.to_numpy().astype(np.int64)
+        number[cuts[:-1]] = len(parts) + np.arange(len(first))
+        return parts + first, number, cuts
+
+    def encode(self, texts: pa.StringArray) -> tuple[list[memoryview], list[memoryview]]:
+        """Ids and decoded bytes of whole texts."""
+        parts, number, cuts = self.cut(texts)
+        return tuple(_joined([held[x] for x in parts], number, cuts) for held in self.learn(parts))
+
+
+def _joined(values: list[bytes], number: np.ndarray, cuts: np.ndarray) -> list[memoryview]:
+    """For each text the values of its parts in their order."""
+    laid = pa.array(values, pa.large_binary()).take(pa.array(number))
+    ends = np.frombuffer(laid.buffers()[1], np.int64)[cuts].tolist()
+    data = memoryview(laid.buffers()[2] or b"").cast("B")
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -224,18 +249,17 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(ranks, pattern)
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column("text"), 1 << 22):
-                raw = data.tobytes()
-                texts = [raw[i:j].decode() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-                out: dict[str, list] = {"doc_id": batch.column("doc_id").slice(a, b - a), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+            whole = pc.fill_null(batch.column("text"), "")
+            for a, b, *_ in slices(whole, 1 << 23):
+                ids, back = encoder.encode(whole.slice(a, b - a))
+                out: dict[str, object] = {
+                    "doc_id": batch.column("doc_id").slice(a, b - a),
+                    "n_tokens": [len(x) // 4 for x in ids],
+                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+                    "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back],
+                }
                 if with_ids:
-                    out["ids"] = []
-                for ids, back in encoder.encode(texts):
-                    out["n_tokens"].append(len(ids) // 4)
-                    out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
-                    if with_ids:
-                        out["ids"].append(np.frombuffer(ids, "<u4").astype(np.int64))
+                    out["ids"] = pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(out)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, kinds)

@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers as tokenizers_of
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,7 +228,7 @@ def test_byte_bpe(docs, empty):
     assert bpe.encode_decode(empty, RANKS, tokenizers_of.PATTERN).count() == 0
     odd = ["  a  b ", "a   b", "a\n b", "a \nb", "don't it's", "é" * 80, "日本 語", "🙂 🙂", "\x00", "12345 67", "a", "the, end.", " x!"]
     encoder = bpe.Encoder(RANKS, tokenizers_of.PATTERN)
-    for text, (ids, back) in zip(odd, encoder.encode(odd), strict=True):
+    for text, ids, back in zip(odd, *encoder.encode(pa.array(odd)), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode_ordinary(text) and back == text.encode()
 
 
