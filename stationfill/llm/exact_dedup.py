@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationfill.llm.common import Scratch
@@ -11,10 +13,13 @@ from stationfill.llm.common import Scratch
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 
 
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_RUN, " "), 256))
+
+
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the SHA-256 of each normalised text as 32 bytes; a null text is empty, and equals an empty text."""
-    normal = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITE_RUN, " ")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(normal, 256)).alias("digest"))
+    return docs.select(F.col(doc_id).alias("doc_id"), digest_of(F.col(text)).alias("digest"))
 
 
 class DigestIndex:
@@ -32,8 +37,10 @@ class DigestIndex:
         return self.spark.catalog.tableExists(self.name)
 
     def append(self, new: DataFrame) -> None:
+        """One file a bucket: rows are dealt by the bucket's own hash before they are written."""
         (
             new.select("digest", "keep_id")
+            .repartition(self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest")
             .sortBy("digest")
             .mode("append")
@@ -41,12 +48,25 @@ class DigestIndex:
             .saveAsTable(self.name)
         )
 
+    def compact(self) -> None:
+        """One sorted file a bucket again, after many appended batches. The old table stays until the new one is whole."""
+        whole = DigestIndex(self.spark, f"{self.name}_{uuid.uuid4().hex}", self.buckets)
+        whole.append(self.spark.read.parquet(*self.spark.table(self.name).inputFiles()))  # as plain files, which the deal isn't left out for
+        old = f"{whole.name}_old"
+        self.spark.sql(f"ALTER TABLE {self.name} RENAME TO {old}")
+        self.spark.sql(f"ALTER TABLE {whole.name} RENAME TO {self.name}")
+        self.spark.sql(f"DROP TABLE {old}")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def ingest(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """One row per row of docs: doc_id, keep_id, group_size, kept, known, digest.
 
         group_size counts the rows of the batch with that text. Where the index knew the text before (`known`),
         keep_id is the indexed document's and no row of the batch is kept; otherwise the row with the smallest doc_id is.
-        Repeated rows of one doc_id are one document: they get the same answer. An empty batch gives no rows.
+        Repeated rows of one doc_id are one document: they get the same answer. A row without doc_id is kept if no row of
+        its text has one. An empty batch gives no rows.
         """
         spark, scratch = self.spark, Scratch(self.spark, "digests")
         rows = scratch.save(digests(docs, doc_id, text), "rows")
@@ -62,7 +82,41 @@ class DigestIndex:
         found = scratch.save(known.unionByName(fresh.withColumn("known", F.lit(False)).select("digest", "keep_id", "group_size", "known")), "found")
         self.append(fresh)
         # Both sides are plain tables, so that adaptive execution can split the partition of a frequent text.
-        joined = rows.join(found, "digest")
-        return joined.select(
-            "doc_id", "keep_id", "group_size", (~F.col("known") & (F.col("doc_id") == F.col("keep_id"))).alias("kept"), "known", "digest"
-        )
+        kept = ~F.col("known") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+        answer = rows.hint("merge").join(found, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "known", "digest")
+        answer = scratch.save(answer, "answer")
+        scratch.drop("rows", "groups", "fresh", "found")
+        return answer
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, digest; of equal texts the row with the smallest doc_id is kept.
+
+    The table comes to a new index as new data would: in batches by ascending doc_id, rows without one last, so that the
+    index knows the smallest doc_id of a text before any other. group_size counts over all batches. Repeated, missing and
+    empty as in DigestIndex.ingest.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "dedup")
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    number = F.col(doc_id).cast("long")
+    least, most = docs.agg(F.min(number), F.max(number)).first()
+    edges = [] if least is None else [least + (most - least) * k // batches for k in range(1, batches)]
+    answers = []
+    for k in range(len(edges) + 1):
+        here = F.lit(True)
+        if k:
+            here = number > edges[k - 1]
+        if k < len(edges):
+            here = here & (number <= edges[k])
+        elif k:
+            here = here | number.isNull()
+        answers.append(index.ingest(docs.filter(here), doc_id, text))
+    rows = answers[0]
+    for more in answers[1:]:
+        rows = rows.unionByName(more)
+    sizes = scratch.save(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size")), "sizes")
+    found = rows.drop("group_size").hint("merge").join(sizes, "digest").select("doc_id", "keep_id", "group_size", "kept", "digest")
+    found = scratch.save(found, "found")
+    index.drop()
+    return found

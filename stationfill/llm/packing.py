@@ -35,7 +35,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.most = most
@@ -47,11 +47,11 @@ class WordEncoder:
         return _loaded[path]
 
     def _stem(self, word: bytes) -> bytes:
-        """The word without the ASCII marks at its end, where what is left ends in a letter or digit: they are words of their own."""
+        """The word without the ASCII marks at its end, where what is left ends in a letter or digit, lower-cased too: they are words of their own."""
         stem = word.rstrip(MARKS)
         if len(stem) == len(word) or not stem:
             return word
-        return stem if stem[-1] < 128 or stem.decode("utf-8", "replace")[-1].isalpha() else word
+        return stem if stem[-1] < 128 or stem.decode("utf-8", "replace")[-1].lower()[-1].isalpha() else word
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.young) > self.most:
@@ -83,12 +83,18 @@ class WordEncoder:
 
     def encode(self, raws: list[bytes], last: bytes) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, followed by `last`."""
-        texts = [x.lower().split() for x in raws]
+        texts = [x.lower() for x in raws]
+        # what may hold the name of a special token goes to the library whole, as it is
+        whole = [any(name in x for name in self.special) for x in texts]
+        parts = [[] if odd else x.split() for x, odd in zip(texts, whole, strict=True)]
         words: set[bytes] = set()
-        words.update(*texts)
+        words.update(*parts)
         self._learn(words)
-        for parts in texts:
-            yield b"".join([*map(self.young.__getitem__, parts), last])
+        for raw, own, odd in zip(raws, parts, whole, strict=True):
+            if odd:
+                yield np.array(self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() + last
+            else:
+                yield b"".join([*map(self.young.__getitem__, own), last])
 
 
 def fillings(lengths: np.ndarray, window: int, partners: int = 6) -> list[tuple[int, ...]]:
@@ -245,7 +251,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2,
 
     A document is its ids and `last_id`; a null text is `last_id` alone. Full windows of a document are sequences of their
     own; what is left of it is packed with others. Sequences hold `window` ids, but for those of a power of two that take
-    the last ids. A repeated row is packed again. No rows give no pieces. `tokenizer` is the path of a vocabulary whose words hold no white space.
+    the last ids. A repeated row is packed again, and so is each text of a doc_id that has several. No rows give no pieces. `tokenizer` is the path of a vocabulary whose words hold no white space.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
@@ -286,9 +292,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2,
         "doc_id", "n", "r", "full", "rest", (F.col("docs_before") + F.col("k") - 1).alias("rank"), (F.col("fulls_before") + F.coalesce("f", F.lit(0))).alias("fulls")
     )
     shared = spark.sparkContext.broadcast((*plan.arrays(), base))
-    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    schema = pa.schema([(k, pa.int64()) for k in names])
+    marked = [*names, "rest"]  # the sum of the document's ids after its full windows, by which its text is known again
+    kinds = ", ".join(f"{k} long" for k in marked)
+    schema = pa.schema([(k, pa.int64()) for k in marked])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, pieces, bases = shared.value
@@ -298,13 +305,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2,
             out = []
             for k, full in enumerate(batch.column("full").to_pylist()):
                 first = bases[int(r[k])] + fulls[k]
-                out += [(ids[k], i * window, window, crc, n[k], first + i, 0) for i, crc in enumerate(full)]
+                out += [(ids[k], i * window, window, crc, n[k], first + i, 0, rest[k]) for i, crc in enumerate(full)]
                 if r[k]:
                     parts = pieces[run[k]]
                     for begin, size, sequence, offset in parts:
                         crc = rest[k] if len(parts) == 1 else None
-                        out.append((ids[k], n[k] - r[k] + begin, size, crc, n[k], sequence + rank[k], offset))
-            yield pa.RecordBatch.from_pydict({k: [x[i] for x in out] for i, k in enumerate(names)}, schema)
+                        out.append((ids[k], n[k] - r[k] + begin, size, crc, n[k], sequence + rank[k], offset, rest[k]))
+            yield pa.RecordBatch.from_pydict({k: [x[i] for x in out] for i, k in enumerate(marked)}, schema)
 
     placed = scratch.save(ranked.mapInArrow(assign, kinds), "placed")
 
@@ -312,18 +319,19 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2,
         encoder, last, ids = WordEncoder.at(tokenizer), None, b""
         for batch in batches:
             out = []
-            for text, *row in zip(batch.column("text"), *(batch.column(k).to_pylist() for k in names), strict=True):
+            for text, *row in zip(batch.column("text"), *(batch.column(k).to_pylist() for k in marked), strict=True):
                 raw = text.as_buffer().to_pybytes()
                 if raw != last:
                     (ids,), last = encoder.encode([raw], end), raw
-                if len(ids) == 4 * row[4]:
+                if len(ids) == 4 * row[4] and zlib.crc32(ids[len(ids) // step * step :]) == row[7]:
                     row[3] = zlib.crc32(ids[4 * row[1] : 4 * (row[1] + row[2])])
                     out.append(row)
-            yield pa.RecordBatch.from_pydict({k: [x[i] for x in out] for i, k in enumerate(names)}, schema)
+            yield pa.RecordBatch.from_pydict({k: [x[i] for x in out] for i, k in enumerate(marked)}, schema)
 
     # Only documents cut below a window are read again, for the sums of their parts. The plan knows how many: few ids are
     # broadcast, so that other texts aren't shuffled; beyond `most_ids` it is a join of both sides.
     cut = placed.filter("ids_crc32 is null")
     wanted = cut.select("doc_id").distinct()
     texts = docs.join(F.broadcast(wanted) if plan.n_cut <= most_ids else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return placed.filter("ids_crc32 is not null").unionByName(cut.join(texts, "doc_id").select(*names, "text").mapInArrow(sums, kinds))
+    summed = cut.join(texts, "doc_id").select(*marked, "text").mapInArrow(sums, kinds).dropDuplicates(["sequence_id", "offset"])
+    return placed.filter("ids_crc32 is not null").unionByName(summed).select(*names)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stationfill.llm.bpe import encode_decode
 from stationfill.llm.common import table
-from stationfill.llm.exact_dedup import DigestIndex
+from stationfill.llm.exact_dedup import dedup
 from stationfill.llm.html_extract import extract
 from stationfill.llm.jaccard_join import similarity_components
 from stationfill.llm.language_id import identify
@@ -32,8 +31,7 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    found = index.ingest(table(spark, sf_dir, "documents"))
+    found = dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -66,24 +66,34 @@ def top_k(
     """(query_id, rank, vec_id, score): for each row of is_query the k rows of the highest integer inner product, its own id left out.
 
     Ties go to the smaller vec_id; a query with fewer candidates gets all. Vectors that are null, or hold a null or
-    non-finite component, take no part, nor do those of another length than the pivots'. Repeated rows of a vec_id count once.
-    Scaled components and scores must fit 64-bit integers. There are `pivots` cells, by default half the square root of the
+    non-finite component, take no part. Vectors of one length are searched among themselves. Repeated rows of a vec_id count
+    once; where they differ, the shortest and then least vector stands for it, a query if any of its rows is. Scaled components and scores must fit 64-bit integers. There are `pivots` cells, by default half the square root of the
     count of vectors, between 16 and 2048. A cell of more than twice the mean size (or `most` rows) is cut into blocks of
     that size, which are the tasks; only pivots and a summary a cell come to the driver.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "voronoi")
-    result = "query_id long, rank int, vec_id long, score long"
     x = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), integers(F.col(vector), scale).alias("x"), is_query.alias("is_query"))
-    x = scratch.save(x.filter("vec_id is not null and x is not null and size(x) > 0").dropDuplicates(["vec_id"]), "integers")
-    total = x.count()
+    x = x.filter("vec_id is not null and x is not null and size(x) > 0")
+    x = x.groupBy("vec_id").agg(F.min(F.struct(F.size("x").alias("n"), "x"))["x"].alias("x"), F.max("is_query").alias("is_query"))
+    x = scratch.save(x, "integers")
+    widths = sorted((r["n"], r["count"]) for r in x.groupBy(F.size("x").alias("n")).count().collect())
+    found = [_of_width(x.filter(F.size("x") == n), Scratch(spark, f"voronoi-{n}"), n, total, k, pivots, most) for n, total in widths]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def _of_width(x: DataFrame, scratch: Scratch, width: int, total: int, k: int, pivots: int | None, most: int, per: int = 4096) -> DataFrame:
+    """top_k of `total` integer vectors x of one length."""
+    spark = x.sparkSession
     pivots = pivots or min(2048, max(16, int(total**0.5) // 2))
     block = min(most, max(256, 2 * total // pivots))
     chosen = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("x").collect()
-    if not chosen:
-        return spark.createDataFrame([], result)
-    width = len(chosen[0]["x"])
-    centres = np.unique(np.array([r["x"] for r in chosen if len(r["x"]) == width], np.int64), axis=0)
+    centres = np.unique(np.array([r["x"] for r in chosen], np.int64).reshape(-1, width), axis=0)
     shared = spark.sparkContext.broadcast(centres)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +109,7 @@ def top_k(
             yield pa.RecordBatch.from_arrays(columns, ["vec_id", "x", "is_query", "cell", "far"])
 
     kinds = "vec_id long, x array<long>, is_query boolean, cell int, far double"
-    settled = scratch.save(x.filter(F.size("x") == width).mapInArrow(settle, kinds), "settled")
+    settled = scratch.save(x.mapInArrow(settle, kinds), "settled")
     # A summary row a cell: its size, its radius, and the distances of the k + 1 rows next to the pivot.
     slots = shuffle_partitions(spark)
     nearest = settled.select("cell", "far", F.pmod(F.xxhash64("vec_id"), F.lit(slots)).alias("slot"))
@@ -111,8 +121,6 @@ def top_k(
     blocks = np.array([-(-cells[c]["n"] // block) for c in present])
     near_cell = np.concatenate([np.full(len(cells[c]["near"]), i) for i, c in enumerate(present)])
     near_far = np.concatenate([cells[c]["near"] for c in present])
-    n_queries = settled.filter("is_query").count()
-    chunks = max(1, -(-n_queries // 4096))
     bounds = spark.sparkContext.broadcast((centres[present].astype(np.float64), present, radius, blocks, near_cell, near_far))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +145,14 @@ def top_k(
             yield pa.RecordBatch.from_arrays(columns, ["vec_id", "x", "cell", "part"])
 
     n_parts = F.element_at(F.create_map(*[F.lit(int(v)) for c, b in zip(present, blocks, strict=True) for v in (c, b)]), F.col("cell"))
-    chunk = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int")
-    queries = settled.filter("is_query").select("vec_id", "x").mapInArrow(route, "vec_id long, x array<long>, cell int, part int").withColumn("chunk", chunk)
-    data = settled.select("vec_id", "x", "cell", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int").alias("part"))
-    data = data.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    queries = settled.filter("is_query").select("vec_id", "x").mapInArrow(route, "vec_id long, x array<long>, cell int, part int")
+    queries = scratch.save(queries, "routed")
+    # The queries of a block come in chunks of about `per`; a row is sent once for each chunk of its own block, and only there.
+    chunks = scratch.save(queries.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / F.lit(per)).cast("int").alias("chunks")), "chunks")
+    chunk = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("chunks")).cast("int")
+    queries = queries.join(chunks, ["cell", "part"]).withColumn("chunk", chunk).drop("chunks")
+    data = settled.select("vec_id", "x", "cell", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int").alias("part")).join(chunks, ["cell", "part"])
+    data = data.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     keys = ["cell", "part", "chunk"]
 
     def solve(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stationfill.llm import bpe, html_extract, jaccard_join, language_id, packing, quality, suffix_dedup, textbytes, token_counts, voronoi
 from stationfill.llm.common import Scratch
 from stationfill.llm.components import components
-from stationfill.llm.exact_dedup import DigestIndex
+from stationfill.llm.exact_dedup import DigestIndex, dedup
 
 RANKS = tokenizers_of.path("byte_bpe_multi_50k.tiktoken")
 WORDS = tokenizers_of.path("word_bpe_49k.json")
@@ -92,7 +92,24 @@ def test_exact_dedup(spark, docs, empty):
     assert got(again, "doc_id", "keep_id", "kept", "known") == {(9000, first["one two"], False, True), (9001, 9001, True, False), (9002, 9001, False, False)}
     assert DigestIndex(spark, "test_index").ingest(empty).count() == 0
     assert spark.table("test_index").count() == len(first) + 1
-    spark.sql("DROP TABLE test_index")
+    index = DigestIndex(spark, "test_index")
+    index.compact()
+    assert spark.table("test_index").count() == len(first) + 1 and len(spark.table("test_index").inputFiles()) <= index.buckets
+    index.drop()
+
+
+def test_exact_dedup_in_batches(spark, docs, empty):
+    texts = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t) for i, t in texts_of(docs).items()}
+    rows = Counter(texts[r["doc_id"]] for r in docs.collect())
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(texts[i], i)
+    for batches in (1, 2, 5):
+        assert got(dedup(docs, batches=batches), "doc_id", "keep_id", "group_size", "kept") == {(i, first[t], rows[t], first[t] == i) for i, t in texts.items()}
+    odd = spark.createDataFrame([(None, "a  b"), (7, "a b"), (None, "lone"), (None, "lone"), (3, "z")], "doc_id long, text string")
+    assert got(dedup(odd), "doc_id", "keep_id", "group_size", "kept") == {(None, 7, 2, False), (7, 7, 2, True), (None, None, 2, True), (3, 3, 1, True)}
+    assert got(dedup(odd.filter("doc_id is null")), "doc_id", "keep_id", "kept") == {(None, None, True)}
+    assert dedup(empty).count() == 0 and not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
 
 
 @pytest.mark.parametrize(("width", "num", "den", "most"), [(4, 85, 100, 128), (5, 80, 100, 2)])
@@ -255,7 +272,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     window = 256
     rows = [r for r in packing.pack(docs, WORDS, window).collect()]
     ids = {i: np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in texts_of(docs).items()}
@@ -274,6 +290,27 @@ def test_packing(docs, empty):
     assert packing.pack(empty, WORDS).count() == 0
 
 
+def test_packing_of_odd_rows(spark):
+    """Special tokens and letters whose lower case is two, and one doc_id with two texts of as many ids that are cut."""
+    from tokenizers import Tokenizer
+
+    tok, encoder = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS)
+    rng = random.Random(3)
+    signs = [" ", "\n", "\x1c", "a", "The", "'LL", "é", "\u0301", "İ", "ß", "日", "🙂", "12", "_", "...", "!", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "\x00"]
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    for text, ids in zip(odd, encoder.encode([x.encode() for x in odd], b""), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+    texts = [" ".join(rng.choice(["cat", "dog", "sun"]) for _ in range(n)) for n in (21, 21, 17, 30, 5, 9)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[0].upper()), *enumerate(texts[2:], 2)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, 16).collect()
+    want = Counter()
+    for i, t in rows:
+        own = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want[i] += len(own)
+    assert {i: sum(r["length"] for r in found if r["doc_id"] == i) for i in want} == want and all(r["ids_crc32"] is not None for r in found)
+    assert len({(r["sequence_id"], r["offset"]) for r in found}) == len(found)
+
+
 def test_language_id(spark):
     rng = random.Random(9)
     parts = {"aa": ["the", "ing", "and", "er"], "bb": ["der", "sch", "und", "ei"], "cc": ["que", "eau", "é", "tion"], "dd": ["los", "ció", "ñ", "ar"]}
@@ -304,6 +341,8 @@ def test_voronoi_top_k(spark):
         want |= {(q, k + 1, i, int(scores[i])) for k, i in enumerate(order)}
     for pivots in (1, 16):
         assert got(voronoi.top_k(df, F.col("vec_id") % 20 == 0, pivots=pivots, most=64), "query_id", "rank", "vec_id", "score") == want
+    mixed = spark.createDataFrame([(0, [1.0, 0.5]), (1, [2.0, 1.0]), (2, [1.0, 1.0, 1.0]), (3, [0.5] * 3), (4, [float("inf"), 1.0]), (5, []), (3, [9.0] * 3), (3, None)], "vec_id long, embedding array<double>")
+    assert got(voronoi.top_k(mixed, F.lit(True)), "query_id", "rank", "vec_id", "score") == {(0, 1, 1, 2621440), (1, 1, 0, 2621440), (2, 1, 3, 1572864), (3, 1, 2, 1572864)}
     few = df.filter("vec_id < 4")
     assert voronoi.top_k(few, F.col("vec_id") == 0).count() == 3 and voronoi.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
