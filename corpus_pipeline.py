@@ -6,18 +6,16 @@ written as Parquet and read again for the next. All but the last return the colu
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationfill.llm import language_id
 from stationfill.llm.common import Scratch, table
-from stationfill.llm.exact_dedup import DigestIndex
+from stationfill.llm.exact_dedup import dedup, digest_of
 from stationfill.llm.jaccard_join import similarity_components
 from stationfill.llm.packing import pack
-from stationfill.llm.suffix_dedup import without_repeats
+from stationfill.llm.suffix_dedup import PASSAGES, without_repeats
 
 #: No SQL: a trained model, components of a similarity join and a tokenizer decide. The tests hold run() against brute force.
 ORACLE_SQL = None
@@ -30,26 +28,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the row with the smallest doc_id stays; a repeated row of it goes."""
-    index = DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex}")
-    rows = index.ingest(docs).filter("kept").groupBy("doc_id").count()
+    """Of texts that are equal but for white space, one row stays: of the smallest doc_id, of any of its rows where they repeat."""
+    rows = dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).count()
     rows = Scratch(spark, "kept").save(rows, "rows")
-    once = docs.join(rows.filter("count = 1"), "doc_id", "left_semi")
+    docs = docs.withColumn("_text_digest", digest_of(F.col("text")))
+    same = (F.col("_text_digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    once = docs.hint("merge").join(rows.filter("count = 1"), same, "left_semi")
     more = rows.filter("count > 1")
     if not more.isEmpty():
-        once = once.unionByName(docs.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return once.select(*docs.columns)
+        once = once.unionByName(docs.join(more, same, "left_semi").dropDuplicates(["_text_digest"]))
+    return once.drop("_text_digest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that chains of five-word-shingle similarity 0.8 connect, the smallest doc_id stays."""
-    found = similarity_components(docs, width=5, num=80, den=100)
-    return docs.join(found.filter("doc_id = component_id"), "doc_id", "left_semi").select(*docs.columns)
+    """Of documents that chains of five-word-shingle similarity 0.8 connect, the smallest doc_id stays.
+
+    Rows of one doc_id are one document. A row without doc_id takes no part and stays.
+    """
+    found = similarity_components(docs.filter("doc_id is not null"), width=5, num=80, den=100)
+    gone = found.filter("doc_id <> component_id").select("doc_id")
+    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 that also occur elsewhere are cut out of the texts; every document stays."""
-    cut = without_repeats(docs, window=400)
+    """Passages of fifty words that also occur elsewhere are cut out of the texts; every document stays."""
+    cut = without_repeats(docs, PASSAGES)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut
 
 
