@@ -180,7 +180,7 @@ def alike(sizes: np.ndarray, maps: list[bytes], labels: np.ndarray, probes: np.n
     return groups
 
 
-def frequent_shingles(docs: DataFrame, width: int, share: int = 2000, local: int = 4, unit: int = 5_000_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, width: int, share: int = 2000, local: int = 4, unit: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that more than one in `share` documents hold, and about how many hold them.
 
     Counted over every document; a task reports those that stand out in each run of `unit` shingles, so at most `share` times the mean

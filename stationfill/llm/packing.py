@@ -31,7 +31,7 @@ class WordEncoder:
     The memory has two generations: a full one becomes the older, and words still in use move to the younger.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -33,7 +33,7 @@ CODES = mix(np.arange(1, 257, dtype=np.uint64) * U(_ODD))
 BASES = 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Powers up to here are kept between calls; a longer text gets its own.
-KEPT = 1 << 21
+KEPT = (1 << 20) + 2
 
 
 def _series(base: int, n: int) -> np.ndarray:
@@ -48,7 +48,7 @@ def powers(n: int, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]:
     if n >= KEPT:
         return _series(base, n + 1), _series(inverse, n + 1)
     if base not in _powers or len(_powers[base][0]) <= n:
-        size = min(KEPT, max(n + 1, 1 << 16) * 2)
+        size = KEPT if n >= 1 << 16 else 1 << 16
         _powers[base] = _series(base, size), _series(inverse, size)
     return _powers[base]
 
