@@ -20,8 +20,8 @@ from stationfill.llm.common import Scratch, shuffle_partitions
 from stationfill.llm.jaccard_join import grouped
 from stationfill.llm.textbytes import BASES, PIECE, RollingHash, slices, words
 
-#: Bytes of text that a shard gathers before it is sorted; a task's arrays take about 60 times that.
-SHARD_BYTES = 2 << 20
+#: Bytes of text that a shard gathers before it is sorted, and three times that a part of a split block; arrays take about 100 times that.
+SHARD_BYTES = 1 << 20
 
 
 class ByteWindows:
@@ -32,9 +32,8 @@ class ByteWindows:
 
     def of(self, data: np.ndarray, offsets: np.ndarray, opened: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths of the windows that lie whole in one of the pieces; opened, closed: whether a piece begins or ends its text."""
-        starts = np.arange(len(data))
-        starts = starts[starts + self.least <= np.repeat(offsets[1:], np.diff(offsets))]
-        return starts, np.full(len(starts), self.least)
+        starts = np.flatnonzero(np.arange(len(data), dtype=np.int32) + self.least <= np.repeat(offsets[1:].astype(np.int32), np.diff(offsets)))
+        return starts, np.full(len(starts), self.least, np.int32)
 
 
 class WordWindows:
@@ -97,42 +96,46 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
     return chosen, hashes[chosen]
 
 
+def _opens(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    opens = np.empty(len(values), bool)
+    opens[0] = True
+    np.not_equal(values[1:], values[:-1], out=opens[1:])
+    return opens
+
+
+def _tied(opens: np.ndarray) -> np.ndarray:
+    tied = ~opens
+    tied[:-1] |= ~opens[1:]
+    return tied
+
+
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in the order of their first `depth` bytes at least, and each position's first 8 bytes as a number.
 
-    Prefix doubling by ranks: each round only sorts the suffixes that still share their rank with others.
+    Prefix doubling by ranks: each round only sorts the suffixes that still share their rank with others. Positions are
+    32-bit numbers, since a shard is a few MB.
     """
     n = len(data)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = data
+    padded = np.append(data, np.zeros(8, np.uint8))
     word = np.zeros(n, np.uint64)
     for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(word, kind="stable")
-    ordered = word[order]
-    opens = np.empty(n, bool)
-    opens[0] = True
-    opens[1:] = ordered[1:] != ordered[:-1]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-    places = np.arange(n)
-    tied = ~opens
-    tied[:-1] |= ~opens[1:]
-    places, known = places[tied], 8
+        word <<= np.uint64(8)
+        word |= padded[k : k + n]
+    order = np.argsort(word, kind="stable").astype(np.int32)
+    opens = _opens(word[order])
+    rank = np.empty(n, np.int32)
+    rank[order] = np.flatnonzero(opens).astype(np.int32)[np.cumsum(opens, dtype=np.int32) - 1]
+    places, known = np.flatnonzero(_tied(opens)).astype(np.int32), 8
     while known < depth and len(places):
         those = order[places]
         after = np.where(those + known < n, rank[np.minimum(those + known, n - 1)] + 1, 0)
-        key = rank[those] * (n + 1) + after
+        key = rank[those].astype(np.int64) * (n + 1) + after
         by = np.argsort(key, kind="stable")
-        those, key = those[by], key[by]
+        those, opens = those[by], _opens(key[by])
         order[places] = those
-        opens = np.empty(len(places), bool)
-        opens[0] = True
-        opens[1:] = key[1:] != key[:-1]
-        rank[those] = places[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
-        tied = ~opens
-        tied[:-1] |= ~opens[1:]
-        places, known = places[tied], known * 2
+        rank[those] = places[np.flatnonzero(opens)[np.cumsum(opens, dtype=np.int32) - 1]]
+        places, known = places[_tied(opens)], known * 2
     return order, word
 
 
@@ -142,13 +145,13 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, word: np.ndarray, enoug
     In text order a length is the one before less one wherever the neighbour also moves on by one; only the others are compared.
     """
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     follows = np.zeros(n, bool)
     follows[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0) & (data[:-1] == data[np.maximum(before[:-1], 0)])
-    first = np.flatnonzero(~follows)
-    runs = np.diff(np.append(first, n))
-    length = np.zeros(len(first), np.int64)
+    first = np.flatnonzero(~follows).astype(np.int32)
+    runs = np.diff(np.append(first, np.int32(n)))
+    length = np.zeros(len(first), np.int32)
     active = np.flatnonzero(before[first] >= 0)
     while len(active):
         a, b = first[active] + length[active], before[first[active]] + length[active]
@@ -156,13 +159,13 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, word: np.ndarray, enoug
         active, a, b = active[inside], a[inside], b[inside]
         differ = word[a] ^ word[b]
         room = n - np.maximum(a, b)
-        same = np.full(len(a), 8)
+        same = np.full(len(a), 8, np.int32)
         for k in range(8):
             same[(differ >> np.uint64(8 * k)) & np.uint64(255) > 0] = 7 - k
         same = np.minimum(same, room)
         length[active] += same
         active = active[(same == 8) & (length[active] < enough + runs[active])]
-    return np.repeat(length, runs) - (np.arange(n) - np.repeat(first, runs))
+    return np.repeat(length + first, runs) - np.arange(n, dtype=np.int32)
 
 
 def _covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,32 +223,36 @@ class Shard:
         """128 bits of each window, as two columns."""
         return np.stack([RollingHash(self.data, base).of(starts, starts + size) for base in BASES], axis=1)
 
-    def solve(self, kinds: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each kind: the windows (starts, lengths) that repeat in the shard, and those that may repeat elsewhere (one of each string of bytes)."""
+    def solve(self, kinds: list, split: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each kind: the windows (starts, lengths) that repeat in the shard, and, of a split block, those that may repeat elsewhere (one of each string of bytes)."""
         reach = max(k.most for k in kinds)
         order, word = suffix_array(self.data, reach)
         shared = common_prefixes(self.data, order, word, reach)
+        del word
         out = []
         for kind in kinds:
             starts, size = self.windows(kind)
+            nothing = starts[:0], size[:0]
             if not len(starts):
-                out.append((starts, size, starts, size))
+                out.append(nothing + nothing)
             elif kind.least == kind.most:
                 # suffixes of one run agree in a window's length; its windows count
-                run = np.empty(len(order), np.int64)
-                run[order] = np.cumsum(shared[order] < kind.least)
+                run = np.empty(len(order), np.int32)
+                run[order] = np.cumsum(shared[order] < kind.least, dtype=np.int32)
                 by = run[starts]
-                _, first, counts = np.unique(by, return_index=True, return_counts=True)
-                several = np.isin(by, by[first[counts > 1]])
-                out.append((starts[several], size[several], starts[first], size[first]))
+                several = np.bincount(by)[by] > 1
+                first = np.empty(int(by.max()) + 1, np.int32)
+                first[by[::-1]] = np.arange(len(by) - 1, -1, -1, dtype=np.int32)
+                one = first[by] == np.arange(len(by)) if split else slice(0, 0)
+                out.append((starts[several], size[several], starts[one], size[one]))
             else:
                 # lengths differ: who shares that much with a neighbour in the order is compared by prints
-                after = np.zeros(len(order), np.int64)
+                after = np.zeros(len(order), np.int32)
                 after[order[:-1]] = shared[order[1:]]
                 near = np.flatnonzero(np.maximum(shared[starts], after[starts]) >= size)
                 _, group, counts = np.unique(self.prints(starts[near], size[near]), axis=0, return_inverse=True, return_counts=True)
                 near = near[counts[group.ravel()] > 1]
-                out.append((starts[near], size[near], starts, size))
+                out.append((starts[near], size[near], *((starts, size) if split else nothing)))
         return out
 
 
@@ -321,7 +328,7 @@ def repeat_spans(docs: DataFrame, kinds: list, gram: int = 64, most: int = 128)
     pairs = postings.hint("merge").join(found, "token").groupBy("lead", "member").agg(F.collect_list("token").alias("tokens"))
     pairs = scratch.save(pairs.withColumn("weight", F.size("tokens") * (2 * reach - gram)), "pairs")
     scratch.drop("reps", "leaders")
-    dealt = sub_blocks(pairs, scratch, most, "weight", 2 * SHARD_BYTES)
+    dealt = sub_blocks(pairs, scratch, most, "weight", 3 * SHARD_BYTES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, raw, at, hashes = None, b"", None, None
@@ -364,7 +371,7 @@ def repeat_spans(docs: DataFrame, kinds: list, gram: int = 64, most: int = 128)
 
         def flush(lead: int | None = None, n_sub: int = 1) -> pa.RecordBatch:
             shard, rows = Shard(held), []
-            for k, (starts, sizes, other, other_sizes) in enumerate(shard.solve(kinds)):
+            for k, (starts, sizes, other, other_sizes) in enumerate(shard.solve(kinds, n_sub > 1)):
                 rows += _spans(k, shard.doc[starts], shard.at[starts], sizes)
                 if n_sub == 1 or not len(other):
                     continue
