@@ -381,7 +381,7 @@ def repeat_spans(docs: DataFrame, kinds: list, gram: int = 64, most: int = 128)
                 bucket = (prints[:, 1] % np.uint64(n_sub)).astype(np.int64)
                 for j in np.unique(bucket):
                     those = bucket == j
-                    packed = (prints[those, 0], prints[those, 1], shard.doc[other[those]], shard.at[other[those]], other_sizes[those])
+                    packed = (prints[those, 0], prints[those, 1], shard.doc[other[those]], shard.at[other[those]], other_sizes[those].astype(np.int64))
                     rows.append({"kind": k, "lead": lead, "bucket": int(j)} | {n: x.tobytes() for n, x in zip(("prints", "more", "docs", "places", "sizes"), packed, strict=True)})
             return _rows(rows)
 
