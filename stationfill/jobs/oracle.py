@@ -211,8 +211,15 @@ LAYERS = {
 }
 
 
+#: Layers that later ones read more than once; computed once each.
+ONCE = ("obs", "wide", "cells", "sc", "runs", "f2", "filled", "merged", "wind", "states", "faulty")
+
+
 def sql(layer: str, tail: str, *more: str) -> str:
-    return "WITH " + ",".join([*LAYERS[layer], *more]) + "\n" + tail
+    whole = "WITH " + ",".join([*LAYERS[layer], *more]) + "\n" + tail
+    for name in ONCE:
+        whole = whole.replace(f"\n{name} AS (", f"\n{name} AS MATERIALIZED (")
+    return whole
 
 
 ALLOWED = _ALLOWED

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -13,7 +14,7 @@ from stationfill.functions.rules import DIRECTION, SCALARS, SPEED, VARIABLES, Cu
 from stationfill.jobs import curate as jobs
 from stationfill.jobs.oracle import ALLOWED, sql
 from stationfill.operators import contract, external, fill, gaps, grid, neighbors, postconditions, provenance, quality, reports, verify, wind
-from stationfill.sources import adapters
+from stationfill.sources import adapters, io
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -553,9 +554,11 @@ def cell_states(v):
     return v.states.select(*_CELL, "origin_state", "source", "output_present", "is_applicable")
 
 
-@query("obs", "SELECT variable, source FROM allowed WHERE (SELECT count(*) FROM obs) >= 0", ALLOWED)
+@query("states", "SELECT variable, source, coalesce(n, 0) AS n_cells FROM allowed LEFT JOIN (SELECT variable, source, count(*) AS n FROM states GROUP BY 1, 2) USING (variable, source)", ALLOWED)
 def allowed_sources(v):
-    return provenance.allowed(v.spark).join(F.broadcast(v.obs.agg(F.count(F.lit(1)).alias("n")))).filter("n >= 0").drop("n")
+    """How many cells of the product have each source of the vocabulary."""
+    found = v.states.groupBy("variable", "source").agg(F.count(F.lit(1)).alias("n_cells"))
+    return provenance.allowed(v.spark).join(found, ["variable", "source"], "left").fillna(0, ["n_cells"]).select("variable", "source", "n_cells")
 
 
 _SELECT = f"SELECT station AS ESTACION, ts, ts + INTERVAL 5 HOUR AS instant, {R('final')} AS value, source FROM states WHERE variable = 'TEMP' AND source "
@@ -843,6 +846,106 @@ def verification_report(v):
     })
 
 
+# ── reading and writing ──────────────────────────────────────────────────────────────────────────────────────────────
+
+
+def _folder(v: View) -> str:
+    return f"{io.shared_folder(v.spark)}/tables-{uuid.uuid4().hex}"
+
+
+_VALUES = ", ".join(f"{R(c)} AS {c}" for c in VARIABLES)
+
+
+@query("obs", f"SELECT station AS ESTACION, year(ts) * 10000 + month(ts) * 100 + day(ts) AS FECHA, hour(ts) * 10000 AS HORA, {_VALUES} FROM obs")
+def read_observations(v):
+    """The observations as CSV files with a header, read back."""
+    path = _folder(v)
+    adapters.raw_rows(v.obs).write.csv(path, header=True)
+    found = io.read_observations(v.spark, path, list(VARIABLES))
+    return found.select("ESTACION", *[F.col(c).cast("long").alias(c) for c in ("FECHA", "HORA")], *[r(c).alias(c) for c in VARIABLES])
+
+
+def _payloads(v: View, rows: DataFrame) -> DataFrame:
+    """Forecast answers, one a station, of rows (station, ts, value)."""
+    hours = rows.groupBy("station").agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("h")).join(v.stations, "station")
+    times = F.transform("h.ts", lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm"))
+    return hours.select(
+        "station", F.col("LATITUD").alias("latitude"), F.col("LONGITUD").alias("longitude"), F.lit("America/Lima").alias("timezone"),
+        F.struct(F.lit("mm").alias("precipitation")).alias("hourly_units"), F.struct(times.alias("time"), F.col("h.value").alias("precipitation")).alias("hourly"),
+    )
+
+
+@query("obs", f"SELECT station, ts, {R('PP')} AS value FROM obs WHERE PP IS NOT NULL")
+def read_forecast_payloads(v):
+    """Answers as JSON files, one each, read back as rows."""
+    path = _folder(v)
+    answers = _payloads(v, v.obs.select("station", "ts", F.col("PP").alias("value")).filter("value is not null"))
+    answers.select(F.to_json(F.struct(*answers.columns)).alias("answer"), F.col("station").alias("of")).write.partitionBy("of").text(path)
+    return external.payload_rows(io.read_forecast_payloads(v.spark, path)).select("station", "ts", r("value").alias("value"))
+
+
+_FAULTS = {"S03": "timezone", "S04": "unit", "S05": "coordinates", "S06": "lengths", "S07": "missing_field", "S08": "times"}
+
+
+@query("grid", "SELECT DISTINCT station, CASE station " + " ".join(f"WHEN '{k}' THEN '{f}'" for k, f in _FAULTS.items()) + " END AS fault FROM wide WHERE station IN (" + ", ".join(f"'{k}'" for k in _FAULTS) + ")")
+def payload_faults(v):
+    """Answers on the grid of all stations, of which six have a fault each."""
+    hours = v.wide.select("station", "ts", F.col("PP").alias("value")).filter("NOT (station = 'S08' AND day(ts) % 3 = 0 AND hour(ts) = 5)")
+    at = F.col("station")
+    answers = _payloads(v, hours).withColumns({
+        "timezone": F.when(at == "S03", "UTC").otherwise(F.col("timezone")),
+        "hourly_units": F.struct(F.when(at == "S04", "inch").when(at != "S07", "mm").alias("precipitation")),
+        "latitude": F.when(at == "S05", 95.0).otherwise(F.col("latitude")),
+        "hourly": F.when(at == "S06", F.struct(F.col("hourly.time").alias("time"), F.slice("hourly.precipitation", 2, 1 << 30).alias("precipitation"))).otherwise(F.col("hourly")),
+    })
+    return external.payload_faults(answers)
+
+
+@query("states", "SELECT station AS ESTACION, count(DISTINCT ts) AS n_rows, " + ", ".join(f"count(final) FILTER (variable = '{c}') AS {c}" for c in VARIABLES) + " FROM states GROUP BY 1")
+def write_curated(v):
+    """The product written with its log and a summary, and its data read back: rows and values by station."""
+    path = _folder(v)
+    io.write_curated(grid.to_wide_output(v.states, list(VARIABLES)), v.log, execution_summary(v), path)
+    data = v.spark.read.parquet(f"{path}/data").groupBy("ESTACION").agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(c).alias(c) for c in VARIABLES])
+    return data.withColumn("ESTACION", F.col("ESTACION").cast("string"))
+
+
+@query("obs", "SELECT station, length(line) AS bytes, sha256(line) AS sha256 FROM (SELECT station, concat(station, ' ', count(*), ' ', max(ts), chr(10)) AS line FROM obs GROUP BY 1)")
+def artifact_manifest(v):
+    """A file for each station with its count of rows and last hour."""
+    path = _folder(v)
+    lines = v.obs.groupBy("station").agg(F.concat_ws(" ", "station", F.count(F.lit(1)), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss")).alias("line"))
+    lines.write.partitionBy("station").text(path)
+    return io.artifact_manifest(v.spark, [path]).select(F.regexp_extract("path", "station=([^/]+)/", 1).alias("station"), "bytes", "sha256")
+
+
+@query()
+def write_report_tables(v):
+    """The totals by method as a CSV table, read back."""
+    path, totals = _folder(v), method_totals(v)
+    io.write_report_tables({"method_totals": (totals, totals.columns)}, path)
+    return v.spark.read.csv(f"{path}/method_totals", schema=totals.schema, header=True)
+
+
+_SQL["write_report_tables"] = _SQL["method_totals"]
+
+
+def _with_rows(v: View, faults: list[str], rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(F.array(*[F.lit(x) for x in faults])).alias("fault"), "n_rows")
+
+
+@query("dirty", "SELECT fault, n_rows FROM (VALUES ('unknown column row_id'), ('measurements [''PM2_5''] where [''PM2_5'', ''TEMP''] are expected')) t(fault), (SELECT count(*) AS n_rows FROM dirty)")
+def check_columns(v):
+    """Faults of the raw table's columns, and how many rows they concern."""
+    return _with_rows(v, contract.check_columns(v.dirty, ["PM2_5", "TEMP"]), v.dirty)
+
+
+@query("grid", "SELECT fault, n_rows FROM (VALUES ('missing ALTITUD'), ('unexpected source_row')) t(fault), (SELECT count(*) AS n_rows FROM wide)")
+def verify_schema(v):
+    """Columns that the grid lacks or has too many, and how many rows they concern."""
+    return _with_rows(v, verify.verify_schema(v.wide, ["station", "ts", *VARIABLES, "ALTITUD"]), v.wide)
+
+
 @query()
 def curate_product(v):
     """The whole job: every station and hour with values and sources of all variables, neighbours included."""
