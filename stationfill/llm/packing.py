@@ -6,6 +6,7 @@ find their places by their rank among those of the same length, which is counted
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,11 +32,12 @@ class WordEncoder:
     The memory has two generations: a full one becomes the older, and words still in use move to the younger.
     """
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.sign = os.path.commonprefix(self.special)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.most = most
@@ -85,7 +87,7 @@ class WordEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers, followed by `last`."""
         texts = [x.lower() for x in raws]
         # what may hold the name of a special token goes to the library whole, as it is
-        whole = [any(name in x for name in self.special) for x in texts]
+        whole = [self.sign in x and any(name in x for name in self.special) for x in texts]
         parts = [[] if odd else x.split() for x, odd in zip(texts, whole, strict=True)]
         words: set[bytes] = set()
         words.update(*parts)
