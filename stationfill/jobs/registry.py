@@ -15,6 +15,7 @@ from stationfill.jobs import curate as jobs
 from stationfill.jobs.oracle import ALLOWED, sql
 from stationfill.operators import contract, external, fill, gaps, grid, neighbors, postconditions, provenance, quality, reports, verify, wind
 from stationfill.sources import adapters, io
+from stationfill.sources.scratch import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -850,7 +851,7 @@ def verification_report(v):
 
 
 def _folder(v: View) -> str:
-    return f"{io.shared_folder(v.spark)}/tables-{uuid.uuid4().hex}"
+    return f"{shared_folder(v.spark)}/tables-{uuid.uuid4().hex}"
 
 
 _VALUES = ", ".join(f"{R(c)} AS {c}" for c in VARIABLES)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stationfill.functions.expressions import EARTH_RADIUS_KM, distance_km
 from stationfill.functions.rules import RULES, CurationConfig
-from stationfill.llm.common import Scratch
+from stationfill.sources.scratch import Scratch
 
 METHOD = "interstation_regression"
 

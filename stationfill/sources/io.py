@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,16 +12,6 @@ from stationfill.operators.contract import ContractError, number
 PAYLOAD = "station string, latitude double, longitude double, timezone string, hourly_units struct<precipitation:string>, hourly struct<time:array<string>,precipitation:array<double>>"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, a temporary one in local mode and an error on a cluster."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="stationfill-")
-
-
 def read_observations(spark: SparkSession, path: str, variables: list[str]) -> DataFrame:
     """Raw rows of CSV files with a header. Text first, so that garbage is told from empty; a ragged row or a repeated header is an error."""
     header = spark.read.text(path).limit(1).collect()
@@ -70,5 +58,3 @@ def write_report_tables(tables: dict[str, tuple[DataFrame, list[str]]], path: st
     """Small tables as one CSV file each, with their fields in the given order."""
     for name, (df, fields) in tables.items():
         df.select(*fields).coalesce(1).write.mode("overwrite").csv(f"{path}/{name}", header=True)
-
-
