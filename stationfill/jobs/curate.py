@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationfill.functions.rules import SCALARS, VARIABLES, CurationConfig
-from stationfill.operators import fill, neighbors, provenance, quality, wind
-from stationfill.operators.grid import hourly_grid, reindex_to_grid
+from stationfill.operators import fill, log, neighbors, postconditions, provenance, quality, reports, wind
+from stationfill.operators.grid import hourly_grid, reindex_to_grid, to_wide_output
+from stationfill.sources import io
+from stationfill.sources.scratch import Scratch
 
 
 @dataclass
@@ -17,8 +19,9 @@ class Product:
     cells: DataFrame
     states: DataFrame
     scalars: DataFrame
-    wind: DataFrame
+    wind: DataFrame | None
     attempts: DataFrame | None = None
+    wind_attempts: DataFrame | None = None
 
 
 def cells_of(obs: DataFrame, variables: tuple[str, ...] | None = None) -> DataFrame:
@@ -34,9 +37,9 @@ def curate(obs: DataFrame, config: CurationConfig = CurationConfig(), stations:
     Hours that stay empty after the series' own evidence go to the neighbours; the evidence is always what was observed.
     """
     cells = cells_of(obs)
-    scalars = fill.fill_temporal(cells.filter(F.col("variable").isin(*SCALARS)), config.short_gap_hours, config.weekly_n_weeks, config.min_weekly_donors)
+    scalars = fill.fill_temporal(cells.filter(F.col("variable").isin(*SCALARS)), config.short_gap_hours, config.weekly_n_weeks, config.min_weekly_donors, zero_for="PP" if config.pp_short_method == "zero" else None)
     policy = dict(short_gap_hours=config.short_gap_hours, n_weeks=config.weekly_n_weeks, min_donors=config.min_weekly_donors)
-    attempts = None
+    attempts = wind_attempts = None
     vector = wind.vectors(cells) if {"DIR_VIENTO", "VEL_VIENTO"} <= set(obs.columns) else None
     sources = [("short_vector_linear", "short"), ("weekly_vector_seasonal", "weekly")]
     runs = wind.candidates(vector, **policy) if vector is not None else None
@@ -54,27 +57,38 @@ def curate(obs: DataFrame, config: CurationConfig = CurationConfig(), stations:
         if runs is not None:
             wind_models = neighbors.fit_wind_models(neighbors.wind_pairs(vector, near), config.interstation_cv_splits, config.min_training_pairs)
             empty = wind.merge(runs, sources).filter("is_gap AND method IS NULL")
-            near_wind = neighbors.fill_wind_from_neighbors(vector, empty, near, wind_models, config).filter("accepted").select("station", "ts", "near_u", "near_v")
+            wind_attempts = neighbors.fill_wind_from_neighbors(vector, empty, near, wind_models, config)
+            near_wind = wind_attempts.filter("accepted").select("station", "ts", "near_u", "near_v")
             runs = runs.join(near_wind, ["station", "ts"], "left")
             sources.append(("interstation_vector_regression", "near"))
     filled = wind.compose_fields(wind.merge(runs, sources)) if runs is not None else None
     if filled is None:
         columns = ["station", "variable", "ts", "source_row", "raw", "hard", "outlier", "value", "eligible", "after", "method"]
-        return Product(cells, provenance.cell_states(scalars.select(*columns, F.lit(False).alias("calm"))), scalars, scalars.limit(0), attempts)
-    return Product(cells, provenance.cell_states(provenance.filled_cells(scalars, filled, cells)), scalars, filled, attempts)
+        return Product(cells, provenance.cell_states(scalars.select(*columns, F.lit(False).alias("calm"))), scalars, None, attempts)
+    return Product(cells, provenance.cell_states(provenance.filled_cells(scalars, filled, cells)), scalars, filled, attempts, wind_attempts)
 
 
-def imputation_log(states: DataFrame, scalars: DataFrame) -> DataFrame:
-    """One row for each gap and method with the hours filled, and one, `unimputable`, for a gap where hours are left.
+def imputation_log(product: Product, config: CurationConfig = CurationConfig()) -> DataFrame:
+    """The log of a product in its published columns: scalars and, where there is wind, its fields and vectors.
 
-    Hours are a list here; a sink joins them. Only gaps have rows, so groups are as long as a gap.
+    `config` is that of the product.
     """
-    hours = scalars.filter("is_gap")
-    key = ["station", "variable", "gap_start", "gap_end", "n_steps"]
-    left = hours.groupBy(*key).agg(F.count_if(F.col("after").isNull()).alias("n_values_remaining"))
-    done = hours.filter("method is not null").groupBy(*key, "method").agg(F.count(F.lit(1)).alias("n_values_imputed"), F.array_sort(F.collect_list("ts")).alias("imputed_timestamps"), F.min("n_donors").alias("n_donors"))
-    done = done.join(left, key).select(*key, F.col("method").alias("method_used"), F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("rejection_reason"), "n_values_imputed", "n_values_remaining", "imputed_timestamps",
-        F.when(F.col("method") == "weekly_seasonal", F.col("n_donors")).cast("long").alias("n_donors"))
-    none = left.filter("n_values_remaining > 0").select(*key, F.lit("unimputable").alias("method_used"), F.lit(False).alias("accepted"), F.lit("no_method_available").alias("rejection_reason"),
-        F.lit(0).cast("long").alias("n_values_imputed"), "n_values_remaining", F.array().cast("array<timestamp_ntz>").alias("imputed_timestamps"), F.lit(None).cast("long").alias("n_donors"))
-    return done.unionByName(none)
+    rows = log.scalar_log(product.scalars, product.attempts, config)
+    return rows if product.wind is None else rows.unionByName(log.wind_log(product.wind, product.wind_attempts, config))
+
+
+def publish(product: Product, path: str, config: CurationConfig = CurationConfig()) -> None:
+    """Test a product by its post-conditions, the log among them, and write data, log and summary; a breach writes nothing.
+
+    States and log are computed once, into the shared folder, and checked and written from there.
+    """
+    scratch = Scratch(product.states.sparkSession, "publish")
+    states = scratch.save(product.states, "states")
+    written = scratch.save(imputation_log(product, config), "log")
+    there = {r[0] for r in states.select("variable").distinct().collect()}
+    wide = to_wide_output(states, [v for v in VARIABLES if v in there])
+    try:
+        postconditions.assert_postconditions(states, wide, provenance.logged_cells(written), written)
+        io.write_curated(wide, written, reports.execution_summary(states), path)
+    finally:
+        scratch.drop("states", "log")

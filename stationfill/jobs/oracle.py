@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stationfill.functions.rules import RULES, SCALARS, VARIABLES, allowed_sources
+from stationfill.functions.rules import LOG_COLUMNS, RULES, SCALARS, VARIABLES, allowed_sources
 
 _OBS = """
 c AS (
@@ -181,6 +181,59 @@ faulty AS (
     CASE WHEN n % 71 = 5 THEN 'imputed_unknown' WHEN n % 73 = 6 THEN 'not_applicable' ELSE source END AS source,
     CASE WHEN n % 79 = 7 AND after IS NULL THEN 5.0e0 WHEN n % 83 = 8 AND after IS NOT NULL AND value IS NULL THEN -999.0e0 ELSE after END AS after
   FROM n0)"""
+_ISO = "string_agg(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '|' ORDER BY ts) FILTER ({})"
+_LOG_TYPES = {
+    "gap_start": "TIMESTAMP", "gap_end": "TIMESTAMP", "accepted": "BOOLEAN",
+    **dict.fromkeys(("n_steps", "duration_h", "n_values_imputed", "n_values_remaining", "training_pairs", "n_donors"), "BIGINT"),
+    **dict.fromkeys(("interstation_r2", "distance_km", "predictor_coverage", "acceptance_threshold"), "DOUBLE"),
+}
+
+
+def _log_row(table: str, where: str, **found: str) -> str:
+    found = {"station": "station", "gap_start": "gap_start", "gap_end": "gap_end", "n_steps": "n_steps", "duration_h": "n_steps", "n_values_imputed": "0"} | found
+    return "SELECT " + ", ".join(f"CAST({found.get(c, 'NULL')} AS {_LOG_TYPES.get(c, 'VARCHAR')}) AS {c}" for c in LOG_COLUMNS) + f" FROM {table} WHERE {where}"
+
+
+def _scalar_log() -> tuple[str, list[str]]:
+    """A row for each gap (layer sg), and the log's rows from it."""
+    kinds = {"s": "method IN ('short_linear', 'short_zero')", "w": "method = 'weekly_seasonal'", "c": "method = 'cross_year_analog'"}
+    found = ", ".join(f"count(*) FILTER ({c}) AS n_{k}, {_ISO.format(c)} AS h_{k}" for k, c in kinds.items())
+    gaps = f"\nsg AS (SELECT station, variable, gap_start, gap_end, n_steps, count(*) FILTER (after IS NULL) AS rest, bool_or(coalesce(zero, false)) AS zeros, min(n_donors) AS donors, {found} FROM filled WHERE is_gap GROUP BY 1, 2, 3, 4, 5)"
+    v = {"variable": "variable"}
+    return gaps, [
+        _log_row("sg", "n_steps <= 4", **v, method_used="CASE WHEN zeros THEN 'short_zero' ELSE 'short_linear' END", accepted="n_s > 0", rejection_reason="CASE WHEN n_s = 0 THEN 'missing_valid_anchors' END", n_values_imputed="n_s", imputed_timestamps="coalesce(h_s, '')", n_values_remaining="n_steps - n_s"),
+        _log_row("sg", "n_w > 0", **v, method_used="'weekly_seasonal'", accepted="true", n_values_imputed="n_w", imputed_timestamps="h_w", n_values_remaining="rest", n_donors="donors"),
+        _log_row("sg", "n_c > 0", **v, method_used="'cross_year_analog'", accepted="true", n_values_imputed="n_c", imputed_timestamps="h_c", n_values_remaining="rest", n_donors="1"),
+        _log_row("sg", "rest > 0", **v, method_used="'unimputable'", accepted="false", rejection_reason="'no_method_available'", n_values_remaining="rest"),
+    ]
+
+
+def _wind_log() -> tuple[str, list[str]]:
+    """A row for each gap of the vector (layer wg), and the log's rows from it."""
+    fields = {"DIR_VIENTO": "direction", "VEL_VIENTO": "speed"}
+    sources = {"short": ("short_vector_linear", "method = 'short_vector_linear'", "clash_short = 1"), "weekly": ("weekly_vector_seasonal", "method IS NOT NULL", "clash_weekly = 1 AND method IS DISTINCT FROM 'short_vector_linear'")}
+    found = []
+    for p, (method, so_far, clash) in sources.items():
+        found += [f"count(*) FILTER (NOT coalesce({so_far}, false)) AS {p}_left", f"count(*) FILTER (method = '{method}') AS {p}_n", f"count(*) FILTER ({clash}) AS {p}_clash", f"{_ISO.format(clash)} AS {p}_refused"]
+        for f in fields.values():
+            mine = f"method = '{method}' AND wrote_{f}"
+            found += [f"count(*) FILTER ({f} IS NULL AND NOT (wrote_{f} AND {so_far})) AS {p}_left_{f}", f"count(*) FILTER ({mine}) AS {p}_n_{f}", f"{_ISO.format(mine)} AS {p}_hours_{f}"]
+    gaps = f"\nwg AS (SELECT station, gap_start, gap_end, n_steps, min(CASE WHEN weekly_u IS NOT NULL THEN len(du) END) AS donors, {', '.join(found)} FROM wind WHERE is_gap GROUP BY 1, 2, 3, 4)"
+    rows, vector = [], {"variable": "'VIENTO_VECTOR'", "accepted": "false"}
+    for p, (method, _, _) in sources.items():
+        m = {"method_used": f"'{method}'", "n_donors": "donors" if p == "weekly" else "NULL"}
+        for variable, f in fields.items():
+            rows.append(_log_row("wg", f"{p}_n_{f} > 0", **m, variable=f"'{variable}'", accepted="true", n_values_imputed=f"{p}_n_{f}", imputed_timestamps=f"{p}_hours_{f}", n_values_remaining=f"{p}_left_{f}", rejected_timestamps="short_refused" if p == "short" else "NULL"))
+        due = "n_steps <= 4 AND (short_clash > 0 OR short_n = 0)" if p == "short" else "weekly_clash > 0"
+        rows.append(_log_row("wg", due, **m, **vector, rejection_reason=f"CASE WHEN {p}_clash > 0 THEN 'calm_candidate_conflicts_with_observed_component' ELSE 'missing_valid_anchors' END", n_values_remaining=f"{p}_left", rejected_timestamps=f"{p}_refused"))
+    rows.append(_log_row("wg", "weekly_left > 0", **vector, method_used="'unimputable'", rejection_reason="'no_vector_method_available'", n_values_remaining="weekly_left"))
+    return gaps, rows
+
+
+_SCALAR_GAPS, _SCALAR_ROWS = _scalar_log()
+_WIND_GAPS, _WIND_ROWS = _wind_log()
+_SCALAR_LOG = [_SCALAR_GAPS, "\nlog AS (" + " UNION ALL ".join(_SCALAR_ROWS) + ")"]
+_LOG = [_SCALAR_GAPS, _WIND_GAPS, "\nlog AS (" + " UNION ALL ".join(_SCALAR_ROWS + _WIND_ROWS) + ")"]
 _DIRTY = """
 dirty AS (
   SELECT o_orderkey AS row_id,
@@ -204,6 +257,8 @@ LAYERS = {
     "wind": [_OBS, _GRID, _cells(VARIABLES), _WIND],
     "states": [_OBS, _GRID, _cells(VARIABLES), _RUNS, _FILL, _WIND, _STATES],
     "faulty": [_OBS, _GRID, _cells(VARIABLES), _RUNS, _FILL, _WIND, _STATES, _FAULTY],
+    "log": [_OBS, _GRID, _cells(VARIABLES), _RUNS, _FILL, _WIND, *_LOG],
+    "long_log": [_LONG, _GRID, _cells(("PM2_5",)), _RUNS, _FILL, *_SCALAR_LOG],
     "long": [_LONG, _GRID, _cells(("PM2_5",)), _RUNS, _FILL],
     "stations": [_OBS, _STATIONS],
     "station_cells": [_OBS, _STATIONS, _GRID, _cells(VARIABLES)],

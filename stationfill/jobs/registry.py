@@ -15,7 +15,7 @@ from stationfill.jobs import curate as jobs
 from stationfill.jobs.oracle import ALLOWED, sql
 from stationfill.operators import contract, external, fill, gaps, grid, neighbors, postconditions, provenance, quality, reports, verify, wind
 from stationfill.sources import adapters, io
-from stationfill.sources.scratch import shared_folder
+from stationfill.sources.scratch import Scratch, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -87,8 +87,7 @@ class View:
     @cached_property
     def faulty(self) -> DataFrame:
         """The product with faults of every kind put in, by the hour and the station."""
-        n = F.day("ts") * 24 + F.hour("ts") + 7 * F.substring("station", 2, 2).cast("int")
-        s = self.states.withColumn("n", n)
+        s = self.states.withColumn("n", _hour_number())
         final, source, after = F.col("final"), F.col("source"), F.col("after")
         at = lambda m, r: F.col("n") % m == r
         return s.withColumns({
@@ -120,14 +119,20 @@ class View:
     def near(self) -> DataFrame:
         return neighbors.rank_neighbors(self.stations)
 
+    @cached_property
+    def sound_log(self) -> DataFrame:
+        return jobs.imputation_log(self.product)
+
     @cached_property
     def log(self) -> DataFrame:
-        """The log as published: hours joined to text, with faults in some rows."""
-        log = jobs.imputation_log(self.states, self.product.scalars)
-        text = F.array_join(F.transform("imputed_timestamps", lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")), "|")
-        log = log.withColumn("imputed_timestamps", text)
+        """The log with faults in some rows."""
         odd = F.day("gap_start") + F.hour("gap_start")
-        return log.withColumn("n_values_imputed", F.when(odd % 13 == 0, F.col("n_values_imputed") + 1).otherwise(F.col("n_values_imputed"))).withColumn("accepted", F.when(odd % 17 == 0, ~F.col("accepted")).otherwise(F.col("accepted")))
+        n = F.col("n_values_imputed")
+        return self.sound_log.withColumns({"n_values_imputed": F.when(odd % 13 == 0, n + 1).otherwise(n), "accepted": F.when(odd % 17 == 0, ~F.col("accepted")).otherwise(F.col("accepted"))})
+
+
+def _hour_number() -> Column:
+    return F.day("ts") * 24 + F.hour("ts") + 7 * F.substring("station", 2, 2).cast("int")
 
 
 def query(layer: str | None = None, tail: str = "", *more: str):
@@ -352,29 +357,21 @@ def fill_long_gaps(v):
     return v.long_product.scalars.filter("is_gap").select(*_CELL, r("after").alias("after"), "method")
 
 
-_LOG = """
-SELECT * FROM (
-  SELECT station, variable, gap_start, gap_end, n_steps, method AS method_used, true AS accepted, count(*) AS n_values_imputed, min(ts) AS first_ts, max(ts) AS last_ts,
-    CASE WHEN method = 'weekly_seasonal' THEN CAST(min(n_donors) AS BIGINT) END AS n_donors FROM filled WHERE method IS NOT NULL GROUP BY station, variable, gap_start, gap_end, n_steps, method
-  UNION ALL
-  SELECT station, variable, gap_start, gap_end, n_steps, 'unimputable', false, 0, NULL, NULL, NULL FROM filled WHERE is_gap GROUP BY station, variable, gap_start, gap_end, n_steps HAVING count(*) FILTER (after IS NULL) > 0)
-JOIN (SELECT station, variable, gap_start, count(*) FILTER (after IS NULL) AS n_values_remaining FROM filled WHERE is_gap GROUP BY station, variable, gap_start) USING (station, variable, gap_start)"""
-
-
-def _log(product: jobs.Product) -> DataFrame:
-    log = jobs.imputation_log(product.states, product.scalars)
-    return log.select("station", "variable", "gap_start", "gap_end", "n_steps", "method_used", "accepted", "n_values_imputed", "n_values_remaining", "n_donors",
-        F.array_min("imputed_timestamps").alias("first_ts"), F.array_max("imputed_timestamps").alias("last_ts"))
-
-
-@query("filled", _LOG)
+@query("log", "SELECT * FROM log")
 def imputation_log(v):
-    return _log(v.product)
+    """Scalars and wind by their own evidence."""
+    return v.sound_log
 
 
-@query("long", _LOG)
+@query("long_log", "SELECT * FROM log")
 def imputation_log_long(v):
-    return _log(v.long_product)
+    return jobs.imputation_log(v.long_product)
+
+
+@query()
+def imputation_log_near(v):
+    """The log of the whole cascade: near stations too, with every attempt, its reason and its model."""
+    return jobs.imputation_log(v.whole)
 
 
 # ── neighbours ───────────────────────────────────────────────────────────────────────────────────────────────────────
@@ -545,9 +542,9 @@ def final_value(v):
     return v.states.select(*_CELL, r("final", 4).alias("final"))
 
 
-@query("filled", "SELECT station, variable, ts, method FROM filled WHERE method IS NOT NULL")
+@query("states", "SELECT station, variable, ts, method FROM states WHERE method IS NOT NULL")
 def attribute_cells(v):
-    return provenance.attribute_cells(jobs.imputation_log(v.states, v.product.scalars))[0]
+    return provenance.attribute_cells(v.sound_log)[0]
 
 
 @query("states", "SELECT station, variable, ts, origin_state, source, output_present, is_applicable FROM states")
@@ -650,14 +647,14 @@ def output_key_violations(v):
     return postconditions.output_key_violations(v.typed)
 
 
-_LOG_FAULTS = f"""
-log AS (
+_LOG_FAULTS = """
+bad_log AS (
   SELECT * EXCLUDE (n_values_imputed, accepted, odd), n_values_imputed AS listed, CASE WHEN odd % 13 = 0 THEN n_values_imputed + 1 ELSE n_values_imputed END AS n_values_imputed,
     CASE WHEN odd % 17 = 0 THEN NOT accepted ELSE accepted END AS accepted
-  FROM (SELECT *, day(gap_start) + hour(gap_start) AS odd FROM ({_LOG})))"""
+  FROM (SELECT *, day(gap_start) + hour(gap_start) AS odd FROM log))"""
 
 
-@query("filled", "SELECT station, variable, gap_start, method_used FROM log WHERE listed <> n_values_imputed OR accepted <> (n_values_imputed > 0)", _LOG_FAULTS)
+@query("log", "SELECT station, variable, gap_start, method_used FROM bad_log WHERE listed <> n_values_imputed OR accepted <> (n_values_imputed > 0)", _LOG_FAULTS)
 def log_integrity(v):
     return postconditions.log_integrity(v.log).select("station", "variable", "gap_start", "method_used")
 
@@ -669,7 +666,8 @@ def original_changes(v):
 
 @query("faulty", "SELECT coalesce(a.station, b.station) AS station, coalesce(a.variable, b.variable) AS variable, coalesce(a.ts, b.ts) AS ts, CASE WHEN b.ts IS NULL THEN 'unlogged' ELSE 'phantom' END AS fault FROM (SELECT * FROM faulty WHERE value IS NULL AND after IS NOT NULL) a FULL JOIN (SELECT * FROM faulty WHERE method IS NOT NULL AND n % 89 <> 9) b ON a.station = b.station AND a.variable = b.variable AND a.ts = b.ts WHERE a.ts IS NULL OR b.ts IS NULL")
 def unlogged_or_phantom_fills(v):
-    return postconditions.unlogged_or_phantom_fills(v.faulty, v.faulty.filter("method is not null and n % 89 <> 9"))
+    """Against a log that lacks some hours."""
+    return postconditions.unlogged_or_phantom_fills(v.faulty, provenance.logged_cells(v.sound_log).filter(_hour_number() % 89 != 9))
 
 
 @query("faulty", "SELECT station, variable, ts FROM faulty WHERE value IS NULL AND after IS NOT NULL AND NOT eligible")
@@ -779,11 +777,9 @@ def verify_observations(v):
     return verify.verify_observations(v.faulty)
 
 
-@query("faulty", "SELECT station, variable, ts, source, CAST(sum(p) AS BIGINT) AS n_product, CAST(sum(l) AS BIGINT) AS n_log FROM (SELECT station, variable, ts, source, 1 AS p, 0 AS l FROM faulty WHERE starts_with(source, 'imputed_') AND variable NOT IN ('DIR_VIENTO', 'VEL_VIENTO') UNION ALL SELECT station, variable, ts, 'imputed_' || method, 0, 1 FROM filled WHERE method IS NOT NULL) GROUP BY 1, 2, 3, 4 HAVING sum(p) <> sum(l)")
+@query("faulty", "SELECT station, variable, ts, source, CAST(sum(p) AS BIGINT) AS n_product, CAST(sum(l) AS BIGINT) AS n_log FROM (SELECT station, variable, ts, source, 1 AS p, 0 AS l FROM faulty WHERE starts_with(source, 'imputed_') UNION ALL SELECT station, variable, ts, 'imputed_' || method, 0, 1 FROM states WHERE method IS NOT NULL) GROUP BY 1, 2, 3, 4 HAVING sum(p) <> sum(l)")
 def verify_log(v):
-    log = jobs.imputation_log(v.states, v.product.scalars)
-    text = F.array_join(F.transform("imputed_timestamps", lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")), "|")
-    return verify.verify_log(v.faulty.filter(F.col("variable").isin(*SCALARS)), log.withColumn("imputed_timestamps", text))
+    return verify.verify_log(v.faulty, v.sound_log)
 
 
 _COVERAGE = """count(*) FILTER (is_applicable) AS applicable, count(*) FILTER (source = 'senamhi_observed') AS observed, count(*) FILTER (source = 'senamhi_operational_outlier') AS outliers, count(*) FILTER (starts_with(source, 'imputed_')) AS imputed"""
@@ -837,13 +833,16 @@ def compare_reference_table(v):
 
 @query()
 def verification_report(v):
-    """Every criterion on the product without faults."""
-    wide = grid.to_wide_output(v.states, list(VARIABLES))
-    contributions = v.states.filter("method is not null")
+    """Every criterion on the product without faults; product and log are computed once."""
+    scratch = Scratch(v.spark, "verify")
+    states, log = scratch.save(v.states, "states"), scratch.save(v.sound_log, "log")
+    wide, logged = grid.to_wide_output(states, list(VARIABLES)), provenance.logged_cells(log)
     return verify.verification_report({
         "grid": verify.verify_grid(v.wide), "keys": verify.verify_key_conservation(v.obs, v.wide), "output_keys": postconditions.output_key_violations(wide),
-        "vocabulary": postconditions.source_vocabulary(v.states), "observations": verify.verify_observations(v.states).filter("n_different > 0"),
-        "fills_logged": postconditions.unlogged_or_phantom_fills(v.states, contributions), "ranges": postconditions.range_violations(v.states), "calm": postconditions.calm_coherence(v.states),
+        "vocabulary": postconditions.source_vocabulary(states), "provenance": verify.verify_provenance(states).filter("n > 0"), "observations": verify.verify_observations(states).filter("n_different > 0"),
+        "fills_logged": postconditions.unlogged_or_phantom_fills(states, logged), "log": postconditions.log_integrity(log), "log_cells": verify.verify_log(states, log),
+        "ranges": postconditions.range_violations(states), "calm": postconditions.calm_coherence(states),
+        "age": verify.verify_age(v.wide, F.lit("2030-01-01").cast("date"), 10),
     })
 
 
@@ -906,7 +905,7 @@ def payload_faults(v):
 def write_curated(v):
     """The product written with its log and a summary, and its data read back: rows and values by station."""
     path = _folder(v)
-    io.write_curated(grid.to_wide_output(v.states, list(VARIABLES)), v.log, execution_summary(v), path)
+    jobs.publish(v.product, path)
     data = v.spark.read.parquet(f"{path}/data").groupBy("ESTACION").agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(c).alias(c) for c in VARIABLES])
     return data.withColumn("ESTACION", F.col("ESTACION").cast("string"))
 

@@ -27,13 +27,13 @@ def linear(left: Column, right: Column) -> Column:
     return left + (right - left) * step_in_gap() / (F.col("n_steps") + 1)
 
 
-def with_short_fill(anchored: DataFrame, short_gap_hours: int = 4, zero_for: str = "PP") -> DataFrame:
+def with_short_fill(anchored: DataFrame, short_gap_hours: int = 4, zero_for: str | None = "PP") -> DataFrame:
     """short_value and short_method of the hours of short gaps between two anchors.
 
-    Linear in time; for precipitation zero where both anchors are zero. A value out of the plausible range is dropped, not clipped.
+    Linear in time; for `zero_for` (precipitation) zero where both anchors are zero. A value out of the plausible range is dropped, not clipped.
     """
     short = F.col("is_gap") & (F.col("n_steps") <= short_gap_hours) & F.col("left_value").isNotNull() & F.col("right_value").isNotNull()
-    zero = (F.col("variable") == zero_for) & (F.col("left_value") == 0) & (F.col("right_value") == 0)
+    zero = F.lit(zero_for is not None) & F.col("variable").eqNullSafe(F.lit(zero_for)) & (F.col("left_value") == 0) & (F.col("right_value") == 0)
     value = F.when(zero, F.lit(0.0)).otherwise(linear(F.col("left_value"), F.col("right_value")))
     filled = anchored.withColumn("short_value", F.when(short & in_range(value), value))
     return filled.withColumn("short_method", F.when(F.col("short_value").isNotNull(), F.when(zero, "short_zero").otherwise("short_linear")))
@@ -84,9 +84,9 @@ def merge_candidates(cells: DataFrame, candidates: list[tuple[str, Column]]) ->
     return cells.withColumn("after", F.when(gap, filled).otherwise(F.col("value"))).withColumn("method", F.when(gap, method))
 
 
-def fill_temporal(cells: DataFrame, short_gap_hours: int = 4, n_weeks: int = 2, min_donors: int = 3, cross_year: bool = True) -> DataFrame:
+def fill_temporal(cells: DataFrame, short_gap_hours: int = 4, n_weeks: int = 2, min_donors: int = 3, cross_year: bool = True, zero_for: str | None = "PP") -> DataFrame:
     """Scalar cells with runs, after, method and n_donors: short gaps, then weekly means, then the adjacent year."""
-    runs = with_short_fill(with_anchors(with_runs(cells)), short_gap_hours)
+    runs = with_short_fill(with_anchors(with_runs(cells)), short_gap_hours, zero_for)
     runs = with_weekly_fill(runs, n_weeks, min_donors)
     candidates = [("short_method", F.col("short_value")), ("weekly_seasonal", F.col("weekly_value"))]
     if cross_year:

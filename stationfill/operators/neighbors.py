@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
@@ -232,10 +233,14 @@ def wind_pairs(vector: DataFrame, neighbors: DataFrame) -> DataFrame:
 
 
 def fill_wind_from_neighbors(vector: DataFrame, empty: DataFrame, neighbors: DataFrame, models: DataFrame, config: CurationConfig) -> DataFrame:
-    """(station, ts, neighbor, near_u, near_v, r2, ...) for empty hours (station, gap_start, ts, direction, speed), by the wind cascade."""
+    """Attempts and filled hours for empty hours (station, gap_start, ts, direction, speed), by the wind cascade.
+
+    Accepted hours and those refused over a calm have their ts; other refusals are one row for a near station. Coefficients
+    are JSON, a row for each of u and v.
+    """
     known = vector.filter("u is not null and v is not null").select(F.col("station").alias("neighbor"), "ts", F.col("u").alias("x1"), F.col("v").alias("x2"))
     rows = empty.select("station", "gap_start", "ts", "direction", "speed").join(neighbors, "station").join(known, ["neighbor", "ts"], "left").join(models, ["station", "neighbor"], "left")
-    kinds = "station string, gap_start timestamp_ntz, ts timestamp_ntz, neighbor string, accepted boolean, rejection_reason string, near_u double, near_v double, r2 double, predictor_coverage double"
+    kinds = "station string, gap_start timestamp_ntz, ts timestamp_ntz, neighbor string, accepted boolean, rejection_reason string, near_u double, near_v double, r2 double, predictor_coverage double, distance_km double, training_pairs long, model_intercept string, model_coefficient string"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ts, order, near = _by_rank(rows)
@@ -246,7 +251,12 @@ def fill_wind_from_neighbors(vector: DataFrame, empty: DataFrame, neighbors: Dat
             if not empty.any():
                 break
             there = ~np.isnan(x1[k]) & empty
-            coverage, good, reason = there.sum() / empty.sum(), np.zeros(len(ts), bool), None
+            coverage, good, reason, refused = there.sum() / empty.sum(), np.zeros(len(ts), bool), None, [None]
+            facts, r2 = (coverage, m.distance_km, None, None, None), None
+            if coverage >= config.predictor_min_gap_coverage and not np.isnan(m.r2):
+                r2 = m.r2
+                slopes = [[m.u_by_u, m.u_by_v], [m.v_by_u, m.v_by_v]]
+                facts = (coverage, m.distance_km, int(m.training_pairs), json.dumps([m.u_base, m.v_base]), json.dumps(slopes))
             if coverage < config.predictor_min_gap_coverage:
                 reason = "insufficient_gap_coverage"
             elif np.isnan(m.r2):
@@ -260,13 +270,14 @@ def fill_wind_from_neighbors(vector: DataFrame, empty: DataFrame, neighbors: Dat
                 clash = calm & ((~np.isnan(d) & np.isnan(s)) | ((s > 0) & np.isnan(d)))
                 valid = there & (size <= RULES["VEL_VIENTO"][3])
                 good = valid & ~clash
-                out += [(first["station"], first["gap_start"], t, m.neighbor, True, None, a, b, m.r2, coverage) for t, a, b in zip(ts[good], u[good], v[good], strict=True)]
+                out += [(first["station"], first["gap_start"], t, m.neighbor, True, None, a, b, r2, *facts) for t, a, b in zip(ts[good], u[good], v[good], strict=True)]
                 if (valid & clash).any():
+                    refused = ts[valid & clash]
                     reason = "calm_candidate_conflicts_with_observed_component"
                 elif not valid.any():
                     reason = "predictions_out_of_range"
             if reason:
-                out.append((first["station"], first["gap_start"], None, m.neighbor, False, reason, None, None, m.r2, coverage))
+                out += [(first["station"], first["gap_start"], t, m.neighbor, False, reason, None, None, r2, *facts) for t in refused]
             empty &= ~good
         return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in kinds.split(",")])
 

@@ -96,17 +96,22 @@ def canonical_direction(states: DataFrame) -> DataFrame:
     return states.filter((F.col("variable") == DIRECTION) & imputed() & ~((F.col("final") >= 0) & (F.col("final") < 360)))
 
 
-def postconditions(states: DataFrame, wide: DataFrame, contributions: DataFrame) -> DataFrame:
-    """(rule, n_violations) of all rules on one product."""
+def postconditions(states: DataFrame, wide: DataFrame, contributions: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """(rule, n_violations) of all rules on one product; with its log also the rules on that."""
     found = {
         "output_keys": output_key_violations(wide), "original_changes": original_changes(states), "fills_logged": unlogged_or_phantom_fills(states, contributions),
         "structural_fills": structural_fills(states), "ranges": range_violations(states), "outliers_kept": outlier_preservation(states),
         "vocabulary": source_vocabulary(states), "coherence": source_value_coherence(states), "calm": calm_coherence(states), "directions": canonical_direction(states),
     }
+    if log is not None:
+        missing = missing_log_columns(log)
+        if missing:
+            raise PostconditionError(f"the log lacks {', '.join(missing)}")
+        found["log"] = log_integrity(log)
     return reduce(DataFrame.unionByName, [x.agg(F.lit(k).alias("rule"), F.count(F.lit(1)).alias("n_violations")) for k, x in found.items()])
 
 
-def assert_postconditions(states: DataFrame, wide: DataFrame, contributions: DataFrame) -> None:
-    broken = postconditions(states, wide, contributions).filter("n_violations > 0").collect()
+def assert_postconditions(states: DataFrame, wide: DataFrame, contributions: DataFrame, log: DataFrame | None = None) -> None:
+    broken = postconditions(states, wide, contributions, log).filter("n_violations > 0").collect()
     if broken:
         raise PostconditionError("; ".join(f"{r['rule']}: {r['n_violations']}" for r in broken))

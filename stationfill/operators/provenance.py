@@ -49,10 +49,15 @@ def allowed(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(v, s) for v in VARIABLES for s in allowed_sources(v)], "variable string, source string")
 
 
-def attribute_cells(contributions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one method for each cell, cells that several log rows claim) from log rows with a list of hours."""
-    cells = contributions.filter("accepted").select("station", "variable", "method_used", F.explode("imputed_timestamps").alias("ts"))
-    counted = cells.groupBy("station", "variable", "ts").agg(F.min("method_used").alias("method"), F.count(F.lit(1)).alias("n_claims"))
+def logged_cells(log: DataFrame) -> DataFrame:
+    """(station, variable, method_used, ts): the hours of the log's accepted rows, once for each row that lists them."""
+    rows = log.filter("accepted").select("station", "variable", "method_used", F.explode(F.split("imputed_timestamps", r"\|")).alias("t")).filter("t <> ''")
+    return rows.select("station", "variable", "method_used", F.to_timestamp_ntz("t").alias("ts"))
+
+
+def attribute_cells(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one method for each cell, cells that several log rows claim)."""
+    counted = logged_cells(log).groupBy("station", "variable", "ts").agg(F.min("method_used").alias("method"), F.count(F.lit(1)).alias("n_claims"))
     return counted.filter("n_claims = 1").drop("n_claims"), counted.filter("n_claims > 1")
 
 

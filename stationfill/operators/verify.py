@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stationfill.functions.rules import DIRECTION, SPEED
-from stationfill.operators.provenance import allowed
+from stationfill.operators.provenance import allowed, logged_cells
 from stationfill.operators.reports import imputed, percent
 
 
@@ -77,9 +77,7 @@ def verify_log(states: DataFrame, log: DataFrame) -> DataFrame:
     """(station, variable, ts, source, n_product, n_log) where the imputed cells of product and log differ, as multisets."""
     key = ["station", "variable", "ts", "source"]
     product = states.filter(imputed()).groupBy(*key).agg(F.count(F.lit(1)).alias("n_product"))
-    hours = F.explode(F.split("imputed_timestamps", r"\|"))
-    logged = log.filter("accepted").select("station", "variable", hours.alias("t"), F.concat(F.lit("imputed_"), "method_used").alias("source"))
-    logged = logged.filter("t <> ''").select("station", "variable", F.to_timestamp_ntz("t").alias("ts"), "source").groupBy(*key).agg(F.count(F.lit(1)).alias("n_log"))
+    logged = logged_cells(log).withColumn("source", F.concat(F.lit("imputed_"), "method_used")).groupBy(*key).agg(F.count(F.lit(1)).alias("n_log"))
     both = product.join(logged, key, "full").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_product", "n_log")})
     return both.filter("n_product <> n_log")
 

@@ -45,7 +45,7 @@ def test_invalid_is_filled_and_an_outlier_is_kept_and_is_no_anchor(spark):
 def test_long_gaps_stay_empty_without_evidence(spark):
     p = jobs.curate(frame(spark, [10, *[None] * 5, 20]))
     assert series(p)[1:6] == [None] * 5
-    log = jobs.imputation_log(p.states, p.scalars).collect()
+    log = jobs.imputation_log(p).collect()
     assert [(r["method_used"], r["n_values_remaining"]) for r in log] == [("unimputable", 5)]
 
 
