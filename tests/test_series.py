@@ -1,15 +1,18 @@
 """Small series with known answers: gaps, fills, wind, provenance, contract, product checks."""
 
+import json
 import math
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from stationfill.functions.rules import CurationConfig
+from stationfill.functions.rules import LOG_COLUMNS, CurationConfig
 from stationfill.jobs import curate as jobs
 from stationfill.operators import contract, external, gaps, grid, neighbors, postconditions, verify, wind
 from stationfill.sources import io
+from stationfill.sources.scratch import Scratch
 
 T0 = datetime(2025, 1, 1)
 
@@ -232,3 +235,73 @@ def test_files_round_trip(spark, tmp_path):
     assert manifest["bytes"] == (tmp_path / "raw.csv").stat().st_size and len(manifest["sha256"]) == 64
     io.write_report_tables({"t": (raw, ["TEMP", "ESTACION"])}, str(tmp_path / "tables"))
     assert spark.read.csv(str(tmp_path / "tables/t"), header=True).columns == ["TEMP", "ESTACION"]
+
+
+def logged(product, config=CurationConfig()):
+    rows = Scratch(product.states.sparkSession, "log").save(jobs.imputation_log(product, config), "log")
+    assert rows.columns == list(LOG_COLUMNS)
+    assert postconditions.log_integrity(rows).isEmpty() and verify.verify_log(product.states, rows).isEmpty()
+    return [r.asDict() for r in rows.orderBy("station", "variable", "gap_start", "method_used", "source_station").collect()]
+
+
+def test_log_of_a_short_gap_without_anchors(spark):
+    short, left = sorted(logged(jobs.curate(frame(spark, [10, None, 12, None, 200, 20])))[1:], key=lambda r: r["method_used"])
+    assert (short["method_used"], short["accepted"], short["rejection_reason"], short["imputed_timestamps"], short["n_values_remaining"]) == ("short_linear", False, "missing_valid_anchors", "", 1)
+    assert (left["method_used"], left["rejection_reason"], left["n_values_remaining"]) == ("unimputable", "no_method_available", 1)
+
+
+def test_log_of_near_stations_has_models_and_refusals(spark):
+    obs, stations, _ = two_stations(spark, variable="PM2_5")
+    config = CurationConfig(min_weekly_donors=99)
+    (row,) = logged(jobs.curate(obs, config, stations), config)
+    assert (row["method_used"], row["accepted"], row["n_values_imputed"], row["n_values_remaining"], row["source_station"]) == ("interstation_regression", True, 6, 0, "B")
+    assert row["imputed_timestamps"].split("|")[0] == (T0 + timedelta(hours=200)).isoformat() and row["training_pairs"] == 234
+    assert float(row["model_coefficient"]) == pytest.approx(2) and float(row["model_intercept"]) == pytest.approx(3)
+    assert row["validation_scheme"] == "TimeSeriesSplit(5)" and row["acceptance_threshold"] == 0.5 and row["interstation_r2"] == pytest.approx(1)
+    config = CurationConfig(min_weekly_donors=99, interstation_min_r2=1.5)
+    refused, left = logged(jobs.curate(obs, config, stations), config)
+    assert (refused["accepted"], refused["rejection_reason"], refused["imputed_timestamps"], refused["n_values_remaining"]) == (False, "r2_below_threshold", None, 6)
+    assert left["method_used"] == "unimputable"
+
+
+def test_log_of_wind_names_fields_written_and_vectors_refused(spark):
+    rows = logged(jobs.curate(windy(spark, [(0, 2), (None, None), (0, 2)])))
+    assert [(r["variable"], r["method_used"], r["n_values_imputed"], r["n_values_remaining"]) for r in rows] == [("DIR_VIENTO", "short_vector_linear", 1, 0), ("VEL_VIENTO", "short_vector_linear", 1, 0)]
+    rows = logged(jobs.curate(windy(spark, [(None, 0), (90, None), (None, 0)])))
+    assert [(r["variable"], r["method_used"], r["rejection_reason"]) for r in rows] == [
+        ("VIENTO_VECTOR", "short_vector_linear", "calm_candidate_conflicts_with_observed_component"), ("VIENTO_VECTOR", "unimputable", "no_vector_method_available")]
+    assert rows[0]["rejected_timestamps"] == (T0 + timedelta(hours=1)).isoformat() and rows[0]["n_values_remaining"] == 1
+
+
+def test_log_of_wind_from_a_near_station(spark):
+    def of(i, turn):
+        return (i * 37 + turn) % 360, 2.0 + i % 7
+
+    near = windy(spark, [of(i, 0) for i in range(240)]).withColumn("station", F.lit("B"))
+    target = windy(spark, [(None, None) if 200 <= i < 206 else of(i, 30) for i in range(240)])
+    stations = spark.createDataFrame([("A", -12.0, -77.0), ("B", -12.1, -77.0)], "station string, LATITUD double, LONGITUD double")
+    config = CurationConfig(min_weekly_donors=99)
+    product = jobs.curate(target.unionByName(near), config, stations)
+    rows = logged(product, config)
+    assert [(r["variable"], r["method_used"], r["accepted"], r["n_values_imputed"], r["n_values_remaining"], r["source_station"]) for r in rows] == [
+        (v, "interstation_vector_regression", True, 6, 0, "B") for v in ("DIR_VIENTO", "VEL_VIENTO")]
+    assert rows[0]["validation_scheme"] == "TimeSeriesSplit(5) multisalida" and rows[0]["training_pairs"] == 234
+    (uu, uv), (vu, vv) = json.loads(rows[0]["model_coefficient"])
+    turn = math.radians(30)
+    assert [uu, uv, vu, vv] == pytest.approx([math.cos(turn), math.sin(turn), -math.sin(turn), math.cos(turn)], abs=1e-9)
+
+
+def test_publishing_checks_first_and_writes_nothing_on_a_breach(spark, tmp_path):
+    product = jobs.curate(frame(spark, [10, None, 12, 13]))
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    jobs.publish(product, good)
+    assert spark.read.parquet(f"{good}/data").count() == 4
+    assert spark.read.csv(f"{good}/log", header=True).columns == list(LOG_COLUMNS)
+    with pytest.raises(postconditions.PostconditionError, match="log"):
+        jobs.publish(replace(product, scalars=product.scalars.withColumn("method", F.lit(None).cast("string"))), bad)
+    assert not (tmp_path / "bad").exists()
+
+
+def test_precipitation_between_zeros_by_the_linear_policy(spark):
+    product = jobs.curate(frame(spark, [0, None, 0], "PP"), CurationConfig(pp_short_method="linear"))
+    assert series(product, "method", "PP") == [None, "short_linear", None] and series(product, variable="PP") == [0, 0, 0]
