@@ -16,6 +16,7 @@ from stationfill.llm.jaccard_join import similarity_components
 from stationfill.llm.language_id import identify
 from stationfill.llm.packing import pack
 from stationfill.llm.quality import score
+from stationfill.llm.spelling import spelling_variants
 from stationfill.llm.suffix_dedup import repeat_digests
 from stationfill.llm.token_counts import token_counts
 from stationfill.llm.voronoi import top_k
@@ -85,6 +86,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"), window=400)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -97,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_packing": op9_packing,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op12_spelling_variants": op12_spelling_variants,
     }
 
 
