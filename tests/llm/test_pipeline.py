@@ -50,4 +50,4 @@ def test_run_and_empty_table(spark, folder, tmp_path):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
