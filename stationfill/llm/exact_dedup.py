@@ -30,12 +30,19 @@ class DigestIndex:
     """
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
+        """`buckets` (by default the session's shuffle partitions) only counts for a new table; one that exists keeps its own."""
         self.spark, self.name = spark, name
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._own_buckets() or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
+    def _own_buckets(self) -> int:
+        """The bucket count that the table was made with; 0 without a table."""
+        if not self.exists():
+            return 0
+        return int(self.spark.sql(f"DESCRIBE EXTENDED {self.name}").filter("col_name = 'Num Buckets'").first()["data_type"])
+
     def append(self, new: DataFrame) -> None:
         """One file a bucket: rows are dealt by the bucket's own hash before they are written."""
         (
@@ -63,10 +70,12 @@ class DigestIndex:
     def ingest(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """One row per row of docs: doc_id, keep_id, group_size, kept, known, digest.
 
-        group_size counts the rows of the batch with that text. Where the index knew the text before (`known`),
-        keep_id is the indexed document's and no row of the batch is kept; otherwise the row with the smallest doc_id is.
-        Repeated rows of one doc_id are one document: they get the same answer. A row without doc_id is kept if no row of
-        its text has one. An empty batch gives no rows.
+        group_size counts the rows of the batch with that text. Where the index knew the text from another document
+        (`known`), keep_id is that document's and no row of the batch is kept; otherwise the row with the smallest doc_id is.
+        A document that the index itself holds is kept again: a batch that comes twice, as after a failure, gets the same
+        answer twice. Repeated rows of one doc_id are one document: they get the same answer. A row without doc_id is kept
+        if no row of its text has one and the text is new; it can't be told from another when it comes again. An empty batch
+        gives no rows.
         """
         spark, scratch = self.spark, Scratch(self.spark, "digests")
         rows = scratch.save(digests(docs, doc_id, text), "rows")
@@ -78,11 +87,12 @@ class DigestIndex:
         index = spark.table(self.name)
         fresh = groups.hint("merge").join(index, "digest", "left_anti").withColumnRenamed("first_id", "keep_id")
         fresh = scratch.save(fresh, "fresh")
-        known = groups.hint("merge").join(index, "digest").select("digest", "keep_id", "group_size", F.lit(True).alias("known"))
+        again = F.coalesce(F.col("first_id") == F.col("keep_id"), F.lit(False))
+        known = groups.hint("merge").join(index, "digest").select("digest", "keep_id", "group_size", (~again).alias("known"))
         found = scratch.save(known.unionByName(fresh.withColumn("known", F.lit(False)).select("digest", "keep_id", "group_size", "known")), "found")
         self.append(fresh)
         # Both sides are plain tables, so that adaptive execution can split the partition of a frequent text.
-        kept = ~F.col("known") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+        kept = F.when(F.col("keep_id").isNull(), ~F.col("known") & F.col("doc_id").isNull()).otherwise(F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)))
         answer = rows.hint("merge").join(found, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "known", "digest")
         answer = scratch.save(answer, "answer")
         scratch.drop("rows", "groups", "fresh", "found")
@@ -118,5 +128,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches:
     sizes = scratch.save(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size")), "sizes")
     found = rows.drop("group_size").hint("merge").join(sizes, "digest").select("doc_id", "keep_id", "group_size", "kept", "digest")
     found = scratch.save(found, "found")
+    scratch.drop("sizes")
     index.drop()
     return found
