@@ -252,12 +252,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2,
     """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and `last_id`; a null text is `last_id` alone. Full windows of a document are sequences of their
-    own; what is left of it is packed with others. Sequences hold `window` ids, but for those of a power of two that take
+    own; what is left of it is packed with others. A row without doc_id is a document like any other. Sequences hold `window` ids, but for those of a power of two that take
     the last ids. A repeated row is packed again, and so is each text of a doc_id that has several. No rows give no pieces. `tokenizer` is the path of a vocabulary whose words hold no white space.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.withColumn("mark", F.xxhash64("text"))
     end = np.array([last_id], "<u4").tobytes()
     step = 4 * window
 
@@ -272,11 +273,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2,
                     n.append(len(ids) // 4)
                     full.append([zlib.crc32(ids[k : k + step]) for k in range(0, whole, step)])
                     rest.append(zlib.crc32(ids[whole:]))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), "n": n, "full": pa.array(full, pa.list_(pa.int64())), "rest": rest})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), "mark": batch.column("mark").slice(a, b - a), "n": n, "full": pa.array(full, pa.list_(pa.int64())), "rest": rest})
 
-    lengths = docs.mapInArrow(measure, "doc_id long, n long, full array<long>, rest long")
+    lengths = docs.mapInArrow(measure, "doc_id long, mark long, n long, full array<long>, rest long")
     salts = 8 * shuffle_partitions(spark)
-    lengths = lengths.withColumn("r", F.col("n") % window).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    lengths = lengths.withColumn("r", F.col("n") % window).withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(salts)).cast("int"))
     lengths = scratch.save(lengths.withColumn("n_full", F.size("full").cast("long")), "lengths")
     # A length that a third of the documents have is dealt into salts, each ranked by itself.
     cells = scratch.save(lengths.groupBy("r", "salt").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_full").alias("fulls")), "cells")
@@ -291,28 +292,29 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2,
     own = W.partitionBy("r", "salt").orderBy("doc_id", "n", "rest", "full")
     ranked = lengths.withColumn("k", F.row_number().over(own)).withColumn("f", F.sum("n_full").over(own.rowsBetween(W.unboundedPreceding, -1)))
     ranked = ranked.join(cells, ["r", "salt"]).select(
-        "doc_id", "n", "r", "full", "rest", (F.col("docs_before") + F.col("k") - 1).alias("rank"), (F.col("fulls_before") + F.coalesce("f", F.lit(0))).alias("fulls")
+        "doc_id", "mark", "n", "r", "full", "rest", (F.col("docs_before") + F.col("k") - 1).alias("rank"), (F.col("fulls_before") + F.coalesce("f", F.lit(0))).alias("fulls")
     )
     shared = spark.sparkContext.broadcast((*plan.arrays(), base))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    marked = [*names, "rest"]  # the sum of the document's ids after its full windows, by which its text is known again
+    marked = [*names, "rest", "mark"]  # the sum of the document's ids after its full windows and a hash of its text, by which the text is known again
     kinds = ", ".join(f"{k} long" for k in marked)
     schema = pa.schema([(k, pa.int64()) for k in marked])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, pieces, bases = shared.value
         for batch in batches:
-            ids, n, r, rest, rank, fulls = (batch.column(k).to_numpy() for k in ("doc_id", "n", "r", "rest", "rank", "fulls"))
+            n, r, rest, rank, fulls, mark = (batch.column(k).to_numpy() for k in ("n", "r", "rest", "rank", "fulls", "mark"))
+            ids = batch.column("doc_id").to_pylist()
             run = np.searchsorted(starts, r.astype(np.int64) << 44 | rank, "right") - 1
             out = []
             for k, full in enumerate(batch.column("full").to_pylist()):
                 first = bases[int(r[k])] + fulls[k]
-                out += [(ids[k], i * window, window, crc, n[k], first + i, 0, rest[k]) for i, crc in enumerate(full)]
+                out += [(ids[k], i * window, window, crc, n[k], first + i, 0, rest[k], mark[k]) for i, crc in enumerate(full)]
                 if r[k]:
                     parts = pieces[run[k]]
                     for begin, size, sequence, offset in parts:
                         crc = rest[k] if len(parts) == 1 else None
-                        out.append((ids[k], n[k] - r[k] + begin, size, crc, n[k], sequence + rank[k], offset, rest[k]))
+                        out.append((ids[k], n[k] - r[k] + begin, size, crc, n[k], sequence + rank[k], offset, rest[k], mark[k]))
             yield pa.RecordBatch.from_pydict({k: [x[i] for x in out] for i, k in enumerate(marked)}, schema)
 
     placed = scratch.save(ranked.mapInArrow(assign, kinds), "placed")
@@ -333,7 +335,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2,
     # Only documents cut below a window are read again, for the sums of their parts. The plan knows how many: few ids are
     # broadcast, so that other texts aren't shuffled; beyond `most_ids` it is a join of both sides.
     cut = placed.filter("ids_crc32 is null")
-    wanted = cut.select("doc_id").distinct()
-    texts = docs.join(F.broadcast(wanted) if plan.n_cut <= most_ids else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    summed = cut.join(texts, "doc_id").select(*marked, "text").mapInArrow(sums, kinds).dropDuplicates(["sequence_id", "offset"])
+    wanted = cut.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    texts = docs.join(F.broadcast(wanted) if plan.n_cut <= most_ids else wanted, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    texts = texts.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "text")
+    summed = cut.join(texts, same).select(*marked, "text").mapInArrow(sums, kinds).dropDuplicates(["sequence_id", "offset"])
     return placed.filter("ids_crc32 is not null").unionByName(summed).select(*names)
