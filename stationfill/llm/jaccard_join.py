@@ -225,7 +225,8 @@ def similarity_components(
     """Per row: doc_id, n_shingles, component_id, the smallest doc_id that links of similarity num/den reach.
 
     Null text, or text without words, has no shingles and links with nothing. Documents with equal sets are one class and
-    only the class's smallest doc_id is joined. Repeated rows of a doc_id get the same answer; no rows give no rows.
+    only the class's smallest doc_id is joined. Repeated rows of a doc_id get the same answer; no rows give no rows. A row
+    without doc_id has the component of the documents of its set, null if there are none, and links with no other.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,6 +144,18 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(closes & solid) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
+#: Words above this many bytes are hashed whole: a polynomial modulo a power of two has known collisions of long words.
+LONG_WORD = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at starts to ends: by the polynomial, or for long words by blake2b."""
+    hashes = slice_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return hashes
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
     """For each row the sorted distinct 64-bit hashes of its `width`-word shingles, A-Z lower-cased.
 
@@ -150,7 +163,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[
     """
     data = LOWER[data]
     starts, ends, rows = words(data, offsets)
-    hashes = slice_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    hashes = word_hashes(data, starts, ends)
     n = len(offsets) - 1
     first = np.searchsorted(rows, np.arange(n + 1))
     keys = mix(np.arange(1, width + 1, dtype=np.uint64) * U(_ODD)) | U(1)
