@@ -112,6 +112,38 @@ def test_exact_dedup_in_batches(spark, docs, empty):
     assert dedup(empty).count() == 0 and not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
 
 
+def test_exact_dedup_of_a_batch_that_comes_twice(spark):
+    """A retried batch gets its first answer again, also in a session with other partitions; new copies are dropped."""
+    rows = [(5, "a b"), (2, "a  b"), (7, "c"), (7, "c"), (None, "d")]
+    batch = spark.createDataFrame(rows, "doc_id long, text string")
+    index = DigestIndex(spark, "test_retry", 3)
+    columns = ("doc_id", "keep_id", "group_size", "kept", "known")
+    first = got(index.ingest(batch), *columns)
+    assert first == {(5, 2, 2, False, False), (2, 2, 2, True, False), (7, 7, 2, True, False), (None, None, 1, True, False)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        later = DigestIndex(spark, "test_retry")
+        assert later.buckets == 3
+        assert got(later.ingest(batch), *columns) == first - {(None, None, 1, True, False)} | {(None, None, 1, False, True)}
+        more = spark.createDataFrame([(1, "a b"), (9, "e"), (None, "c")], "doc_id long, text string")
+        assert got(later.ingest(more), *columns) == {(1, 2, 1, False, True), (9, 9, 1, True, False), (None, 7, 1, False, True)}
+        later.compact()
+        assert spark.table("test_retry").count() == 4 and DigestIndex(spark, "test_retry").buckets == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        later.drop()
+
+
+def test_long_words_with_equal_polynomials_are_not_linked(spark):
+    """A word of the Thue-Morse sequence and its complement collide in any polynomial modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    words = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    rows = [(1, words[0]), (2, words[1]), (3, words[0]), (4, f"x y {words[0]} z"), (5, f"x y {words[1]} z"), (None, "q r s t"), (None, "one two three four"), (8, "one two three four")]
+    found = jaccard_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100)
+    assert got(found, "doc_id", "component_id") == {(1, 1), (2, 2), (3, 1), (4, 4), (5, 5), (None, None), (None, 8), (8, 8)}
+
+
 @pytest.mark.parametrize(("width", "num", "den", "most"), [(4, 85, 100, 128), (5, 80, 100, 2)])
 def test_jaccard_join(docs, empty, width, num, den, most):
     sets = {}
@@ -311,6 +343,27 @@ def test_packing_of_odd_rows(spark):
     assert len({(r["sequence_id"], r["offset"]) for r in found}) == len(found)
 
 
+def test_packing_of_rows_without_doc_id(spark):
+    """They are packed like others, those that are cut as well."""
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(WORDS), random.Random(8)
+    rows = [(i if i % 3 else None, " ".join(rng.choice(["cat", "dog", "sun"]) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    rows += [(None, rows[0][1]), (None, None), (4, rows[0][1])]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, 16).collect()
+    pieces, want = Counter(), Counter()
+    for i, t in rows:
+        own = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want[i] += len(own)
+    for r in found:
+        pieces[r["doc_id"]] += r["length"]
+    assert pieces == want and all(r["ids_crc32"] is not None for r in found)
+    own = {zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows if i is None}
+    whole = [r for r in found if r["doc_id"] is None and r["length"] == r["doc_tokens"]]
+    assert whole and all(r["ids_crc32"] in own for r in whole)
+    assert len({(r["sequence_id"], r["offset"]) for r in found}) == len(found)
+
+
 def test_language_id(spark):
     rng = random.Random(9)
     parts = {"aa": ["the", "ing", "and", "er"], "bb": ["der", "sch", "und", "ei"], "cc": ["que", "eau", "é", "tion"], "dd": ["los", "ció", "ñ", "ar"]}
