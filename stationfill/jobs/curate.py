@@ -1,4 +1,4 @@
-"""Jobs: curate a product, verify it, diagnose its coverage."""
+"""Jobs: curate a product, log it, publish it."""
 
 from __future__ import annotations
 
@@ -16,56 +16,68 @@ from stationfill.sources.scratch import Scratch
 
 @dataclass
 class Product:
+    """The stages of a curation, each a written table: states, log, reports and post-conditions read them, and nothing is computed twice."""
+
     cells: DataFrame
     states: DataFrame
     scalars: DataFrame
     wind: DataFrame | None
     attempts: DataFrame | None = None
     wind_attempts: DataFrame | None = None
+    scratch: Scratch | None = None
+
+    def drop(self) -> None:
+        """Remove the stages; the product can't be read any more."""
+        if self.scratch is not None:
+            self.scratch.drop("cells", "candidates", "scalars", "scalars-near", "wind", "states")
 
 
 def cells_of(obs: DataFrame, variables: tuple[str, ...] | None = None) -> DataFrame:
-    """Classified cells on the global grid of a view (station, ts, one column a variable)."""
+    """Classified cells on the global grid of a view (station, ts, one column a variable).
+
+    Spans come from the observations, not from the grid: a row a series, joined to its cells.
+    """
     variables = list(variables or [v for v in VARIABLES if v in obs.columns])
     wide = reindex_to_grid(obs, hourly_grid(obs))
-    return quality.with_eligibility(quality.classify(wide, variables))
+    spans = quality.observed_span(quality.classify(obs.withColumn("source_row", F.lit(True)), variables))
+    return quality.with_eligibility(quality.classify(wide, variables), spans)
 
 
 def curate(obs: DataFrame, config: CurationConfig = CurationConfig(), stations: DataFrame | None = None) -> Product:
     """Fill a view by the cascade: short gaps, same hours of other weeks, the adjacent year and, given stations, near stations.
 
     Hours that stay empty after the series' own evidence go to the neighbours; the evidence is always what was observed.
+    Series that were never seen take no part in any window. Each stage is written once, into the shared folder.
     """
-    cells = cells_of(obs)
-    scalars = fill.fill_temporal(cells.filter(F.col("variable").isin(*SCALARS)), config.short_gap_hours, config.weekly_n_weeks, config.min_weekly_donors, zero_for="PP" if config.pp_short_method == "zero" else None)
-    policy = dict(short_gap_hours=config.short_gap_hours, n_weeks=config.weekly_n_weeks, min_donors=config.min_weekly_donors)
-    attempts = wind_attempts = None
-    vector = wind.vectors(cells) if {"DIR_VIENTO", "VEL_VIENTO"} <= set(obs.columns) else None
-    sources = [("short_vector_linear", "short"), ("weekly_vector_seasonal", "weekly")]
-    runs = wind.candidates(vector, **policy) if vector is not None else None
-    if runs is not None:
-        open_hours = wind.merge(runs, sources).filter("is_gap AND method IS NULL")
-        runs = runs.join(wind.cross_year_vectors(vector, open_hours), ["station", "ts"], "left")
-        sources.append(("cross_year_vector_analog", "year"))
+    scratch = Scratch(obs.sparkSession, "curate")
+    cells = scratch.save(cells_of(obs), "cells")
+    seen = cells.filter("span_start is not null")
+    policy = dict(short_gap_hours=config.short_gap_hours, n_weeks=config.weekly_n_weeks, min_donors=config.min_weekly_donors, piece_hours=config.piece_hours)
+    own = fill.own_candidates(seen.filter(F.col("variable").isin(*SCALARS)), **policy, zero_for="PP" if config.pp_short_method == "zero" else None)
+    scalars = scratch.save(fill.merged_temporal(scratch.save(own, "candidates")), "scalars")
+    attempts = wind_attempts = filled = None
     if stations is not None:
-        near = neighbors.rank_neighbors(stations, config.neighbors)
-        models = neighbors.fit_station_models(neighbors.training_pairs(scalars, near), config.interstation_cv_splits, config.min_training_pairs)
-        empty = scalars.filter("is_gap AND after IS NULL")
-        attempts = neighbors.fill_from_neighbors(scalars, empty, near, models, config)
+        attempts = neighbors.fill_from_neighbors(scalars, scalars.filter("is_gap AND after IS NULL"), stations, config)
         found = attempts.filter("accepted").select("station", "variable", "ts", F.col("value").alias("near"))
-        scalars = scalars.join(found, ["station", "variable", "ts"], "left").withColumn("method", F.when(F.col("near").isNotNull(), neighbors.METHOD).otherwise(F.col("method"))).withColumn("after", F.coalesce("after", "near")).drop("near")
-        if runs is not None:
-            wind_models = neighbors.fit_wind_models(neighbors.wind_pairs(vector, near), config.interstation_cv_splits, config.min_training_pairs)
+        method = F.when(F.col("near").isNotNull(), neighbors.METHOD).otherwise(F.col("method"))
+        scalars = scalars.join(found, ["station", "variable", "ts"], "left").withColumns({"method": method, "after": F.coalesce("after", "near")}).drop("near")
+        scalars = scratch.save(scalars, "scalars-near")
+    if {"DIR_VIENTO", "VEL_VIENTO"} <= set(obs.columns):
+        vector = wind.vectors(seen)
+        sources = [("short_vector_linear", "short"), ("weekly_vector_seasonal", "weekly")]
+        runs = scratch.save(wind.candidates(vector, **policy), "wind")
+        open_hours = wind.merge(runs, sources).filter("is_gap AND method IS NULL")
+        runs = runs.join(wind.cross_year_vectors(runs, open_hours), ["station", "ts"], "left")
+        sources.append(("cross_year_vector_analog", "year"))
+        if stations is not None:
             empty = wind.merge(runs, sources).filter("is_gap AND method IS NULL")
-            wind_attempts = neighbors.fill_wind_from_neighbors(vector, empty, near, wind_models, config)
-            near_wind = wind_attempts.filter("accepted").select("station", "ts", "near_u", "near_v")
-            runs = runs.join(near_wind, ["station", "ts"], "left")
+            wind_attempts = neighbors.fill_wind_from_neighbors(runs, empty, stations, config)
+            runs = runs.join(wind_attempts.filter("accepted").select("station", "ts", "near_u", "near_v"), ["station", "ts"], "left")
             sources.append(("interstation_vector_regression", "near"))
-    filled = wind.compose_fields(wind.merge(runs, sources)) if runs is not None else None
-    if filled is None:
-        columns = ["station", "variable", "ts", "source_row", "raw", "hard", "outlier", "value", "eligible", "after", "method"]
-        return Product(cells, provenance.cell_states(scalars.select(*columns, F.lit(False).alias("calm"))), scalars, None, attempts)
-    return Product(cells, provenance.cell_states(provenance.filled_cells(scalars, filled, cells)), scalars, filled, attempts, wind_attempts)
+        filled = scratch.save(wind.compose_fields(wind.merge(runs, sources)), "wind-filled")
+    after = provenance.filled_cells(scalars, filled, seen) if filled is not None else scalars.withColumn("calm", F.lit(False)).select(*provenance.FILLED)
+    states = scratch.save(provenance.cell_states(after.unionByName(provenance.never_seen(cells))), "states")
+    return Product(cells, states, scalars, filled, attempts, wind_attempts, scratch)
 
 
 def imputation_log(product: Product, config: CurationConfig = CurationConfig()) -> DataFrame:
@@ -78,17 +90,13 @@ def imputation_log(product: Product, config: CurationConfig = CurationConfig())
 
 
 def publish(product: Product, path: str, config: CurationConfig = CurationConfig()) -> None:
-    """Test a product by its post-conditions, the log among them, and write data, log and summary; a breach writes nothing.
-
-    States and log are computed once, into the shared folder, and checked and written from there.
-    """
+    """Test a product by its post-conditions, the log among them, and write data, log and summary; a breach writes nothing."""
     scratch = Scratch(product.states.sparkSession, "publish")
-    states = scratch.save(product.states, "states")
-    written = scratch.save(imputation_log(product, config), "log")
+    states, written = product.states, scratch.save(imputation_log(product, config), "log")
     there = {r[0] for r in states.select("variable").distinct().collect()}
     wide = to_wide_output(states, [v for v in VARIABLES if v in there])
     try:
         postconditions.assert_postconditions(states, wide, provenance.logged_cells(written), written)
         io.write_curated(wide, written, reports.execution_summary(states), path)
     finally:
-        scratch.drop("states", "log")
+        scratch.drop("log")

@@ -58,7 +58,7 @@ class View:
 
     @cached_property
     def anchored(self) -> DataFrame:
-        return gaps.with_anchors(gaps.with_runs(self.scalars))
+        return gaps.with_runs(self.scalars)
 
     @cached_property
     def vector(self) -> DataFrame:
@@ -340,7 +340,7 @@ def fill_weekly_mean(v):
 @query("long", "SELECT station, variable, ts, year_value FROM y WHERE year_value IS NOT NULL")
 def fill_cross_year(v):
     cells = jobs.cells_of(v.long)
-    runs = fill.with_weekly_fill(fill.with_short_fill(gaps.with_anchors(gaps.with_runs(cells))))
+    runs = fill.own_candidates(cells)
     return fill.cross_year_values(cells, runs.filter("is_gap AND short_value IS NULL AND weekly_value IS NULL"))
 
 
@@ -415,7 +415,7 @@ r2 AS (SELECT variable, station, neighbor, avg(CASE WHEN sst > 0 THEN 1 - sse /
 
 @query("station_cells", f"SELECT variable, station, neighbor, training_pairs, {R('slope')} AS slope, {R('my - slope * mx')} AS intercept, {R('r2')} AS r2 FROM model JOIN r2 USING (variable, station, neighbor)", _PAIRS)
 def fit_station_models(v):
-    m = neighbors.fit_station_models(neighbors.training_pairs(v.scalars, v.near))
+    m = neighbors.fit_station_models(neighbors.training_pairs(v.scalars, v.near)).filter("r2 is not null")
     return m.select("variable", "station", "neighbor", "training_pairs", *[r(c).alias(c) for c in ("slope", "intercept", "r2")])
 
 
@@ -495,14 +495,14 @@ def fill_wind_cross_year(v):
 
 @query()
 def fit_wind_models(v):
-    return neighbors.fit_wind_models(neighbors.wind_pairs(v.vector, v.near))
+    m = neighbors.fit_wind_models(neighbors.wind_pairs(v.vector, v.near)).filter("r2 is not null")
+    return m.select("station", "neighbor", "training_pairs", *[r(c).alias(c) for c in ("u_by_u", "u_by_v", "v_by_u", "v_by_v", "u_base", "v_base", "r2")])
 
 
 @query()
 def fill_wind_from_neighbors(v):
     config = CurationConfig(interstation_min_r2=-10.0, predictor_min_gap_coverage=0.5)
-    models = neighbors.fit_wind_models(neighbors.wind_pairs(v.vector, v.near))
-    return neighbors.fill_wind_from_neighbors(v.vector, v.filled_wind.filter("is_gap AND method IS NULL"), v.near, models, config)
+    return neighbors.fill_wind_from_neighbors(v.vector, v.filled_wind.filter("is_gap AND method IS NULL"), v.stations, config)
 
 
 @query("wind", f"SELECT station, ts, {R('round(direction_after, 6) % 360')} AS direction_after, {R('speed_after')} AS speed_after, wrote_direction, wrote_speed FROM wind WHERE is_gap")

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationfill.functions.rules import RULES, SCALARS
-from stationfill.operators.gaps import with_anchors, with_runs
-from stationfill.operators.quality import series
+from stationfill.operators.gaps import beside, with_runs
 
 WEEK = 168
 
@@ -39,10 +38,14 @@ def with_short_fill(anchored: DataFrame, short_gap_hours: int = 4, zero_for: str
     return filled.withColumn("short_method", F.when(F.col("short_value").isNotNull(), F.when(zero, "short_zero").otherwise("short_linear")))
 
 
-def weekly_donors(cells: DataFrame, n_weeks: int = 2, column: str = "value") -> DataFrame:
-    """donors: the values at the same hour 1 to n_weeks weeks before and after, from -n to n; on a dense grid offsets are rows."""
-    w, order = series(), [k for k in range(-n_weeks, n_weeks + 1) if k]
-    return cells.withColumn("donors", F.array(*[F.lag(column, -WEEK * k).over(w) if k < 0 else F.lead(column, WEEK * k).over(w) for k in order]))
+def weeks(n_weeks: int) -> list[int]:
+    """The same hour 1 to n_weeks weeks before and after, from -n to n; on a dense grid offsets are rows."""
+    return [WEEK * k for k in range(-n_weeks, n_weeks + 1) if k]
+
+
+def weekly_donors(cells: DataFrame, n_weeks: int = 2, column: str = "value", piece_hours: int | None = None) -> DataFrame:
+    """donors: the values at the same hour of the weeks around, those that aren't there as nulls."""
+    return beside(cells, (column,), weeks(n_weeks), piece_hours).withColumnRenamed(f"donors_{column}", "donors")
 
 
 def mean_of_donors(least: int) -> tuple[Column, Column]:
@@ -52,10 +55,10 @@ def mean_of_donors(least: int) -> tuple[Column, Column]:
     return F.when(F.size(there) >= least, total / F.size(there)), F.size(there)
 
 
-def with_weekly_fill(runs: DataFrame, n_weeks: int = 2, min_donors: int = 3) -> DataFrame:
+def with_weekly_fill(runs: DataFrame, n_weeks: int = 2, min_donors: int = 3, piece_hours: int | None = None) -> DataFrame:
     """weekly_value and n_donors of every gap hour with enough donors."""
     value, n = mean_of_donors(min_donors)
-    donors = weekly_donors(runs, n_weeks).withColumn("weekly_value", F.when(F.col("is_gap"), value))
+    donors = weekly_donors(runs, n_weeks, piece_hours=piece_hours).withColumn("weekly_value", F.when(F.col("is_gap"), value))
     kept = F.when(in_range(F.col("weekly_value")), F.col("weekly_value"))
     return donors.withColumn("n_donors", F.when(F.col("weekly_value").isNotNull(), n)).withColumn("weekly_value", kept).drop("donors")
 
@@ -84,13 +87,21 @@ def merge_candidates(cells: DataFrame, candidates: list[tuple[str, Column]]) ->
     return cells.withColumn("after", F.when(gap, filled).otherwise(F.col("value"))).withColumn("method", F.when(gap, method))
 
 
-def fill_temporal(cells: DataFrame, short_gap_hours: int = 4, n_weeks: int = 2, min_donors: int = 3, cross_year: bool = True, zero_for: str | None = "PP") -> DataFrame:
+def own_candidates(cells: DataFrame, short_gap_hours: int = 4, n_weeks: int = 2, min_donors: int = 3, zero_for: str | None = "PP", piece_hours: int | None = None) -> DataFrame:
+    """Cells with runs and what short gaps and other weeks offer."""
+    return with_weekly_fill(with_short_fill(with_runs(cells, piece_hours=piece_hours), short_gap_hours, zero_for), n_weeks, min_donors, piece_hours)
+
+
+def fill_temporal(cells: DataFrame, short_gap_hours: int = 4, n_weeks: int = 2, min_donors: int = 3, cross_year: bool = True, zero_for: str | None = "PP", piece_hours: int | None = None) -> DataFrame:
     """Scalar cells with runs, after, method and n_donors: short gaps, then weekly means, then the adjacent year."""
-    runs = with_short_fill(with_anchors(with_runs(cells)), short_gap_hours, zero_for)
-    runs = with_weekly_fill(runs, n_weeks, min_donors)
+    return merged_temporal(own_candidates(cells, short_gap_hours, n_weeks, min_donors, zero_for, piece_hours), cross_year)
+
+
+def merged_temporal(runs: DataFrame, cross_year: bool = True) -> DataFrame:
+    """own_candidates with after and method; where they offer nothing, the adjacent year is asked."""
     candidates = [("short_method", F.col("short_value")), ("weekly_seasonal", F.col("weekly_value"))]
     if cross_year:
         wanted = runs.filter("is_gap AND short_value IS NULL AND weekly_value IS NULL")
-        runs = runs.join(cross_year_values(cells, wanted), ["station", "variable", "ts"], "left")
+        runs = runs.join(cross_year_values(runs, wanted), ["station", "variable", "ts"], "left")
         candidates.append(("cross_year_analog", F.when(in_range(F.col("year_value")), F.col("year_value"))))
     return merge_candidates(runs, candidates).drop("short_value", "short_method", "weekly_value", "year_value")

@@ -1,7 +1,7 @@
 """The imputation log: a row for each contribution to a gap and each refused attempt, in the published columns.
 
 Every row comes from one aggregate over the hours of a gap, so a group is never longer than a gap. Hours are text,
-sorted and parted by bars. A model that lacks hours for its fit has no facts, nor the number of its training pairs.
+sorted and parted by bars. Of a model that lacks hours for its fit only their number is told.
 """
 
 from __future__ import annotations

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from stationfill.functions.rules import DIRECTION, SPEED, VARIABLES, allowed_sources
 
 
+FILLED = ("station", "variable", "ts", "source_row", "raw", "hard", "outlier", "value", "eligible", "after", "method", "calm")
+
+
 def filled_cells(scalars: DataFrame, wind: DataFrame, cells: DataFrame) -> DataFrame:
     """All cells with after and method: scalar cells as filled, and both fields of the wind from its vector rows."""
     keys = ["station", "ts"]
@@ -17,8 +20,12 @@ def filled_cells(scalars: DataFrame, wind: DataFrame, cells: DataFrame) -> DataF
     wrote = F.when(is_speed, F.col("wrote_speed")).otherwise(F.col("wrote_direction"))
     both = both.withColumn("after", F.when(is_speed, F.col("speed_after")).otherwise(F.col("direction_after"))).withColumn("method", F.when(wrote, F.col("vector_method")))
     both = both.withColumn("calm", F.coalesce(~is_speed & (F.col("speed_after") == 0), F.lit(False)))
-    columns = ["station", "variable", "ts", "source_row", "raw", "hard", "outlier", "value", "eligible", "after", "method", "calm"]
-    return scalars.withColumn("calm", F.lit(False)).select(*columns).unionByName(both.select(*columns))
+    return scalars.withColumn("calm", F.lit(False)).select(*FILLED).unionByName(both.select(*FILLED))
+
+
+def never_seen(cells: DataFrame) -> DataFrame:
+    """Cells of series without a seen hour, in the columns of filled cells: no hour of theirs can be filled."""
+    return cells.filter("span_start is null").withColumns({"after": F.col("value"), "method": F.lit(None).cast("string"), "calm": F.lit(False)}).select(*FILLED)
 
 
 def cell_states(filled: DataFrame) -> DataFrame:

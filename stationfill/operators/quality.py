@@ -1,12 +1,11 @@
 """Classification of cells: hard-invalid, outlier, analytic value, observed span, eligibility for filling.
 
-A cell is (station, variable, ts). All windows over cells share one partitioning and order, hence one exchange and sort.
+A cell is (station, variable, ts). Spans are an aggregate, a row a series, and are joined to the cells.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stationfill.functions.expressions import hard_invalid, operational_outlier
@@ -14,10 +13,6 @@ from stationfill.functions.rules import DIRECTION, SPEED
 from stationfill.operators.grid import to_long
 
 
-def series() -> W:
-    return W.partitionBy("station", "variable").orderBy("ts")
-
-
 def analytic_value(variable: str, columns: list[str]) -> Column:
     """The value fit for analysis: null where it can't be or is implausible; north is 0, and calm has no direction."""
     raw = F.col(variable)
@@ -46,18 +41,13 @@ def classify(wide: DataFrame, variables: list[str]) -> DataFrame:
     return to_long(wide, fields, ["station", "ts", "source_row"])
 
 
-def with_span(cells: DataFrame) -> DataFrame:
-    """First and last seen hour of each series, null for a series never seen."""
-    own = W.partitionBy("station", "variable")
-    return cells.withColumn("span_start", F.min(F.when(F.col("seen"), F.col("ts"))).over(own)).withColumn("span_end", F.max(F.when(F.col("seen"), F.col("ts"))).over(own))
-
-
 def observed_span(cells: DataFrame) -> DataFrame:
+    """First and last seen hour of each series, null for a series never seen."""
     hour = F.when(F.col("seen"), F.col("ts"))
     return cells.groupBy("station", "variable").agg(F.min(hour).alias("span_start"), F.max(hour).alias("span_end"))
 
 
-def with_eligibility(cells: DataFrame) -> DataFrame:
-    """eligible: within the span and not an outlier. Edges and never-seen series are not."""
+def with_eligibility(cells: DataFrame, spans: DataFrame) -> DataFrame:
+    """eligible: within the series' span (see observed_span) and not an outlier. Edges and never-seen series are not."""
     inside = F.coalesce(F.col("ts").between(F.col("span_start"), F.col("span_end")), F.lit(False))
-    return with_span(cells).withColumn("eligible", inside & ~F.col("excluded"))
+    return cells.join(spans, ["station", "variable"], "left").withColumn("eligible", inside & ~F.col("excluded"))

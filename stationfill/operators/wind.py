@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from stationfill.functions.expressions import direction_of, numerical_calm, speed_of, valid_wind, wind_u, wind_v
 from stationfill.functions.rules import DIRECTION, SPEED
-from stationfill.operators.fill import WEEK, linear
-from stationfill.operators.gaps import with_anchors, with_runs
-from stationfill.operators.quality import series
+from stationfill.operators.fill import linear, weeks
+from stationfill.operators.gaps import beside, with_runs
 
 #: The series name of vector rows.
 VECTOR = "VIENTO_VECTOR"
@@ -25,9 +24,9 @@ def vectors(cells: DataFrame) -> DataFrame:
         F.when(known, wind_u(direction, speed)).alias("u"), F.when(known, wind_v(direction, speed)).alias("v"))
 
 
-def with_wind_gaps(vector: DataFrame) -> DataFrame:
+def with_wind_gaps(vector: DataFrame, piece_hours: int | None = None) -> DataFrame:
     """Runs of eligible hours without a whole vector, with the vectors next to them."""
-    runs = with_anchors(with_runs(vector, (F.col("u").isNull() | F.col("v").isNull()) & F.col("eligible")), ("u", "v"))
+    runs = with_runs(vector, (F.col("u").isNull() | F.col("v").isNull()) & F.col("eligible"), ("u", "v"), piece_hours)
     whole = F.col("left_u").isNotNull() & F.col("right_u").isNotNull()
     return runs.withColumn("anchored", F.col("is_gap") & whole)
 
@@ -38,15 +37,13 @@ def conflict(u: Column, v: Column) -> Column:
     return valid_wind(u, v) & numerical_calm(F.hypot(u, v)) & F.coalesce(one, F.lit(False))
 
 
-def candidates(vector: DataFrame, short_gap_hours: int = 4, n_weeks: int = 2, min_donors: int = 3) -> DataFrame:
+def candidates(vector: DataFrame, short_gap_hours: int = 4, n_weeks: int = 2, min_donors: int = 3, piece_hours: int | None = None) -> DataFrame:
     """Gap hours with short_u/short_v (linear between whole vectors) and weekly_u/weekly_v (mean of whole donors)."""
-    runs, w = with_wind_gaps(vector), series()
+    runs = beside(with_wind_gaps(vector, piece_hours), ("u", "v"), weeks(n_weeks), piece_hours)
     short = F.col("anchored") & (F.col("n_steps") <= short_gap_hours)
     for c in ("u", "v"):
         runs = runs.withColumn(f"short_{c}", F.when(short, linear(F.col(f"left_{c}"), F.col(f"right_{c}"))))
-        order = [k for k in range(-n_weeks, n_weeks + 1) if k]
-        donors = F.array(*[F.lag(c, -WEEK * k).over(w) if k < 0 else F.lead(c, WEEK * k).over(w) for k in order])
-        runs = runs.withColumn(f"donors_{c}", F.filter(donors, lambda x: x.isNotNull()))
+        runs = runs.withColumn(f"donors_{c}", F.filter(f"donors_{c}", lambda x: x.isNotNull()))
     for c in ("u", "v"):
         mean = F.aggregate(f"donors_{c}", F.lit(0.0), lambda a, x: a + x) / F.size(f"donors_{c}")
         runs = runs.withColumn(f"weekly_{c}", F.when(F.col("is_gap") & (F.size(f"donors_{c}") >= min_donors), mean))

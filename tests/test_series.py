@@ -178,7 +178,7 @@ def test_wind_models_recover_a_linear_map(spark):
     x = rng.normal(size=(120, 2))
     y = x @ np.array([[1.0, 0.5], [-0.5, 2.0]]) + [0.1, -0.2]
     rows = [("A", "B", T0 + timedelta(hours=i), *map(float, (*y[i], *x[i]))) for i in range(120)]
-    m = neighbors.fit_wind_models(spark.createDataFrame(rows, "station string, neighbor string, ts timestamp_ntz, y1 double, y2 double, x1 double, x2 double")).first()
+    m = neighbors.fit_wind_models(spark.createDataFrame([(wind.VECTOR, *r) for r in rows], "variable string, station string, neighbor string, ts timestamp_ntz, y1 double, y2 double, x1 double, x2 double")).first()
     assert (m["u_by_u"], m["u_by_v"], m["v_by_u"], m["v_by_v"], m["u_base"], m["v_base"], m["r2"]) == pytest.approx((1, -0.5, 0.5, 2, 0.1, -0.2, 1))
 
 
@@ -273,7 +273,7 @@ def test_log_of_wind_names_fields_written_and_vectors_refused(spark):
     assert rows[0]["rejected_timestamps"] == (T0 + timedelta(hours=1)).isoformat() and rows[0]["n_values_remaining"] == 1
 
 
-@pytest.mark.skip(reason="has not run to its end: over two minutes, not known to pass")
+
 def test_log_of_wind_from_a_near_station(spark):
     def of(i, turn):
         return (i * 37 + turn) % 360, 2.0 + i % 7
