@@ -211,8 +211,8 @@ def _scalar_log() -> tuple[str, list[str]]:
 def _wind_log() -> tuple[str, list[str]]:
     """A row for each gap of the vector (layer wg), and the log's rows from it."""
     fields = {"DIR_VIENTO": "direction", "VEL_VIENTO": "speed"}
-    sources = {"short": ("short_vector_linear", "method = 'short_vector_linear'", "clash_short = 1"), "weekly": ("weekly_vector_seasonal", "method IS NOT NULL", "clash_weekly = 1 AND method IS DISTINCT FROM 'short_vector_linear'")}
-    found = []
+    sources = {"short": ("short_vector_linear", "method = 'short_vector_linear'", "clash_short = 1"), "weekly": ("weekly_vector_seasonal", "method IN ('short_vector_linear', 'weekly_vector_seasonal')", "clash_weekly = 1 AND method IS DISTINCT FROM 'short_vector_linear'")}
+    found = ["count(*) FILTER (method IS NULL) AS end_left"]
     for p, (method, so_far, clash) in sources.items():
         found += [f"count(*) FILTER (NOT coalesce({so_far}, false)) AS {p}_left", f"count(*) FILTER (method = '{method}') AS {p}_n", f"count(*) FILTER ({clash}) AS {p}_clash", f"{_ISO.format(clash)} AS {p}_refused"]
         for f in fields.values():
@@ -226,7 +226,7 @@ def _wind_log() -> tuple[str, list[str]]:
             rows.append(_log_row("wg", f"{p}_n_{f} > 0", **m, variable=f"'{variable}'", accepted="true", n_values_imputed=f"{p}_n_{f}", imputed_timestamps=f"{p}_hours_{f}", n_values_remaining=f"{p}_left_{f}", rejected_timestamps="short_refused" if p == "short" else "NULL"))
         due = "n_steps <= 4 AND (short_clash > 0 OR short_n = 0)" if p == "short" else "weekly_clash > 0"
         rows.append(_log_row("wg", due, **m, **vector, rejection_reason=f"CASE WHEN {p}_clash > 0 THEN 'calm_candidate_conflicts_with_observed_component' ELSE 'missing_valid_anchors' END", n_values_remaining=f"{p}_left", rejected_timestamps=f"{p}_refused"))
-    rows.append(_log_row("wg", "weekly_left > 0", **vector, method_used="'unimputable'", rejection_reason="'no_vector_method_available'", n_values_remaining="weekly_left"))
+    rows.append(_log_row("wg", "end_left > 0", **vector, method_used="'unimputable'", rejection_reason="'no_vector_method_available'", n_values_remaining="end_left"))
     return gaps, rows
 
 
@@ -234,6 +234,177 @@ _SCALAR_GAPS, _SCALAR_ROWS = _scalar_log()
 _WIND_GAPS, _WIND_ROWS = _wind_log()
 _SCALAR_LOG = [_SCALAR_GAPS, "\nlog AS (" + " UNION ALL ".join(_SCALAR_ROWS) + ")"]
 _LOG = [_SCALAR_GAPS, _WIND_GAPS, "\nlog AS (" + " UNION ALL ".join(_SCALAR_ROWS + _WIND_ROWS) + ")"]
+# Near stations: models of all pairs, and the cascade as a recursion over ranks whose state is the hours still empty.
+
+_RANKED = """
+ranked AS (
+  SELECT a.station, b.station AS neighbor, 2 * 6371.0088e0 * atan2(sqrt(h), sqrt(greatest(0.0e0, 1 - h))) AS distance_km,
+    row_number() OVER (PARTITION BY a.station ORDER BY round(2 * 6371.0088e0 * atan2(sqrt(h), sqrt(greatest(0.0e0, 1 - h))), 9), b.station) AS rank
+  FROM stations a JOIN stations b ON a.station <> b.station,
+  LATERAL (SELECT pow(sin(radians(b.LATITUD - a.LATITUD) / 2), 2) + cos(radians(a.LATITUD)) * cos(radians(b.LATITUD)) * pow(sin(radians(b.LONGITUD - a.LONGITUD) / 2), 2) AS h))"""
+
+
+def _segments(name: str, rows: str) -> str:
+    """Layers of a pair's common hours with the folds' segments: equal runs at the end of the time order, all before is 0."""
+    return f"""
+{name}_p AS ({rows}),
+{name}_n AS (SELECT *, count(*) OVER q AS n, row_number() OVER (q ORDER BY ts) - 1 AS rn FROM {name}_p WINDOW q AS (PARTITION BY variable, station, neighbor)),
+{name}_s AS (SELECT *, CASE WHEN rn < n - 5 * (n // 6) THEN 0 ELSE 1 + (rn - (n - 5 * (n // 6))) // (n // 6) END AS seg FROM {name}_n WHERE n >= 48),
+{name}_j AS (SELECT variable, station, neighbor, unnest(range(1, 7)) AS j FROM (SELECT DISTINCT variable, station, neighbor FROM {name}_s)),
+{name}_few AS (SELECT variable, station, neighbor, max(n) AS training_pairs FROM {name}_n GROUP BY 1, 2, 3)"""
+
+
+#: Fold j learns from all segments before j; 6 is the whole.
+_SCALAR_MODELS = _segments("sp", """
+  SELECT a.variable, a.station, b.station AS neighbor, a.ts, a.value AS y, b.value AS x
+  FROM cells a JOIN cells b ON a.variable = b.variable AND a.ts = b.ts AND a.station <> b.station
+  WHERE a.value IS NOT NULL AND b.value IS NOT NULL AND a.variable IN ('PM2_5', 'TEMP', 'HR', 'PP')""") + """,
+sfit AS (
+  SELECT variable, station, neighbor, j, CASE WHEN var_pop(x) > 0 THEN covar_pop(y, x) / var_pop(x) ELSE 0 END AS slope, avg(y) - CASE WHEN var_pop(x) > 0 THEN covar_pop(y, x) / var_pop(x) ELSE 0 END * avg(x) AS intercept
+  FROM sp_s JOIN sp_j USING (variable, station, neighbor) WHERE seg < j GROUP BY 1, 2, 3, 4),
+stest AS (
+  SELECT variable, station, neighbor, j, sum(pow(y - intercept - slope * x, 2)) AS sse, var_pop(y) * count(*) AS sst
+  FROM sp_s JOIN sfit USING (variable, station, neighbor) WHERE seg = j GROUP BY 1, 2, 3, 4),
+smodel AS (
+  SELECT * FROM sp_few
+  LEFT JOIN (SELECT variable, station, neighbor, slope, intercept FROM sfit WHERE j = 6) USING (variable, station, neighbor)
+  LEFT JOIN (SELECT variable, station, neighbor, avg(CASE WHEN sst > 0 THEN 1 - sse / sst WHEN sse = 0 THEN 1 ELSE 0 END) AS r2 FROM stest GROUP BY 1, 2, 3) USING (variable, station, neighbor))"""
+_CASCADE = f"""
+known AS (SELECT variable, station, ts, value FROM cells WHERE value IS NOT NULL AND variable IN ({_SCALAR})),
+tries(rank, station, variable, gap_start, ts, neighbor, distance_km, coverage, training_pairs, slope, intercept, r2, value) AS (
+  SELECT 0::BIGINT, station, variable, gap_start, ts, NULL::VARCHAR, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE
+  FROM filled_own WHERE is_gap AND after IS NULL
+  UNION ALL
+  SELECT rank, station, variable, gap_start, ts, neighbor, distance_km, coverage, training_pairs, slope, intercept, r2,
+    CASE WHEN coverage >= 0.9 AND r2 >= 0.5 AND {_RANGE.format(x='guess')} THEN guess END
+  FROM (
+    SELECT n.rank, t.station, t.variable, t.gap_start, t.ts, n.neighbor, n.distance_km, coalesce(m.training_pairs, 0) AS training_pairs, m.slope, m.intercept, m.r2,
+      count(k.value) OVER g::DOUBLE / count(*) OVER g AS coverage, m.intercept + m.slope * k.value AS guess
+    FROM tries t JOIN ranked n ON n.station = t.station AND n.rank = t.rank + 1
+    LEFT JOIN known k ON k.variable = t.variable AND k.station = n.neighbor AND k.ts = t.ts
+    LEFT JOIN smodel m ON m.variable = t.variable AND m.station = t.station AND m.neighbor = n.neighbor
+    WHERE t.value IS NULL
+    WINDOW g AS (PARTITION BY t.station, t.variable, t.gap_start))),
+tried AS (SELECT *, max(value) OVER (PARTITION BY station, variable, gap_start, rank) IS NOT NULL AS made_any FROM tries WHERE rank > 0),
+attempts AS (
+  SELECT station, variable, gap_start, CASE WHEN made_any THEN ts END AS ts, neighbor, any_value(distance_km) AS distance_km, made_any AS accepted,
+    CASE WHEN made_any THEN NULL WHEN any_value(coverage) < 0.9 THEN 'insufficient_gap_coverage' WHEN any_value(r2) IS NULL THEN 'insufficient_training_pairs_or_cv'
+      WHEN any_value(r2) < 0.5 THEN 'r2_below_threshold' ELSE 'predictions_out_of_range' END AS rejection_reason,
+    any_value(value) AS value, CASE WHEN any_value(coverage) >= 0.9 THEN any_value(r2) END AS r2, CASE WHEN any_value(coverage) >= 0.9 THEN any_value(training_pairs) END AS training_pairs,
+    any_value(coverage) AS predictor_coverage, CASE WHEN any_value(coverage) >= 0.9 THEN any_value(slope) END AS slope, CASE WHEN any_value(coverage) >= 0.9 THEN any_value(intercept) END AS intercept
+  FROM tried WHERE NOT made_any OR value IS NOT NULL GROUP BY station, variable, gap_start, rank, neighbor, made_any, CASE WHEN made_any THEN ts END),
+filled AS (
+  SELECT f.* EXCLUDE (after, method), coalesce(after, near) AS after, CASE WHEN near IS NOT NULL THEN 'interstation_regression' ELSE method END AS method
+  FROM filled_own f LEFT JOIN (SELECT station, variable, ts, value AS near FROM attempts WHERE accepted) a USING (station, variable, ts))"""
+
+
+def _solved(k: int) -> str:
+    """The k-th coefficient of least squares by x1 and x2 of each output y, least norm where they are dependent."""
+    s, t = ("s22", "s11")[k - 1], ("{t}1", "{t}2")
+    whole = f"({s} * {t[k - 1]} - s12 * {t[2 - k]}) / (s11 * s22 - s12 * s12)"
+    own = "s11" if k == 1 else "s22"
+    line = f"({own} * {t[k - 1]} + s12 * {t[2 - k]}) / (high * high)"
+    return f"CASE WHEN low > 1e-10 * high THEN {whole} WHEN high > 0 THEN {line} ELSE 0 END"
+
+
+_WIND_MODELS = _segments("wp", """
+  SELECT 'VIENTO_VECTOR' AS variable, a.station, b.station AS neighbor, a.ts, a.u AS y1, a.v AS y2, b.u AS x1, b.v AS x2
+  FROM vec a JOIN vec b ON a.ts = b.ts AND a.station <> b.station WHERE a.u IS NOT NULL AND a.v IS NOT NULL AND b.u IS NOT NULL AND b.v IS NOT NULL""") + f""",
+wsum AS (
+  SELECT variable, station, neighbor, j, var_pop(x1) AS s11, covar_pop(x1, x2) AS s12, var_pop(x2) AS s22, covar_pop(x1, y1) AS p1, covar_pop(x2, y1) AS p2, covar_pop(x1, y2) AS q1, covar_pop(x2, y2) AS q2,
+    avg(x1) AS mx1, avg(x2) AS mx2, avg(y1) AS my1, avg(y2) AS my2
+  FROM wp_s JOIN wp_j USING (variable, station, neighbor) WHERE seg < j GROUP BY 1, 2, 3, 4),
+weig AS (SELECT *, (s11 + s22 + sqrt((s11 - s22) * (s11 - s22) + 4 * s12 * s12)) / 2 AS high, (s11 + s22 - sqrt((s11 - s22) * (s11 - s22) + 4 * s12 * s12)) / 2 AS low FROM wsum),
+wfit0 AS (SELECT *, {_solved(1).format(t='p')} AS u_by_u, {_solved(2).format(t='p')} AS u_by_v, {_solved(1).format(t='q')} AS v_by_u, {_solved(2).format(t='q')} AS v_by_v FROM weig),
+wfit AS (SELECT variable, station, neighbor, j, u_by_u, u_by_v, v_by_u, v_by_v, my1 - u_by_u * mx1 - u_by_v * mx2 AS u_base, my2 - v_by_u * mx1 - v_by_v * mx2 AS v_base FROM wfit0),
+wtest AS (
+  SELECT variable, station, neighbor, j, sum(pow(y1 - u_base - u_by_u * x1 - u_by_v * x2, 2)) AS sse1, var_pop(y1) * count(*) AS sst1, sum(pow(y2 - v_base - v_by_u * x1 - v_by_v * x2, 2)) AS sse2, var_pop(y2) * count(*) AS sst2
+  FROM wp_s JOIN wfit USING (variable, station, neighbor) WHERE seg = j GROUP BY 1, 2, 3, 4),
+wmodel AS (
+  SELECT * FROM wp_few
+  LEFT JOIN (SELECT * EXCLUDE (j) FROM wfit WHERE j = 6) USING (variable, station, neighbor)
+  LEFT JOIN (
+    SELECT variable, station, neighbor, avg((CASE WHEN sst1 > 0 THEN 1 - sse1 / sst1 WHEN sse1 = 0 THEN 1 ELSE 0 END + CASE WHEN sst2 > 0 THEN 1 - sse2 / sst2 WHEN sse2 = 0 THEN 1 ELSE 0 END) / 2) AS r2
+    FROM wtest GROUP BY 1, 2, 3) USING (variable, station, neighbor))"""
+
+
+def _wind_cascade(coverage: float, r2: float) -> str:
+    valid = f"coverage >= {coverage} AND r2 >= {r2} AND {_VALID.format(u='gu', v='gv')}"
+    clash = f"({_CALM.format(u='gu', v='gv')} AND coalesce((direction IS NOT NULL AND speed IS NULL) OR (speed > 0 AND direction IS NULL), false))"
+    facts = ", ".join(f"CASE WHEN any_value(coverage) >= {coverage} THEN any_value({c}) END AS {c}" for c in ("r2", "training_pairs", "u_by_u", "u_by_v", "v_by_u", "v_by_v", "u_base", "v_base"))
+    keep = "neighbor, distance_km, coverage, training_pairs, u_by_u, u_by_v, v_by_u, v_by_v, u_base, v_base, r2"
+    nothing = "NULL::VARCHAR, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT" + ", NULL::DOUBLE" * 7
+    return f"""
+wtries(rank, station, gap_start, ts, direction, speed, {keep}, near_u, near_v, refused) AS (
+  SELECT 0::BIGINT, station, gap_start, ts, direction, speed, {nothing}, NULL::DOUBLE, NULL::DOUBLE, false
+  FROM merged_own WHERE is_gap AND method IS NULL
+  UNION ALL
+  SELECT rank, station, gap_start, ts, direction, speed, {keep}, CASE WHEN valid AND NOT clash THEN gu END, CASE WHEN valid AND NOT clash THEN gv END, valid AND clash
+  FROM (
+    SELECT *, coalesce({valid}, false) AS valid, coalesce({clash}, false) AS clash
+    FROM (
+      SELECT n.rank, t.station, t.gap_start, t.ts, t.direction, t.speed, n.neighbor, n.distance_km, coalesce(m.training_pairs, 0) AS training_pairs, m.u_by_u, m.u_by_v, m.v_by_u, m.v_by_v, m.u_base, m.v_base, m.r2,
+        count(k.u) OVER g::DOUBLE / count(*) OVER g AS coverage, m.u_base + m.u_by_u * k.u + m.u_by_v * k.v AS gu, m.v_base + m.v_by_u * k.u + m.v_by_v * k.v AS gv
+      FROM wtries t JOIN ranked n ON n.station = t.station AND n.rank = t.rank + 1
+      LEFT JOIN vec k ON k.station = n.neighbor AND k.ts = t.ts AND k.u IS NOT NULL AND k.v IS NOT NULL
+      LEFT JOIN wmodel m ON m.station = t.station AND m.neighbor = n.neighbor
+      WHERE t.near_u IS NULL
+      WINDOW g AS (PARTITION BY t.station, t.gap_start)))),
+wtried AS (SELECT *, bool_or(near_u IS NOT NULL) OVER q AS made_any, bool_or(refused) OVER q AS clashed FROM wtries WHERE rank > 0 WINDOW q AS (PARTITION BY station, gap_start, rank)),
+wattempts AS (
+  SELECT station, 'VIENTO_VECTOR' AS variable, gap_start, CASE WHEN made_any OR clashed THEN ts END AS ts, neighbor, any_value(near_u) IS NOT NULL AS accepted,
+    CASE WHEN any_value(near_u) IS NOT NULL THEN NULL WHEN any_value(refused) THEN 'calm_candidate_conflicts_with_observed_component' WHEN any_value(coverage) < {coverage} THEN 'insufficient_gap_coverage'
+      WHEN any_value(r2) IS NULL THEN 'insufficient_training_pairs_or_cv' WHEN any_value(r2) < {r2} THEN 'r2_below_threshold' ELSE 'predictions_out_of_range' END AS rejection_reason,
+    any_value(near_u) AS near_u, any_value(near_v) AS near_v, any_value(coverage) AS predictor_coverage, any_value(distance_km) AS distance_km, {facts}
+  FROM wtried WHERE NOT (made_any OR clashed) OR near_u IS NOT NULL OR refused GROUP BY station, gap_start, rank, neighbor, CASE WHEN made_any OR clashed THEN ts END)"""
+
+
+_WIND_WHOLE = """
+merged AS (
+  SELECT m.* EXCLUDE (after_u, after_v, method), coalesce(near_u, after_u) AS after_u, coalesce(near_v, after_v) AS after_v, CASE WHEN near_u IS NOT NULL THEN 'interstation_vector_regression' ELSE method END AS method
+  FROM merged_own m LEFT JOIN (SELECT station, ts, near_u, near_v FROM wattempts WHERE accepted) a USING (station, ts))"""
+_FILL_OWN = _FILL.replace("\nfilled AS (", "\nfilled_own AS (")
+_WIND_OWN, _WIND_REST = _WIND.replace("\nmerged AS (", "\nmerged_own AS (").split(",\nwf AS (")
+_WIND_REST = "\nwf AS (" + _WIND_REST
+_NEAR_SCALARS = [_OBS, _STATIONS, _GRID, _cells(VARIABLES), _RUNS, _FILL_OWN, _RANKED, _SCALAR_MODELS, _CASCADE]
+_NEAR_WIND = [_WIND_OWN, _WIND_MODELS]
+
+
+def _near_log() -> tuple[str, list[str]]:
+    """Rows of near stations, of scalars from attempts and of wind from wattempts; coefficients in millionths, as texts."""
+    millionths = lambda c: f"CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR)"
+    listed = lambda *cs: f"CASE WHEN {cs[0]} IS NOT NULL THEN concat_ws(',', {', '.join(map(millionths, cs))}) END"
+    scalars = """
+nl AS (
+  SELECT a.*, g.gap_end, g.n_steps, g.rest FROM (
+    SELECT station, variable, gap_start, neighbor, bool_or(accepted) AS accepted, max(rejection_reason) AS reason, count(*) FILTER (accepted) AS n, string_agg(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '|' ORDER BY ts) FILTER (accepted) AS hours,
+      any_value(r2) AS r2, any_value(distance_km) AS distance_km, any_value(predictor_coverage) AS coverage, any_value(training_pairs) AS pairs, any_value(slope) AS slope, any_value(intercept) AS intercept
+    FROM attempts GROUP BY 1, 2, 3, 4) a JOIN sg g ON g.station = a.station AND g.variable = a.variable AND g.gap_start = a.gap_start)"""
+    fields = {"DIR_VIENTO": "direction", "VEL_VIENTO": "speed"}
+    parts = ", ".join(f"count(*) FILTER (a.accepted AND wrote_{f}) AS n_{f}, string_agg(strftime(a.ts, '%Y-%m-%dT%H:%M:%S'), '|' ORDER BY a.ts) FILTER (a.accepted AND wrote_{f}) AS hours_{f}" for f in fields.values())
+    wind = f"""
+wnl AS (
+  SELECT a.*, g.gap_end, g.n_steps, g.end_left, g.end_left_direction, g.end_left_speed FROM (
+    SELECT a.station, a.gap_start, neighbor, count(*) FILTER (a.accepted) AS n, max(rejection_reason) AS reason, {parts},
+      string_agg(strftime(a.ts, '%Y-%m-%dT%H:%M:%S'), '|' ORDER BY a.ts) FILTER (rejection_reason = 'calm_candidate_conflicts_with_observed_component') AS refused,
+      any_value(r2) AS r2, any_value(distance_km) AS distance_km, any_value(predictor_coverage) AS coverage, any_value(training_pairs) AS pairs, {', '.join(f'any_value({c}) AS {c}' for c in ('u_by_u', 'u_by_v', 'v_by_u', 'v_by_v', 'u_base', 'v_base'))}
+    FROM wattempts a LEFT JOIN wind w ON w.station = a.station AND w.ts = a.ts GROUP BY 1, 2, 3) a
+  JOIN (SELECT station, gap_start, gap_end, n_steps, count(*) FILTER (method IS NULL) AS end_left, {', '.join(f'count(*) FILTER ({f} IS NULL AND NOT coalesce(wrote_{f}, false)) AS end_left_{f}' for f in fields.values())}
+        FROM wind WHERE is_gap GROUP BY 1, 2, 3, 4) g ON g.station = a.station AND g.gap_start = a.gap_start)"""
+    same = {"source_station": "neighbor", "interstation_r2": "round(r2, 6) + 0.0e0", "distance_km": "round(distance_km, 6)", "predictor_coverage": "round(coverage, 6)", "training_pairs": "pairs", "acceptance_threshold": "0.5"}
+    rows = [_log_row("nl", "true", **same, variable="variable", method_used="'interstation_regression'", accepted="accepted", rejection_reason="reason", n_values_imputed="n", imputed_timestamps="hours", n_values_remaining="rest",
+                     model_intercept=listed("intercept"), model_coefficient=listed("slope"), validation_scheme="'TimeSeriesSplit(5)'")]
+    same |= {"method_used": "'interstation_vector_regression'", "validation_scheme": "'TimeSeriesSplit(5) multisalida'", "model_intercept": listed("u_base", "v_base"), "model_coefficient": listed("u_by_u", "u_by_v", "v_by_u", "v_by_v")}
+    for v, f in fields.items():
+        rows.append(_log_row("wnl", f"n_{f} > 0", **same, variable=f"'{v}'", accepted="true", n_values_imputed=f"n_{f}", imputed_timestamps=f"hours_{f}", n_values_remaining=f"end_left_{f}"))
+    vector = {"variable": "'VIENTO_VECTOR'", "accepted": "false", "n_values_remaining": "end_left"}
+    rows.append(_log_row("wnl", "n > 0 AND n_direction = 0 AND n_speed = 0", **same, **vector, rejection_reason="'no_output_field_written'"))
+    rows.append(_log_row("wnl", "reason IS NOT NULL", **same, **vector, rejection_reason="reason", rejected_timestamps="refused"))
+    return scalars + "," + wind, rows
+
+
+_NEAR_GAPS, _NEAR_ROWS = _near_log()
+_WHOLE = [*_NEAR_SCALARS, *_NEAR_WIND, _wind_cascade(0.9, 0.5), _WIND_WHOLE, _WIND_REST]
 _DIRTY = """
 dirty AS (
   SELECT o_orderkey AS row_id,
@@ -263,15 +434,20 @@ LAYERS = {
     "stations": [_OBS, _STATIONS],
     "station_cells": [_OBS, _STATIONS, _GRID, _cells(VARIABLES)],
     "dirty": [_DIRTY],
+    "near_scalars": _NEAR_SCALARS,
+    "wind_models": [_OBS, _STATIONS, _GRID, _cells(VARIABLES), _WIND, _WIND_MODELS],
+    "near_wind": [_OBS, _STATIONS, _GRID, _cells(VARIABLES), _RANKED, *_NEAR_WIND, _wind_cascade(0.5, -10.0)],
+    "whole": [*_WHOLE, _STATES],
+    "whole_log": [*_WHOLE, _SCALAR_GAPS, _WIND_GAPS, _NEAR_GAPS, "\nlog AS (" + " UNION ALL ".join(_SCALAR_ROWS + _WIND_ROWS + _NEAR_ROWS) + ")"],
 }
 
 
 #: Layers that later ones read more than once; computed once each.
-ONCE = ("obs", "wide", "cells", "sc", "runs", "f2", "filled", "merged", "wind", "states", "faulty")
+ONCE = ("obs", "wide", "cells", "sc", "runs", "f2", "filled", "filled_own", "merged", "merged_own", "wind", "states", "faulty", "ranked", "known", "vec", "sp_n", "sp_s", "wp_n", "wp_s", "smodel", "wmodel", "attempts", "wattempts")
 
 
 def sql(layer: str, tail: str, *more: str) -> str:
-    whole = "WITH " + ",".join([*LAYERS[layer], *more]) + "\n" + tail
+    whole = "WITH RECURSIVE " + ",".join([*LAYERS[layer], *more]) + "\n" + tail
     for name in ONCE:
         whole = whole.replace(f"\n{name} AS (", f"\n{name} AS MATERIALIZED (")
     return whole

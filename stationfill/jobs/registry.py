@@ -205,10 +205,10 @@ def period_span(v):
     return contract.period_span(adapters.raw_rows(v.obs), 20)
 
 
-@query()
+@query("stations", f"SELECT station AS ESTACION, CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS INTEGER) AS FECHA, CAST(hour(ts) * 10000 AS INTEGER) AS HORA, {R('LATITUD')} AS LATITUD, {R('LONGITUD')} AS LONGITUD, ALTITUD, DISTRITO, " + ", ".join(VARIABLES) + " FROM obs JOIN stations USING (station)")
 def validate_input(v):
     """Every rule on clean rows: all counts are 0 and the rows come back."""
-    return contract.validate_input(adapters.raw_rows(v.obs))
+    return contract.validate_input(adapters.raw_rows(v.obs)).withColumns({c: r(c) for c in ("LATITUD", "LONGITUD")})
 
 
 # ── time and grid ────────────────────────────────────────────────────────────────────────────────────────────────────
@@ -368,10 +368,17 @@ def imputation_log_long(v):
     return jobs.imputation_log(v.long_product)
 
 
-@query()
+def _millionths(text: Column) -> Column:
+    """The numbers of a text (one, or a JSON list of numbers or lists) in millionths, as a text: the engines print numbers in different ways."""
+    numbers = F.regexp_extract_all(text, F.lit(r"[-+0-9.eE]+"), F.lit(0))
+    return F.when(text.isNotNull(), F.array_join(F.transform(numbers, lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string")), ","))
+
+
+@query("whole_log", "SELECT * FROM log")
 def imputation_log_near(v):
-    """The log of the whole cascade: near stations too, with every attempt, its reason and its model."""
-    return jobs.imputation_log(v.whole)
+    """The log of the whole cascade: near stations too, with every attempt, its reason and its model (coefficients in millionths)."""
+    found = jobs.imputation_log(v.whole)
+    return found.withColumns({c: _millionths(F.col(c)) for c in ("model_intercept", "model_coefficient")} | {"interstation_r2": r("interstation_r2"), **{c: F.round(c, 6) for c in ("distance_km", "predictor_coverage")}})
 
 
 # ── neighbours ───────────────────────────────────────────────────────────────────────────────────────────────────────
@@ -419,15 +426,22 @@ def fit_station_models(v):
     return m.select("variable", "station", "neighbor", "training_pairs", *[r(c).alias(c) for c in ("slope", "intercept", "r2")])
 
 
-@query()
+_ATTEMPT = ("value", "r2", "predictor_coverage", "distance_km", "slope", "intercept")
+
+
+@query("near_scalars", f"SELECT station, variable, gap_start, ts, neighbor, accepted, rejection_reason, training_pairs, {', '.join(f'{R(c)} AS {c}' for c in _ATTEMPT)} FROM attempts")
 def fill_from_neighbors(v):
-    return v.whole.attempts
+    """Every attempt of the cascade, and the hours of the accepted ones."""
+    return v.whole.attempts.select("station", "variable", "gap_start", "ts", "neighbor", "accepted", "rejection_reason", "training_pairs", *[r(c).alias(c) for c in _ATTEMPT])
 
 
-@query()
+_FINAL = f"SELECT station, variable, ts, source, {R('final', 4)} AS final, method FROM states WHERE variable "
+
+
+@query("whole", _FINAL + "NOT IN ('DIR_VIENTO', 'VEL_VIENTO')")
 def impute_series(v):
     """All scalar series by the whole cascade, neighbours included."""
-    return v.whole.states.filter(F.col("variable").isin(*SCALARS)).select(*_CELL, "source", "final", "method")
+    return v.whole.states.filter(F.col("variable").isin(*SCALARS)).select(*_CELL, "source", r("final", 4).alias("final"), "method")
 
 
 # ── wind ─────────────────────────────────────────────────────────────────────────────────────────────────────────────
@@ -493,16 +507,24 @@ def fill_wind_cross_year(v):
     return wind.cross_year_vectors(vector, vector.filter("u is null")).select("station", "ts", r("year_u").alias("u"), r("year_v").alias("v"))
 
 
-@query()
+_WIND_MODEL = ("u_by_u", "u_by_v", "v_by_u", "v_by_v", "u_base", "v_base", "r2")
+
+
+@query("wind_models", f"SELECT station, neighbor, training_pairs, {', '.join(f'{R(c)} AS {c}' for c in _WIND_MODEL)} FROM wmodel WHERE r2 IS NOT NULL")
 def fit_wind_models(v):
     m = neighbors.fit_wind_models(neighbors.wind_pairs(v.vector, v.near)).filter("r2 is not null")
-    return m.select("station", "neighbor", "training_pairs", *[r(c).alias(c) for c in ("u_by_u", "u_by_v", "v_by_u", "v_by_v", "u_base", "v_base", "r2")])
+    return m.select("station", "neighbor", "training_pairs", *[r(c).alias(c) for c in _WIND_MODEL])
 
 
-@query()
+_WIND_ATTEMPT = ("near_u", "near_v", "r2", "predictor_coverage", "distance_km")
+
+
+@query("near_wind", f"SELECT station, variable, gap_start, ts, neighbor, accepted, rejection_reason, training_pairs, {', '.join(f'{R(c)} AS {c}' for c in _WIND_ATTEMPT)} FROM wattempts")
 def fill_wind_from_neighbors(v):
+    """Every attempt of the wind's cascade, by a policy that takes nearly all models."""
     config = CurationConfig(interstation_min_r2=-10.0, predictor_min_gap_coverage=0.5)
-    return neighbors.fill_wind_from_neighbors(v.vector, v.filled_wind.filter("is_gap AND method IS NULL"), v.stations, config)
+    found = neighbors.fill_wind_from_neighbors(v.vector, v.filled_wind.filter("is_gap AND method IS NULL"), v.stations, config)
+    return found.select("station", "variable", "gap_start", "ts", "neighbor", "accepted", "rejection_reason", "training_pairs", *[r(c).alias(c) for c in _WIND_ATTEMPT])
 
 
 @query("wind", f"SELECT station, ts, {R('round(direction_after, 6) % 360')} AS direction_after, {R('speed_after')} AS speed_after, wrote_direction, wrote_speed FROM wind WHERE is_gap")
@@ -510,10 +532,11 @@ def compose_wind_fields(v):
     return v.filled_wind.filter("is_gap").select("station", "ts", r(F.pmod(F.round("direction_after", 6), F.lit(360.0))).alias("direction_after"), r("speed_after").alias("speed_after"), "wrote_direction", "wrote_speed")
 
 
-@query()
+@query("whole", f"SELECT station, variable, ts, source, CASE WHEN variable = 'DIR_VIENTO' THEN round(final, 4) % 360 ELSE round(final, 4) END + 0.0e0 AS final, method FROM states WHERE variable IN ('DIR_VIENTO', 'VEL_VIENTO')")
 def impute_wind(v):
     """Both wind fields by the whole cascade, neighbours included."""
-    return v.whole.states.filter(F.col("variable").isin(DIRECTION, SPEED)).select(*_CELL, "source", "final", "method")
+    turned = F.when(F.col("variable") == DIRECTION, F.round("final", 4) % 360).otherwise(F.round("final", 4)) + F.lit(0.0)
+    return v.whole.states.filter(F.col("variable").isin(DIRECTION, SPEED)).select(*_CELL, "source", turned.alias("final"), "method")
 
 
 _CIRCULAR = "CASE WHEN sqrt(s*s + c*c) > 1e-12 THEN CASE WHEN 360 - m <= 360 * 1e-5 + 1e-8 THEN 0.0e0 ELSE m END END"
@@ -618,7 +641,7 @@ def method_totals(v):
     return reports.method_totals(v.states)
 
 
-@query()
+@query("near_scalars", "SELECT bin, count(*) AS n_models FROM (SELECT CAST(CASE WHEN high > low THEN least(floor((r2 - low) / (high - low) * 10), 9) ELSE 0 END AS INTEGER) AS bin FROM (SELECT *, min(r2) OVER () AS low, max(r2) OVER () AS high FROM (SELECT DISTINCT station, variable, neighbor, r2 FROM attempts WHERE accepted))) GROUP BY 1")
 def r2_histogram(v):
     return reports.r2_histogram(v.whole.attempts)
 
@@ -946,10 +969,13 @@ def verify_schema(v):
     return _with_rows(v, verify.verify_schema(v.wide, ["station", "ts", *VARIABLES, "ALTITUD"]), v.wide)
 
 
-@query()
+_WHOLE_PIVOT = ", ".join(f"round(max(final) FILTER (variable = '{x}'), 4) + 0.0e0 AS {x}, max(source) FILTER (variable = '{x}') AS {x}_SOURCE" for x in VARIABLES)
+
+
+@query("whole", f"SELECT station AS ESTACION, CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS INTEGER) AS FECHA, CAST(hour(ts) * 10000 AS INTEGER) AS HORA, {_WHOLE_PIVOT} FROM states GROUP BY station, ts")
 def curate_product(v):
     """The whole job: every station and hour with values and sources of all variables, neighbours included."""
-    return grid.to_wide_output(v.whole.states, list(VARIABLES))
+    return grid.to_wide_output(v.whole.states, list(VARIABLES)).withColumns({x: r(x, 4) for x in VARIABLES})
 
 
 def queries() -> dict[str, Query]:

@@ -157,7 +157,7 @@ def _coefficients(prefix: str, xs: list[str], y: str) -> list[Column]:
         return [F.when(c(*xs, *xs) > 0, c(*xs, y) / c(*xs, *xs)).otherwise(F.lit(0.0))]
     s11, s12, s22, t1, t2 = c(xs[0], xs[0]), c(*xs), c(xs[1], xs[1]), c(xs[0], y), c(xs[1], y)
     root = F.sqrt((s11 - s22) * (s11 - s22) + 4 * s12 * s12)
-    high, low, det = (s11 + s22 + root) / 2, (s11 + s22 - root) / 2, s11 * s22 - s12 * s12
+    high, low, det = (s11 + s22 + root) / 2, (s11 + s22 - root) / 2, s11 * s22 - s12 * s12  # eigenvalues of the predictors
     whole = [(s22 * t1 - s12 * t2) / det, (s11 * t2 - s12 * t1) / det]
     # of rank one, a symmetric matrix divided by its eigenvalue's square is its pseudoinverse
     line = [(s11 * t1 + s12 * t2) / (high * high), (s12 * t1 + s22 * t2) / (high * high)]
@@ -175,27 +175,20 @@ def fit_models(pairs: DataFrame, xs: list[str], ys: list[str], splits: int = 5,
     parts = with_segments(pairs, splits).groupBy(*PAIR, "seg").agg(*mo.of_rows(), F.first("n").alias("n"), F.first("k").alias("k"))
     before = F.collect_list(mo.as_struct()).over(W.partitionBy(*PAIR).orderBy("seg").rowsBetween(W.unboundedPreceding, -1))
     tested = mo.merged(parts.withColumn("before", before), "before", "b_")
-    scores = []
-    for y in ys:
-        b = _coefficients("b_", xs, y)
-        own = lambda p, q: F.col(mo.c(p, q))
-        off = F.col(f"m_{y}") - F.col(f"b_m_{y}") - sum(k * (F.col(f"m_{x}") - F.col(f"b_m_{x}")) for k, x in zip(b, xs, strict=True))
-        sse = own(y, y) + F.col("m") * off * off
-        for k, x in zip(b, xs, strict=True):
-            sse = sse - 2 * k * own(x, y)
-            for l, z in zip(b, xs, strict=True):  # noqa: E741
-                sse = sse + k * l * own(x, z)
-        sse = F.greatest(F.lit(0.0), sse)
-        scores.append(F.when(own(y, y) > 0, 1 - sse / own(y, y)).otherwise(F.when(sse == 0, 1.0).otherwise(0.0)))
-    score = F.when(F.col("seg") > 0, sum(scores) / len(scores))
-    whole = tested.withColumn("score", score).groupBy(*PAIR).agg(F.first("n").alias("n"), F.first("k").alias("k"), F.avg("score").alias("r2"), F.collect_list(mo.as_struct()).alias("parts"))
+    # in steps of columns, so that no expression is written out twice
+    tested = tested.withColumns(dict(zip([f"k_{y}_{x}" for y in ys for x in xs], [k for y in ys for k in _coefficients("b_", xs, y)], strict=True)))
+    own = lambda p, q: F.col(mo.c(p, q))
+    coefficient = lambda y, x: F.col(f"k_{y}_{x}")
+    off = lambda y: F.col(f"m_{y}") - F.col(f"b_m_{y}") - sum(coefficient(y, x) * (F.col(f"m_{x}") - F.col(f"b_m_{x}")) for x in xs)
+    tested = tested.withColumns({f"off_{y}": off(y) for y in ys})
+    spread = lambda y: sum(coefficient(y, x) * coefficient(y, z) * own(x, z) for x in xs for z in xs) - sum(2 * coefficient(y, x) * own(x, y) for x in xs)
+    tested = tested.withColumns({f"sse_{y}": F.greatest(F.lit(0.0), own(y, y) + F.col("m") * F.col(f"off_{y}") * F.col(f"off_{y}") + spread(y)) for y in ys})
+    score = lambda y: F.when(own(y, y) > 0, 1 - F.col(f"sse_{y}") / own(y, y)).otherwise(F.when(F.col(f"sse_{y}") == 0, 1.0).otherwise(0.0))
+    whole = tested.withColumn("score", F.when(F.col("seg") > 0, sum(score(y) for y in ys) / len(ys))).groupBy(*PAIR).agg(F.first("n").alias("n"), F.first("k").alias("k"), F.avg("score").alias("r2"), F.collect_list(mo.as_struct()).alias("parts"))
     whole, enough = mo.merged(whole, "parts", "w_"), (F.col("n") >= least) & (F.col("k") >= 2)
-    out = [*PAIR, F.col("n").alias("training_pairs"), F.when(enough, F.col("r2")).alias("r2")]
-    for y in ys:
-        b = _coefficients("w_", xs, y)
-        out += [F.when(enough, k).alias(f"b_{y}_{x}") for k, x in zip(b, xs, strict=True)]
-        out.append(F.when(enough, F.col(f"w_m_{y}") - sum(k * F.col(f"w_m_{x}") for k, x in zip(b, xs, strict=True))).alias(f"a_{y}"))
-    return whole.select(*out)
+    whole = whole.withColumns({f"b_{y}_{x}": F.when(enough, k) for y in ys for x, k in zip(xs, _coefficients("w_", xs, y), strict=True)})
+    intercepts = [(F.col(f"w_m_{y}") - sum(F.col(f"b_{y}_{x}") * F.col(f"w_m_{x}") for x in xs)).alias(f"a_{y}") for y in ys]
+    return whole.select(*PAIR, F.col("n").alias("training_pairs"), F.when(enough, F.col("r2")).alias("r2"), *[f"b_{y}_{x}" for y in ys for x in xs], *intercepts)
 
 
 def fit_station_models(pairs: DataFrame, splits: int = 5, least: int = 48) -> DataFrame:
