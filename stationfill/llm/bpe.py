@@ -2,14 +2,18 @@
 
 Rows are (word, position, id). A step joins each row and its successor with the merge table, and contracts each word's
 leftmost pair of the least rank; the recursion ends when no word has a pair left. Spark deals the texts out; a task
-contracts each distinct word once and keeps a bounded memory of words.
+contracts each distinct word once and keeps a bounded memory of words. A recursion of n steps keeps the rows of all of them,
+n * n for a word of n bytes: words over LONG bytes take the same contractions from a heap of pairs.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -52,36 +56,11 @@ WITH RECURSIVE step(n, w, p, follows, id, after, t) AS (
 SELECT n, w, p, id FROM step SEMI JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) l USING (w, n) ORDER BY w, p
 """
 
-#: For long words: the same contractions, but those of the least pair's other places, leftmost first, in one step, where
-#: no pair with the new token ranks below it: then they would follow one by one. Else one a step.
-STEP_LONG = """
-WITH RECURSIVE step(n, w, p, id) AS (
-  SELECT 0, w, p, id FROM start
-  UNION ALL
-  SELECT n + 1, w, p, id FROM (
-    SELECT n, w, p, CASE WHEN taken THEN t ELSE id END AS id, coalesce(lag(taken) OVER (PARTITION BY w ORDER BY p), false) AS gone
-    FROM (
-      SELECT *, least_t = t AND row_number() OVER (PARTITION BY w, run, t ORDER BY p) % 2 = 1 AND (every OR p = spot) AS taken
-      FROM (
-        SELECT *, k - row_number() OVER (PARTITION BY w, t ORDER BY p) AS run
-        FROM (
-          SELECT n, w, p, k, id, t, every, min(t) OVER q AS least_t, min((t::BIGINT << 24) | p) OVER q & 16777215 AS spot
-          FROM (SELECT *, lead(id) OVER o AS after, row_number() OVER o AS k FROM step WHERE n < $most WINDOW o AS (PARTITION BY w ORDER BY p)) s
-          LEFT JOIN merges m ON m.pair = (s.id::BIGINT << 32) | s.after
-          WINDOW q AS (PARTITION BY w)
-        ) WHERE spot IS NOT NULL
-      )
-    )
-  ) WHERE NOT gone
-)
-SELECT n, w, p, id FROM (SELECT *, max(n) OVER (PARTITION BY w) AS last FROM step) WHERE n = last ORDER BY w, p
-"""
-
 WHOLE = "SELECT w, 0::INTEGER AS p, id FROM words JOIN vocabulary USING (raw)"
 
 DECODE = "SELECT count(*) AS n, unhex(string_agg(v.hex, '' ORDER BY p)) AS raw FROM tokens JOIN vocabulary v USING (id) GROUP BY w ORDER BY w"
 
-#: Bytes of a word from which one step contracts all places of its least pair, and words that a query takes.
+#: Bytes of a word above which a heap of pairs replaces the recursion, and words that a query takes.
 LONG = 256
 WORDS = 50_000
 
@@ -89,6 +68,29 @@ WORDS = 50_000
 LOOSE = r" ([\s\v\pZ\x{1c}-\x{1f}\x{85}]|$)"
 
 
+def contracted(ids: list[int], merges: dict[int, int]) -> list[int]:
+    """Contracts the leftmost pair of the least rank until none is left: a heap of (rank, place), and links to the places on both sides."""
+    n = len(ids)
+    follows, before = array("l", range(1, n + 1)), array("l", range(-1, n - 1))
+    heap = [t << 32 | p for p in range(n - 1) if (t := merges.get(ids[p] << 32 | ids[p + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        top = heapq.heappop(heap)
+        t, p = top >> 32, top & 0xFFFFFFFF
+        q = follows[p]
+        if ids[p] < 0 or q == n or merges.get(ids[p] << 32 | ids[q]) != t:
+            continue  # one of the two has been contracted meanwhile
+        ids[p], ids[q], r = t, -1, follows[q]
+        follows[p] = r
+        if r < n:
+            before[r] = p
+            if (new := merges.get(t << 32 | ids[r])) is not None:
+                heapq.heappush(heap, new << 32 | p)
+        if before[p] >= 0 and (new := merges.get(ids[before[p]] << 32 | t)) is not None:
+            heapq.heappush(heap, new << 32 | before[p])
+    return [x for x in ids if x >= 0]
+
+
 class Memory:
     """Ids and decoded bytes by text, in two generations: a full one becomes the older, and keys still in use move to the younger."""
 
@@ -122,12 +124,17 @@ class Encoder:
         self.gap = regex.compile(r" (?=\S)")
         self.bytes_of = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(ranks[token[:k]] << 32 | ranks[token[k:]], t) for token, t in ranks.items() for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks]
-        below = {x for pair, t in pairs for x in (pair >> 32, pair & 0xFFFFFFFF) if t < x}
         self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        self._table("merges", pair=pa.array([p for p, _ in pairs], pa.int64()), t=pa.array([t for _, t in pairs], pa.int32()), every=[t not in below for _, t in pairs])
+        self._table("merges", pair=pa.array([p for p, _ in pairs], pa.int64()), t=pa.array([t for _, t in pairs], pa.int32()))
         self._table("vocabulary", id=pa.array(list(ranks.values()), pa.int32()), raw=pa.array(list(ranks), pa.binary()), hex=[x.hex() for x in ranks])
         self.memory = Memory(most)
 
+    @cached_property
+    def merges(self) -> dict[int, int]:
+        """Ranks by pair, for the heap; the recursion has them as a table."""
+        found = self.duck.sql("SELECT pair, t FROM merges").to_arrow_table()
+        return dict(zip(found.column("pair").to_pylist(), found.column("t").to_pylist(), strict=True))
+
     @staticmethod
     def at(path: str, pattern: str) -> Encoder:
         if (path, pattern) not in _loaded:
@@ -139,7 +146,7 @@ class Encoder:
         self.duck.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given").fetchall()
         self.duck.unregister("given")
 
-    def _contract(self, w: np.ndarray, raws: list[bytes], query: str) -> Iterator[pa.Table]:
+    def _contract(self, w: np.ndarray, raws: list[bytes]) -> Iterator[pa.Table]:
         """(w, p, id) of all words; a query runs so many steps that its rows fit, and what isn't finished goes on."""
         lengths = np.array([len(x) for x in raws])
         p = (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
@@ -147,7 +154,7 @@ class Encoder:
         while rows.num_rows:
             most = max(8, self.rows // rows.num_rows)
             self._table("start", w=rows.column("w"), p=rows.column("p"), id=rows.column("id"))
-            found = self.duck.sql(query.replace("$most", str(most))).to_arrow_table()
+            found = self.duck.sql(STEP.replace("$most", str(most))).to_arrow_table()
             over = found.column("n").to_numpy() < most
             yield found.filter(pa.array(over)).select(["w", "p", "id"])
             rows = found.filter(pa.array(~over)).select(["w", "p", "id"])
@@ -160,10 +167,12 @@ class Encoder:
         rest = np.ones(len(raws), bool)
         rest[tokens[0].column("w").to_numpy()] = False
         long = np.fromiter((len(x) > LONG for x in raws), bool, len(raws))
-        for query, chosen in ((STEP, rest & ~long), (STEP_LONG, rest & long)):
-            if chosen.any():
-                w = np.flatnonzero(chosen).astype(np.int32)
-                tokens += self._contract(w, [raws[i] for i in w.tolist()], query)
+        if (rest & ~long).any():
+            w = np.flatnonzero(rest & ~long).astype(np.int32)
+            tokens += self._contract(w, [raws[i] for i in w.tolist()])
+        for i in np.flatnonzero(rest & long).tolist():
+            ids = np.array(contracted(self.bytes_of[np.frombuffer(raws[i], np.uint8)].tolist(), self.merges), np.int32)
+            tokens.append(pa.table({"w": np.full(len(ids), i, np.int32), "p": np.arange(len(ids), dtype=np.int32), "id": ids}))
         tokens = pa.concat_tables(tokens)
         self._table("tokens", w=tokens.column("w"), p=tokens.column("p"), id=tokens.column("id"))
         back = self.duck.sql(DECODE).to_arrow_table()
