@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stationfill.llm.textbytes import CODES, LOWER, mix, pack_rows, slices, unpack_rows
@@ -113,15 +113,12 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, for_training: Column, most: int = 600) -> Model | None:
     """A model from a bounded sample: of each language the `most` training texts with the least hash of (doc_id), whole;
-    only their vectors come to the driver. None if no text is labelled. The languages are the distinct labels, a set whose size the data don't set.
+    only their vectors come to the driver, of repeated rows of a doc_id one. None if no text is labelled. The languages are the distinct labels, a set whose size the data don't set.
     """
     known = docs.filter(for_training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    names = sorted(r[0] for r in known.select("lang").distinct().collect())
-    if not names:
-        return None
-    # ids first, so that only the chosen texts are gathered
-    chosen = [known.filter(F.col("lang") == name).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for name in names]
-    picked = F.broadcast(reduce(DataFrame.unionByName, chosen).distinct())
+    # ids first, of all languages in one pass, in which a task keeps `most` a language; so only the chosen texts are gathered
+    by_hash = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = F.broadcast(known.select("lang", "doc_id").withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= most).select("doc_id").distinct())
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +127,8 @@ def fit(docs: DataFrame, for_training: Column, most: int = 600) -> Model | None:
                 yield pa.RecordBatch.from_arrays([*columns, *pack_rows(_scaled(data, offsets))], ["lang", "doc_id", "at", "value"])
 
     texts = known.join(picked, "doc_id", "left_semi").select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = sorted((r["lang"], r["doc_id"], bytes(r["at"]), bytes(r["value"])) for r in texts.mapInArrow(learn, "lang string, doc_id long, at binary, value binary").collect())
+    vectors = texts.mapInArrow(learn, "lang string, doc_id long, at binary, value binary").groupBy("lang", "doc_id").agg(F.min(F.struct("at", "value")).alias("v"))
+    rows = sorted((r["lang"], r["doc_id"], bytes(r["v"]["at"]), bytes(r["v"]["value"])) for r in vectors.collect())
     if not rows:
         return None
     return train(unpack_rows([r[2:] for r in rows], PLACES), [r[0] for r in rows])
