@@ -176,7 +176,8 @@ def score(docs: DataFrame, sample: int = 3000, keep: float = 0.5, doc_id: str =
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "value", "label"])
 
     chosen = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").mapInArrow(learn, "doc_id long, at binary, value binary, label double")
-    rows = sorted((r["doc_id"], r["label"], bytes(r["at"]), bytes(r["value"])) for r in chosen.collect())
+    chosen = chosen.groupBy("doc_id").agg(F.min(F.struct("label", "at", "value")).alias("v"))  # of repeated rows one
+    rows = sorted((r["doc_id"], r["v"]["label"], bytes(r["v"]["at"]), bytes(r["v"]["value"])) for r in chosen.collect())
     weights = _fit(unpack_rows([r[2:] for r in rows], PLACES), np.array([r[1] for r in rows]))
     shared = spark.sparkContext.broadcast((weights, posterior))
 
