@@ -281,6 +281,24 @@ def test_byte_bpe(docs, empty):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode_ordinary(text) and back == text.encode()
 
 
+def test_long_words_take_seconds():
+    """Words without a gap, of random letters, of one letter, of a script without spaces, beside short ones: the same ids in near-linear time."""
+    import time
+
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    tok = tiktoken.Encoding("t", pat_str=tokenizers_of.PATTERN, mergeable_ranks=table, special_tokens={})
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "a" * 30_000, "日本語の文" * 3000, "short words, " + "".join(rng.choice("etaoin") for _ in range(257)), "x" * 256 + " " + "xy" * 129]
+    encoder = bpe.Encoder(RANKS, tokenizers_of.PATTERN)
+    began = time.process_time()
+    found = list(zip(*encoder.encode(pa.array(texts)), strict=True))
+    assert time.process_time() - began < 10
+    for text, (ids, back) in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode_ordinary(text) and bytes(back) == text.encode()
+
+
 def test_token_counts(docs, empty):
     import tiktoken
 
@@ -373,6 +391,8 @@ def test_language_id(spark):
     assert found[1000]["lang_pred"] == found[1001]["lang_pred"] == "und" and found[1002]["lang_pred"] == rows[0][2]
     held = [(i, n) for i, _, n in rows[:400] if zlib.crc32(str(i).encode()) % 3 == 1]
     assert all(found[i]["held_out"] for i, _ in held) and sum(found[i]["lang_pred"] == n for i, n in held) >= 0.97 * len(held)
+    again = spark.createDataFrame([r for r in rows for _ in range(3)], "doc_id long, text string, lang string")
+    assert got(language_id.identify(again), "doc_id", "lang_pred", "score") == {(i, r["lang_pred"], r["score"]) for i, r in found.items()}  # repeated rows are learned once
     none = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")
     assert got(language_id.identify(none), "doc_id", "lang_pred") == {(1, "und")}
     assert language_id.identify(none.limit(0)).count() == 0
