@@ -218,11 +218,14 @@ def _names(kinds: str) -> list[str]:
     return [c.strip().split(" ")[0] for c in kinds.split(",")]
 
 
-def widths() -> Iterator[int]:
-    """How many near stations the rounds try: few at first, where most gaps end; never so many that a gap's group is large."""
-    yield from (4, 12)
-    while True:
-        yield 32
+def rounds(most: int) -> Iterator[tuple[int, int]]:
+    """First and last rank of each round, up to `most`: few at first, where most gaps end, and never over 32, so that no group of a gap is large."""
+    low, widths = 0, [4, 12]
+    while low < most:
+        width = widths.pop(0) if widths else 32
+        high = most if most - low <= 16 else min(most, low + width)
+        yield low + 1, high
+        low = high
 
 
 def in_rounds(known: DataFrame, empty: DataFrame, stations: DataFrame, config: CurationConfig, fit: Callable, attempt: Callable, kinds: str) -> DataFrame:
@@ -235,15 +238,15 @@ def in_rounds(known: DataFrame, empty: DataFrame, stations: DataFrame, config: C
     """
     spark = known.sparkSession
     scratch = Scratch(spark, "cascade")
+    stations = scratch.save(stations.select("station", "LATITUD", "LONGITUD"), "stations")
     most = max(0, stations.filter("LATITUD is not null and LONGITUD is not null").count() - 1)
     most = min(config.neighbors or most, most)
     other = known.withColumnRenamed("station", "neighbor")
-    cell, found, low, left = ["station", "variable", "ts"], [], 0, empty
-    for width in widths():
-        if low >= most or left.isEmpty():
+    cell, found, left = ["station", "variable", "ts"], [], empty
+    for low, high in rounds(most):
+        if left.isEmpty():
             break
-        high = min(most, low + width)
-        near = rank_neighbors(stations, high, left.select("station").distinct()).filter(F.col("rank").between(low + 1, high))
+        near = rank_neighbors(stations, high, left.select("station").distinct()).filter(F.col("rank").between(low, high))
         asked = scratch.save(left.join(near, "station").join(other, ["variable", "neighbor", "ts"], "left"), f"asked-{low}")
         first = [c for c in known.columns if c not in cell][0]
         models = fit(asked.filter(F.col(first).isNotNull()).select(*PAIR).distinct())
@@ -251,7 +254,7 @@ def in_rounds(known: DataFrame, empty: DataFrame, stations: DataFrame, config: C
         found.append(scratch.save(tried, f"tried-{low}"))
         scratch.drop(f"asked-{low}")
         left = empty.join(reduce(DataFrame.unionByName, found).filter("accepted").select(*cell), cell, "left_anti")
-        low = high
+    scratch.drop("stations")
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], kinds)
 
 

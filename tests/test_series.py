@@ -306,3 +306,115 @@ def test_publishing_checks_first_and_writes_nothing_on_a_breach(spark, tmp_path)
 def test_precipitation_between_zeros_by_the_linear_policy(spark):
     product = jobs.curate(frame(spark, [0, None, 0], "PP"), CurationConfig(pp_short_method="linear"))
     assert series(product, "method", "PP") == [None, "short_linear", None] and series(product, variable="PP") == [0, 0, 0]
+
+
+def test_rounds_cover_every_rank_once():
+    for most in (0, 1, 11, 16, 17, 50, 200):
+        ranks = [k for low, high in neighbors.rounds(most) for k in range(low, high + 1)]
+        assert ranks == list(range(1, most + 1)) and all(high - low < 32 for low, high in neighbors.rounds(most))
+
+
+def many_stations(spark, n=26, hours=160):
+    """Station 0 lacks hours that its near stations lack too, so that far ones, in later rounds, fill them."""
+    rows, near = [], []
+    for s in range(n):
+        near.append((f"s{s:02d}", -12.0 - 0.01 * s, -77.0))
+        for i in range(hours):
+            v = 20 + 10 * math.sin(i * 0.9) + (i * 7 % 5) + 0.1 * s * (i % 3)
+            gone = (s == 0 and 100 <= i < 110) or (1 <= s <= 19 and 100 <= i < 110 and not (s == 3 and i < 104) and not (s == 18 and i >= 104)) or (s == 2 and i > 30)
+            rows.append((f"s{s:02d}", T0 + timedelta(hours=i), None if gone else v))
+    return spark.createDataFrame(rows, "station string, ts timestamp_ntz, TEMP double"), spark.createDataFrame(near, "station string, LATITUD double, LONGITUD double")
+
+
+def test_near_stations_in_several_rounds(spark):
+    """Against the cascade by plain loops: order, coverage of the hours still empty, refusals and their numbers of pairs."""
+    import numpy as np
+
+    obs, stations = many_stations(spark)
+    config = CurationConfig(min_weekly_donors=99, predictor_min_gap_coverage=0.4, interstation_min_r2=0.6)
+    attempts = jobs.curate(obs, config, stations).attempts.filter("station = 's00'").collect()
+    value = {(r["station"], r["ts"]): r["TEMP"] for r in obs.collect()}
+    hours = sorted({t for _, t in value})
+    empty, want = [t for t in hours if value["s00", t] is None], []
+    for s in range(1, 26):
+        if not empty:
+            break
+        name = f"s{s:02d}"
+        there = [t for t in empty if value[name, t] is not None]
+        if len(there) / len(empty) < 0.4:
+            want.append((name, False, "insufficient_gap_coverage", None, 0))
+            continue
+        both = [(value[name, t], value["s00", t]) for t in hours if value[name, t] is not None and value["s00", t] is not None]
+        if len(both) < 48:
+            want.append((name, False, "insufficient_training_pairs_or_cv", len(both), 0))
+            continue
+        x, y = (np.array(v) for v in zip(*both, strict=True))
+        size, scores = len(x) // 6, []
+        for j in range(1, 6):
+            a = len(x) - (6 - j) * size
+            b, c = np.polyfit(x[:a], y[:a], 1)
+            scores.append(1 - ((y[a : a + size] - c - b * x[a : a + size]) ** 2).sum() / ((y[a : a + size] - y[a : a + size].mean()) ** 2).sum())
+        good = np.mean(scores) >= 0.6
+        want.append((name, bool(good), None if good else "r2_below_threshold", len(both), len(there) if good else 0))
+        if good:
+            empty = [t for t in empty if t not in there]
+    got = {}
+    for r in attempts:
+        key = (r["neighbor"], r["accepted"], r["rejection_reason"], r["training_pairs"])
+        got[key] = got.get(key, 0) + (r["ts"] is not None)
+    assert {(*k, n) for k, n in got.items()} == set(want) and len(want) > 16 and any(w[1] for w in want[16:])
+
+
+def test_models_keep_their_digits_with_a_large_common_offset(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(130, 2))
+    y = x @ np.array([[0.7, -0.2], [0.4, 1.1]]) + 0.05 * rng.normal(size=(130, 2))
+    rows = [(wind.VECTOR, "A", "B", T0 + timedelta(hours=i), *(1e7 + y[i]).tolist(), *(1e7 + x[i]).tolist()) for i in range(130)]
+    rows += [(wind.VECTOR, "A", "C", T0 + timedelta(hours=i), *y[i].tolist(), float(x[i, 0]), float(2 * x[i, 0])) for i in range(130)]
+    rows += [(wind.VECTOR, "A", "D", T0 + timedelta(hours=i), *y[i].tolist(), 1.0, 1.0) for i in range(47)]
+    pairs = spark.createDataFrame(rows, "variable string, station string, neighbor string, ts timestamp_ntz, y1 double, y2 double, x1 double, x2 double")
+    found = {r["neighbor"]: r for r in neighbors.fit_wind_models(pairs).collect()}
+    for name, predictors in (("B", x), ("C", np.stack([x[:, 0], 2 * x[:, 0]], axis=1))):
+        scores = []
+        for j in range(1, 6):
+            a = 130 - (6 - j) * 21
+            p, q = predictors[:a], y[:a]
+            coef = np.linalg.pinv(p - p.mean(axis=0)) @ (q - q.mean(axis=0))
+            miss = y[a : a + 21] - q.mean(axis=0) - (predictors[a : a + 21] - p.mean(axis=0)) @ coef
+            scores.append((1 - (miss**2).sum(axis=0) / ((y[a : a + 21] - y[a : a + 21].mean(axis=0)) ** 2).sum(axis=0)).mean())
+        coef = np.linalg.pinv(predictors - predictors.mean(axis=0)) @ (y - y.mean(axis=0))
+        m = found[name]
+        assert [m["u_by_u"], m["u_by_v"], m["v_by_u"], m["v_by_v"], m["r2"]] == pytest.approx([*coef[:, 0], *coef[:, 1], np.mean(scores)], abs=1e-6)
+    assert (found["D"]["training_pairs"], found["D"]["r2"], found["D"]["u_by_u"], found["D"]["u_base"]) == (47, None, None, None)
+
+
+@pytest.mark.parametrize("piece", [24, 700])
+def test_series_in_pieces_give_the_rows_of_whole_series(spark, piece):
+    """Gaps over several pieces, at their borders, and donors two weeks away; scalars and wind."""
+    import random
+
+    rng = random.Random(piece)
+    rows = []
+    for s in "AB":
+        gone, i = set(), 0
+        while i < 1200:
+            n = rng.choice([1, 2, 3, 5, 30, 130])
+            if rng.random() < 0.4:
+                gone |= set(range(i, i + n))
+            i += n + rng.randint(1, 60)
+        rows += [(s, T0 + timedelta(hours=i), None if i in gone else 10.0 + i % 24 + i % 7, None if i in gone else (i * 31 % 360) + 0.0, None if i in gone else (i % 9) + 0.5) for i in range(1200)]
+    obs = spark.createDataFrame(rows, "station string, ts timestamp_ntz, TEMP double, DIR_VIENTO double, VEL_VIENTO double")
+    whole, parts = (jobs.curate(obs, CurationConfig(piece_hours=p)) for p in (None, piece))
+    for a, b in ((whole.states, parts.states), (whole.scalars, parts.scalars), (whole.wind, parts.wind)):
+        columns = sorted(a.columns)
+        assert sorted(map(repr, a.select(*columns).collect())) == sorted(map(repr, b.select(*columns).collect()))
+    assert whole.scalars.filter("is_gap AND n_steps > 100").count() > 0 and whole.scalars.filter("method = 'weekly_seasonal'").count() > 0
+
+
+def test_never_seen_series_stay_structural_and_out_of_the_windows(spark):
+    some = frame(spark, [10, None, 12]).withColumn("HR", F.lit(None).cast("double"))
+    p = jobs.curate(some)
+    assert series(p, "source", "HR") == ["missing_structural"] * 3 and series(p) == [10, 11, 12]
+    assert p.scalars.filter("variable = 'HR'").count() == 0
