@@ -84,6 +84,10 @@ class View:
     def states(self) -> DataFrame:
         return self.product.states
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        return verify.month_counts(self.states)
+
     @cached_property
     def faulty(self) -> DataFrame:
         """The product with faults of every kind put in, by the hour and the station."""
@@ -811,12 +815,12 @@ _FINISH = "applicable - observed - outliers AS missing_before, applicable - obse
 
 @query("states", f"SELECT *, {_FINISH} FROM (SELECT variable, {_COVERAGE} FROM states GROUP BY 1)")
 def coverage_table(v):
-    return verify.coverage_table(v.states).withColumn("coverage_pct", r("coverage_pct"))
+    return verify.coverage_table(v.counts).withColumn("coverage_pct", r("coverage_pct"))
 
 
 @query("states", f"SELECT *, {_FINISH} FROM (SELECT station, variable, {_COVERAGE} FROM states GROUP BY 1, 2)")
 def coverage_by_station(v):
-    return verify.coverage_by_station(v.states).withColumn("coverage_pct", r("coverage_pct"))
+    return verify.coverage_by_station(v.counts).withColumn("coverage_pct", r("coverage_pct"))
 
 
 @query("grid", "SELECT 'PP_IFS' AS variable, count(*) AS applicable, CAST(NULL AS BIGINT) AS observed, CAST(NULL AS BIGINT) AS imputed, count(*) - count(PP_IFS) AS missing_after, round(100.0e0 * count(PP_IFS) / count(*), 6) + 0.0e0 AS coverage_pct FROM ifs", _EXTERNAL)
@@ -826,17 +830,17 @@ def external_coverage_row(v):
 
 @query("states", f"SELECT *, round(100.0e0 * observed / expected, 6) + 0.0e0 AS observed_pct FROM (SELECT station, variable, CAST({_MONTHS} AS DATE) AS month, count(*) FILTER (source IN ('senamhi_observed', 'senamhi_operational_outlier')) AS observed, count(*) FILTER (starts_with(source, 'imputed_')) AS imputed, count(*) FILTER (output_present) AS available, CAST(24 * day(last_day(any_value(ts))) AS BIGINT) AS expected FROM states GROUP BY 1, 2, 3)")
 def monthly_coverage(v):
-    return verify.monthly_coverage(v.states).withColumn("observed_pct", r("observed_pct"))
+    return verify.monthly_coverage(v.counts).withColumn("observed_pct", r("observed_pct"))
 
 
 @query("states", "SELECT station, variable, source, count(*) AS n FROM states WHERE starts_with(source, 'imputed_') GROUP BY 1, 2, 3")
 def method_counts(v):
-    return verify.method_counts(v.states)
+    return verify.method_counts(v.counts)
 
 
 @query("long", "SELECT variable, max(n) AS months FROM (SELECT variable, count(*) AS n FROM (SELECT variable, m - row_number() OVER (PARTITION BY variable ORDER BY m) AS island FROM (SELECT DISTINCT variable, year(ts) * 12 + month(ts) AS m FROM cells WHERE value IS NOT NULL)) GROUP BY variable, island) GROUP BY 1")
 def longest_month_run(v):
-    return verify.longest_month_run(v.long_product.states)
+    return verify.longest_month_run(verify.month_counts(v.long_product.states))
 
 
 @query("stations", "SELECT station, LATITUD, LONGITUD, ALTITUD, n_rows FROM stations JOIN (SELECT station, count(*) AS n_rows FROM obs GROUP BY 1) USING (station)")
@@ -851,22 +855,70 @@ def external_availability(v):
 
 @query("faulty", f"SELECT * FROM (SELECT variable, 'observed' AS field, CAST(a.observed AS DOUBLE) AS found, CAST(b.observed AS DOUBLE) AS expected FROM (SELECT variable, {_COVERAGE} FROM faulty GROUP BY 1) a JOIN (SELECT variable, {_COVERAGE} FROM states GROUP BY 1) b USING (variable) UNION ALL SELECT variable, 'imputed', CAST(a.imputed AS DOUBLE), CAST(b.imputed AS DOUBLE) FROM (SELECT variable, {_COVERAGE} FROM faulty GROUP BY 1) a JOIN (SELECT variable, {_COVERAGE} FROM states GROUP BY 1) b USING (variable)) WHERE found <> expected")
 def compare_reference_table(v):
-    return verify.compare_reference_table(verify.coverage_table(v.faulty), verify.coverage_table(v.states), ["observed", "imputed"])
+    return verify.compare_reference_table(verify.coverage_table(verify.month_counts(v.faulty)), verify.coverage_table(v.counts), ["observed", "imputed"])
 
 
-@query()
-def verification_report(v):
-    """Every criterion on the product without faults; product and log are computed once."""
+def _report(v: View, product: DataFrame, log: DataFrame, table: DataFrame) -> DataFrame:
+    """The report on a product in published columns, with the stations' metadata."""
     scratch = Scratch(v.spark, "verify")
-    states, log = scratch.save(v.states, "states"), scratch.save(v.sound_log, "log")
-    wide, logged = grid.to_wide_output(states, list(VARIABLES)), provenance.logged_cells(log)
-    return verify.verification_report({
-        "grid": verify.verify_grid(v.wide), "keys": verify.verify_key_conservation(v.obs, v.wide), "output_keys": postconditions.output_key_violations(wide),
-        "vocabulary": postconditions.source_vocabulary(states), "provenance": verify.verify_provenance(states).filter("n > 0"), "observations": verify.verify_observations(states).filter("n_different > 0"),
-        "fills_logged": postconditions.unlogged_or_phantom_fills(states, logged), "log": postconditions.log_integrity(log), "log_cells": verify.verify_log(states, log),
-        "ranges": postconditions.range_violations(states), "calm": postconditions.calm_coherence(states),
-        "age": verify.verify_age(v.wide, F.lit("2030-01-01").cast("date"), 10),
-    })
+    raw = scratch.save(v.obs.join(F.broadcast(v.stations), "station"), "raw")
+    rows = product.withColumn("ts", F.expr("make_timestamp_ntz(FECHA DIV 10000, (FECHA DIV 100) % 100, FECHA % 100, HORA DIV 10000, 0, 0)")).withColumnRenamed("ESTACION", "station").drop("FECHA", "HORA")
+    rows = scratch.save(rows.join(F.broadcast(v.stations), "station"), "product")
+    states = scratch.save(verify.product_states(rows, raw, list(VARIABLES)), "states")
+    counts = scratch.save(verify.month_counts(states), "counts")
+    expected = ["station", "ts", "LATITUD", "LONGITUD", "ALTITUD", "DISTRITO", *VARIABLES, *(f"{x}_SOURCE" for x in VARIABLES)]
+    reference = raw.agg(F.max("ts")).first()[0]
+    found = verify.product_criteria(rows, raw, log, states, counts, F.lit(reference).cast("date"), expected, 1, table)
+    return verify.verification_report(found)
+
+
+_CRITERIA = ("schema", "keys_unique", "period_and_frequency", "age", "keys_kept", "georeference", "provenance", "observations_kept", "log", "months_with_observations", "reference_table")
+_KNOWN = ("applicable", "observed", "outliers", "imputed")
+
+
+@query("obs", "SELECT criterion, 'CUMPLE' AS status, '0' AS detail FROM (VALUES " + ", ".join(f"('{c}')" for c in _CRITERIA) + ") t(criterion) WHERE (SELECT count(*) FROM obs) >= 0")
+def verification_report(v):
+    """Every criterion on the product as it is published and read back, which has no faults."""
+    path = _folder(v)
+    jobs.publish(v.product, path)
+    data, log, _ = io.read_curated(v.spark, path)
+    log = log.withColumn("accepted", F.col("accepted").cast("boolean"))
+    return _report(v, data, log, verify.coverage_table(v.counts).select("variable", *_KNOWN))
+
+
+_N = "(day(ts) * 24 + hour(ts) + 7 * CAST(substr(station, 2, 2) AS INTEGER))"
+_MUTATED = f"""
+mut AS (
+  SELECT s.*, {_N} AS m,
+    CASE WHEN {_N} % 53 = 1 THEN final + 1 WHEN {_N} % 59 = 2 THEN NULL ELSE final END AS mfinal, CASE WHEN {_N} % 71 = 5 THEN 'imputed_unknown' ELSE source END AS msource
+  FROM states s WHERE {_N} % 97 <> 3),
+hrs AS (SELECT station, ts, max(m) AS m FROM mut GROUP BY 1, 2),
+per AS (SELECT station, count(*) AS n, min(ts) AS a, max(ts) AS b FROM hrs GROUP BY 1),
+spn AS (SELECT min(ts) AS a, max(ts) AS b FROM hrs),
+val AS (SELECT *, starts_with(msource, 'imputed_') OR msource IN ('senamhi_observed', 'senamhi_operational_outlier') AS valued FROM mut),
+cov AS (SELECT variable, count(*) FILTER (is_applicable) AS applicable, count(*) FILTER (source = 'senamhi_observed') AS observed, count(*) FILTER (source = 'senamhi_operational_outlier') AS outliers, count(*) FILTER (starts_with(source, 'imputed_')) AS imputed FROM states GROUP BY 1),
+mcov AS (SELECT variable, count(*) FILTER (msource <> 'not_applicable') AS applicable, count(*) FILTER (msource = 'senamhi_observed') AS observed, count(*) FILTER (msource = 'senamhi_operational_outlier') AS outliers, count(*) FILTER (starts_with(msource, 'imputed_')) AS imputed FROM mut GROUP BY 1),
+faults(criterion, n) AS (
+  SELECT 'schema', 0 UNION ALL SELECT 'keys_unique', 0 UNION ALL SELECT 'age', 0 UNION ALL SELECT 'georeference', 0 UNION ALL SELECT 'months_with_observations', 0
+  UNION ALL SELECT 'period_and_frequency', count(*) FROM per, spn WHERE n <> date_diff('hour', spn.a, spn.b) + 1 OR per.a <> spn.a OR per.b <> spn.b
+  UNION ALL SELECT 'keys_kept', count(*) FROM obs o WHERE NOT EXISTS (SELECT 1 FROM hrs h WHERE h.station = o.station AND h.ts = o.ts)
+  UNION ALL SELECT 'provenance', (SELECT CAST(count(*) > 0 AS INTEGER) FROM val WHERE (variable, msource) NOT IN (SELECT (variable, source) FROM allowed))
+    + (SELECT CAST(count(*) > 0 AS INTEGER) FROM val WHERE valued <> (mfinal IS NOT NULL))
+    + (SELECT CAST(count(*) > 0 AS INTEGER) FROM val d LEFT JOIN (SELECT station, ts, mfinal AS speed FROM val WHERE variable = 'VEL_VIENTO') s USING (station, ts) WHERE msource = 'not_applicable' AND (variable <> 'DIR_VIENTO' OR NOT coalesce(speed = 0, false)))
+  UNION ALL SELECT 'observations_kept', count(DISTINCT variable) FROM val WHERE msource IN ('senamhi_observed', 'senamhi_operational_outlier') AND NOT coalesce(abs(mfinal - raw) <= 1e-9, false)
+    AND NOT coalesce(variable = 'DIR_VIENTO' AND mfinal BETWEEN 0 AND 360 AND raw BETWEEN 0 AND 360 AND least(abs(mfinal - raw) % 360, 360 - abs(mfinal - raw) % 360) <= 1e-9, false)
+  UNION ALL SELECT 'log', count(*) FROM (SELECT station, variable, ts, source FROM (SELECT station, variable, ts, msource AS source, 1 AS p FROM mut WHERE starts_with(msource, 'imputed_') UNION ALL SELECT station, variable, ts, 'imputed_' || method, -1 FROM states WHERE method IS NOT NULL) GROUP BY 1, 2, 3, 4 HAVING sum(p) <> 0)
+  UNION ALL SELECT 'reference_table', (SELECT count(*) FROM cov c JOIN mcov m USING (variable), LATERAL (SELECT unnest([c.applicable <> m.applicable, c.observed <> m.observed, c.outliers <> m.outliers, c.imputed <> m.imputed]) AS off) WHERE off))"""
+
+
+@query("states", "SELECT criterion, CASE WHEN n = 0 THEN 'CUMPLE' ELSE 'NO_CUMPLE' END AS status, CAST(n AS VARCHAR) AS detail FROM faults", ALLOWED, _MUTATED)
+def verification_report_faulty(v):
+    """The criteria on a product that has lost hours and whose values and sources were changed."""
+    at = F.expr("(FECHA % 100) * 24 + HORA DIV 10000") + 7 * F.substring("ESTACION", 2, 2).cast("int")
+    wide = grid.to_wide_output(v.states, list(VARIABLES)).withColumn("n", at).filter("n % 97 <> 3")
+    changes = {x: F.when(F.col("n") % 53 == 1, F.col(x) + 1).when(F.col("n") % 59 == 2, None).otherwise(F.col(x)) for x in VARIABLES}
+    changes |= {f"{x}_SOURCE": F.when(F.col("n") % 71 == 5, "imputed_unknown").otherwise(F.col(f"{x}_SOURCE")) for x in VARIABLES}
+    return _report(v, wide.withColumns(changes).drop("n"), v.sound_log, verify.coverage_table(v.counts).select("variable", *_KNOWN))
 
 
 # ── reading and writing ──────────────────────────────────────────────────────────────────────────────────────────────
@@ -929,8 +981,8 @@ def write_curated(v):
     """The product written with its log and a summary, and its data read back: rows and values by station."""
     path = _folder(v)
     jobs.publish(v.product, path)
-    data = v.spark.read.parquet(f"{path}/data").groupBy("ESTACION").agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(c).alias(c) for c in VARIABLES])
-    return data.withColumn("ESTACION", F.col("ESTACION").cast("string"))
+    data = io.read_curated(v.spark, path)[0].groupBy("ESTACION").agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(c).alias(c) for c in VARIABLES])
+    return data
 
 
 @query("obs", "SELECT station, length(line) AS bytes, sha256(line) AS sha256 FROM (SELECT station, concat(station, ' ', count(*), ' ', max(ts), chr(10)) AS line FROM obs GROUP BY 1)")

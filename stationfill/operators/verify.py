@@ -1,6 +1,6 @@
 """Verification of a published product against raw rows and log, and the coverage tables recomputed from it.
 
-Criteria that come from cells are roll-ups of one conditional aggregate by station, variable and month.
+Coverage tables are roll-ups of one aggregate by station, variable, month and source (month_counts).
 """
 
 from __future__ import annotations
@@ -82,28 +82,33 @@ def verify_log(states: DataFrame, log: DataFrame) -> DataFrame:
     return both.filter("n_product <> n_log")
 
 
-def _coverage() -> list[Column]:
-    return [
-        F.count_if("is_applicable").alias("applicable"),
-        F.count_if(F.col("source") == "senamhi_observed").alias("observed"),
-        F.count_if(F.col("source") == "senamhi_operational_outlier").alias("outliers"),
-        F.count_if(imputed()).alias("imputed"),
-    ]
+def month_counts(states: DataFrame) -> DataFrame:
+    """(station, variable, month, source, n, applicable, available): the one aggregate over cells of which the tables below are roll-ups."""
+    return states.groupBy("station", "variable", F.trunc("ts", "month").alias("month"), "source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_applicable").alias("applicable"), F.count_if("output_present").alias("available"))
 
 
-def _finish(counts: DataFrame) -> DataFrame:
-    """The table's other columns follow by subtraction."""
+def _summed(when: Column | None = None, n: str = "n") -> Column:
+    return F.coalesce(F.sum(F.col(n) if when is None else F.when(when, F.col(n))), F.lit(0).cast("long"))
+
+
+def _coverage(counts: DataFrame, *by: str) -> DataFrame:
+    """Counts by kind; the table's other columns follow by subtraction."""
+    source = F.col("source")
+    found = counts.groupBy(*by).agg(
+        _summed(n="applicable").alias("applicable"), _summed(source == "senamhi_observed").alias("observed"),
+        _summed(source == "senamhi_operational_outlier").alias("outliers"), _summed(imputed()).alias("imputed"))
     before = F.col("applicable") - F.col("observed") - F.col("outliers")
     after = before - F.col("imputed")
-    return counts.withColumns({"missing_before": before, "missing_after": after, "coverage_pct": percent(F.col("applicable") - after, F.col("applicable"))})
+    return found.withColumns({"missing_before": before, "missing_after": after, "coverage_pct": percent(F.col("applicable") - after, F.col("applicable"))})
 
 
-def coverage_table(states: DataFrame) -> DataFrame:
-    return _finish(states.groupBy("variable").agg(*_coverage()))
+def coverage_table(counts: DataFrame) -> DataFrame:
+    return _coverage(counts, "variable")
 
 
-def coverage_by_station(states: DataFrame) -> DataFrame:
-    return _finish(states.groupBy("station", "variable").agg(*_coverage()))
+def coverage_by_station(counts: DataFrame) -> DataFrame:
+    return _coverage(counts, "station", "variable")
 
 
 def external_coverage_row(rows: DataFrame, column: str = "PP_IFS") -> DataFrame:
@@ -113,23 +118,21 @@ def external_coverage_row(rows: DataFrame, column: str = "PP_IFS") -> DataFrame:
     return rows.agg(F.lit(column).alias("variable"), n.alias("applicable"), none.alias("observed"), none.alias("imputed"), (n - there).alias("missing_after"), percent(there, n).alias("coverage_pct"))
 
 
-def monthly_coverage(states: DataFrame) -> DataFrame:
+def monthly_coverage(counts: DataFrame) -> DataFrame:
     """Hours of each calendar month, observed, imputed, available; the share of observed keeps calm hours in its denominator."""
-    month = F.trunc("ts", "month")
+    found = counts.groupBy("station", "variable", "month").agg(
+        _summed(F.col("source").isin("senamhi_observed", "senamhi_operational_outlier")).alias("observed"), _summed(imputed()).alias("imputed"), _summed(n="available").alias("available"))
     days = F.datediff(F.last_day("month"), F.col("month")) + 1
-    counts = states.groupBy("station", "variable", month.alias("month")).agg(
-        F.count_if(F.col("source").isin("senamhi_observed", "senamhi_operational_outlier")).alias("observed"), F.count_if(imputed()).alias("imputed"), F.count_if("output_present").alias("available"))
-    hours = (days * 24).cast("long")
-    return counts.withColumn("expected", hours).withColumn("observed_pct", percent(F.col("observed"), F.col("expected")))
+    return found.withColumn("expected", (days * 24).cast("long")).withColumn("observed_pct", percent(F.col("observed"), F.col("expected")))
 
 
-def method_counts(states: DataFrame) -> DataFrame:
-    return states.filter(imputed()).groupBy("station", "variable", "source").agg(F.count(F.lit(1)).alias("n"))
+def method_counts(counts: DataFrame) -> DataFrame:
+    return counts.filter(imputed()).groupBy("station", "variable", "source").agg(_summed().alias("n"))
 
 
-def longest_month_run(states: DataFrame) -> DataFrame:
+def longest_month_run(counts: DataFrame) -> DataFrame:
     """(variable, months): the longest run of consecutive months with an observation of any station."""
-    months = states.filter("source = 'senamhi_observed'").select("variable", (F.year("ts") * 12 + F.month("ts")).alias("m")).distinct()
+    months = counts.filter("source = 'senamhi_observed'").select("variable", (F.year("month") * 12 + F.month("month")).alias("m")).distinct()
     island = F.col("m") - F.row_number().over(W.partitionBy("variable").orderBy("m"))
     return months.withColumn("island", island).groupBy("variable", "island").count().groupBy("variable").agg(F.max("count").alias("months"))
 
@@ -154,6 +157,40 @@ def compare_reference_table(found: DataFrame, reference: DataFrame, fields: list
     return both.filter(~same)
 
 
+def product_states(product: DataFrame, raw: DataFrame, variables: list[str]) -> DataFrame:
+    """Cells of a published product (station, ts, a value and a source for each variable) beside the raw values.
+
+    Only what the product says counts: source and value are its own, whether an hour is applicable follows from its source.
+    """
+    fields = lambda v: F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("final"), F.coalesce(f"{v}_SOURCE", F.lit("")).alias("source"), F.col(f"raw_{v}").cast("double").alias("raw"))
+    observed = raw.select("station", "ts", *[F.col(v).alias(f"raw_{v}") for v in variables])
+    cells = product.join(observed, ["station", "ts"], "left").select("station", "ts", F.inline(F.array(*[fields(v) for v in variables])))
+    applicable = F.col("source") != "not_applicable"
+    return cells.withColumns({"is_applicable": applicable, "output_present": applicable & F.col("final").isNotNull()})
+
+
+def product_criteria(product: DataFrame, raw: DataFrame, log: DataFrame, states: DataFrame, counts: DataFrame, reference: Column, expected: list[str], least_months: int = 6, table: DataFrame | None = None, external: str | None = None) -> dict[str, DataFrame | Exception]:
+    """Violations of every criterion, of a product read as published (station, ts, metadata, values, sources), its raw rows and its log.
+
+    `states` and `counts` are product_states and month_counts of it, `reference` the date to which no row may be later or
+    over ten years earlier, `expected` its columns, `table` known figures of coverage_table to compare with.
+    """
+    faults = verify_schema(product, expected)
+    spark = product.sparkSession
+    twice = product.groupBy("station", "ts").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR station IS NULL OR ts IS NULL")
+    months = counts.select("variable").distinct().join(longest_month_run(counts), "variable", "left").filter(F.coalesce("months", F.lit(0)) < least_months)
+    found: dict[str, DataFrame | Exception] = {
+        "schema": spark.createDataFrame([(f,) for f in faults], "fault string"), "keys_unique": twice, "period_and_frequency": verify_grid(product), "age": verify_age(product, reference),
+        "keys_kept": verify_key_conservation(raw, product), "georeference": verify_georeference(product, raw), "provenance": verify_provenance(states).filter("n > 0"),
+        "observations_kept": verify_observations(states).filter("n_different > 0"), "log": verify_log(states, log), "months_with_observations": months,
+    }
+    if external is not None:
+        found["external_available"] = external_availability(product, external).filter("NOT complete")
+    if table is not None:
+        found["reference_table"] = compare_reference_table(coverage_table(counts), table, [c for c in table.columns if c != "variable"])
+    return found
+
+
 def verification_report(criteria: dict[str, DataFrame | Exception]) -> DataFrame:
     """(criterion, status, detail): CUMPLE for an empty frame of violations, NO_CUMPLE with their number, or with the error met on the way."""
     spark = next(x for x in criteria.values() if isinstance(x, DataFrame)).sparkSession

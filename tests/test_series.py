@@ -228,9 +228,6 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "twice.csv").write_text("ESTACION,ESTACION\nA,B\n")
     with pytest.raises(contract.ContractError):
         io.read_observations(spark, str(tmp_path / "twice.csv"), [])
-    for _ in range(2):
-        io.write_curated(raw, raw.select("ESTACION"), raw.select("TEMP"), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out/data")).count() == 2
     manifest = io.artifact_manifest(spark, [str(tmp_path / "raw.csv")]).first()
     assert manifest["bytes"] == (tmp_path / "raw.csv").stat().st_size and len(manifest["sha256"]) == 64
     io.write_report_tables({"t": (raw, ["TEMP", "ESTACION"])}, str(tmp_path / "tables"))
@@ -296,8 +293,8 @@ def test_publishing_checks_first_and_writes_nothing_on_a_breach(spark, tmp_path)
     product = jobs.curate(frame(spark, [10, None, 12, 13]))
     good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
     jobs.publish(product, good)
-    assert spark.read.parquet(f"{good}/data").count() == 4
-    assert spark.read.csv(f"{good}/log", header=True).columns == list(LOG_COLUMNS)
+    data, log, summary = io.read_curated(spark, good)
+    assert data.count() == 4 and log.columns == list(LOG_COLUMNS) and summary.count() == 2
     with pytest.raises(postconditions.PostconditionError, match="log"):
         jobs.publish(replace(product, scalars=product.scalars.withColumn("method", F.lit(None).cast("string"))), bad)
     assert not (tmp_path / "bad").exists()
@@ -418,3 +415,43 @@ def test_never_seen_series_stay_structural_and_out_of_the_windows(spark):
     p = jobs.curate(some)
     assert series(p, "source", "HR") == ["missing_structural"] * 3 and series(p) == [10, 11, 12]
     assert p.scalars.filter("variable = 'HR'").count() == 0
+
+
+def test_a_failed_publication_leaves_the_old_product_whole(spark, tmp_path, monkeypatch):
+    """Whatever step fails, readers see data, log and summary of one run."""
+    path = str(tmp_path / "out")
+    run = lambda k: spark.createDataFrame([("A", 20250101, 0, float(k))], "ESTACION string, FECHA int, HORA int, TEMP double")
+    seen = lambda: [x.first()["TEMP"] for x in io.read_curated(spark, path)]
+    with pytest.raises(FileNotFoundError):
+        io.read_curated(spark, path)
+    io.write_curated(run(1), run(1), run(1), path)
+    bad = run(2).withColumn("TEMP", F.expr("CAST(raise_error('lost') AS DOUBLE)"))
+    for parts in ((bad, run(2), run(2)), (run(2), bad, run(2)), (run(2), run(2), bad)):
+        with pytest.raises(Exception, match="lost"):
+            io.write_curated(*parts, path)
+        assert list(map(float, seen())) == [1.0] * 3
+    with monkeypatch.context() as m:
+        m.setattr(io, "_replace", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError, match="gone"):
+            io.write_curated(run(2), run(2), run(2), path)
+    assert list(map(float, seen())) == [1.0] * 3
+    for k in (3, 4, 5):
+        io.write_curated(run(k), run(k), run(k), path)
+        assert list(map(float, seen())) == [float(k)] * 3
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("v-")]) == 2
+
+
+def test_digests_of_files_of_every_kind(spark, tmp_path):
+    import hashlib
+    import os
+
+    kinds = {"empty": b"", "feed": b"\n", "feeds": b"\n\n", "open": b"a\nb", "closed": b"a\r\nb\n", "mark": b"\xef\xbb\xbfa\nb", "mark_closed": b"\xef\xbb\xbfa\n", "only_mark": b"\xef\xbb\xbf", "bytes": os.urandom(300_000), "long line": b"x" * 200_000, "packed.gz": b"not really packed"}
+    for name, raw in kinds.items():
+        (tmp_path / name).write_bytes(raw)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")  # files in several splits
+    try:
+        found = {os.path.basename(r["path"]): (r["bytes"], r["sha256"]) for r in io.artifact_manifest(spark, [str(tmp_path)]).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == {name: (len(raw), hashlib.sha256(raw).hexdigest()) for name, raw in kinds.items()}
