@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote
@@ -152,8 +153,9 @@ def artifact_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     found = ordered.select("file", "size", "piece").mapInArrow(digest, "file string, sha256 string")
     alone = F.lit(hashlib.sha256(_MARK).hexdigest())  # a byte order mark and no more is no piece
     whole = sizes.filter(~packed).join(found, "file", "left").select("path", "bytes", F.coalesce("sha256", alone).alias("sha256"))
-    listed = {r["file"] for r in sizes.select("file").collect()}
-    empty = [(unquote(f), 0, hashlib.sha256().hexdigest()) for f in files.inputFiles() if f not in listed]  # the reader skips them
+    plainly = lambda f: re.sub(r"^(\w+):/+", r"\1:/", f)
+    listed = {plainly(r["path"]) for r in sizes.select("path").collect()}
+    empty = [(f, 0, hashlib.sha256().hexdigest()) for f in map(plainly, map(unquote, files.inputFiles())) if f not in listed]  # the reader skips them
     whole = whole.unionByName(spark.createDataFrame(empty, "path string, bytes long, sha256 string"))
     return whole.unionByName(files.filter(packed).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
 
