@@ -465,7 +465,7 @@ PAGE = """<html><head><title>T</title><script>var a="<p>no</p>"</script></head><
 
 
 def test_html_extract(spark):
-    leaves = html_extract.leaves(PAGE)
+    leaves = html_extract.parse(PAGE).leaves
     assert [x.text for x in leaves][3:7] == ["A title & more", "First block, one line.", "Second block.", "Buy it."]
     rows = [(i, "u", PAGE.replace("block", f"block{i}")) for i in range(40)] + [(100, None, None), (101, "u", ""), (102, "u", "<p"), (0, "u", PAGE.replace("block", "block0"))]
     found = {r["page_id"]: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -490,9 +490,8 @@ def test_html_extract_beyond_listed_names(spark):
     for i in range(63):
         kept = found[i].split("\n")
         assert kept[0] == f"Title {i}" and sum(x.endswith(f"end{i}.") for x in kept) == 5 and len(kept) == 6, (i, kept)
-    path = ((1, ("html",)), (2, ("body", "widget")), (3, ("div", "no-sidebar")), (4, ("p",)))
-    one, two = html_extract.Leaf(path, "A text.", 0.0), html_extract.Leaf(path, "A link.", 1.0)
-    assert html_extract.evidence([one, two, one], [False, False, True]).tolist() == [1, 0, 0]
+    told = html_extract.parse('<html><body class="widget"><div class="no-sidebar"><p>A text.</p><p><a>A link.</a></p><p>A text.</p></div></body></html>')
+    assert html_extract.evidence(told, [False, False, True]).tolist() == [1, 0, 0]
 
 
 def test_labeller_gradients():
