@@ -18,17 +18,18 @@ from pyspark.sql import functions as F
 from stationfill.llm.blocks import leaders, sub_blocks
 from stationfill.llm.common import Scratch, shuffle_partitions
 from stationfill.llm.jaccard_join import grouped
-from stationfill.llm.textbytes import BASES, PIECE, RollingHash, slices, words
+from stationfill.llm.textbytes import BASES, PIECE, RollingHash, slices, word_hashes, words
 
 #: Bytes of text that a shard gathers before it is sorted, and three times that a part of a split block; arrays take about 100 times that.
 SHARD_BYTES = 1 << 20
 
 
 class ByteWindows:
-    """Every string of `size` bytes."""
+    """Every string of `size` bytes that begins at a multiple of `step` in its text."""
 
-    def __init__(self, size: int):
+    def __init__(self, size: int, step: int = 1):
         self.least = self.most = size
+        self.step = step
 
     def of(self, data: np.ndarray, offsets: np.ndarray, opened: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths of the windows that lie whole in one of the pieces; opened, closed: whether a piece begins or ends its text."""
@@ -39,6 +40,8 @@ class ByteWindows:
 class WordWindows:
     """From each word on, `words` words; at least `least` bytes, and at most `most` where the words take more."""
 
+    step = 1
+
     def __init__(self, words: int = 50, least: int = 200, most: int = 512):
         self.words, self.least, self.most = words, least, most
 
@@ -216,7 +219,7 @@ class Shard:
 
     def windows(self, kind) -> tuple[np.ndarray, np.ndarray]:
         starts, size = kind.of(self.data, self.offsets, self.opened, self.closed)
-        own = self.owned[starts]
+        own = self.owned[starts] & (self.at[starts] % kind.step == 0)
         return starts[own], size[own]
 
     def prints(self, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -520,3 +523,65 @@ def without_repeats(docs: DataFrame, windows: ByteWindows | WordWindows = PASSAG
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(strip, docs.schema)
+
+
+#: Bytes of a word's code. Fifty codes would all have to agree for a passage to be taken for another.
+CODE = 5
+
+
+def _codes(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """For each row the codes of its words, one after the other."""
+    starts, ends, rows = words(data, offsets)
+    codes = word_hashes(data, starts, ends).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE]
+    cuts = CODE * np.searchsorted(rows, np.arange(len(offsets)))
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(codes.tobytes())])
+
+
+def without_repeated_passages(docs: DataFrame, n_words: int = 50, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with every passage of `n_words` words that also begins elsewhere cut out of `text`, all rows and columns kept.
+
+    Words are runs without white space, of any length in bytes; which white space parts them makes no difference. A text is
+    searched as the codes of its words, so a passage is a byte string of a fixed length. Cut passages that overlap or touch go
+    as one, from their first letter to their last; white space around them stays. A text that another document has whole, but for white space,
+    becomes empty if it holds a passage. Null stays null. Repeated, differing and missing doc_ids as in repeat_digests.
+    """
+    slim = _slim(docs, doc_id, text).withColumn("own", F.sha2("text", 256))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column("text")):
+                columns = [batch.column(c).slice(a, b - a) for c in ("doc_id", "own")]
+                yield pa.RecordBatch.from_arrays([*columns, _codes(data, offsets)], ["doc_id", "own", "text"])
+
+    coded = slim.select("doc_id", "own", "text").mapInArrow(encode, "doc_id long, own string, text binary")
+    scratch = Scratch(docs.sparkSession, "passages")
+    names = scratch.save(coded.select("doc_id", "own", F.sha2("text", 256).alias("sha256")).filter("doc_id is not null").distinct(), "names")
+    facts, spans = repeat_spans(coded.select("doc_id", "text"), [ByteWindows(n_words * CODE, CODE)], **options)
+    copied = facts.filter(F.col("copied") & F.col("windowed")[0]).select("doc_id", "sha256").distinct().withColumn("whole", F.lit(True))
+    marks = copied.join(spans.drop("kind"), ["doc_id", "sha256"], "full").join(names, ["doc_id", "sha256"])
+    marks = marks.select(F.col("doc_id").alias("_id"), F.col("own").alias("_own"), F.col("whole").alias("_whole"), F.col("opens").alias("_opens"), F.col("closes").alias("_closes"))
+    same = (docs[doc_id].cast("long") == marks["_id"]) & (F.sha2(F.coalesce(docs[text], F.lit("")), 256) == marks["_own"])
+    joined = docs.hint("merge").join(marks, same, "left")
+    columns_of, at = docs.columns, docs.columns.index(text)
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k) for k in range(len(columns_of))]
+            texts = []
+            for raw, whole, opens, closes in zip(columns[at], *(batch.column(len(columns_of) + k) for k in (2, 3, 4)), strict=True):
+                if whole.as_py():
+                    texts.append("" if raw.is_valid else None)
+                elif opens.is_valid and raw.is_valid:
+                    body = raw.as_buffer().to_pybytes()
+                    starts, ends, _ = words(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+                    first, last = opens.values.to_numpy() // CODE, closes.values.to_numpy() // CODE - 1
+                    order = np.argsort(first, kind="stable")
+                    first, after = _covered(first[order], last[order] + 1)
+                    kept, _ = _kept(body, starts[first], ends[after - 1])
+                    texts.append(kept.decode("utf-8", "ignore"))
+                else:
+                    texts.append(raw.as_py())
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=columns_of)
+
+    return joined.mapInArrow(strip, docs.schema)

@@ -96,7 +96,7 @@ def slices(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 16) -> Iterat
     """(first row, end row, bytes, offsets) of runs of at most `rows` rows with about `most` bytes; a longer text is a run of its own. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "")
+    column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")
     if not len(column):
         return
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
