@@ -15,9 +15,9 @@ from stationfill.llm.common import Scratch, table
 from stationfill.llm.exact_dedup import dedup, digest_of
 from stationfill.llm.jaccard_join import similarity_components
 from stationfill.llm.packing import pack
-from stationfill.llm.suffix_dedup import PASSAGES, without_repeats
+from stationfill.llm.suffix_dedup import without_repeated_passages
 
-#: No SQL: a trained model, components of a similarity join and a tokenizer decide. The tests hold run() against brute force.
+#: No SQL: a trained model, components of a similarity join and a tokenizer decide. The tests hold run() and every stage against brute force.
 ORACLE_SQL = None
 
 
@@ -51,8 +51,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of fifty words that also occur elsewhere are cut out of the texts; every document stays."""
-    cut = without_repeats(docs, PASSAGES)
+    """Passages of fifty words, of any length in bytes, that also occur elsewhere are cut out of the texts; every document stays."""
+    cut = without_repeated_passages(docs, n_words=50)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut
 
 
