@@ -22,8 +22,13 @@ def hourly_grid(obs: DataFrame) -> DataFrame:
     return obs.select("station").distinct().join(F.broadcast(span)).filter("first_ts is not null").select("station", hours.alias("ts"))
 
 
-def reindex_to_grid(obs: DataFrame, grid: DataFrame) -> DataFrame:
-    """obs on the grid: hours without a row get nulls, and source_row tells whether there was a row."""
+def reindex_to_grid(obs: DataFrame, grid: DataFrame, dealt: int | None = None) -> DataFrame:
+    """obs on the grid: hours without a row get nulls, and source_row tells whether there was a row.
+
+    With `dealt` both sides are dealt by station into so many parts, which all later windows and joins of a station can keep.
+    """
+    if dealt:
+        obs, grid = obs.repartition(dealt, "station"), grid.repartition(dealt, "station")
     return grid.join(obs.withColumn("source_row", F.lit(True)), ["station", "ts"], "left").withColumn("source_row", F.coalesce("source_row", F.lit(False)))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stationfill.functions.rules import LOG_COLUMNS, CurationConfig
 from stationfill.jobs import curate as jobs
-from stationfill.operators import contract, external, gaps, grid, neighbors, postconditions, verify, wind
+from stationfill.operators import contract, external, fill, gaps, grid, neighbors, postconditions, verify, wind
 from stationfill.sources import io
 from stationfill.sources.scratch import Scratch
 
@@ -455,3 +455,32 @@ def test_digests_of_files_of_every_kind(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found == {name: (len(raw), hashlib.sha256(raw).hexdigest()) for name, raw in kinds.items()}
+
+
+def exchanges(df):
+    """The exchanges by key of the plan before it runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+
+
+def test_one_exchange_by_station_serves_all_windows(spark):
+    """Both sides of the grid's join are dealt by station, and no window, of scalars or wind, deals anything again."""
+    rows = [(s, T0 + timedelta(hours=i), None if i % 5 == 3 else float(i % 24), None if i % 7 == 2 else float(i * 31 % 360), None if i % 7 == 2 else 2.0 + i % 3) for s in "ABCDE" for i in range(400)]
+    obs = spark.createDataFrame(rows, "station string, ts timestamp_ntz, TEMP double, DIR_VIENTO double, VEL_VIENTO double")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        keys = [line.split("hashpartitioning(")[1].split("#")[0] for line in exchanges(jobs.cells_of(obs, dealt=3))]
+        assert keys.count("station") == len(keys) and not any("ts#" in line or "variable#" in line.split("),")[0] for line in exchanges(jobs.cells_of(obs, dealt=3)) if "hashpartitioning(station#" in line and ", 3)" in line)
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", before["spark.sql.requireAllClusterKeysForCoPartition"])
+        whole, parts = jobs.curate(obs), jobs.curate(obs, CurationConfig(station_buckets=3))
+        assert sorted(map(repr, whole.states.collect())) == sorted(map(repr, parts.states.select(*whole.states.columns).collect()))
+        assert exchanges(fill.own_candidates(parts.cells)) == [] and len(exchanges(fill.own_candidates(whole.cells))) == 1
+        assert exchanges(wind.candidates(wind.vectors(parts.cells))) == []
+        assert exchanges(verify.month_counts(parts.states).groupBy("station").count()) == []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    parts.drop()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("curate_")]
