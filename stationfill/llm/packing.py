@@ -7,6 +7,7 @@ find their places by their rank among those of the same length, which is counted
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,6 +27,13 @@ _loaded: dict[str, object] = {}
 MARKS = bytes(x for x in range(128) if not chr(x).isalnum() and x not in b" \t\n\v\f\r")
 
 
+#: Words of lower-case Latin letters: the library's normaliser and splitter leave them as they are, so its model alone gives their ids.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Byte-level vocabularies write a byte as the character of its number, or where that can't be printed as one from 256 on, in their order.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
+
 class WordEncoder:
     """Ids of a lower-casing tokenizer whose words never hold white space, by a bounded memory of the words seen.
 
@@ -38,6 +46,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.sign = os.path.commonprefix(self.special)
+        self.raw_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.most = most
@@ -71,9 +80,14 @@ class WordEncoder:
         whole = {s for x, s in zip(missing, stems, strict=True) if len(s) == len(x)}
         parts = {y for x, s in zip(missing, stems, strict=True) if len(s) < len(x) for y in (s, x[len(s) :])}
         self.young.update((x, self.old[x]) for x in parts - self.young.keys() if x in self.old)
-        unknown = list(whole | (parts - self.young.keys()))
-        for at in range(0, len(unknown), 5_000):
-            some = unknown[at : at + 5_000]
+        unknown, rest, tokenize, raw_of = whole | (parts - self.young.keys()), [], self.tokenizer.model.tokenize, self.raw_of
+        for x in unknown:
+            if _LETTERS.fullmatch(x):
+                self.young[x] = b"".join([raw_of[t.id] for t in tokenize(x.decode("latin-1").translate(_BYTES))])
+            else:
+                rest.append(x)
+        for at in range(0, len(rest), 5_000):
+            some = rest[at : at + 5_000]
             found = self.tokenizer.encode([x.decode("utf-8", "replace") for x in some], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             cuts = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))).tolist()

@@ -521,3 +521,15 @@ def test_words_never_cross_rows():
     ((_, _, data, offsets),) = textbytes.slices(column)
     starts, ends, rows = textbytes.words(data, offsets)
     assert [bytes(data[a:b]) for a, b in zip(starts, ends, strict=True)] == [b"ab", b"cd", b"ef", b"x"] and rows.tolist() == [0, 2, 2, 4]
+
+
+def test_words_of_latin_letters_by_the_model_alone():
+    """The same ids as from the whole library, for every such letter and for words of many of them."""
+    from tokenizers import Tokenizer
+
+    tok, encoder = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS)
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(x) for x in range(0xDF, 0x100) if x != 0xF7)
+    words = [*letters, *("".join(rng.choice(letters) for _ in range(rng.randint(1, 20))) for _ in range(3000)), "a÷b", "Éa", "ÿ", "á"]
+    for text, ids in zip(words, encoder.encode([w.encode() for w in words], b""), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
