@@ -7,7 +7,7 @@ import pytest
 from stationfill.jobs import registry
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["coverage_by_station", "find_gaps", "fill_cross_year", "compose_wind_fields", "execution_summary", "verify_provenance", "duplicate_keys", "to_wide_output", "read_observations", "read_forecast_payloads", "payload_faults", "write_curated", "artifact_manifest"]
+CHECKED = ["coverage_by_station", "find_gaps", "fill_cross_year", "compose_wind_fields", "execution_summary", "verify_provenance", "duplicate_keys", "to_wide_output", "read_observations", "read_forecast_payloads", "payload_faults", "write_curated", "artifact_manifest", "imputation_log_near", "verification_report_faulty", "validate_input"]
 
 
 def rows(table, names):
