@@ -40,7 +40,7 @@ class WordEncoder:
     The memory has two generations: a full one becomes the older, and words still in use move to the younger.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -279,7 +279,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2,
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.at(tokenizer)
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column("text"), 1 << 22):
+            for a, b, data, offsets in slices(batch.column("text"), 1 << 21):
                 raw = data.tobytes()
                 n, full, rest = [], [], []
                 for ids in encoder.encode([raw[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], end):

@@ -219,7 +219,7 @@ class Shard:
 
     def windows(self, kind) -> tuple[np.ndarray, np.ndarray]:
         starts, size = kind.of(self.data, self.offsets, self.opened, self.closed)
-        own = self.owned[starts] & (self.at[starts] % kind.step == 0)
+        own = self.owned[starts] if kind.step == 1 else self.owned[starts] & (self.at[starts] % kind.step == 0)
         return starts[own], size[own]
 
     def prints(self, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
