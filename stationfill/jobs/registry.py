@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from functools import cached_property
@@ -1005,20 +1006,23 @@ def write_report_tables(v):
 _SQL["write_report_tables"] = _SQL["method_totals"]
 
 
-def _with_rows(v: View, faults: list[str], rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(F.array(*[F.lit(x) for x in faults])).alias("fault"), "n_rows")
+def _with_cells(faults: list[str], rows: DataFrame) -> DataFrame:
+    """Each fault with the number of values in the columns that it names."""
+    named = [[c for c in rows.columns if c in re.findall(r"\w+", x)] for x in faults]
+    n = [sum((F.count(c) for c in own), F.lit(0).cast("long")) for own in named]
+    return rows.agg(F.array(*[F.struct(F.lit(x).alias("fault"), k.alias("n_values")) for x, k in zip(faults, n, strict=True)]).alias("f")).select(F.inline("f"))
 
 
-@query("dirty", "SELECT fault, n_rows FROM (VALUES ('unknown column row_id'), ('measurements [''PM2_5''] where [''PM2_5'', ''TEMP''] are expected')) t(fault), (SELECT count(*) AS n_rows FROM dirty)")
+@query("dirty", "SELECT 'unknown column row_id' AS fault, count(row_id) AS n_values FROM dirty UNION ALL SELECT 'measurements [''PM2_5''] where [''PM2_5'', ''TEMP''] are expected', count(PM2_5) FROM dirty")
 def check_columns(v):
-    """Faults of the raw table's columns, and how many rows they concern."""
-    return _with_rows(v, contract.check_columns(v.dirty, ["PM2_5", "TEMP"]), v.dirty)
+    """Faults of the raw table's columns, and how many values they concern."""
+    return _with_cells(contract.check_columns(v.dirty, ["PM2_5", "TEMP"]), v.dirty)
 
 
-@query("grid", "SELECT fault, n_rows FROM (VALUES ('missing ALTITUD'), ('unexpected source_row')) t(fault), (SELECT count(*) AS n_rows FROM wide)")
+@query("grid", "SELECT 'missing ALTITUD' AS fault, CAST(0 AS BIGINT) AS n_values UNION ALL SELECT 'unexpected source_row', count(source_row) FROM wide")
 def verify_schema(v):
-    """Columns that the grid lacks or has too many, and how many rows they concern."""
-    return _with_rows(v, verify.verify_schema(v.wide, ["station", "ts", *VARIABLES, "ALTITUD"]), v.wide)
+    """Columns that the grid lacks or has too many, and how many values they hold."""
+    return _with_cells(verify.verify_schema(v.wide, ["station", "ts", *VARIABLES, "ALTITUD"]), v.wide)
 
 
 _WHOLE_PIVOT = ", ".join(f"round(max(final) FILTER (variable = '{x}'), 4) + 0.0e0 AS {x}, max(source) FILTER (variable = '{x}') AS {x}_SOURCE" for x in VARIABLES)
