@@ -49,6 +49,7 @@ class WordEncoder:
         self.raw_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.recent: set[bytes] = set()
         self.most = most
 
     @staticmethod
@@ -97,6 +98,11 @@ class WordEncoder:
             if len(s) < len(x):
                 self.young[x] = self.young[s] + self.young[x[len(s) :]]
 
+    def rest(self) -> None:
+        """Keep the words of the last texts only: a worker that other stages use next shouldn't hold more."""
+        self.old, self.young = {}, {x: self.young[x] for x in self.recent}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, raws: list[bytes], last: bytes) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, followed by `last`."""
         texts = [x.lower() for x in raws]
@@ -106,6 +112,7 @@ class WordEncoder:
         words: set[bytes] = set()
         words.update(*parts)
         self._learn(words)
+        self.recent = words
         for raw, own, odd in zip(raws, parts, whole, strict=True):
             if odd:
                 yield np.array(self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() + last
@@ -288,6 +295,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2,
                     full.append([zlib.crc32(ids[k : k + step]) for k in range(0, whole, step)])
                     rest.append(zlib.crc32(ids[whole:]))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), "mark": batch.column("mark").slice(a, b - a), "n": n, "full": pa.array(full, pa.list_(pa.int64())), "rest": rest})
+        encoder.rest()
 
     lengths = docs.mapInArrow(measure, "doc_id long, mark long, n long, full array<long>, rest long")
     salts = 8 * shuffle_partitions(spark)
