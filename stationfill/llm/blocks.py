@@ -23,6 +23,24 @@ def leaders(postings: DataFrame, scratch: Scratch, repeats: bool = False) -> Dat
     return scratch.save(postings.groupBy("token").agg(*aggregates).filter(wanted).select("token", "lead"), "leaders")
 
 
+def asked_for(rows: DataFrame, keys: list[str], by: DataFrame, n_rows: int, most_bits: int = 1 << 27) -> DataFrame:
+    """The rows whose `keys` occur in `by`, and few others: a filter ahead of a join, so that rows nobody asks for aren't shuffled.
+
+    A bit stands for a hash of the keys, 16 bits or more for each of n_rows rows, but `most_bits` (16 MB) at most, which go to every
+    task. Where that makes them dense the filter lets more pass, and no row that `by` holds is ever lost.
+    """
+    page = 1 << 15  # bits of one bitmap of Spark's
+    pages = min(most_bits, max(page, 1 << (16 * n_rows).bit_length())) // page
+    place = F.pmod(F.xxhash64(*keys), F.lit(pages * page))
+    # dealt by page first: maps of single tasks would be as many as tasks
+    at = by.select(place.alias("at")).select(F.floor(F.col("at") / page).alias("page"), (F.col("at") % page).alias("bit"))
+    maps = at.repartition("page").groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    placed = rows.withColumn("_at", place)
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(_at % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    there = placed.join(F.broadcast(maps), F.floor(F.col("_at") / page) == F.col("page"))
+    return there.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).select(*rows.columns)
+
+
 def sub_blocks(pairs: DataFrame, scratch: Scratch, most: int, weight: str, most_weight: int) -> DataFrame:
     """pairs with columns sub and n_sub: a block of more than `most` members, or `most_weight` of `weight`, is dealt into n_sub parts by a hash of the member."""
     need = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(most)), F.ceil(F.sum(weight) / F.lit(most_weight)))

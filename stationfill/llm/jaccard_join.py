@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationfill.llm.blocks import leaders
-from stationfill.llm.common import Scratch, shuffle_partitions
+from stationfill.llm.blocks import asked_for, leaders
+from stationfill.llm.common import Scratch, lean, shuffle_partitions
 from stationfill.llm.components import components, joined_components
 from stationfill.llm.textbytes import shingle_sets, slices
 
@@ -206,7 +206,7 @@ def frequent_shingles(docs: DataFrame, width: int, share: int = 2000, local: int
         yield standing(held, n)
 
     total = docs.count()
-    seen = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    seen = docs.select("text").mapInArrow(lean(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = seen.filter(F.col("n") >= F.lit(max(4 * local, total / share))).toArrow()
     tokens = rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -250,10 +250,11 @@ def similarity_components(
                     ["doc_id", "n_shingles", "mark", "map", "prefix"],
                 )
 
-    sets = scratch.save(docs.mapInArrow(describe, "doc_id long, n_shingles long, mark binary, map binary, prefix array<long>"), "sets")
+    sets = scratch.save(docs.mapInArrow(lean(describe), "doc_id long, n_shingles long, mark binary, map binary, prefix array<long>"), "sets")
     classes = scratch.save(sets.groupBy("mark").agg(F.min("doc_id").alias("rep")), "classes")
-    # Both sides of these joins grow with the documents, so neither is ever broadcast.
-    reps = sets.select("mark", F.col("doc_id").alias("member"), "prefix", "n_shingles").hint("merge").join(classes.select("mark", F.col("rep").alias("member")), ["mark", "member"])
+    rows = sets.count()
+    # What no class is named after goes before it is sent; the few such rows that the filter lets pass are linked to their class once more.
+    reps = asked_for(sets.select(F.col("doc_id").alias("member"), "mark", "prefix", "n_shingles"), ["member", "mark"], classes.select(F.col("rep").alias("member"), "mark"), rows)
     postings = reps.select(F.explode("prefix").alias("token"), "member", "n_shingles")
     found = leaders(postings, scratch)
     pairs = scratch.save(postings.hint("merge").join(found, "token").select("lead", "member", "n_shingles").distinct(), "pairs")
@@ -285,25 +286,25 @@ def similarity_components(
             made = [(int(members[i]), int(members[j])) for i, j in PrefixTree(own).links(num, den, Groups(labels.tolist()), probes)]
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in made], pa.int64()), "b": pa.array([x for _, x in made], pa.int64())})
 
-    def joined(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    def joined(asked: DataFrame, keys: list[str], name: str) -> DataFrame:
         """Links within the blocks of `keys`: parity maps tell which members can have one, and only their texts are sent."""
-        mapped = rows.join(maps.hint("merge"), "member").repartition(n, *keys).sortWithinPartitions(*keys)
-        kinds = ", ".join(f"{k} {t}" for k, t in rows.dtypes) + ", root int"
-        order = [k for k, _ in rows.dtypes]
-        near = mapped.select(*order, "n_shingles", "map").mapInArrow(lambda batches: narrow(batches, keys), kinds)
+        mapped = asked.join(asked_for(maps, ["member"], asked, rows).hint("merge"), "member").repartition(n, *keys).sortWithinPartitions(*keys)
+        kinds = ", ".join(f"{k} {t}" for k, t in asked.dtypes) + ", root int"
+        order = [k for k, _ in asked.dtypes]
+        near = mapped.select(*order, "n_shingles", "map").mapInArrow(lean(lambda batches: narrow(batches, keys)), kinds)
         near, within = scratch.save(near, name), [*keys, "root"]
-        full = near.join(texts.hint("merge"), "member").repartition(n, *within).sortWithinPartitions(*within)
-        return full.mapInArrow(lambda batches: solve(batches, within), "a long, b long")
+        full = near.join(asked_for(texts, ["member"], near, rows).hint("merge"), "member").repartition(n, *within).sortWithinPartitions(*within)
+        return full.mapInArrow(lean(lambda batches: solve(batches, within)), "a long, b long")
 
-    first = dealt.select("lead", "band", "sub", "member", F.col("member").alias("label"), F.lit(1).alias("role"))
+    first = dealt.select("lead", "band", "sub", "member", F.col("member").alias("label"), F.col("home").alias("role"))
     edges = scratch.save(joined(first, ["lead", "band", "sub"], "near"), "edges")
     scratch.drop("near")
     within = components(edges, scratch, "within")
     scratch.drop("edges")
     if not splits.isEmpty():
-        across = joined(_across(dealt, within, scratch, most), ["lead", "band", "sub", "part"], "near-2")
-        edges = scratch.save(across, "edges-2")
-        scratch.drop("near-2", "members", "main")
+        across = scratch.save(_across(dealt, within, scratch, most), "across")
+        edges = scratch.save(joined(across, ["lead", "band", "sub", "part"], "near-2"), "edges-2")
+        scratch.drop("across", "near-2", "members", "main")
         within = joined_components(within, edges, scratch, "whole")
         scratch.drop("edges-2", "within-out")
     scratch.drop("dealt", "sizes")
@@ -316,20 +317,23 @@ def similarity_components(
 
 
 def _deal(pairs: DataFrame, scratch: Scratch, most: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """pairs with columns band, sub, n_sub and hub, and a table of the blocks that are split (n_sub over 1).
+    """pairs with columns band, home, sub, n_sub and hub, and a table of the blocks that are split (n_sub over 1).
 
     Similar sets differ in size by num/den at most, so they are in the same band of sizes or in adjacent ones: a member goes
-    to the block of its own band and of the next. A block of more than `most` members is dealt into n_sub parts by a hash
+    to the block of its own band (home 1) and of the next (home 0). Two that are not at home meet in the band before, so a block
+    without any at home isn't made, and elsewhere only pairs with one at home are compared. A block of more than `most` members is dealt into n_sub parts by a hash
     of the member; its smallest member, the hub, goes to each part, so that what is like it is found in each.
     """
     band = F.floor(F.ln("n_shingles") / F.lit(math.log(den / num) * (1 + 1e-9))).cast("int") if num < den else F.col("n_shingles").cast("int")
-    banded = pairs.withColumn("band", F.explode(F.array(band, band + 1)))
+    places = F.array(*(F.struct((band + k).alias("band"), F.lit(1 - k).alias("home")) for k in (0, 1)))
+    banded = pairs.select("*", F.inline(places))
     key = ["lead", "band"]
-    sizes = banded.groupBy(*key).agg(F.count(F.lit(1)).alias("n_all"), F.min("member").alias("hub"))
-    sizes = scratch.save(sizes.filter("n_all > 1").withColumn("n_sub", F.ceil(F.col("n_all") / F.lit(most)).cast("int")).drop("n_all"), "sizes")
+    sizes = banded.groupBy(*key).agg(F.count(F.lit(1)).alias("n_all"), F.max("home").alias("lived_in"), F.min("member").alias("hub"))
+    sizes = sizes.filter("n_all > 1 and lived_in = 1").withColumn("n_sub", F.ceil(F.col("n_all") / F.lit(most)).cast("int"))
+    sizes = scratch.save(sizes.drop("n_all", "lived_in"), "sizes")
     own = F.pmod(F.xxhash64("member"), F.col("n_sub")).cast("int")
     every = F.when(F.col("member") == F.col("hub"), F.sequence(F.lit(0), F.col("n_sub") - 1)).otherwise(F.array(own))
-    dealt = banded.join(sizes, key).withColumn("sub", F.explode(every)).select(*key, "sub", "member", "n_sub", "hub")
+    dealt = banded.join(sizes, key).withColumn("sub", F.explode(every)).select(*key, "home", "sub", "member", "n_sub", "hub")
     return dealt, sizes.filter("n_sub > 1")
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stationfill.llm import bpe, html_extract, jaccard_join, language_id, packing, quality, suffix_dedup, textbytes, token_counts, voronoi
+from stationfill.llm import blocks, bpe, html_extract, jaccard_join, language_id, packing, quality, suffix_dedup, textbytes, token_counts, voronoi
 from stationfill.llm.common import Scratch
 from stationfill.llm.components import components
 from stationfill.llm.exact_dedup import DigestIndex, dedup
@@ -533,3 +533,24 @@ def test_words_of_latin_letters_by_the_model_alone():
     words = [*letters, *("".join(rng.choice(letters) for _ in range(rng.randint(1, 20))) for _ in range(3000)), "a÷b", "Éa", "ÿ", "á"]
     for text, ids in zip(words, encoder.encode([w.encode() for w in words], b""), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_rows_that_nobody_asks_for_are_not_sent(spark):
+    """The filter ahead of a join keeps every row that is asked for, with few bits as well, and few others with enough of them."""
+    rows = spark.range(20_000).selectExpr("id AS member", "id % 7 AS k", "CAST(id AS STRING) AS text")
+    asked = rows.filter("member % 50 = 3").select("k", "member")
+    for bits, most in ((1 << 27, 450), (1 << 15, 20_000)):
+        kept = {r["member"] for r in blocks.asked_for(rows, ["member", "k"], asked, 20_000, bits).collect()}
+        assert {x for x in range(20_000) if x % 50 == 3} <= kept and len(kept) <= most
+    assert blocks.asked_for(rows, ["member"], asked.filter("member < 0"), 20_000).count() == 0
+
+
+def test_members_meet_in_one_block(spark):
+    """Two sets of one band of sizes are compared in its block alone, those of adjacent bands in the upper one."""
+    pairs = spark.createDataFrame([(1, 1, 100), (1, 2, 101), (5, 5, 100), (5, 6, 120), (8, 8, 100), (8, 9, 400)], "lead long, member long, n_shingles long")
+    dealt, _ = jaccard_join._deal(pairs, Scratch(spark, "deal"), 128, 85, 100)
+    got = {}
+    for r in dealt.collect():
+        got.setdefault((r["lead"], r["band"]), set()).add((r["member"], r["home"]))
+    assert {lead for lead, _ in got} == {1, 5} and len(got) == 2
+    assert sorted(map(sorted, got.values())) == [[(1, 1), (2, 1)], [(5, 0), (6, 1)]]
