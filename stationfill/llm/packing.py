@@ -10,7 +10,8 @@ import os
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stationfill.llm.common import Scratch, shuffle_partitions
+from stationfill.llm.common import Scratch, lean, shuffle_partitions
 from stationfill.llm.textbytes import slices
 
 _loaded: dict[str, object] = {}
+_ID = attrgetter("id")
 
 #: ASCII without letters, digits and white space.
 MARKS = bytes(x for x in range(128) if not chr(x).isalnum() and x not in b" \t\n\v\f\r")
@@ -34,22 +36,36 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
 
+class _Words(dict):
+    """Ids by word; a word that isn't there is learned when it is asked for."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class WordEncoder:
     """Ids of a lower-casing tokenizer whose words never hold white space, by a bounded memory of the words seen.
 
     The memory has two generations: a full one becomes the older, and words still in use move to the younger.
     """
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.sign = os.path.commonprefix(self.special)
         self.raw_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.young: dict[bytes, bytes] = {}
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # no word comes to the model twice soon: the library's own memory of words only costs time
+        self.tokenize = model.tokenize
+        self.young = _Words(self._learn)
         self.old: dict[bytes, bytes] = {}
-        self.recent: set[bytes] = set()
         self.most = most
 
     @staticmethod
@@ -65,59 +81,42 @@ class WordEncoder:
             return word
         return stem if stem[-1] < 128 or stem.decode("utf-8", "replace")[-1].lower()[-1].isalpha() else word
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        missing = []
-        for x in words - self.young.keys():
-            ids = self.old.get(x)
-            if ids is None:
-                missing.append(x)
-            else:
-                self.young[x] = ids
-        if not missing:
-            return
-        stems = [self._stem(x) for x in missing]
-        whole = {s for x, s in zip(missing, stems, strict=True) if len(s) == len(x)}
-        parts = {y for x, s in zip(missing, stems, strict=True) if len(s) < len(x) for y in (s, x[len(s) :])}
-        self.young.update((x, self.old[x]) for x in parts - self.young.keys() if x in self.old)
-        unknown, rest, tokenize, raw_of = whole | (parts - self.young.keys()), [], self.tokenizer.model.tokenize, self.raw_of
-        for x in unknown:
-            if _LETTERS.fullmatch(x):
-                self.young[x] = b"".join([raw_of[t.id] for t in tokenize(x.decode("latin-1").translate(_BYTES))])
-            else:
-                rest.append(x)
-        for at in range(0, len(rest), 5_000):
-            some = rest[at : at + 5_000]
-            found = self.tokenizer.encode([x.decode("utf-8", "replace") for x in some], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            cuts = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
-            raw = ids.tobytes()
-            self.young.update(zip(some, (raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
-        for x, s in zip(missing, stems, strict=True):
-            if len(s) < len(x):
-                self.young[x] = self.young[s] + self.young[x[len(s) :]]
+    def _by_model(self, printed: str) -> bytes:
+        return b"".join(map(self.raw_of.__getitem__, map(_ID, self.tokenize(printed))))
+
+    def _learn(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is not None:
+            return ids
+        if word.isalpha():  # of ASCII letters only, which the vocabulary writes as they are
+            return self._by_model(word.decode())
+        stem = self._stem(word)
+        if len(stem) < len(word):
+            return self.young[stem] + self.young[word[len(stem) :]]
+        if _LETTERS.fullmatch(word):
+            return self._by_model(word.decode("latin-1").translate(_BYTES))
+        found = self.tokenizer.encode([word.decode("utf-8", "replace")], is_pretokenized=True, add_special_tokens=False)
+        return b"".join([self.raw_of[i] for i in found.ids])
 
     def rest(self) -> None:
-        """Keep the words of the last texts only: a worker that other stages use next shouldn't hold more."""
-        self.old, self.young = {}, {x: self.young[x] for x in self.recent}
-        pa.default_memory_pool().release_unused()
+        """Keep one generation only, of words that came up again: a worker that other stages use next shouldn't hold more."""
+        if self.old:
+            again = self.young.keys() & self.old.keys()
+            kept, self.old = {x: self.young[x] for x in again}, {}
+            self.young = _Words(self._learn)
+            self.young.update(kept)
 
     def encode(self, raws: list[bytes], last: bytes) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, followed by `last`."""
-        texts = [x.lower() for x in raws]
-        # what may hold the name of a special token goes to the library whole, as it is
-        whole = [self.sign in x and any(name in x for name in self.special) for x in texts]
-        parts = [[] if odd else x.split() for x, odd in zip(texts, whole, strict=True)]
-        words: set[bytes] = set()
-        words.update(*parts)
-        self._learn(words)
-        self.recent = words
-        for raw, own, odd in zip(raws, parts, whole, strict=True):
-            if odd:
+        for raw in raws:
+            text = raw.lower()
+            # what may hold the name of a special token goes to the library whole, as it is
+            if self.sign in text and any(name in text for name in self.special):
                 yield np.array(self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() + last
-            else:
-                yield b"".join([*map(self.young.__getitem__, own), last])
+                continue
+            if len(self.young) > self.most:
+                self.old, self.young = self.young, _Words(self._learn)
+            yield b"".join([*map(self.young.__getitem__, text.split()), last])
 
 
 def fillings(lengths: np.ndarray, window: int, partners: int = 6) -> list[tuple[int, ...]]:
@@ -297,7 +296,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2,
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), "mark": batch.column("mark").slice(a, b - a), "n": n, "full": pa.array(full, pa.list_(pa.int64())), "rest": rest})
         encoder.rest()
 
-    lengths = docs.mapInArrow(measure, "doc_id long, mark long, n long, full array<long>, rest long")
+    lengths = docs.mapInArrow(lean(measure), "doc_id long, mark long, n long, full array<long>, rest long")
     salts = 8 * shuffle_partitions(spark)
     lengths = lengths.withColumn("r", F.col("n") % window).withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(salts)).cast("int"))
     lengths = scratch.save(lengths.withColumn("n_full", F.size("full").cast("long")), "lengths")
@@ -361,5 +360,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, last_id: int = 2,
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
     texts = docs.join(F.broadcast(wanted) if plan.n_cut <= most_ids else wanted, same, "left_semi").dropDuplicates(["doc_id", "text"])
     texts = texts.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "text")
-    summed = cut.join(texts, same).select(*marked, "text").mapInArrow(sums, kinds).dropDuplicates(["sequence_id", "offset"])
+    summed = cut.join(texts, same).select(*marked, "text").mapInArrow(lean(sums), kinds).dropDuplicates(["sequence_id", "offset"])
     return placed.filter("ids_crc32 is not null").unionByName(summed).select(*names)

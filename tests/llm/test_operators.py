@@ -535,6 +535,21 @@ def test_words_of_latin_letters_by_the_model_alone():
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_are_learned_as_they_come():
+    """Of many texts only those read so far are held; a small memory and a rest give the same ids, and a rest keeps one generation."""
+    from tokenizers import Tokenizer
+
+    tok, encoder = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS, 8)
+    texts = [f"the cat{i}, dogs{i % 3}... été {'xyz' * (i % 5)} the! дом{i % 2}" for i in range(40)]
+    found = encoder.encode([t.encode() for t in texts], b"")
+    for i, text in enumerate(texts):
+        assert np.frombuffer(next(found), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+        assert f"cat{i + 1},".encode() not in encoder.young
+        if i % 7 == 6:
+            encoder.rest()
+            assert not encoder.old and len(encoder.young) <= 24 and b"the" in encoder.young
+
+
 def test_rows_that_nobody_asks_for_are_not_sent(spark):
     """The filter ahead of a join keeps every row that is asked for, with few bits as well, and few others with enough of them."""
     rows = spark.range(20_000).selectExpr("id AS member", "id % 7 AS k", "CAST(id AS STRING) AS text")
