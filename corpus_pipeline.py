@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationfill.llm import language_id
-from stationfill.llm.common import Scratch, table
+from stationfill.llm.common import Scratch, small_batches, table
 from stationfill.llm.exact_dedup import dedup, digest_of
 from stationfill.llm.jaccard_join import similarity_components
 from stationfill.llm.packing import pack
@@ -23,6 +23,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language that the model tells from the others, go."""
+    small_batches(spark)
     model = language_id.fit(docs, ~language_id.held_out(F.col("doc_id")))
     return language_id.with_language(docs, model)
 
@@ -45,6 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows of one doc_id are one document. A row without doc_id takes no part and stays.
     """
+    small_batches(spark)
     found = similarity_components(docs.filter("doc_id is not null"), width=5, num=80, den=100)
     gone = found.filter("doc_id <> component_id").select("doc_id")
     return docs.hint("merge").join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -52,12 +54,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of fifty words, of any length in bytes, that also occur elsewhere are cut out of the texts; every document stays."""
+    small_batches(spark)
     cut = without_repeated_passages(docs, n_words=50)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 ids."""
+    small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, last_id=2)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stationfill.llm.common import lean
 from stationfill.llm.textbytes import CODES, LOWER, mix, pack_rows, slices, unpack_rows
 
 #: Features: hashes of byte n-grams of these lengths, in one table of this many places.
@@ -127,7 +128,7 @@ def fit(docs: DataFrame, for_training: Column, most: int = 600) -> Model | None:
                 yield pa.RecordBatch.from_arrays([*columns, *pack_rows(_scaled(data, offsets))], ["lang", "doc_id", "at", "value"])
 
     texts = known.join(picked, "doc_id", "left_semi").select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    vectors = texts.mapInArrow(learn, "lang string, doc_id long, at binary, value binary").groupBy("lang", "doc_id").agg(F.min(F.struct("at", "value")).alias("v"))
+    vectors = texts.mapInArrow(lean(learn), "lang string, doc_id long, at binary, value binary").groupBy("lang", "doc_id").agg(F.min(F.struct("at", "value")).alias("v"))
     rows = sorted((r["lang"], r["doc_id"], bytes(r["v"]["at"]), bytes(r["v"]["value"])) for r in vectors.collect())
     if not rows:
         return None
@@ -154,7 +155,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
                 columns = [batch.column("doc_id").slice(a, b - a), pa.array(names), pa.array(np.where(has, score, 0.0)), pa.array(near | ~has)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return slim.mapInArrow(run, kinds)
+    return slim.mapInArrow(lean(run), kinds)
 
 
 def _scaled(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) -> np.ndarray:
@@ -191,4 +192,4 @@ def with_language(docs: DataFrame, model: Model | None, least: float = 0.5) -> D
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return letters.mapInArrow(run, letters.schema)
+    return letters.mapInArrow(lean(run), letters.schema)

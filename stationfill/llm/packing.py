@@ -11,6 +11,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import islice
 from operator import attrgetter
 
 import numpy as np
@@ -98,13 +99,12 @@ class WordEncoder:
         found = self.tokenizer.encode([word.decode("utf-8", "replace")], is_pretokenized=True, add_special_tokens=False)
         return b"".join([self.raw_of[i] for i in found.ids])
 
-    def rest(self) -> None:
-        """Keep one generation only, of words that came up again: a worker that other stages use next shouldn't hold more."""
-        if self.old:
-            again = self.young.keys() & self.old.keys()
-            kept, self.old = {x: self.young[x] for x in again}, {}
-            self.young = _Words(self._learn)
-            self.young.update(kept)
+    def rest(self, most: int = 50_000) -> None:
+        """Keep some of the words that came up again, the frequent ones first: a worker that other stages use next shouldn't hold more."""
+        again = (x for x in self.young if not self.old or x in self.old)
+        kept = {x: self.young[x] for x in islice(again, most)}
+        self.old, self.young = {}, _Words(self._learn)
+        self.young.update(kept)
 
     def encode(self, raws: list[bytes], last: bytes) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, followed by `last`."""

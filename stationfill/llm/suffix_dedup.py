@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationfill.llm.blocks import leaders, sub_blocks
-from stationfill.llm.common import Scratch, shuffle_partitions
+from stationfill.llm.common import Scratch, lean, shuffle_partitions
 from stationfill.llm.jaccard_join import grouped
 from stationfill.llm.textbytes import BASES, PIECE, RollingHash, slices, word_hashes, words
 
@@ -317,7 +317,7 @@ def repeat_spans(docs: DataFrame, kinds: list, gram: int = 64, most: int = 128)
                 yield pa.RecordBatch.from_pydict(out)
 
     fields = "doc_id long, n_bytes long, digest binary, windowed array<boolean>, tokens array<long>, again array<long>"
-    facts = scratch.save(docs.mapInArrow(describe, fields), "facts")
+    facts = scratch.save(docs.mapInArrow(lean(describe), fields), "facts")
     # doc_id counts once, however often its row is repeated
     classes = facts.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("doc_id").alias("member"), (F.min("doc_id") < F.max("doc_id")).alias("copied"))
     classes = scratch.save(classes, "classes")
@@ -414,12 +414,12 @@ def repeat_spans(docs: DataFrame, kinds: list, gram: int = 64, most: int = 128)
     n = shuffle_partitions(spark)
     texts = docs.select(F.col("doc_id").alias("member"), F.unhex(F.sha2("text", 256)).alias("digest"), "text").hint("merge")
     pieces = dealt.join(searched, "member").join(texts, ["member", "digest"]).select("lead", "sub", "n_sub", "member", "tokens", "text")
-    pieces = pieces.mapInArrow(cut, "lead long, sub int, n_sub int, member long, start long, raw binary, owned long, last boolean")
-    result = pieces.repartition(n, "lead", "sub").sortWithinPartitions("lead", "sub").mapInArrow(solve, _FOUND)
+    pieces = pieces.mapInArrow(lean(cut), "lead long, sub int, n_sub int, member long, start long, raw binary, owned long, last boolean")
+    result = pieces.repartition(n, "lead", "sub").sortWithinPartitions("lead", "sub").mapInArrow(lean(solve), _FOUND)
     result = scratch.save(result, "found")
     scratch.drop("pairs", "splits")
     parts = result.filter("bucket is not null").drop("doc_id", "opens", "closes")
-    across = parts.repartition(n, "lead", "bucket").sortWithinPartitions("lead", "bucket", "kind").mapInArrow(merge, _FOUND)
+    across = parts.repartition(n, "lead", "bucket").sortWithinPartitions("lead", "bucket", "kind").mapInArrow(lean(merge), _FOUND)
     spans = result.filter("bucket is null").unionByName(across).groupBy("doc_id", "kind").agg(
         F.flatten(F.collect_list("opens")).alias("opens"), F.flatten(F.collect_list("closes")).alias("closes")
     )
@@ -479,7 +479,7 @@ def repeat_digests(docs: DataFrame, window: int = 400, passages: WordWindows = P
     marks = spans.groupBy(*key).agg(*(F.collect_list(F.struct("kind", "opens", "closes"))[c].alias(n) for c, n in (("kind", "kinds"), ("opens", "opens"), ("closes", "closes"))))
     marks = marks.join(facts.filter("not copied").select(*key).distinct(), key, "left_semi")
     partly = docs.withColumn("sha256", F.sha2("text", 256)).hint("merge").join(marks, key).select(*key, "text", "kinds", "opens", "closes")
-    partly = partly.mapInArrow(measure, "doc_id long, sha256 string, gone long, n_spans long, kept string, passage long").dropDuplicates(key)
+    partly = partly.mapInArrow(lean(measure), "doc_id long, sha256 string, gone long, n_spans long, kept string, passage long").dropDuplicates(key)
     joined = facts.join(partly, key, "left")
     empty = hashlib.sha256(b"").hexdigest()
     whole = [F.col("copied") & F.col("windowed")[k] for k in (0, 1)]
@@ -522,7 +522,7 @@ def without_repeats(docs: DataFrame, windows: ByteWindows | WordWindows = PASSAG
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(strip, docs.schema)
+    return joined.mapInArrow(lean(strip), docs.schema)
 
 
 #: Bytes of a word's code. Fifty codes would all have to agree for a passage to be taken for another.
@@ -553,7 +553,7 @@ def without_repeated_passages(docs: DataFrame, n_words: int = 50, doc_id: str =
                 columns = [batch.column(c).slice(a, b - a) for c in ("doc_id", "own")]
                 yield pa.RecordBatch.from_arrays([*columns, _codes(data, offsets)], ["doc_id", "own", "text"])
 
-    coded = slim.select("doc_id", "own", "text").mapInArrow(encode, "doc_id long, own string, text binary")
+    coded = slim.select("doc_id", "own", "text").mapInArrow(lean(encode), "doc_id long, own string, text binary")
     scratch = Scratch(docs.sparkSession, "passages")
     names = scratch.save(coded.select("doc_id", "own", F.sha2("text", 256).alias("sha256")).filter("doc_id is not null").distinct(), "names")
     facts, spans = repeat_spans(coded.select("doc_id", "text"), [ByteWindows(n_words * CODE, CODE)], **options)
@@ -584,4 +584,4 @@ def without_repeated_passages(docs: DataFrame, n_words: int = 50, doc_id: str =
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=columns_of)
 
-    return joined.mapInArrow(strip, docs.schema)
+    return joined.mapInArrow(lean(strip), docs.schema)

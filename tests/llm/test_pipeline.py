@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -147,5 +148,17 @@ def test_run_is_its_stages(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    """Whole texts of a partition at once took an executor's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(6).selectExpr("id AS doc_id", "repeat('some words ', 50000) AS text", "'en' AS lang").coalesce(1)
+    rows = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "exact_dedup":  # it has no Python
+            spark.conf.set(key, str(1 << 26))
+            stage(spark, docs, "")
+            assert max(r["n"] for r in docs.select("text").union(docs.select("text")).coalesce(1).mapInArrow(rows, "n long").collect()) < 12, name
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
